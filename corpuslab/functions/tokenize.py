@@ -50,21 +50,18 @@ def chrf_chars(c) -> Column:
     return F.regexp_replace(_c(c), WS_CLASS, "")
 
 
-def _punct_class() -> str:
-    return "[" + "".join("\\" + ch for ch in CHRF_PUNCT) + "]"
-
-
 def chrf_words(c) -> Column:
-    """chrF++ word tokens with one edge punctuation mark split off."""
-    pc = _punct_class()
+    """chrF++ word tokens with one edge punctuation mark split off
+    (trailing mark first, else leading mark)."""
+    punct = F.lit(CHRF_PUNCT)
 
     def split_word(w):
-        last = F.substring(w, -1, 1)
-        first = F.substring(w, 1, 1)
         n = F.length(w)
+        last = w.substr(n, F.lit(1))
+        first = w.substr(F.lit(1), F.lit(1))
         return (F.when(n == 1, F.array(w))
-                .when(last.rlike(pc), F.array(F.substring(w, 1, n - 1), last))
-                .when(first.rlike(pc), F.array(first, F.substring(w, 2, n)))
+                .when(punct.contains(last), F.array(w.substr(F.lit(1), n - 1), last))
+                .when(punct.contains(first), F.array(first, w.substr(F.lit(2), n)))
                 .otherwise(F.array(w)))
 
     return F.flatten(F.transform(ws_tokens(c), split_word))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import WS_CLASS
+from corpuslab.operators.layout import spread
 
 # ---- fixed values -------------------------------------------------------
 # (model, setting, p): every p-th token is dropped from the reference.
@@ -34,9 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents table, spread by doc_id when the file is one narrow split
+    (text work per row is heavy; at scale the scan is already wide)."""
+    d = table(spark, sf_dir, "documents")
+    if cols:
+        d = d.select(*cols)
+    return spread(d, "doc_id")
+
+
 # ---------------------------------------------------------------- raw_lines
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(
+    d = documents(spark, sf_dir, "doc_id", "lang", "text").select(
         "doc_id", "lang", F.split("text", "\n").alias("lines"))
     e = d.select("doc_id", "lang", "lines",
                  F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") + 2) / 3) - 1)).alias("part"))
@@ -60,7 +70,7 @@ RAW_LINES_SQL = """raw_lines AS (
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("setting"), F.lit(p).alias("p"))
                      for m, s, p in RUNS])
-    t = table(spark, sf_dir, "documents").select(
+    t = documents(spark, sf_dir, "doc_id", "lang", "text").select(
         "doc_id", "lang",
         F.filter(F.split("text", WS_CLASS), lambda x: x != "").alias("r"),
         F.explode(runs).alias("run"))
