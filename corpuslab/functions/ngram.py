@@ -40,6 +40,9 @@ def _char_ids(a: str, b: str):
     both = np.concatenate([ca, cb])
     if both.size == 0:
         return ca, cb, 0
+    top = int(both.max())
+    if top < 1024:          # code points already pack 6 to an int64
+        return ca, cb, top
     uniq, inv = np.unique(both, return_inverse=True)
     inv = inv.astype(np.int64) + 1
     return inv[: ca.size], inv[ca.size:], uniq.size
@@ -63,10 +66,17 @@ def _clipped(h: np.ndarray, r: np.ndarray) -> int:
     if h.shape[0] == 0 or r.shape[0] == 0:
         return 0
     if h.ndim == 1:
-        uh, ch = np.unique(h, return_counts=True)
-        ur, cr = np.unique(r, return_counts=True)
-        _, ih, ir = np.intersect1d(uh, ur, assume_unique=True, return_indices=True)
-        return int(np.minimum(ch[ih], cr[ir]).sum())
+        # sort both sides; run-length count the hypothesis grams and look
+        # their counts up in the sorted reference by binary search
+        hs, rs = np.sort(h), np.sort(r)
+        first = np.empty(hs.shape[0], dtype=bool)
+        first[0] = True
+        np.not_equal(hs[1:], hs[:-1], out=first[1:])
+        starts = np.flatnonzero(first)
+        uh = hs[starts]
+        ch = np.diff(np.append(starts, hs.shape[0]))
+        cr = np.searchsorted(rs, uh, "right") - np.searchsorted(rs, uh, "left")
+        return int(np.minimum(ch, cr).sum())
     uh, ch = np.unique(h, axis=0, return_counts=True)
     ur, cr = np.unique(r, axis=0, return_counts=True)
     rc = {tuple(row): c for row, c in zip(ur.tolist(), cr.tolist())}
@@ -145,3 +155,69 @@ def rouge_lcs_stats(h_words: pd.Series, r_words: pd.Series, use_stemmer: pd.Seri
         n = lcs(h, r) if len(h) <= len(r) else lcs(r, h)
         out.append([n, len(h), len(r)])
     return pd.Series(out)
+
+
+# ---------------------------------------------------------------- fused pass
+def _py_tokenisers():
+    """Python twins of the JVM tokenisers (same fixed patterns), used inside
+    the fused statistics UDF so the texts cross into Python once."""
+    import re
+
+    from corpuslab.functions.tokenize import CHRF_PUNCT, T13A_PRE, T13A_RULES
+
+    punct = set(CHRF_PUNCT)
+    rules = [(re.compile(p), r.replace("$", "\\")) for p, r in T13A_RULES]
+    non_alnum = re.compile(r"[^a-z0-9]+")
+
+    def chrf_words(s: str) -> list[str]:
+        out: list[str] = []
+        for w in s.split():
+            if len(w) > 1 and w[-1] in punct:
+                out += [w[:-1], w[-1]]
+            elif len(w) > 1 and w[0] in punct:
+                out += [w[0], w[1:]]
+            else:
+                out.append(w)
+        return out
+
+    def tok_13a(s: str) -> list[str]:
+        for a, b in T13A_PRE:
+            s = s.replace(a, b)
+        s = f" {s} "
+        for rx, rep in rules:
+            s = rx.sub(rep, s)
+        return s.split()
+
+    def rouge_words(s: str) -> list[str]:
+        return non_alnum.sub(" ", s.lower()).split()
+
+    return chrf_words, tok_13a, rouge_words
+
+
+STATS_TYPE = T.StructType([T.StructField("chrf", T.ArrayType(T.LongType())),
+                           T.StructField("bleu", T.ArrayType(T.LongType())),
+                           T.StructField("rouge", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(STATS_TYPE)
+def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd.Series) -> pd.DataFrame:
+    """chrF++ (24), BLEU-13a (10) and ROUGE-L ([lcs, |h|, |r|]) statistics of
+    each (hyp, ref) pair; texts are already folded / stripped."""
+    from corpuslab.functions.porter import stem_cached
+
+    cw, t13, rw = _py_tokenisers()
+    chrf, bleu, rl = [], [], []
+    for h, r, do_rouge, do_stem in zip(hyp, ref, rouge, stem):
+        h, r = h or "", r or ""
+        chrf.append(chrf_segment("".join(h.split()), "".join(r.split()), cw(h), cw(r)))
+        bleu.append(bleu_segment(t13(h), t13(r)))
+        if do_rouge:
+            a, b = rw(h), rw(r)
+            if do_stem:
+                a = [stem_cached(t) if len(t) > 3 else t for t in a]
+                b = [stem_cached(t) if len(t) > 3 else t for t in b]
+            n = lcs(a, b) if len(a) <= len(b) else lcs(b, a)
+            rl.append([n, len(a), len(b)])
+        else:
+            rl.append(None)
+    return pd.DataFrame({"chrf": chrf, "bleu": bleu, "rouge": rl})

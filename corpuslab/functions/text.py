@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 # ---- fixed values -------------------------------------------------------
 # Whitespace = exactly the characters Python's str.isspace() accepts, so
 # strip/split agree with the pandas pipelines the corpora come from.
-WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}]"
+WS_CHARS = r"\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}"
+WS_CLASS = f"[{WS_CHARS}]"
 # Failure markers a translation API writes instead of an output; compared
 # case-insensitively after stripping and folded to ''.
 FAILURE_MARKERS = ["ERROR", "NAN", "NONE", "NULL", "<PAD>"]
@@ -89,8 +90,9 @@ def split_group(c):
 
 
 def ws_tokens(c) -> Column:
-    """Whitespace tokens with empties removed (Python str.split())."""
-    return F.filter(F.split(_c(c), WS_CLASS), lambda x: x != "")
+    """Whitespace tokens with empties removed (Python str.split()); no
+    lambda, so it stays in generated code."""
+    return F.array_remove(F.split(_c(c), WS_CLASS + "+"), "")
 
 
 def word_count(c) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import WS_CLASS, _c, ws_tokens
+from corpuslab.functions.text import WS_CHARS, WS_CLASS, _c, ws_tokens
 
 # ---- fixed values -------------------------------------------------------
 # 13a tokeniser of mteval-v13a / sacreBLEU, applied to ' ' + line + ' ':
@@ -50,23 +50,23 @@ def chrf_chars(c) -> Column:
     return F.regexp_replace(_c(c), WS_CLASS, "")
 
 
-def chrf_words(c) -> Column:
-    """chrF++ word tokens with one edge punctuation mark split off
-    (trailing mark first, else leading mark)."""
-    punct = F.lit(CHRF_PUNCT)
+def _punct_chars() -> str:
+    return "".join("\\" + ch for ch in CHRF_PUNCT)
 
-    def split_word(w):
-        n = F.length(w)
-        last = w.substr(n, F.lit(1))
-        first = w.substr(F.lit(1), F.lit(1))
-        return (F.when(n == 1, F.array(w))
-                .when(punct.contains(last), F.array(w.substr(F.lit(1), n - 1), last))
-                .when(punct.contains(first), F.array(first, w.substr(F.lit(2), n)))
-                .otherwise(F.array(w)))
 
-    return F.flatten(F.transform(ws_tokens(c), split_word))
+def chrf_words(c) -> Column:
+    """chrF++ word tokens: a token of 2+ characters loses its last character
+    to a separate token when that is punctuation, else its first character
+    when that is punctuation. Two lookaround regexes (leading rule only for
+    tokens that do not end in punctuation, then the trailing rule) and a
+    split -- no per-token lambda."""
+    p, ws = _punct_chars(), WS_CHARS
+    lead = f"(?<![^{ws}])([{p}])(?=[^{ws}]*[^{p}{ws}](?![^{ws}]))"
+    trail = f"(?<=[^{ws}])([{p}])(?![^{ws}])"
+    s = F.regexp_replace(F.regexp_replace(_c(c), lead, "$1 "), trail, " $1")
+    return ws_tokens(s)
 
 
 def rouge_words(c) -> Column:
     """ROUGE-L tokens before stemming."""
-    return F.filter(F.split(F.lower(_c(c)), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(_c(c)), "[^a-z0-9]+"), "")

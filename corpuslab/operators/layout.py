@@ -11,8 +11,10 @@ def spread(df: DataFrame, *keys: str, min_parts: int | None = None) -> DataFrame
     Arrow UDF). Inputs that are already split widely are left alone, so no
     shuffle is added at scale."""
     spark = df.sparkSession
-    target = min_parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism)
+    # a few tasks per core, so rows of very different cost (1-word and
+    # 20,000-word documents) even out across cores
+    target = min_parts or 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                  spark.sparkContext.defaultParallelism)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions import ngram
 from corpuslab.functions.text import as_text, fold_failures, safe_pct
-from corpuslab.functions.tokenize import chrf_chars, chrf_words, rouge_words, tok_13a
 from corpuslab.operators.layout import spread
 
 CHRF_BETA = 2.0
@@ -47,13 +46,23 @@ def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "english",
     df = spread(df, *segment_keys)
     d = df.withColumn("h", fold_failures(hyp)).withColumn("r", as_text(ref))
     h, r = F.col("h"), F.col("r")
-    cols = [ngram.chrf_stats(chrf_chars(h), chrf_chars(r), chrf_words(h), chrf_words(r)).alias("chrf_st"),
-            ngram.bleu_stats(tok_13a(h), tok_13a(r)).alias("bleu_st")]
+    st = ngram.segment_stats_udf(h, r, F.lit(rouge), F.lit(stem)).alias("__st")
+    d = d.select("*", (h == "").alias("h_empty"), st)
+    cols = [F.col("__st.chrf").alias("chrf_st"), F.col("__st.bleu").alias("bleu_st")]
+    if rouge:
+        cols.append(F.col("__st.rouge").alias("rouge_st"))
     if sp_hyp_tokens is not None:
         cols.append(ngram.bleu_stats(sp_hyp_tokens, sp_ref_tokens).alias("sp_st"))
-    if rouge:
-        cols.append(ngram.rouge_lcs_stats(rouge_words(h), rouge_words(r), F.lit(stem)).alias("rouge_st"))
-    return d.select("*", *cols)
+    return d.select(*[c for c in d.columns if c != "__st"], *cols)
+
+
+def compact_stats(stats: DataFrame, keep: list[str]) -> DataFrame:
+    """Only the keys and statistic vectors (no texts): what gets persisted
+    and resampled. Persisted MEMORY_AND_DISK; a lost block is recomputed
+    from lineage."""
+    vec = [c for c in ("h_empty", "chrf_st", "bleu_st", "sp_st", "rouge_st") if c in stats.columns]
+    from pyspark import StorageLevel
+    return stats.select(*keep, *vec).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def stat_sums(col: str, n: int, prefix: str, weight: Column | None = None) -> list[Column]:
@@ -111,7 +120,7 @@ def score_groups(stats: DataFrame, keys: list[str], rouge: bool = True,
                  src_lang: str | None = "src_lang", sp: bool = False) -> DataFrame:
     """Per group n, chrF++, spBLEU, BLEU, ROUGE-L, empty outputs,
     empty_pct and the sorted distinct source tokens, all 2-dp."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("h") == "").alias("empty_outputs"),
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("h_empty")).alias("empty_outputs"),
             *stat_sums("chrf_st", N_CHRF, "c"), *stat_sums("bleu_st", N_BLEU, "b")]
     if sp:
         aggs += stat_sums("sp_st", N_BLEU, "s")
@@ -156,8 +165,20 @@ def source_tokens_used(df: DataFrame, keys: list[str], col: str = "src_lang") ->
 
 
 # --------------------------------------------------------------- bootstrap
+def broadcast_limit(spark) -> int:
+    """Largest side (bytes) we broadcast: the session's auto-broadcast
+    threshold, at least 10 MB, at most 512 MB."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    try:
+        v = int(float(raw[:-2]) * mult[raw[-2]]) if raw.endswith("b") and raw[-2] in mult else int(raw)
+    except ValueError:
+        v = 10 << 20
+    return min(max(v, 10 << 20), 512 << 20)
+
+
 def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,
-                 seed: int = 42, metric: str = "chrf++", draw_hash: str = "md5") -> DataFrame:
+                 seed: int = 42, metric: str = "chrf++", draw_hash: str = "xxhash64") -> DataFrame:
     """Percentile bootstrap of a corpus metric on resampled segment statistics.
 
     Segments of each group are numbered 0..n-1 in ``order_col`` order (exact
@@ -168,7 +189,8 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
     (group, position) -- AQE broadcasts the statistics side when its runtime
     size is small, else it is a shuffled join -- and the per-round sums are a
     partial aggregate. Groups with n < 2 or rounds <= 0 get no interval.
-    ``draw_hash='md5'`` matches the SQL oracle; 'xxhash64' is faster.
+    ``draw_hash='xxhash64'`` (default) is native and fast; 'md5' is ~5x
+    slower but reproducible in any SQL engine (used by the oracle check).
     """
     from corpuslab.operators.partition import exact_rank, range_bucket
 
@@ -176,9 +198,11 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
         return stats.select(*keys).distinct().withColumn(f"{metric}_mean", F.lit(None).cast("double"))
     st_col, n_st, prefix, formula = (("chrf_st", N_CHRF, "c", chrf_score) if metric == "chrf++"
                                      else ("bleu_st", N_BLEU, "b", bleu_score))
-    ranked = exact_rank(stats.select(*keys, order_col, st_col), keys, [order_col],
-                        range_bucket(stats, order_col), "pos", "n")
-    ranked = ranked.filter(F.col("n") >= 2).withColumn("pos", F.col("pos") - 1)
+    small = stats.select(*keys, order_col, st_col)
+    ranked = exact_rank(small, keys, [order_col], range_bucket(small, order_col), "pos", "n")
+    from pyspark import StorageLevel
+    ranked = (ranked.filter(F.col("n") >= 2).withColumn("pos", F.col("pos") - 1)
+              .persist(StorageLevel.MEMORY_AND_DISK))
     side = ranked.select(*keys, F.col("pos").alias("idx"), st_col)
     b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
     draws = ranked.select(*keys, "n", F.col("pos").alias("j"), b)
@@ -188,7 +212,15 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
     else:
         hv = F.xxhash64(F.lit(seed), F.col("round"), F.col("j"))
     draws = draws.select(*keys, "round", F.pmod(hv, F.col("n")).alias("idx"))
-    joined = draws.join(side, [*keys, "idx"])
+    # The statistics side grows with the corpus, so it is broadcast only
+    # behind a measured size check; otherwise a shuffled hash join built on
+    # the statistics. (Left to itself the planner underestimates the
+    # exploded draws and may broadcast them instead.)
+    n_total = side.count()
+    row_bytes = 8 * (n_st + 2) + 16 * len(keys)
+    limit = broadcast_limit(stats.sparkSession)
+    side_j = F.broadcast(side) if n_total * row_bytes <= limit else side.hint("shuffle_hash")
+    joined = draws.join(side_j, [*keys, "idx"])
     per_round = (joined.groupBy(*keys, "round").agg(*stat_sums(st_col, n_st, prefix))
                  .select(*keys, "round", formula(prefix).alias("score")))
     return per_round.groupBy(*keys).agg(
@@ -197,14 +229,14 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
         F.round(F.percentile("score", 0.975), 2).alias(f"{metric}_ci_hi"))
 
 
-def poisson_bootstrap_ci(stats: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 42,
-                         metric: str = "chrf++") -> DataFrame:
+def poisson_bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,
+                         seed: int = 42, metric: str = "chrf++") -> DataFrame:
     """Scale variant of A11 for groups too large to join draws: every segment
     gets a Poisson(1) weight per round from a hash (no join, map-side partial
     sums). A documented approximation of the multinomial bootstrap."""
     st_col, n_st, prefix, formula = (("chrf_st", N_CHRF, "c", chrf_score) if metric == "chrf++"
                                      else ("bleu_st", N_BLEU, "b", bleu_score))
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("round"), *[F.col(k) for k in keys], F.col("h"), F.col("r")))
+    u = (F.abs(F.xxhash64(F.lit(seed), F.col("round"), F.col(order_col)))
          % F.lit(1 << 30)) / F.lit(float(1 << 30))
     # inverse CDF of Poisson(1) over the first 8 values (P(k>=8) < 1e-5)
     cdf, acc, term = [], 0.0, math.exp(-1.0)
@@ -215,7 +247,7 @@ def poisson_bootstrap_ci(stats: DataFrame, keys: list[str], rounds: int = 1000,
     w = F.lit(8)
     for k in reversed(range(8)):
         w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    d = stats.select(*keys, "h", "r", st_col, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    d = stats.select(*keys, order_col, st_col, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     per_round = (d.withColumn("w", w).groupBy(*keys, "round").agg(*stat_sums(st_col, n_st, prefix, F.col("w")))
                  .select(*keys, "round", formula(prefix).alias("score")))
     return per_round.groupBy(*keys).agg(

@@ -17,7 +17,7 @@ RUN = ["model", "setting"]
 
 
 def _scored(spark, sf):
-    st = _stats(spark, sf, rouge=True).persist()
+    st = M.compact_stats(_stats(spark, sf, rouge=True), [*KEYS, "doc_id", "src_lang"])
     sc = M.score_groups(st, KEYS)
     ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
     return sc.join(ci, KEYS, "left")
@@ -165,7 +165,7 @@ def report_labels(spark, sf):
 @query("ci_labels")
 def ci_labels(spark, sf):
     """P7 + L2: '[lo, hi]' interval labels of the bootstrap, sorted by model, setting, language."""
-    st = _stats(spark, sf, rouge=False)
+    st = M.compact_stats(_stats(spark, sf, rouge=False), [*KEYS, "doc_id"])
     ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
     return ci.select(*KEYS, ci_label("`chrf++_ci_lo`", "`chrf++_ci_hi`").alias("chrf++_ci")).orderBy(*KEYS)
 

@@ -239,7 +239,7 @@ def _scores(spark, sf):
 def score_runs(spark, sf):
     """A9 + A11: all metrics per (model, setting, language) with the chrF++
     bootstrap interval; segment statistics computed once and reused."""
-    st = _stats(spark, sf, rouge=True).persist()
+    st = M.compact_stats(_stats(spark, sf, rouge=True), [*KEYS, "doc_id", "src_lang"])
     sc = M.score_groups(st, KEYS)
     ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
     return sc.join(ci, KEYS, "left")
@@ -268,5 +268,5 @@ def macro_average(spark, sf):
  FROM sc GROUP BY ALL""")
 def bootstrap_ci(spark, sf):
     """1,000-round paired percentile bootstrap of chrF++ per language."""
-    st = _stats(spark, sf, rouge=False)
-    return M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
+    st = M.compact_stats(_stats(spark, sf, rouge=False), [*KEYS, "doc_id"])
+    return M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash="md5")
