@@ -27,11 +27,16 @@ BLEU_ORDER = 4
 
 
 def _dense_ids(a_tokens, b_tokens):
-    """Map the tokens of two sequences onto shared dense ids (1-based)."""
-    vocab: dict = {}
-    a = np.fromiter((vocab.setdefault(t, len(vocab) + 1) for t in a_tokens), dtype=np.int64)
-    b = np.fromiter((vocab.setdefault(t, len(vocab) + 1) for t in b_tokens), dtype=np.int64)
-    return a, b, len(vocab)
+    """Map the tokens of two sequences onto shared dense ids (C hash table)."""
+    na = len(a_tokens)
+    both = np.empty(na + len(b_tokens), dtype=object)
+    both[:na] = a_tokens
+    both[na:] = b_tokens
+    if both.size == 0:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
+    codes, uniq = pd.factorize(both)
+    codes = codes.astype(np.int64)
+    return codes[:na], codes[na:], len(uniq)
 
 
 def _char_ids(a: str, b: str):
@@ -83,12 +88,54 @@ def _clipped(h: np.ndarray, r: np.ndarray) -> int:
     return int(sum(min(c, rc.get(tuple(row), 0)) for row, c in zip(uh.tolist(), ch.tolist())))
 
 
+def _run_counts(sorted_keys: np.ndarray):
+    """Distinct values and their counts of a sorted array."""
+    first = np.empty(sorted_keys.shape[0], dtype=bool)
+    first[0] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    return sorted_keys[starts], np.diff(np.append(starts, sorted_keys.shape[0]))
+
+
+def _window_keys(ids: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Sorted keys of the length-``width`` windows starting at every position
+    (ids >= 1; positions past the end are 0)."""
+    pad = np.concatenate([ids, np.zeros(width - 1, dtype=np.int64)])
+    key = np.zeros(ids.shape[0], dtype=np.int64)
+    for j in range(width):
+        key = (key << bits) | pad[j: j + ids.shape[0]]
+    return np.sort(key)
+
+
 def _orders(a: np.ndarray, b: np.ndarray, k: int, orders) -> list[int]:
-    bits = max(1, int(k).bit_length())
-    out: list[int] = []
+    """[hyp count, ref count, clipped matches] for each n-gram order.
+
+    Ids are shifted to >= 1 and the longest-order windows of each side are
+    sorted once; an order-n gram is the window key shifted right, which keeps
+    the order, and is valid when its last symbol is not padding."""
+    orders = list(orders)
+    top = max(orders)
+    bits = max(1, (int(k) + 1).bit_length())
+    if bits * top > 62 or a.shape[0] == 0 or b.shape[0] == 0:
+        out: list[int] = []
+        bits0 = max(1, int(k).bit_length())
+        for n in orders:
+            ga, gb = _grams(a, n, bits0), _grams(b, n, bits0)
+            out += [int(ga.shape[0]), int(gb.shape[0]), _clipped(ga, gb)]
+        return out
+    ka, kb = _window_keys(a + 1, top, bits), _window_keys(b + 1, top, bits)
+    mask = (1 << bits) - 1
+    out = []
     for n in orders:
-        ga, gb = _grams(a, n, bits), _grams(b, n, bits)
-        out += [int(ga.shape[0]), int(gb.shape[0]), _clipped(ga, gb)]
+        sh = bits * (top - n)
+        ha, hb = ka >> sh, kb >> sh
+        ha, hb = ha[(ha & mask) != 0], hb[(hb & mask) != 0]
+        if ha.shape[0] == 0 or hb.shape[0] == 0:
+            out += [int(ha.shape[0]), int(hb.shape[0]), 0]
+            continue
+        uh, ch = _run_counts(ha)
+        cr = np.searchsorted(hb, uh, "right") - np.searchsorted(hb, uh, "left")
+        out += [int(ha.shape[0]), int(hb.shape[0]), int(np.minimum(ch, cr).sum())]
     return out
 
 
@@ -206,16 +253,34 @@ def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd
     from corpuslab.functions.porter import stem_cached
 
     cw, t13, rw = _py_tokenisers()
+
+    def side(s: str, do_rouge: bool, do_stem: bool):
+        words = rw(s) if do_rouge else None
+        if do_rouge and do_stem:
+            words = [stem_cached(t) if len(t) > 3 else t for t in words]
+        return "".join(s.split()), cw(s), t13(s), words
+
+    # Systems scored on one test set share references: tokenise each
+    # distinct reference of the batch once (small LRU; rows are spread by
+    # the reference key, so repeats of a reference meet in one task).
+    from collections import OrderedDict
+    ref_cache: OrderedDict = OrderedDict()
     chrf, bleu, rl = [], [], []
     for h, r, do_rouge, do_stem in zip(hyp, ref, rouge, stem):
         h, r = h or "", r or ""
-        chrf.append(chrf_segment("".join(h.split()), "".join(r.split()), cw(h), cw(r)))
-        bleu.append(bleu_segment(t13(h), t13(r)))
+        key = (r, bool(do_rouge), bool(do_stem))
+        rs = ref_cache.get(key)
+        if rs is None:
+            if len(ref_cache) >= 256:
+                ref_cache.popitem(last=False)
+            rs = ref_cache[key] = side(r, bool(do_rouge), bool(do_stem))
+        else:
+            ref_cache.move_to_end(key)
+        hs = side(h, bool(do_rouge), bool(do_stem))
+        chrf.append(chrf_segment(hs[0], rs[0], hs[1], rs[1]))
+        bleu.append(bleu_segment(hs[2], rs[2]))
         if do_rouge:
-            a, b = rw(h), rw(r)
-            if do_stem:
-                a = [stem_cached(t) if len(t) > 3 else t for t in a]
-                b = [stem_cached(t) if len(t) > 3 else t for t in b]
+            a, b = hs[3], rs[3]
             n = lcs(a, b) if len(a) <= len(b) else lcs(b, a)
             rl.append([n, len(a), len(b)])
         else:

@@ -131,7 +131,7 @@ def run_sweep(spark, sf):
     pred = I.predict_batches(rows, token_dependent, "tribal", ["gid", "language", "english", "src_token"],
                              BATCH, token_col="src_token", fn_takes_token=True)
     st = M.segment_stats(pred.withColumn("model", F.lit("stub")), hyp="hyp", ref="english",
-                         segment_keys=("gid", "src_token"))
+                         segment_keys=("gid",))
     sc = M.score_groups(st, ["model", "language", "src_token"], src_lang=None)
     return R.rank_candidates(sc)
 

@@ -13,7 +13,7 @@ from corpuslab.plans.sqltext import bt, fold, ws_tokens
 
 # ---- fixed values -------------------------------------------------------
 KEYS = ["model", "setting", "language"]
-SEG_KEYS = ("model", "setting", "doc_id")
+SEG_KEYS = ("doc_id",)   # spread by the reference key: runs of one reference share a task
 BOOT_ROUNDS = 1000
 BOOT_SEED = 42
 # stand-in subword tokens for spBLEU over a caller-supplied token column:

@@ -102,7 +102,7 @@ def incremental_scores(spark, sf):
     stream = _replay(spark, pred, "predictions", key="doc_id")
 
     def step(batch, batch_id):
-        st = M.segment_stats(batch, rouge=False)
+        st = M.segment_stats(batch, rouge=False, segment_keys=("doc_id",))
         sums = st.groupBy(*SQ.KEYS).agg(*M.stat_sums("chrf_st", M.N_CHRF, "c"), *M.stat_sums("bleu_st", M.N_BLEU, "b"))
         sums.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
