@@ -25,7 +25,8 @@ PANDAS_NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN",
                     "NULL", "NaN", "None", "n/a", "nan", "null"]
 # ------------------------------------------------------------------------
 
-_STRIP_RE = f"^{WS_CLASS}+|{WS_CLASS}+$"
+# The same set as explicit characters, built by its rule (29 characters).
+WS_ALL = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def _c(c) -> Column:
@@ -33,8 +34,9 @@ def _c(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Unicode strip of both ends (NULL stays NULL)."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """Unicode strip of both ends (NULL stays NULL). ``trim`` with an explicit
+    character set only touches the ends; a regex would scan the whole text."""
+    return F.trim(_c(c), F.lit(WS_ALL))
 
 
 def blank_trim(c) -> Column:
@@ -50,7 +52,9 @@ def as_text(c) -> Column:
 def fold_failures(c) -> Column:
     """P5: as_text, then any failure marker (case-insensitive) -> ''."""
     t = as_text(c)
-    return F.when(F.upper(t).isin(*FAILURE_MARKERS), F.lit("")).otherwise(t)
+    longest = max(len(m) for m in FAILURE_MARKERS)
+    # length first: long texts are never upper-cased just to be compared
+    return F.when((F.length(t) <= longest) & F.upper(t).isin(*FAILURE_MARKERS), F.lit("")).otherwise(t)
 
 
 def na_to_null(c, na_values=PANDAS_NA_VALUES) -> Column:

@@ -167,14 +167,14 @@ def source_tokens_used(df: DataFrame, keys: list[str], col: str = "src_lang") ->
 # --------------------------------------------------------------- bootstrap
 def broadcast_limit(spark) -> int:
     """Largest side (bytes) we broadcast: the session's auto-broadcast
-    threshold, at least 10 MB, at most 512 MB."""
+    threshold, at least 64 MB, at most 512 MB."""
     raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
     mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
     try:
         v = int(float(raw[:-2]) * mult[raw[-2]]) if raw.endswith("b") and raw[-2] in mult else int(raw)
     except ValueError:
         v = 10 << 20
-    return min(max(v, 10 << 20), 512 << 20)
+    return min(max(v, 64 << 20), 512 << 20)
 
 
 def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,

@@ -84,9 +84,9 @@ def incremental_predict(spark, sf):
     return spark.read.parquet(out).select("doc_id", "hyp")
 
 
-INCR_SQL = SQ._w(SQ.CHRF_LONG, SQ.BLEU_SEG) + f""", c AS (SELECT model, setting, language, round(score, 2) AS "chrf++" FROM
+INCR_SQL = SQ._w(SQ.CHRF_LONG, SQ.BLEU_SEG) + f""", c AS MATERIALIZED (SELECT model, setting, language, round(score, 2) AS "chrf++" FROM
  {SQ.sql_chrf_from_long("(SELECT model, setting, language, o, sum(hh) AS H, sum(rr) AS R, sum(mm) AS M FROM clong GROUP BY ALL)", "model, setting, language")}),
- b AS (SELECT model, setting, language, round({SQ.sql_bleu()}, 2) AS "BLEU" FROM
+ b AS MATERIALIZED (SELECT model, setting, language, round({SQ.sql_bleu()}, 2) AS "BLEU" FROM
  (SELECT model, setting, language, sum(sys_len) AS sys_len, sum(ref_len) AS ref_len,
   {", ".join(f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in range(1, 5))} FROM bseg GROUP BY ALL))
  SELECT c.model, c.setting, c.language, c."chrf++", b."BLEU" FROM c JOIN b ON c.model = b.model AND c.setting = b.setting AND c.language = b.language"""
