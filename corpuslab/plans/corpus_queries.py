@@ -224,3 +224,9 @@ def length_buckets(spark, sf):
     tr = C.training_set(_splits(spark, sf).filter(F.col("split") == "train"), MAX_SRC, MAX_TGT)
     b = P.length_buckets(tr, "length", 16, SEED, "gid")
     return b.groupBy("length_bucket").agg(F.count(F.lit(1)).alias("examples"))
+
+
+@query("distinct_languages", sql=_w(PAIRS) + "SELECT DISTINCT language FROM pairs")
+def distinct_languages(spark, sf):
+    """Languages present in the clean corpus."""
+    return C.distinct_languages(_pairs(spark, sf))
