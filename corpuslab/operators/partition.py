@@ -23,6 +23,18 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 4096
 
 
+def auto_buckets(df: DataFrame, per_partition: int = 64) -> int:
+    """Bucket count that grows with the input: about ``per_partition``
+    buckets per input partition, at least 4096, rounded up to a power of 16
+    (whole hex digits of the md5 key). A group holding a third of 100 TB is
+    then cut into millions of buckets instead of 4096."""
+    want = max(DEFAULT_BUCKETS, per_partition * df.rdd.getNumPartitions())
+    b = 16
+    while b < want:
+        b *= 16
+    return b
+
+
 def seeded_key(seed: int, *cols) -> Column:
     """Deterministic shuffle key: md5 of seed|group|key (stable across machines)."""
     parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -32,16 +44,17 @@ def seeded_key(seed: int, *cols) -> Column:
 
 def hash_bucket(h: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
     """Bucket from the leading hex digits of an md5 key (monotone in the key)."""
-    digits = max(1, (buckets - 1).bit_length() + 3) // 4
+    digits = max(1, ((buckets - 1).bit_length() + 3) // 4)
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = DEFAULT_BUCKETS) -> Column:
+def range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> Column:
     """Bucket from the value range of a numeric order key (monotone in the key).
 
     Reads min/max of the key once (a two-number aggregate the scan answers
     from column statistics when it can).
     """
+    buckets = buckets or auto_buckets(df)
     lo, hi = df.agg(F.min(key), F.max(key)).first()
     if lo is None:
         return F.lit(0).cast("long")
@@ -74,16 +87,18 @@ def exact_rank(df: DataFrame, group: list[str], order: list, bucket: Column,
 
 
 def stable_gid(df: DataFrame, lang: str = "language", order: tuple = ("doc_id",),
-               buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """gid = '<language>_<0-based position in language>' in file order."""
     key = order[0]
+    buckets = buckets or auto_buckets(df)
     r = exact_rank(df, [lang], list(order), range_bucket(df, key, buckets), "__pos", None)
     return r.withColumn("gid", F.concat(F.col(lang), F.lit("_"), (F.col("__pos") - 1).cast("string"))).drop("__pos")
 
 
 def seeded_rank(df: DataFrame, lang: str, key: str, seed: int,
-                buckets: int = DEFAULT_BUCKETS, rank_col: str = "rank") -> DataFrame:
+                buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
     """Rank inside each language in a seeded pseudo-random order, plus group size n."""
+    buckets = buckets or auto_buckets(df)
     h = "__h"
     d = df.withColumn(h, seeded_key(seed, lang, key))
     return exact_rank(d, [lang], [h, key], hash_bucket(F.col(h), buckets), rank_col, "n").drop(h)

@@ -191,7 +191,7 @@ def seeded_order(spark, sf):
     """Whole-corpus seeded order as an exact global position (no single-task sort)."""
     d = _gid_pairs(spark, sf).withColumn("__h", P.seeded_key(SEED, "gid"))
     r = P.exact_rank(d.withColumn("__all", F.lit(0)), ["__all"], ["__h", "gid"],
-                     P.hash_bucket(F.col("__h")), "position", None)
+                     P.hash_bucket(F.col("__h"), P.auto_buckets(d)), "position", None)
     return r.select("gid", "position")
 
 
