@@ -125,3 +125,15 @@ def test_bootstrap_paired_and_bounded(spark):
     # fewer than 2 segments -> no interval
     one = st.filter("doc_id = 0")
     assert M.bootstrap_ci(one, ["model"], "doc_id", 50, 42).count() == 0
+
+
+def test_poisson_bootstrap_close_to_multinomial(spark):
+    docs = _docs(60)
+    rows = [("m1", i, " ".join(t.split()[::2]), t) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, "model string, doc_id long, hyp string, english string")
+    st = M.compact_stats(M.segment_stats(df, rouge=False), ["model", "doc_id"])
+    a = M.bootstrap_ci(st, ["model"], "doc_id", 300, 42).first()
+    b = M.poisson_bootstrap_ci(st, ["model"], "doc_id", 300, 42).first()
+    full = M.score_groups(st, ["model"], rouge=False, src_lang=None).first()["chrf++"]
+    assert abs(a["chrf++_mean"] - full) < 2 and abs(b["chrf++_mean"] - full) < 2
+    assert b["chrf++_ci_lo"] < full < b["chrf++_ci_hi"]
