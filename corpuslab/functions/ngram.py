@@ -247,18 +247,21 @@ STATS_TYPE = T.StructType([T.StructField("chrf", T.ArrayType(T.LongType())),
 
 
 @F.pandas_udf(STATS_TYPE)
-def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd.Series) -> pd.DataFrame:
+def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd.Series,
+                      chrf_on: pd.Series, bleu_on: pd.Series) -> pd.DataFrame:
     """chrF++ (24), BLEU-13a (10) and ROUGE-L ([lcs, |h|, |r|]) statistics of
-    each (hyp, ref) pair; texts are already folded / stripped."""
+    each (hyp, ref) pair, each only when requested; texts are already
+    folded / stripped."""
     from corpuslab.functions.porter import stem_cached
 
     cw, t13, rw = _py_tokenisers()
 
-    def side(s: str, do_rouge: bool, do_stem: bool):
+    def side(s: str, do_rouge: bool, do_stem: bool, do_chrf: bool, do_bleu: bool):
         words = rw(s) if do_rouge else None
         if do_rouge and do_stem:
             words = [stem_cached(t) if len(t) > 3 else t for t in words]
-        return "".join(s.split()), cw(s), t13(s), words
+        return ("".join(s.split()) if do_chrf else None, cw(s) if do_chrf else None,
+                t13(s) if do_bleu else None, words)
 
     # Systems scored on one test set share references: tokenise each
     # distinct reference of the batch once (small LRU; rows are spread by
@@ -266,19 +269,20 @@ def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd
     from collections import OrderedDict
     ref_cache: OrderedDict = OrderedDict()
     chrf, bleu, rl = [], [], []
-    for h, r, do_rouge, do_stem in zip(hyp, ref, rouge, stem):
+    for h, r, do_rouge, do_stem, do_chrf, do_bleu in zip(hyp, ref, rouge, stem, chrf_on, bleu_on):
         h, r = h or "", r or ""
-        key = (r, bool(do_rouge), bool(do_stem))
+        flags = (bool(do_rouge), bool(do_stem), bool(do_chrf), bool(do_bleu))
+        key = (r, *flags)
         rs = ref_cache.get(key)
         if rs is None:
             if len(ref_cache) >= 256:
                 ref_cache.popitem(last=False)
-            rs = ref_cache[key] = side(r, bool(do_rouge), bool(do_stem))
+            rs = ref_cache[key] = side(r, *flags)
         else:
             ref_cache.move_to_end(key)
-        hs = side(h, bool(do_rouge), bool(do_stem))
-        chrf.append(chrf_segment(hs[0], rs[0], hs[1], rs[1]))
-        bleu.append(bleu_segment(hs[2], rs[2]))
+        hs = side(h, *flags)
+        chrf.append(chrf_segment(hs[0], rs[0], hs[1], rs[1]) if do_chrf else None)
+        bleu.append(bleu_segment(hs[2], rs[2]) if do_bleu else None)
         if do_rouge:
             a, b = hs[3], rs[3]
             n = lcs(a, b) if len(a) <= len(b) else lcs(b, a)

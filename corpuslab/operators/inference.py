@@ -88,14 +88,14 @@ def token_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
 
 
 def attach_source_token(df: DataFrame, tokens: DataFrame, lang: str = "language") -> DataFrame:
-    """Language -> source token; a language without a token is an error.
+    """Language -> source token; a language without a token is an error,
+    raised inside the same pass (``raise_error``) instead of a pre-pass.
     ``tokens`` is a fixed configuration table (one row per language), so it is
     broadcast."""
-    missing = df.select(lang).distinct().join(tokens.select(F.col("language").alias(lang)), lang, "left_anti")
-    if not missing.isEmpty():
-        bad = [r[0] for r in missing.limit(20).collect()]
-        raise ValueError(f"no source token configured for languages {bad}")
-    return df.join(F.broadcast(tokens.withColumnRenamed("language", lang)), lang)
+    t = tokens.withColumnRenamed("language", lang)
+    j = df.join(F.broadcast(t), lang, "left")
+    msg = F.concat(F.lit("no source token configured for language "), F.coalesce(F.col(lang), F.lit("NULL")))
+    return j.withColumn("src_lang", F.coalesce(F.col("src_lang"), F.raise_error(msg).cast("string")))
 
 
 def expand_candidates(df: DataFrame, candidates: DataFrame, tokens: DataFrame,

@@ -36,19 +36,21 @@ def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "english",
                   rouge: bool = True, stem: bool = True,
                   sp_hyp_tokens: Column | None = None,
                   sp_ref_tokens: Column | None = None,
-                  segment_keys: tuple = ()) -> DataFrame:
+                  segment_keys: tuple = (), chrf: bool = True, bleu: bool = True) -> DataFrame:
     """Adds ``h`` (folded hyp), ``r`` (reference text), ``chrf_st`` (24),
     ``bleu_st`` (10), optional ``sp_st`` (10, BLEU over caller tokens) and
     ``rouge_st`` ([lcs, |h|, |r|]).
 
     ``segment_keys`` spread a narrowly-split input over the cluster before the
-    Arrow pass (no-op when the input is already wide)."""
+    Arrow pass (no-op when the input is already wide); ``chrf`` / ``bleu`` /
+    ``rouge`` switch the statistics that are computed at all."""
     df = spread(df, *segment_keys)
     d = df.withColumn("h", fold_failures(hyp)).withColumn("r", as_text(ref))
     h, r = F.col("h"), F.col("r")
-    st = ngram.segment_stats_udf(h, r, F.lit(rouge), F.lit(stem)).alias("__st")
+    st = ngram.segment_stats_udf(h, r, F.lit(rouge), F.lit(stem), F.lit(chrf), F.lit(bleu)).alias("__st")
     d = d.select("*", (h == "").alias("h_empty"), st)
-    cols = [F.col("__st.chrf").alias("chrf_st"), F.col("__st.bleu").alias("bleu_st")]
+    cols = ([F.col("__st.chrf").alias("chrf_st")] if chrf else []) + \
+        ([F.col("__st.bleu").alias("bleu_st")] if bleu else [])
     if rouge:
         cols.append(F.col("__st.rouge").alias("rouge_st"))
     if sp_hyp_tokens is not None:

@@ -165,7 +165,7 @@ def report_labels(spark, sf):
 @query("ci_labels")
 def ci_labels(spark, sf):
     """P7 + L2: '[lo, hi]' interval labels of the bootstrap, sorted by model, setting, language."""
-    st = M.compact_stats(_stats(spark, sf, rouge=False), [*KEYS, "doc_id"])
+    st = M.compact_stats(_stats(spark, sf, rouge=False, bleu=False), [*KEYS, "doc_id"])
     ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
     return ci.select(*KEYS, ci_label("`chrf++_ci_lo`", "`chrf++_ci_hi`").alias("chrf++_ci")).orderBy(*KEYS)
 

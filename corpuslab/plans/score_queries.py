@@ -22,14 +22,14 @@ SUBWORD_RE = "[^" + WS_CLASS[1:-1] + "]{1,4}"
 # ------------------------------------------------------------------------
 
 
-def _stats(spark, sf, rouge=True, sp=False):
+def _stats(spark, sf, rouge=True, sp=False, chrf=True, bleu=True):
     p = X.predictions(spark, sf)
     if sp:
         return M.segment_stats(p, rouge=rouge,
                                sp_hyp_tokens=F.regexp_extract_all(fold_failures("hyp"), F.lit(SUBWORD_RE), 0),
                                sp_ref_tokens=F.regexp_extract_all(F.col("english"), F.lit(SUBWORD_RE), 0),
-                               segment_keys=SEG_KEYS)
-    return M.segment_stats(p, rouge=rouge, segment_keys=SEG_KEYS)
+                               segment_keys=SEG_KEYS, chrf=chrf, bleu=bleu)
+    return M.segment_stats(p, rouge=rouge, segment_keys=SEG_KEYS, chrf=chrf, bleu=bleu)
 
 
 # ------------------------------------------------------------- SQL twins
@@ -165,7 +165,7 @@ def source_tokens_used(spark, sf):
  FROM clong GROUP BY ALL""")
 def chrf_stats(spark, sf):
     """A5 statistics: summed hyp / ref / clipped-match counts per chrF++ order."""
-    st = _stats(spark, sf, rouge=False)
+    st = _stats(spark, sf, rouge=False, bleu=False)
     o = F.posexplode(F.array(*[F.array(*[F.col("chrf_st")[3 * i + k] for k in range(3)]) for i in range(8)]))
     long = st.select(*KEYS, o.alias("ord", "v"))
     return long.groupBy(*KEYS, F.col("ord").cast("long").alias("ord")).agg(
@@ -177,7 +177,7 @@ def chrf_stats(spark, sf):
  {sql_chrf_from_long("(SELECT model, setting, language, o, sum(hh) AS H, sum(rr) AS R, sum(mm) AS M FROM clong GROUP BY ALL)", "model, setting, language")}""")
 def chrf_corpus(spark, sf):
     """A5: corpus chrF++ per (model, setting, language)."""
-    st = _stats(spark, sf, rouge=False)
+    st = _stats(spark, sf, rouge=False, bleu=False)
     g = st.groupBy(*KEYS).agg(*M.stat_sums("chrf_st", M.N_CHRF, "c"))
     return g.select(*KEYS, F.round(M.chrf_score("c"), 2).alias("chrf++"))
 
@@ -188,7 +188,7 @@ def chrf_corpus(spark, sf):
        + " FROM bseg GROUP BY ALL")
 def bleu_stats(spark, sf):
     """A6 statistics: summed lengths, clipped matches and totals per order (13a)."""
-    st = _stats(spark, sf, rouge=False)
+    st = _stats(spark, sf, rouge=False, chrf=False)
     b = F.col("bleu_st")
     return st.groupBy(*KEYS).agg(
         F.sum(b[0]).alias("sys_len"), F.sum(b[1]).alias("ref_len"),
@@ -200,7 +200,7 @@ def bleu_stats(spark, sf):
   {", ".join(f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in range(1, 5))} FROM bseg GROUP BY ALL)""")
 def bleu_corpus(spark, sf):
     """Corpus BLEU (13a tokeniser) per (model, setting, language)."""
-    st = _stats(spark, sf, rouge=False)
+    st = _stats(spark, sf, rouge=False, chrf=False)
     g = st.groupBy(*KEYS).agg(*M.stat_sums("bleu_st", M.N_BLEU, "b"))
     return g.select(*KEYS, F.round(M.bleu_score("b"), 2).alias("BLEU"))
 
@@ -217,7 +217,7 @@ def _sp_sql():
 def bleu_tokens(spark, sf):
     """BLEU over a caller-supplied subword token column (stand-in tokens:
     runs of up to 4 characters), labelled with the tokeniser used."""
-    st = _stats(spark, sf, rouge=False, sp=True)
+    st = _stats(spark, sf, rouge=False, sp=True, chrf=False, bleu=False)
     g = st.groupBy(*KEYS).agg(*M.stat_sums("sp_st", M.N_BLEU, "s"))
     return g.select(*KEYS, F.round(M.bleu_score("s"), 2).alias("spBLEU"), F.lit("4char").alias("tokenizer"))
 
@@ -227,7 +227,7 @@ def rouge_l(spark, sf):
     """Mean per-segment ROUGE-L F1 x 100 with Porter stemming (no SQL twin:
     LCS of whole documents; checked against a brute-force DP in tests)."""
     p = X.predictions(spark, sf)
-    st = M.segment_stats(p, rouge=True, segment_keys=SEG_KEYS)
+    st = M.segment_stats(p, rouge=True, segment_keys=SEG_KEYS, chrf=False, bleu=False)
     return st.groupBy(*KEYS).agg(F.round(F.avg(M.rouge_f()) * 100.0, 2).alias("ROUGE-L"))
 
 
@@ -268,5 +268,5 @@ def macro_average(spark, sf):
  FROM sc GROUP BY ALL""")
 def bootstrap_ci(spark, sf):
     """1,000-round paired percentile bootstrap of chrF++ per language."""
-    st = M.compact_stats(_stats(spark, sf, rouge=False), [*KEYS, "doc_id"])
+    st = M.compact_stats(_stats(spark, sf, rouge=False, bleu=False), [*KEYS, "doc_id"])
     return M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash="md5")

@@ -45,3 +45,13 @@ def test_predict_batches_keys_and_strip(spark):
 
     got = {r["gid"]: r["hyp"] for r in I.predict_batches(df, factory, "src", ["gid"], 1).collect()}
     assert got == {1: "c b a", 2: ""}
+
+
+def test_missing_source_token_is_an_error(spark):
+    import pytest
+    df = spark.createDataFrame([("de", 1), ("xx", 2)], "language string, gid long")
+    toks = I.token_table(spark, {"de": "deu_Latn"})
+    with pytest.raises(Exception, match="no source token configured for language xx"):
+        I.attach_source_token(df, toks).collect()
+    ok = I.attach_source_token(df.filter("language = 'de'"), toks).collect()
+    assert ok[0]["src_lang"] == "deu_Latn"
