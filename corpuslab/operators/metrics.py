@@ -197,7 +197,9 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
     from corpuslab.operators.partition import exact_rank, range_bucket
 
     if rounds <= 0:
-        return stats.select(*keys).distinct().withColumn(f"{metric}_mean", F.lit(None).cast("double"))
+        none = F.lit(None).cast("double")
+        return stats.select(*keys).distinct().select(
+            *keys, none.alias(f"{metric}_mean"), none.alias(f"{metric}_ci_lo"), none.alias(f"{metric}_ci_hi"))
     st_col, n_st, prefix, formula = (("chrf_st", N_CHRF, "c", chrf_score) if metric == "chrf++"
                                      else ("bleu_st", N_BLEU, "b", bleu_score))
     small = stats.select(*keys, order_col, st_col)

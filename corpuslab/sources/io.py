@@ -146,12 +146,40 @@ def csv_writer(w):
 
 
 def write_corpus(df: DataFrame, path: str, force: bool = False, fmt: str = "csv") -> str:
-    """K1: no-op when the target exists unless forced; replacement goes to a
-    fresh version folder first (never overwrite a path the plan reads)."""
-    mode = "overwrite" if force else "ignore"
-    w = df.write.mode(mode)
-    (csv_writer(w).csv(path) if fmt == "csv" else w.parquet(path))
-    return path
+    """K1: no-op when the target exists unless forced. A forced replacement
+    is all-or-nothing and never overwrites a path the plan may be reading:
+    it goes to a fresh ``<path>/_v=<n>`` folder, which ``latest_corpus``
+    resolves only once Spark's commit marked it complete (_SUCCESS).
+    Returns the folder written (or the existing one)."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(hpath) and not force:
+        return latest_corpus(spark, path)
+    if not fs.exists(hpath):
+        target = path
+    else:
+        versions = [st.getPath().getName() for st in fs.listStatus(hpath) if st.getPath().getName().startswith("_v=")]
+        n = 1 + max([int(v[3:]) for v in versions] or [0])
+        target = f"{path.rstrip('/')}/_v={n}"
+    w = df.write.mode("errorifexists")
+    (csv_writer(w).csv(target) if fmt == "csv" else w.parquet(target))
+    return target
+
+
+def latest_corpus(spark: SparkSession, path: str) -> str:
+    """The newest complete version of a corpus written by ``write_corpus``."""
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    best, best_n = path, 0
+    for st in fs.listStatus(hpath):
+        name = st.getPath().getName()
+        if name.startswith("_v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            if int(name[3:]) > best_n:
+                best, best_n = f"{path.rstrip('/')}/{name}", int(name[3:])
+    return best
 
 
 def write_table(df: DataFrame, path: str) -> None:

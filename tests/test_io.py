@@ -49,9 +49,12 @@ def test_write_corpus_ignore_unless_forced(spark):
     p = os.path.join(d, "corpus")
     IO.write_corpus(spark.createDataFrame([("a",)], "t string"), p)
     IO.write_corpus(spark.createDataFrame([("b",), ("c",)], "t string"), p)          # no-op: exists
-    assert spark.read.option("header", True).csv(p).count() == 1
-    IO.write_corpus(spark.createDataFrame([("b",), ("c",)], "t string"), p, force=True)
-    assert spark.read.option("header", True).csv(p).count() == 2
+    assert spark.read.option("header", True).csv(IO.latest_corpus(spark, p)).count() == 1
+    # replacement while the old version is being read: goes to a new version
+    old = spark.read.option("header", True).csv(IO.latest_corpus(spark, p))
+    out = IO.write_corpus(old.unionByName(spark.createDataFrame([("b",), ("c",)], "t string")), p, force=True)
+    assert out.endswith("_v=1") and IO.latest_corpus(spark, p) == out
+    assert spark.read.option("header", True).csv(IO.latest_corpus(spark, p)).count() == 3
 
 
 def test_write_table_tsv_and_csv(spark):
