@@ -162,11 +162,19 @@ def report_labels(spark, sf):
                     R.corpus_order_key("language")["g"].alias("order_group"))
 
 
-@query("ci_labels")
+def _ci_sql():
+    from corpuslab.plans.registry import ORACLE_SQL
+    boot = ORACLE_SQL["bootstrap_ci"]
+    return f"""SELECT model, setting, language,
+ CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN '[' || CAST(lo AS VARCHAR) || ', ' || CAST(hi AS VARCHAR) || ']' ELSE '' END AS "chrf++_ci"
+ FROM (SELECT model, setting, language, "chrf++_ci_lo" AS lo, "chrf++_ci_hi" AS hi FROM ({boot}))"""
+
+
+@query("ci_labels", sql=_ci_sql())
 def ci_labels(spark, sf):
     """P7 + L2: '[lo, hi]' interval labels of the bootstrap, sorted by model, setting, language."""
     st = M.compact_stats(_stats(spark, sf, rouge=False, bleu=False), [*KEYS, "doc_id"])
-    ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
+    ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash="md5")
     return ci.select(*KEYS, ci_label("`chrf++_ci_lo`", "`chrf++_ci_hi`").alias("chrf++_ci")).orderBy(*KEYS)
 
 
