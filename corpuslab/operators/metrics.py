@@ -146,8 +146,15 @@ def macro_average(scores: DataFrame, keys: list[str], metrics=METRICS) -> DataFr
     """A10: unweighted mean over languages of the already-rounded metrics,
     rounded again; n and empty_pct pooled."""
     present = [m for m in metrics if m in scores.columns]
+
+    def mean2(c):
+        # the inputs have 2 decimals: sum them as exact integer hundredths so
+        # the result does not depend on the order a distributed sum takes
+        cents = F.sum(F.round(c * 100.0).cast("long"))
+        return F.round(cents / F.count(c), 0) / 100.0
+
     return scores.groupBy(*keys).agg(
-        *[F.round(F.avg(F.col(f"`{m}`")), 2).alias(m) for m in present],
+        *[mean2(F.col(f"`{m}`")).alias(m) for m in present],
         F.sum("n").alias("n_total"),
         F.round(F.lit(100.0) * F.sum("empty_outputs") / F.greatest(F.sum("n"), F.lit(1)), 2).alias("empty_pct"))
 

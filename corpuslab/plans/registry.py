@@ -19,6 +19,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def oracle(name: str, sql: str) -> None:
+    """Attach oracle SQL to an already registered query (for twins built
+    from pieces defined after the query)."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLE_SQL[name] = sql
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from corpuslab.plans import corpus_queries  # noqa: F401

@@ -10,6 +10,8 @@ from corpuslab.operators import reports as R
 from corpuslab.operators import runlog as L
 from corpuslab.plans import fixtures as X
 from corpuslab.plans.registry import query
+from corpuslab.plans import score_queries as SQ
+from corpuslab.plans.corpus_queries import LANGS
 from corpuslab.plans.score_queries import BOOT_ROUNDS, BOOT_SEED, KEYS, SEG_KEYS, _stats
 from corpuslab.plans.sqltext import bt, fold, ws_tokens
 
@@ -39,18 +41,41 @@ def explode_scores(spark, sf):
     return R.tidy_scores(flat, M.macro_average(flat, RUN))
 
 
-@query("score_matrix")
+def _plain_scores(spark, sf):
+    """Per-language scores without the bootstrap (reports that show no CI)."""
+    return M.score_groups(M.compact_stats(_stats(spark, sf, rouge=True), [*KEYS, "doc_id", "src_lang"]), KEYS)
+
+
+_CODES = sorted(LANGS)   # stand-in languages: no canonical ones, so alphabetical
+_MATRIX_SQL = SQ.scores_sql_prefix() + f""", macro AS ({SQ.MACRO_SQL_BODY})
+ SELECT s.model, s.setting, {", ".join(f'max(s."{m}") FILTER (WHERE s.language = \'{c}\') AS "{c}_{m}"'
+                                      for c in _CODES for m in R.WIDE_METRICS)},
+  {", ".join(f'any_value(mc."{m}") AS "MACRO_{m}"' for m in R.WIDE_METRICS)}
+ FROM scores s LEFT JOIN macro mc ON s.model = mc.model AND s.setting = mc.setting GROUP BY s.model, s.setting"""
+
+
+@query("score_matrix", sql=_MATRIX_SQL)
 def score_matrix(spark, sf):
     """R3 + J4: wide report, one row per run, <code>_<metric> columns + MACRO_*."""
-    sc = _scored(spark, sf).persist()
+    sc = _plain_scores(spark, sf).persist()
     return R.score_matrix(sc, M.macro_average(sc, RUN))
 
 
-@query("baseline_vs_tuned")
+_TIDY_SQL = """, macro AS ({m}),
+ tidy AS (SELECT model, setting, language, "chrf++", "spBLEU", "ROUGE-L" FROM scores
+   UNION ALL SELECT model, setting, 'MACRO', "chrf++", "spBLEU", "ROUGE-L" FROM macro)"""
+
+
+@query("baseline_vs_tuned", sql=SQ.scores_sql_prefix() + _TIDY_SQL.format(m=SQ.MACRO_SQL_BODY) + f"""
+ SELECT b.model, b.setting AS ft_setting, b.language,
+ {", ".join(f'a."{m}" AS "{m}_zeroshot", b."{m}" AS "{m}_finetuned", round(b."{m}" - a."{m}", 2) AS "{m}_delta"'
+            for m in R.DELTA_METRICS)}
+ FROM tidy b JOIN tidy a ON a.model = b.model AND a.language = b.language AND a.setting = 'zeroshot'
+ WHERE b.setting <> 'zeroshot' AND b.setting NOT LIKE '%sweep%'""")
 def baseline_vs_tuned(spark, sf):
     """Zero-shot vs each tuned setting per (model, language) incl. MACRO."""
-    tidy, _ = _tidy(spark, sf)
-    return R.baseline_vs_tuned(tidy)
+    sc = _plain_scores(spark, sf).persist()
+    return R.baseline_vs_tuned(R.with_macro_rows(sc, M.macro_average(sc, RUN)))
 
 
 def _candidates(spark, sf):
@@ -62,14 +87,19 @@ def _candidates(spark, sf):
     return M.score_groups(st, [*RUN, "language", "src_token"], src_lang=None)
 
 
-@query("rank_candidates")
+_CAND_SQL = SQ.scores_sql_prefix([*RUN, "language", "src_token"], "setting LIKE '%sweep%'", "src_lang") + """,
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY model, language ORDER BY "chrf++" DESC NULLS LAST, src_token ASC)
+   AS BIGINT) AS rank_in_language FROM scores)"""
+
+
+@query("rank_candidates", sql=_CAND_SQL + "\nSELECT * FROM ranked")
 def rank_candidates(spark, sf):
     """W3 + W1: score every (language, source token) group of the sweep run,
     rank by chrF++ desc (nulls last), ties by token name."""
     return R.rank_candidates(_candidates(spark, sf))
 
 
-@query("best_candidate")
+@query("best_candidate", sql=_CAND_SQL + "\nSELECT * FROM ranked WHERE rank_in_language = 1")
 def best_candidate(spark, sf):
     """Best source token per language."""
     return R.best_candidate(R.rank_candidates(_candidates(spark, sf)))

@@ -8,7 +8,7 @@ from corpuslab.functions.text import WS_CLASS, fold_failures
 from corpuslab.functions.tokenize import CHRF_PUNCT, T13A_PRE, T13A_RULES
 from corpuslab.operators import metrics as M
 from corpuslab.plans import fixtures as X
-from corpuslab.plans.registry import query
+from corpuslab.plans.registry import oracle, query
 from corpuslab.plans.sqltext import bt, fold, ws_tokens
 
 # ---- fixed values -------------------------------------------------------
@@ -251,6 +251,15 @@ def macro_average(spark, sf):
     return M.macro_average(_scores(spark, sf), ["model", "setting"])
 
 
+def _mean2(c: str) -> str:
+    return f'round(sum(CAST(round("{c}" * 100.0) AS BIGINT)) / count("{c}"), 0) / 100.0'
+
+
+MACRO_SQL_BODY = f"""SELECT model, setting, {_mean2("chrf++")} AS "chrf++", {_mean2("spBLEU")} AS "spBLEU",
+ {_mean2("ROUGE-L")} AS "ROUGE-L", {_mean2("BLEU")} AS "BLEU", sum(n) AS n_total,
+ round(100.0 * sum(empty_outputs) / greatest(sum(n), 1), 2) AS empty_pct FROM scores GROUP BY model, setting"""
+
+
 @query("bootstrap_ci", sql=_w(CHRF_LONG) + f""", pos AS MATERIALIZED (
   SELECT model, setting, language, doc_id, row_number() OVER (PARTITION BY model, setting, language ORDER BY doc_id) - 1 AS pos,
    count(*) OVER (PARTITION BY model, setting, language) AS n FROM seg),
@@ -270,3 +279,51 @@ def bootstrap_ci(spark, sf):
     """1,000-round paired percentile bootstrap of chrF++ per language."""
     st = M.compact_stats(_stats(spark, sf, rouge=False, bleu=False), [*KEYS, "doc_id"])
     return M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash="md5")
+
+
+# ------------------------------------------------------- score tables (SQL)
+# ROUGE-L twin: every hypothesis of the stand-in runs keeps whole words of
+# its reference in order, so its ROUGE tokens are a subsequence of the
+# reference's and LCS = |h| (stemming maps tokens one to one). The twin thus
+# checks the bit-parallel LCS on whole documents with token counts only.
+ROUGE_SEG = """rl AS MATERIALIZED (SELECT model, setting, language, doc_id,
+   CAST(len(list_filter(regexp_split_to_array(lower(h), '[^a-z0-9]+'), lambda t: t <> '')) AS DOUBLE) AS nh,
+   CAST(len(list_filter(regexp_split_to_array(lower(r), '[^a-z0-9]+'), lambda t: t <> '')) AS DOUBLE) AS nr FROM seg),
+ rseg AS MATERIALIZED (SELECT model, setting, language, doc_id,
+   CASE WHEN nh = 0 OR nr = 0 THEN 0.0 ELSE 2 * (nh / nh) * (nh / nr) / ((nh / nh) + (nh / nr)) END AS f FROM rl)"""
+
+
+def sql_scores(keys: list[str], where: str = "TRUE", token_expr: str | None = None) -> str:
+    """CTE text ``scores`` with the columns of ``score_groups`` per ``keys``
+    (chrF++, spBLEU = BLEU-13a, BLEU, ROUGE-L, empties, tokens)."""
+    ks = ", ".join(keys)
+    tok = f", {token_expr} AS src_token" if token_expr else ""
+    src = ", array_to_string(list_sort(list_distinct(list(src_lang))), ',') AS src_lang" if not token_expr else ""
+    return f""" sx AS MATERIALIZED (SELECT s.model, s.setting, s.language, s.doc_id, s.h, s.src_lang{tok}, r.f
+   FROM seg s JOIN rseg r ON s.model = r.model AND s.setting = r.setting AND s.doc_id = r.doc_id
+   WHERE {where.replace('setting', 's.setting')}),
+ g1 AS (SELECT {ks}, count(*) AS n, count(*) FILTER (WHERE h = '') AS empty_outputs, avg(f) AS rouge{src}
+   FROM sx GROUP BY {ks}),
+ cl2 AS (SELECT c.*{tok.replace('src_lang', 's.src_lang')} FROM clong c JOIN seg s
+   ON c.model = s.model AND c.setting = s.setting AND c.doc_id = s.doc_id WHERE {where.replace('setting', 's.setting')}),
+ g2 AS {sql_chrf_from_long(f"(SELECT {ks}, o, sum(hh) AS H, sum(rr) AS R, sum(mm) AS M FROM cl2 GROUP BY {ks}, o)", ks)},
+ bs2 AS (SELECT b.*{tok.replace('src_lang', 's.src_lang')} FROM bseg b JOIN seg s
+   ON b.model = s.model AND b.setting = s.setting AND b.doc_id = s.doc_id WHERE {where.replace('setting', 's.setting')}),
+ g3 AS (SELECT {ks}, {sql_bleu()} AS bleu FROM (SELECT {ks}, sum(sys_len) AS sys_len, sum(ref_len) AS ref_len,
+   {", ".join(f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in range(1, 5))} FROM bs2 GROUP BY {ks})),
+ scores AS (SELECT {", ".join(f"g1.{k}" for k in keys)}, g1.n, round(g2.score, 2) AS "chrf++", round(g3.bleu, 2) AS "spBLEU",
+   round(g3.bleu, 2) AS "BLEU", round(g1.rouge * 100.0, 2) AS "ROUGE-L", g1.empty_outputs,
+   round(100.0 * g1.empty_outputs / greatest(g1.n, 1), 2) AS empty_pct{", g1.src_lang" if not token_expr else ""}
+   FROM g1 JOIN g2 ON {" AND ".join(f"g1.{k} = g2.{k}" for k in keys)} JOIN g3 ON {" AND ".join(f"g1.{k} = g3.{k}" for k in keys)})"""
+
+
+def scores_sql_prefix(keys=None, where="TRUE", token_expr=None) -> str:
+    return _w(CHRF_LONG, BLEU_SEG, ROUGE_SEG) + "," + sql_scores(keys or KEYS, where, token_expr)
+
+
+ORACLE_ROUGE = _w(ROUGE_SEG) + """SELECT model, setting, language, round(avg(f) * 100.0, 2) AS "ROUGE-L"
+ FROM rseg GROUP BY ALL"""
+
+
+oracle("rouge_l", ORACLE_ROUGE)
+oracle("macro_average", scores_sql_prefix() + "\n" + MACRO_SQL_BODY)
