@@ -18,23 +18,42 @@ from corpuslab.plans.sqltext import bt, fold, ws_tokens
 RUN = ["model", "setting"]
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, draw_hash="xxhash64"):
     st = M.compact_stats(_stats(spark, sf, rouge=True), [*KEYS, "doc_id", "src_lang"])
     sc = M.score_groups(st, KEYS)
-    ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
+    ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash=draw_hash)
     return sc.join(ci, KEYS, "left")
 
 
+def _explode_sql():
+    from corpuslab.plans.registry import ORACLE_SQL
+    boot = ORACLE_SQL["bootstrap_ci"]
+    mets = ["chrf++", "spBLEU", "ROUGE-L", "BLEU"]
+    m_sel = ", ".join(f's."{m}"' for m in mets)
+    codes = "coalesce(CASE s.language WHEN 'Bhili' THEN 'bhb' WHEN 'Gondi' THEN 'gon' WHEN 'Mundari' THEN 'unr' " \
+            "WHEN 'Santali' THEN 'sat' END, lower(substr(s.language, 1, 3)))"
+    label = ("CASE WHEN ci.\"chrf++_ci_lo\" IS NOT NULL AND ci.\"chrf++_ci_hi\" IS NOT NULL THEN '[' || "
+             "CAST(ci.\"chrf++_ci_lo\" AS VARCHAR) || ', ' || CAST(ci.\"chrf++_ci_hi\" AS VARCHAR) || ']' ELSE '' END")
+    return SQ.scores_sql_prefix() + f""", macro AS ({SQ.MACRO_SQL_BODY}),
+ ci AS (SELECT * FROM ({boot}))
+ SELECT s.model, s.setting, s.language, {codes} AS code, s.n, s.empty_pct AS "empty_%", {m_sel},
+  {label} AS "chrf++_ci", s.src_lang
+ FROM scores s LEFT JOIN ci ON s.model = ci.model AND s.setting = ci.setting AND s.language = ci.language
+ UNION ALL SELECT model, setting, 'MACRO', 'avg', n_total, empty_pct, {", ".join(f'"{m}"' for m in mets)}, '', ''
+ FROM macro"""
+
+
 def _tidy(spark, sf):
     sc = _scored(spark, sf).persist()
     return R.tidy_scores(sc, M.macro_average(sc, RUN)), sc
 
 
-@query("explode_scores")
+@query("explode_scores", sql=_explode_sql())
 def explode_scores(spark, sf):
     """R4 + A10: nested per-run scores (map language -> struct) exploded back
-    to tidy rows, plus one MACRO row per run."""
-    sc = _scored(spark, sf)
+    to tidy rows, plus one MACRO row per run (md5 bootstrap draws, so the
+    interval labels have a SQL twin)."""
+    sc = _scored(spark, sf, draw_hash="md5")
     nested = sc.groupBy(*RUN).agg(F.map_from_entries(F.collect_list(F.struct(
         "language", F.struct(*[c for c in sc.columns if c not in KEYS])))).alias("per_language"))
     flat = nested.select(*RUN, F.explode("per_language").alias("language", "m")).select(*RUN, "language", "m.*")
