@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, *keys: str, min_parts: int | None = None) -> DataFrame:
     """Hash-distribute rows by ``keys`` when the input has fewer partitions
     than the cluster has cores (e.g. one large parquet row group feeding an
-    Arrow UDF). Inputs that are already split widely are left alone, so no
-    shuffle is added at scale."""
-    spark = df.sparkSession
+    Arrow UDF). Inputs at least as wide as the cluster are left alone, so no
+    shuffle is added at scale; the decision depends on cores only, not on
+    spark.sql.shuffle.partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
     # a few tasks per core, so rows of very different cost (1-word and
     # 20,000-word documents) even out across cores
-    target = min_parts or 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                  spark.sparkContext.defaultParallelism)
-    if df.rdd.getNumPartitions() >= target:
-        return df
+    target = min_parts or 4 * cores
     return df.repartition(target, *keys) if keys else df.repartition(target)
