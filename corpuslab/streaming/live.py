@@ -2,8 +2,9 @@
 
 The reference polls log files; here the logs are a streaming source
 (``readStream`` over a folder of appended files) and each view is a
-streaming query. State is bounded by the number of runs / log files, so the
-aggregations need no watermark; every query has a batch twin in
+streaming query. Aggregation state is bounded by the number of runs / log files, so no
+watermark is needed (``dedup_replayed`` is an opt-in helper with a watermark,
+not used by the registered views). Every query has a batch twin in
 ``corpuslab.operators`` that gives the same rows.
 
 * T1 ``training_board``   — per run latest point, start / min loss, best eval.
@@ -37,6 +38,16 @@ def stage_as_files(df: DataFrame, path: str, parts: int = 4, key: str | None = N
     (df.repartitionByRange(parts, key) if key else df.repartition(parts)).write.mode("overwrite").parquet(path)
 
 
+def dedup_replayed(stream: DataFrame, key: str = "ord", ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Opt-in: drop log lines that a restarted writer appends again (same
+    ``key``). Event time comes from ``ts`` cast to TIMESTAMP (``withWatermark``
+    rejects TIMESTAMP_NTZ); dedup state older than ``delay`` is dropped.
+    Caveat: rows arriving later than the watermark are dropped too, so the
+    registered live views do not use it (their results must stay whole)."""
+    return (stream.withColumn("__wm", F.col(ts).cast("timestamp")).withWatermark("__wm", delay)
+            .dropDuplicatesWithinWatermark([key]).drop("__wm"))
+
+
 def training_board(stream: DataFrame, keys=("model", "setting")) -> DataFrame:
     """Streaming aggregate of the live training board."""
     d = stream.select("*", to_number("loss").alias("loss_n"), to_number("eval_loss").alias("eval_loss_n"))
