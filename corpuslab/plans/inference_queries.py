@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslab.functions.text import blank_trim
 from corpuslab.operators import inference as I
 from corpuslab.operators import metrics as M
 from corpuslab.operators import reports as R

@@ -4,8 +4,6 @@ import random
 from collections import Counter
 
 import duckdb
-import pytest
-from pyspark.sql import functions as F
 
 from corpuslab.functions import ngram
 from corpuslab.functions.porter import stem

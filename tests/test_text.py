@@ -1,6 +1,5 @@
 """Missing-value spellings and scalar helpers."""
 
-from pyspark.sql import functions as F
 
 from corpuslab.functions import text as T
 
