@@ -16,5 +16,5 @@ def spread(df: DataFrame, *keys: str, min_parts: int | None = None) -> DataFrame
         return df
     # a few tasks per core, so rows of very different cost (1-word and
     # 20,000-word documents) even out across cores
-    target = min_parts or 4 * cores
+    target = min_parts or 8 * cores
     return df.repartition(target, *keys) if keys else df.repartition(target)
