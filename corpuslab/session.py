@@ -47,3 +47,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpuslab`` importable in Python workers (Arrow UDFs and
+    mapInPandas functions are pickled by reference): zip the package once
+    per SparkContext into the shared checkpoint folder and ``addPyFile`` it,
+    which distributes it to every executor."""
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
+    target = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"corpuslab-{digest}.zip")
+    if not os.path.exists(target):
+        tmp = f"{target}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("corpuslab", os.path.relpath(f, pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
