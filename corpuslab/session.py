@@ -31,6 +31,7 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -38,10 +39,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when it is unset (local tests) a scratch folder is made.
+    file system). Only when it is unset and the master is local (tests) a
+    scratch folder is made; off local mode a missing setting is an error,
+    since executors could not see a folder of the driver's machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share "
+                               f"(master is {master})")
         d = tempfile.mkdtemp(prefix="corpuslab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,10 +61,10 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``corpuslab`` importable in Python workers (Arrow UDFs and
-    mapInPandas functions are pickled by reference): zip the package once
-    per SparkContext into the shared checkpoint folder and ``addPyFile`` it,
-    which distributes it to every executor."""
-    import hashlib
+    mapInPandas functions are pickled by reference): zip the package once per
+    application into a temporary file of the driver and hand it to
+    ``addPyFile``, which copies it to every executor. It is code, not data,
+    so no shared folder is involved."""
     import zipfile
 
     sc = spark.sparkContext
@@ -66,13 +73,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = sorted(os.path.join(d, f) for d, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:12]
-    target = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"corpuslab-{digest}.zip")
-    if not os.path.exists(target):
-        tmp = f"{target}.{os.getpid()}.part"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in files:
-                z.write(f, os.path.join("corpuslab", os.path.relpath(f, pkg)))
-        os.replace(tmp, target)
+    target = os.path.join(tempfile.mkdtemp(prefix="corpuslab-code-"), "corpuslab-code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, os.path.join("corpuslab", os.path.relpath(f, pkg)))
     sc.addPyFile(target)
     _SHIPPED.add(key)
