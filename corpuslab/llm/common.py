@@ -42,7 +42,9 @@ def labelled_sample(df: DataFrame, label: str, per_label: int, seed: int, *ids:
     """About ``per_label`` rows of every value of ``label`` (all rows of a rarer
     value), chosen by a hash of ``ids``. Only the labels are counted first; the
     sample bounds what a classifier is fitted on."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "label-counts")
+    if counts.count() <= 4096:  # one short row per label
+        counts = F.broadcast(counts)
     keep = df.join(counts, label).filter(
         unit_hash(*ids, seed=seed) * F.col("__n") < F.lit(float(per_label)))
     return keep.drop("__n")

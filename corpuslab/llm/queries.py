@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import langid, mixing, packing, simhash
+from corpuslab.llm import kmeans_tree, langid, mixing, ngram_lm, packing, pivot_search, simhash, toxicity
 from corpuslab.llm.common import id_fold, table
 from corpuslab.session import ship_package
 
@@ -56,3 +56,36 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by source weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the folds other than 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.filter(id_fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (id_fold("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every 20th vector with all others."""
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log10 probability of every document."""
+    docs = table(spark, sf_dir, "documents")
+    fold = id_fold("doc_id", 7)
+    part = F.when(fold == 2, ngram_lm.OTHER).when(fold == 6, ngram_lm.HELD).otherwise(ngram_lm.TRAIN)
+    return ngram_lm.score(docs, part).select(
+        "doc_id", (id_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score")
+
+
+@query
+def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every 100th vector among all others."""
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
