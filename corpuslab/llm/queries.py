@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from corpuslab.llm import kmeans_tree, langid, mixing, ngram_lm, packing, pivot_search, simhash, toxicity
+from corpuslab.llm import (chat, kmeans_tree, langid, mixing, ngram_lm, packing, pii, pivot_search, simhash,
+                           toxicity)
 from corpuslab.llm.common import id_fold, table
 from corpuslab.session import ship_package
 
@@ -89,3 +91,25 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found of every 100th vector among all others."""
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's training text, read back from it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    planted = spark.range(2).select(
+        F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    # a row is the event of a whole message; rows repeating a turn are messages of their own
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    events = rows.union(planted).select(
+        "conv_id", F.col("turn").alias("seq"), F.struct("turn", nth.alias("nth")).alias("message"),
+        F.lit("message").alias("kind"), "role", "text")
+    return chat.digests(chat.read_back(chat.render(chat.reconstruct(events))))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.with_spans(table(spark, sf_dir, "documents"))
