@@ -8,6 +8,8 @@ from tokenizers import Tokenizer
 
 from corpuslab.llm import packing
 
+from .conftest import prose
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -17,10 +19,11 @@ def whole(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
-def test_units_give_the_ids_of_the_whole_text():
+def test_ids_are_those_of_the_tokenizers_library():
     r = random.Random(1)
     alphabet = "ab é\n\t '<|endoftext|>st123.,!   \x1c　日"
     texts = ["", " ", "  ", "a  b", "don't  stop", "x\n y", "<|endoftext|>"]
+    texts += ["x" * 30_000, prose("fr", 3000, 1), "日本語" * 500, " " * 5000 + "\n" * 300]
     texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(400)]
     for t, ids in zip(texts, packing.token_ids(texts, PATH)):
         assert ids.tolist() == whole(t)
