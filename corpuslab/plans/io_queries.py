@@ -27,14 +27,13 @@ def io_corpus_roundtrip(spark, sf):
     root = scratch(spark, "corpus")
     pairs = _pairs(spark, sf).select("language", "english", "hindi", "tribal")
     IO.write_corpus(pairs.select(F.col("language").alias("Language"), F.col("english").alias(" English "),
-                                 F.col("hindi").alias("HINDI"), "tribal"), f"{root}/long", force=True)
-    for lang in LANGS:   # one file set per configured language (bounded list)
-        IO.write_corpus(pairs.filter(F.col("language") == lang).select(
-            F.col("english").alias("English"), F.col("hindi").alias("Hindi"), F.col("tribal").alias(lang)),
-            f"{root}/wide/{lang}.csv", force=True)
+                                 F.col("hindi").alias("HINDI"), "tribal"), f"{root}/long")
     long = IO.read_pairs(IO.require_columns(IO.read_wide(spark, f"{root}/long"), ["language", "english", "tribal"]), LANGS)
-    wide = reduce(lambda a, b: a.unionByName(b), [
-        IO.read_pairs(IO.read_wide(spark, f"{root}/wide/{lang}.csv", [lang]).drop("__lang"), LANGS) for lang in LANGS])
+    for i, lang in enumerate(LANGS):   # one file set per configured language, each with columns in its own order
+        cells = [F.col("english").alias("English"), F.col("hindi").alias("Hindi"), F.col("tribal").alias(lang)]
+        IO.write_corpus(long.filter(F.col("language") == lang).select(*cells[i % 3:], *cells[:i % 3]),
+                        f"{root}/wide/{lang}.csv")
+    wide = IO.read_corpus_folder(spark, f"{root}/wide", LANGS)
     lc = long.groupBy("language").agg(F.count(F.lit(1)).alias("n_long"),
                                       F.sum(F.length(blank_trim("english")) + F.length(blank_trim("tribal"))).alias("chars"))
     wc = wide.groupBy("language").agg(F.count(F.lit(1)).alias("n_wide"))
@@ -57,8 +56,7 @@ def io_runs_roundtrip(spark, sf):
     pred = X.predictions(spark, sf).select("model", "setting", F.col("doc_id").cast("string").alias("gid"),
                                            "language", "english", "hyp", "src_lang")
     IO.csv_writer(pred.write.mode("overwrite").partitionBy("model", "setting")).csv(f"{root}/pred")
-    p = IO.read_predictions(spark, f"{root}/pred", "gid string, language string, english string, hyp string, src_lang string",
-                            layout="hive")
+    p = IO.read_predictions(spark, f"{root}/pred", ["gid", "language", "english", "hyp", "src_lang"], layout="hive")
     out = [p.groupBy(F.lit("predictions").alias("kind"), F.concat_ws("/", "model", "setting").alias("key")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(blank_trim("hyp") != "").alias("n_nonblank"))]
 

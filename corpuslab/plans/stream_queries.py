@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import blank_trim
 from corpuslab.operators import inference as I
 from corpuslab.operators import metrics as M
 from corpuslab.plans import fixtures as X
@@ -17,6 +18,7 @@ from corpuslab.plans import score_queries as SQ
 from corpuslab.plans.inference_queries import EARLIER, _earlier
 from corpuslab.plans.registry import query
 from corpuslab.plans.sqltext import bt
+from corpuslab.sources import io as IO
 from corpuslab.streaming import live as S
 
 
@@ -67,21 +69,31 @@ def crash_feed(spark, sf):
  WHERE doc_id NOT IN (SELECT doc_id FROM earlier WHERE {bt('hyp')} <> '')""")
 def incremental_predict(spark, sf):
     """Items arrive as a stream; each micro-batch predicts only items that
-    have no non-blank output yet and writes them under batch=<id>
-    (overwrite of that folder makes a replayed batch idempotent)."""
+    have no non-blank output from another batch yet and replaces its own
+    folder, so a replayed batch writes the same rows again."""
     out = S.scratch(spark, "predictions")
-    earlier = _earlier(spark, sf)
-    earlier.filter(F.length(F.trim("hyp")) > 0).write.parquet(f"{out}/batch=-1")
+    IO.append_partial(_earlier(spark, sf).filter(blank_trim("hyp") != "").select("doc_id", "hyp"), out, -1)
     stream = _replay(spark, X.items_done(spark, sf).select("doc_id", "lang"), "items", key="doc_id")
+    replayed = []
 
     def step(batch, batch_id):
-        done = spark.read.parquet(out).select("doc_id", "hyp")
-        pend = I.pending_items(batch, done, "doc_id")
-        new = pend.select("doc_id", F.concat(F.lit("new "), "lang").alias("hyp"))
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        predict_step(batch, batch_id, out)
+        if not replayed:  # the first batch is delivered twice, as after a crash
+            replayed.append(batch_id)
+            predict_step(batch, batch_id, out)
 
     S.foreach_batch_to(stream, step, S.scratch(spark, "ckpt"))
-    return spark.read.parquet(out).select("doc_id", "hyp")
+    return IO.read_partials(spark, out, PARTIAL).select("doc_id", "hyp")
+
+
+PARTIAL = "doc_id long, hyp string"
+
+
+def predict_step(batch, batch_id, out):
+    """One micro-batch of T3."""
+    done = IO.read_partials(batch.sparkSession, out, PARTIAL, except_batch=batch_id)
+    pend = I.pending_items(batch, done, "doc_id")
+    IO.append_partial(pend.select("doc_id", F.concat(F.lit("new "), "lang").alias("hyp")), out, batch_id)
 
 
 INCR_SQL = SQ._w(SQ.CHRF_LONG, SQ.BLEU_SEG) + f""", c AS MATERIALIZED (SELECT model, setting, language, round(score, 2) AS "chrf++" FROM

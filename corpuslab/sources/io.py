@@ -7,7 +7,7 @@ Schemas are explicit (all-string for raw CSV), names are resolved on
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,16 +26,116 @@ def resolve_columns(df: DataFrame) -> dict[str, str]:
     return {_canon(c): c for c in df.columns}
 
 
+def _fs(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def data_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The data files that a path or glob names: files themselves, or the
+    files of a folder (and of the folders that Spark wrote inside it). Hidden
+    and marker files are left out. One listing on the driver; callers use it
+    for per-run or per-language files, of which there are few."""
+    fs, hpath = _fs(spark, pattern)
+    todo = list(fs.globStatus(hpath) or [])
+    found = []
+    while todo:
+        st = todo.pop()
+        name = st.getPath().getName()
+        if name.startswith((".", "_")):
+            continue
+        if st.isDirectory():
+            todo += list(fs.listStatus(st.getPath()))
+        else:
+            found.append(st.getPath().toString())
+    return sorted(found)
+
+
+def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of a CSV file: its first line, read from its file system."""
+    import csv as _csv
+
+    fs, hpath = _fs(spark, file)
+    jvm = spark._jvm
+    stream = fs.open(hpath)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+    sep = "\t" if file.endswith(".tsv") else ","
+    return tuple(next(_csv.reader([line.replace(BOM, "")], delimiter=sep), []))
+
+
+def read_by_name(spark: SparkSession, files: list[str], columns: list[str], required: list[str] = (),
+                 multi_line: bool = True) -> DataFrame:
+    """CSV files of possibly different headers as one table of ``columns``
+    (all strings), each cell found by its column's name, whatever the order.
+    Short rows keep NULLs in the cells they lack, columns a file lacks are
+    NULL. A file without the ``required`` columns is left out with a warning
+    that names it. Files of equal header are one scan."""
+    import warnings
+
+    by_header: dict[tuple, list[str]] = {}
+    for f in files:
+        by_header.setdefault(tuple(_canon(h) for h in header_of(spark, f)), []).append(f)
+    out = None
+    for header, own in by_header.items():
+        if missing := [c for c in required if c not in header]:
+            warnings.warn(f"{len(own)} file(s) without column(s) {missing} left out: {own[:5]}", stacklevel=2)
+            continue
+        names = [h if header.index(h) == i else f"{h}__{i}" for i, h in enumerate(header)]
+        r = (spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True)
+             .option("multiLine", multi_line).option("escape", '"').option("maxCharsPerColumn", -1)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .option("enforceSchema", True).option("mode", "PERMISSIVE"))
+        df = r.csv(own).select(F.col("_metadata.file_path").alias("__file"), *[
+            (F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        fields = ", ".join(f"`{c}` string" for c in ["__file", *columns])
+        return spark.createDataFrame([], fields)
+    return out
+
+
+def match_language_files(spark: SparkSession, path: str, languages: list[str]) -> dict[str, list[str]]:
+    """Language -> its files under ``path`` (a file ``<language>.csv``, or
+    a folder of that name that Spark wrote), by name without case. A language
+    without a file is an error that lists all that are missing."""
+    found: dict[str, list[str]] = {}
+    for f in data_files(spark, path):
+        folder, name = f.rstrip("/").split("/")[-2:]
+        unit = folder if name.startswith("part-") else name
+        found.setdefault(unit.rsplit(".csv", 1)[0].lower(), []).append(f)
+    missing = [x for x in languages if x.lower() not in found]
+    if missing:
+        raise ValueError(f"no file for language(s) {missing} under {path}; found {sorted(found)}")
+    return {x: found[x.lower()] for x in languages}
+
+
+def read_corpus_folder(spark: SparkSession, path: str, languages: list[str]) -> DataFrame:
+    """S1, S2 and S4 for a folder with one wide CSV per language: each file's
+    own header decides which of its columns is which. (language, english,
+    hindi, tribal)."""
+    out = None
+    for lang, files in match_language_files(spark, path, languages).items():  # one per language
+        wide = read_by_name(spark, files, ["english", "hindi", lang.lower()], ["english", lang.lower()])
+        pairs = wide.select(F.lit(lang).alias("language"), na_to_null(F.col("english")).alias("english"),
+                            na_to_null(F.col("hindi")).alias("hindi"), na_to_null(F.col(f"`{lang.lower()}`")).alias("tribal"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def read_wide(spark: SparkSession, path: str, languages: list[str] | None = None) -> DataFrame:
-    """S1 + S2: one CSV (or CSV folder) per language; language = file stem or,
-    for Spark-written folders, the folder name. Quoted multi-line cells, BOM and
-    short rows (-> NULL) are tolerated; nothing is inferred."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("maxCharsPerColumn", -1).option("encoding", "UTF-8").csv(path))
-    p = F.col("_metadata.file_path")
-    folder = F.regexp_replace(F.regexp_extract(p, r"([^/]+)/part-[^/]*$", 1), r"\.csv$", "")
-    lang = F.when(folder != "", folder).otherwise(F.regexp_extract(p, r"([^/]+)\.csv$", 1))
-    df = df.withColumn("__lang", lang)
+    """A CSV, or a folder of CSV files, with ``__lang`` from the file (or
+    Spark folder) name. Columns are united by name over all files' own
+    headers, so files may order them differently; quoted multi-line cells, a
+    BOM and short rows (-> NULL) are tolerated; nothing is inferred."""
+    files = data_files(spark, path)
+    columns = list(dict.fromkeys(_canon(h) for f in files for h in header_of(spark, f)))
+    df = read_by_name(spark, files, columns)
+    folder = F.regexp_replace(F.regexp_extract("__file", r"([^/]+)/part-[^/]*$", 1), r"\.csv$", "")
+    lang = F.when(folder != "", folder).otherwise(F.regexp_extract("__file", r"([^/]+)\.csv$", 1))
+    df = df.withColumn("__lang", lang).drop("__file")
     if languages is not None:
         want = {x.lower(): x for x in languages}
         m = F.create_map(*[x for k, v in want.items() for x in (F.lit(k), F.lit(v))])
@@ -78,24 +178,31 @@ def read_pairs(df: DataFrame, languages: list[str]) -> DataFrame:
     return out.select(*[na_to_null(c).alias(c) for c in ("language", "english", "hindi", "tribal")])
 
 
-def read_predictions(spark: SparkSession, root: str, schema: str | None = None,
-                     layout: str = "dirs") -> DataFrame:
-    """Every run's predictions with model & setting from the path --
-    ``dirs``: <root>/<model>/<setting>/predictions.csv; ``hive``:
-    <root>/model=<m>/setting=<s>/ (partition discovery, prunable). Unreadable
-    rows land in _corrupt_record (PERMISSIVE) and are dropped, not fatal."""
-    schema = (schema or "gid string, language string, tribal string, english string, hyp string, src_lang string") \
-        + ", _corrupt_record string"
-    r = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record"))
+PREDICTION_COLUMNS = ["gid", "language", "tribal", "english", "hyp", "src_lang"]
+
+
+def _runs(spark: SparkSession, root: str, name: str, layout: str, columns: list[str], required: list[str],
+          multi_line: bool = True) -> DataFrame:
+    """Per-run CSV files, cells by column name, with model and setting from the
+    path: ``dirs`` is <root>/<model>/<setting>/<name>, ``hive`` is
+    <root>/model=<m>/setting=<s>/."""
     if layout == "hive":
-        df = r.option("basePath", root).csv(f"{root}/model=*/setting=*")
-        return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    df = r.csv(f"{root}/*/*/predictions.csv")
-    p = F.col("_metadata.file_path")
-    df = df.select(F.regexp_extract(p, r"/([^/]+)/([^/]+)/predictions\.csv$", 1).alias("model"),
-                   F.regexp_extract(p, r"/([^/]+)/([^/]+)/predictions\.csv$", 2).alias("setting"), "*")
-    return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        df = read_by_name(spark, data_files(spark, f"{root}/model=*/setting=*"), columns, required, multi_line)
+        rx = r"/model=([^/]+)/setting=([^/]+)/[^/]*$"
+    else:
+        df = read_by_name(spark, data_files(spark, f"{root}/*/*/{name}"), columns, required, multi_line)
+        rx = rf"/([^/]+)/([^/]+)/{name.replace('.', '[.]')}$"
+    run = [F.url_decode(F.regexp_extract("__file", rx, i)) for i in (1, 2)]
+    return df.select(run[0].alias("model"), run[1].alias("setting"), *columns)
+
+
+def read_predictions(spark: SparkSession, root: str, columns: list[str] = tuple(PREDICTION_COLUMNS),
+                     layout: str = "dirs") -> DataFrame:
+    """Every run's predictions. Columns are found by name in each file;
+    short rows stay, with NULLs; missing-value spellings read as NULL; a file
+    without ``hyp`` is left out with a warning."""
+    df = _runs(spark, root, "predictions.csv", layout, list(columns), ["hyp"])
+    return df.select("model", "setting", *[na_to_null(F.col(c)).alias(c) for c in columns])
 
 
 def read_run_json(spark: SparkSession, root: str, name: str, schema: str, layout: str = "dirs") -> DataFrame:
@@ -116,25 +223,21 @@ LOSS_LOG_COLUMNS = ["step", "epoch", "loss", "eval_loss", "lr", "grad_norm", "sa
 
 def read_loss_curves(spark: SparkSession, root: str, columns=LOSS_LOG_COLUMNS, layout: str = "dirs") -> DataFrame:
     """All training logs stacked, (model, setting) first, all cells as
-    strings (blanks stay '', numeric coercion is P8's job)."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    r = spark.read.schema(schema).option("header", True)
-    if layout == "hive":
-        return r.option("basePath", root).csv(f"{root}/model=*/setting=*")
-    df = r.csv(f"{root}/*/*/training_log.csv")
-    p = F.col("_metadata.file_path")
-    rx = r"/([^/]+)/([^/]+)/training_log\.csv$"
-    return df.select(F.regexp_extract(p, rx, 1).alias("model"), F.regexp_extract(p, rx, 2).alias("setting"), "*")
+    strings found by column name (numeric coercion is P8's job)."""
+    return _runs(spark, root, "training_log.csv", layout, list(columns), ["step"], multi_line=False)
 
 
 RUN_INDEX_COLUMNS = ["timestamp", "event", "script", "label", "duration_min", "status", "log_file", "run_dir", "command"]
 
 
 def read_run_index(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """The append-only invocation index, batch or streaming."""
-    schema = ", ".join(f"{c} string" for c in RUN_INDEX_COLUMNS)
-    r = (spark.readStream if stream else spark.read).schema(schema).option("header", True)
-    df = r.csv(path)
+    """The append-only invocation index. In batch, cells are found by
+    column name in every appended file; a stream takes the index's own order."""
+    if stream:
+        schema = ", ".join(f"{c} string" for c in RUN_INDEX_COLUMNS)
+        df = spark.readStream.schema(schema).option("header", True).csv(path)
+    else:
+        df = read_by_name(spark, data_files(spark, path), RUN_INDEX_COLUMNS, ["event"], False).drop("__file")
     return df.withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
@@ -145,50 +248,51 @@ def csv_writer(w):
             .option("ignoreTrailingWhiteSpace", False))
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
+    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(hpath, "_SUCCESS"))
+
+
 def write_corpus(df: DataFrame, path: str, force: bool = False, fmt: str = "csv") -> str:
-    """K1: no-op when the target exists unless forced. A forced replacement
-    is all-or-nothing and never overwrites a path the plan may be reading:
-    it goes to a fresh ``<path>/_v=<n>`` folder, which ``latest_corpus``
-    resolves only once Spark's commit marked it complete (_SUCCESS).
-    Returns the folder written (or the existing one)."""
+    """K1: no-op when a complete target exists unless forced. The result is
+    written to a hidden sibling first and renamed to the target only once
+    Spark's commit marked it complete, so a crashed write leaves either the
+    old target or none (a target without the mark counts as absent), and a
+    replacement may read what it replaces. Returns ``path``."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hpath) and not force:
-        return latest_corpus(spark, path)
-    if not fs.exists(hpath):
-        target = path
-    else:
-        versions = [st.getPath().getName() for st in fs.listStatus(hpath) if st.getPath().getName().startswith("_v=")]
-        n = 1 + max([int(v[3:]) for v in versions] or [0])
-        target = f"{path.rstrip('/')}/_v={n}"
+    fs, target = _fs(spark, path.rstrip("/"))
+    if _complete(spark, path) and not force:
+        return path
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    tag = uuid.uuid4().hex
+    fresh = Path(target.getParent(), f".{target.getName()}.tmp-{tag}")
     w = df.write.mode("errorifexists")
-    (csv_writer(w).csv(target) if fmt == "csv" else w.parquet(target))
-    return target
-
-
-def latest_corpus(spark: SparkSession, path: str) -> str:
-    """The newest complete version of a corpus written by ``write_corpus``."""
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    best, best_n = path, 0
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if name.startswith("_v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            if int(name[3:]) > best_n:
-                best, best_n = f"{path.rstrip('/')}/{name}", int(name[3:])
-    return best
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    """K2: a report as TSV (primary) and CSV, header, one file each (reports
-    are small; the frame is cached so the plan runs once)."""
-    d = df.cache()
-    csv_writer(d.coalesce(1).write.mode("overwrite")).option("sep", "\t").csv(f"{path}.tsv")
-    csv_writer(d.coalesce(1).write.mode("overwrite")).csv(f"{path}.csv")
-    d.unpersist()
+    (csv_writer(w).csv(fresh.toString()) if fmt == "csv" else w.parquet(fresh.toString()))
+    if not _complete(spark, fresh.toString()):
+        raise RuntimeError(f"{fresh} was not committed; {path} is unchanged")
+    old = Path(target.getParent(), f".{target.getName()}.old-{tag}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise RuntimeError(f"{path} could not be moved aside")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise RuntimeError(f"{fresh} could not be renamed to {path}")
+    if had:
+        fs.delete(old, True)
+    return path
+
+
+def write_table(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """K2: a table as TSV and CSV with headers, in as many parts as the plan
+    has. ``one_file`` is for reports of a few rows: one part each."""
+    d = df.coalesce(1) if one_file else df
+    d = d.persist()
+    try:
+        csv_writer(d.write.mode("overwrite")).option("sep", "\t").csv(f"{path}.tsv")
+        csv_writer(d.write.mode("overwrite")).csv(f"{path}.csv")
+    finally:
+        d.unpersist()
 
 
 def write_nested(df: DataFrame, path: str, partition_by: tuple = ()) -> None:
@@ -199,9 +303,17 @@ def write_nested(df: DataFrame, path: str, partition_by: tuple = ()) -> None:
 
 
 def append_partial(df: DataFrame, path: str, batch_id: int) -> None:
-    """K4: partial results written per batch id (overwrite of that id makes a
-    retried batch idempotent); readers union all ids."""
-    df.write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+    """K4: partial results written per batch id. Overwriting that id's folder
+    makes a retried batch idempotent, provided ``df`` does not depend on what
+    an earlier try of the same batch wrote: see ``read_partials``."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def read_partials(spark: SparkSession, path: str, schema: str, except_batch: int | None = None) -> DataFrame:
+    """All partial results (with ``batch``), or those of all other batches: what
+    a batch may take as done, whether or not it was tried before."""
+    df = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
+    return df if except_batch is None else df.filter(F.col("batch") != except_batch)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -209,6 +321,6 @@ def append_events(df: DataFrame, path: str) -> None:
     csv_writer(df.write.mode("append")).csv(path)
 
 
-__all__ = ["read_wide", "require_columns", "read_pairs", "read_predictions", "read_run_json",
+__all__ = ["read_wide", "read_corpus_folder", "match_language_files", "read_by_name", "read_partials", "require_columns", "read_pairs", "read_predictions", "read_run_json",
            "read_loss_curves", "read_run_index", "write_corpus", "write_table", "write_nested",
            "append_partial", "append_events", "PANDAS_NA_VALUES"]

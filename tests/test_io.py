@@ -47,14 +47,83 @@ def test_na_folding_on_read(spark):
 def test_write_corpus_ignore_unless_forced(spark):
     d = tempfile.mkdtemp(prefix="corpuslab-io-")
     p = os.path.join(d, "corpus")
-    IO.write_corpus(spark.createDataFrame([("a",)], "t string"), p)
-    IO.write_corpus(spark.createDataFrame([("b",), ("c",)], "t string"), p)          # no-op: exists
-    assert spark.read.option("header", True).csv(IO.latest_corpus(spark, p)).count() == 1
-    # replacement while the old version is being read: goes to a new version
-    old = spark.read.option("header", True).csv(IO.latest_corpus(spark, p))
-    out = IO.write_corpus(old.unionByName(spark.createDataFrame([("b",), ("c",)], "t string")), p, force=True)
-    assert out.endswith("_v=1") and IO.latest_corpus(spark, p) == out
-    assert spark.read.option("header", True).csv(IO.latest_corpus(spark, p)).count() == 3
+    plain = lambda: sorted(r.t for r in spark.read.option("header", True).csv(p).collect())
+    make = lambda *v: spark.createDataFrame([(x,) for x in v], "t string")
+    IO.write_corpus(make("a"), p)
+    IO.write_corpus(make("b", "c"), p)          # no-op: a complete target exists
+    assert plain() == ["a"]
+    for n in range(3):  # forced writes replace, also while they read what they replace
+        old = spark.read.option("header", True).csv(p)
+        assert IO.write_corpus(old.unionByName(make(f"x{n}")), p, force=True) == p
+    assert plain() == ["a", "x0", "x1", "x2"]
+    assert spark.read.option("header", True).csv(p).columns == ["t"]
+
+
+def test_write_corpus_after_a_crashed_write(spark):
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    p = os.path.join(d, "corpus")
+    os.makedirs(p)
+    _write(os.path.join(p, "part-0.csv"), "t\nhalf\n")  # files, but no commit mark
+    IO.write_corpus(spark.createDataFrame([("a",), ("b",)], "t string"), p)
+    assert sorted(r.t for r in spark.read.option("header", True).csv(p).collect()) == ["a", "b"]
+
+    boom = spark.createDataFrame([("c",)], "t string").select(F.raise_error(F.lit("crash")).cast("string").alias("t"))
+    try:
+        IO.write_corpus(boom, p, force=True)
+        raise AssertionError("expected the write to fail")
+    except Exception as e:
+        assert "crash" in str(e)
+    assert sorted(r.t for r in spark.read.option("header", True).csv(p).collect()) == ["a", "b"]
+
+
+def test_folder_of_wide_files_with_their_own_headers(spark):
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    _write(os.path.join(d, "Bhili.csv"), "English,Hindi,Bhili\ne1,h1,b1\n")
+    _write(os.path.join(d, "Gondi.csv"), "Hindi,English,Gondi\nh2,e2,g2\nh3\n")
+    got = sorted((r.language, r.english, r.hindi, r.tribal) for r in IO.read_corpus_folder(spark, d, ["Bhili", "Gondi"]).collect()
+                 if r.english)
+    assert got == [("Bhili", "e1", "h1", "b1"), ("Gondi", "e2", "h2", "g2")]
+    wide = {(r["__lang"], r["english"], r["hindi"], r["gondi"]) for r in IO.read_wide(spark, d).collect()}
+    assert wide == {("Bhili", "e1", "h1", None), ("Gondi", "e2", "h2", "g2"), ("Gondi", None, "h3", None)}
+    try:
+        IO.read_corpus_folder(spark, d, ["Bhili", "Santali", "Mundari"])
+        raise AssertionError("expected an error naming the missing languages")
+    except ValueError as e:
+        assert "Santali" in str(e) and "Mundari" in str(e)
+
+
+def test_predictions_by_name_short_rows_and_missing_values(spark):
+    import warnings
+
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    for run, text in {"m1/a": "gid,language,tribal,english,hyp,src_lang\n1,de,t,e,NA,tok\n2,de,t,e,out\n",
+                      "m1/b": "hyp,src_lang,english,gid\nout2,tok2,e2,7\n", "m2/a": "gid,text\n1,x\n"}.items():
+        os.makedirs(os.path.join(d, run))
+        _write(os.path.join(d, run, "predictions.csv"), text)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        rows = IO.read_predictions(spark, d).collect()
+    assert any("hyp" in str(w.message) and "m2/a" in str(w.message) for w in said)
+    got = sorted((r.model, r.setting, r.gid, r.tribal, r.english, r.hyp or "-", r.src_lang or "-") for r in rows if r.setting == "a")
+    assert got == [("m1", "a", "1", "t", "e", "-", "tok"), ("m1", "a", "2", "t", "e", "out", "-")]
+    (b,) = [r for r in rows if r.setting == "b"]
+    assert (b.gid, b.tribal, b.english, b.hyp, b.src_lang) == ("7", None, "e2", "out2", "tok2")
+
+
+def test_replayed_prediction_batch_keeps_its_rows(spark):
+    from corpuslab.plans.stream_queries import PARTIAL, predict_step
+
+    d = os.path.join(tempfile.mkdtemp(prefix="corpuslab-io-"), "out")
+    done = spark.createDataFrame([(1, "old"), (2, "\t\u00a0")], "doc_id long, hyp string")
+    IO.append_partial(done.filter("doc_id = 1"), d, -1)
+    batch = spark.createDataFrame([(1, "de"), (2, "de"), (3, "fr")], "doc_id long, lang string")
+    read = lambda: sorted((r.doc_id, r.hyp) for r in IO.read_partials(spark, d, PARTIAL).collect())
+    predict_step(batch, 0, d)
+    once = read()
+    predict_step(batch, 0, d)  # the same batch again, as after a crash
+    assert read() == once == [(1, "old"), (2, "new de"), (3, "new fr")]
+    predict_step(batch, 1, d)  # another batch finds everything done
+    assert read() == once
 
 
 def test_write_table_tsv_and_csv(spark):
