@@ -67,10 +67,11 @@ RAW_LINES_SQL = """raw_lines AS (
 
 
 # -------------------------------------------------------------- predictions
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text") if docs is None else docs
     runs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("setting"), F.lit(p).alias("p"))
                      for m, s, p in RUNS])
-    t = documents(spark, sf_dir, "doc_id", "lang", "text").select(
+    t = docs.select(
         "doc_id", "lang",
         F.filter(F.split("text", WS_CLASS), lambda x: x != "").alias("r"),
         F.explode(runs).alias("run"))
@@ -100,8 +101,8 @@ PREDICTIONS_SQL = f"""predictions AS (
 
 
 # ----------------------------------------------------------------- loss_log
-def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def loss_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events") if events is None else events
     et = F.col("event_type")
     return e.select(
         F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("model"),
@@ -126,30 +127,32 @@ LOSS_LOG_SQL = """loss_log AS (
 
 
 # ---------------------------------------------------------------- run_index
-def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase", "error"))
-    et = F.col("event_type")
+def run_index(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Every event is a line of the index: sign-ups and views start an
+    invocation, errors end one in failure, all others end one well."""
+    e = table(spark, sf_dir, "events") if events is None else events
+    start, failed = F.col("event_type").isin("signup", "view"), F.col("event_type") == "error"
     return e.select(
         F.col("event_id").alias("ord"), "ts",
-        F.when(et == "signup", "started").otherwise("finished").alias("event"),
+        F.when(start, "started").otherwise("finished").alias("event"),
         F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("label"),
         F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit("_"),
                  F.dayofmonth("ts").cast("string")).alias("log_file"),
-        F.when(et == "signup", "").when(et == "error", "FAILED").otherwise("ok").alias("status"),
-        F.when(et == "signup", "").otherwise(F.col("value").cast("string")).alias("duration_min"))
+        F.when(start, "").when(failed, "FAILED").otherwise("ok").alias("status"),
+        F.when(start, "").otherwise(F.col("value").cast("string")).alias("duration_min"))
 
 
 RUN_INDEX_SQL = """run_index AS (
- SELECT event_id AS ord, ts, CASE WHEN event_type = 'signup' THEN 'started' ELSE 'finished' END AS event,
+ SELECT event_id AS ord, ts, CASE WHEN event_type IN ('signup','view') THEN 'started' ELSE 'finished' END AS event,
   concat('m', user_id % 4) AS label, concat('run_', user_id, '_', CAST(day(ts) AS VARCHAR)) AS log_file,
-  CASE WHEN event_type = 'signup' THEN '' WHEN event_type = 'error' THEN 'FAILED' ELSE 'ok' END AS status,
-  CASE WHEN event_type = 'signup' THEN '' ELSE CAST(value AS VARCHAR) END AS duration_min
- FROM events WHERE event_type IN ('signup','purchase','error'))"""
+  CASE WHEN event_type IN ('signup','view') THEN '' WHEN event_type = 'error' THEN 'FAILED' ELSE 'ok' END AS status,
+  CASE WHEN event_type IN ('signup','view') THEN '' ELSE CAST(value AS VARCHAR) END AS duration_min
+ FROM events)"""
 
 
 # --------------------------------------------------------------- items_done
-def items_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+def items_done(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    d = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "lang")
     l = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return d.join(l, "doc_id", "left")
 

@@ -1,8 +1,8 @@
 """Registered streaming queries (T1-T5); each oracle is the batch twin's SQL.
 
-The stand-in logs are staged once as several parquet files under the shared
-checkpoint folder and replayed by ``readStream`` (availableNow), so every
-micro-batch path runs; the finished result is returned.
+``readStream`` reads the tables' own files (availableNow); the stand-in views
+are part of the stream. State and outputs go to tables in the shared checkpoint
+folder, and the finished result is returned.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import blank_trim
 from corpuslab.operators import inference as I
 from corpuslab.operators import metrics as M
+from corpuslab.operators.layout import spread
 from corpuslab.plans import fixtures as X
 from corpuslab.plans import runlog_queries as RQ
 from corpuslab.plans import score_queries as SQ
@@ -22,12 +23,6 @@ from corpuslab.sources import io as IO
 from corpuslab.streaming import live as S
 
 
-def _replay(spark, df, name, key="ord", parts=4):
-    path = S.scratch(spark, name)
-    S.stage_as_files(df, path, parts, key)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("live_training_board", sql=X.with_ctes(X.LOSS_LOG_SQL, RQ.NUM) + """, tr AS (SELECT * FROM num WHERE loss_n IS NOT NULL),
  a AS (SELECT model, setting, arg_max((step, loss_n, samples_per_s, tokens_per_s, gpu_mem_gb), ord) AS p,
    arg_min(loss_n, ord) AS start_loss, min(loss_n) AS min_loss FROM tr GROUP BY ALL),
@@ -39,29 +34,25 @@ def _replay(spark, df, name, key="ord", parts=4):
  FROM a LEFT JOIN ev ON a.model = ev.model AND a.setting = ev.setting""")
 def live_training_board(spark, sf):
     """Live board over a replayed training-log stream (complete mode)."""
-    stream = _replay(spark, X.loss_log(spark, sf), "loss_log")
-    name = "board_" + S.scratch(spark, "q").rsplit("-", 1)[1]
-    out = S.run_to_memory(S.training_board(stream), name, "complete", S.scratch(spark, "ckpt"))
-    return S.board_rows(out)
+    stream = X.loss_log(spark, sf, S.table_stream(spark, sf, "events"))
+    return S.board_rows(S.state_to_table(S.training_board(stream), S.scratch(spark, "board"), S.scratch(spark, "ckpt")))
 
 
 @query("live_run_index", sql=X.with_ctes(X.RUN_INDEX_SQL, RQ.PAIR_SQL)
        + "SELECT ord, epoch_us(ts) AS ts_us, log_file, label, duration_min, status FROM paired")
 def live_run_index(spark, sf):
     """Current state per invocation from a replayed run-index stream."""
-    stream = _replay(spark, X.run_index(spark, sf), "run_index")
-    name = "runidx_" + S.scratch(spark, "q").rsplit("-", 1)[1]
-    out = S.run_to_memory(S.run_index_state(stream), name, "complete", S.scratch(spark, "ckpt"))
-    return S.run_index_rows(out)
+    stream = X.run_index(spark, sf, S.table_stream(spark, sf, "events"))
+    state = S.state_to_table(S.run_index_state(stream), S.scratch(spark, "run_index"), S.scratch(spark, "ckpt"))
+    return S.run_index_rows(state)
 
 
 @query("crash_feed", sql=X.with_ctes(X.RUN_INDEX_SQL) + """SELECT ord, log_file, label, status FROM run_index
  WHERE event = 'finished' AND status = 'FAILED'""")
 def crash_feed(spark, sf):
     """T5: failed invocations as an append-mode stream."""
-    stream = _replay(spark, X.run_index(spark, sf), "run_index")
-    name = "crash_" + S.scratch(spark, "q").rsplit("-", 1)[1]
-    return S.run_to_memory(S.crash_feed(stream), name, "append", S.scratch(spark, "ckpt"))
+    stream = X.run_index(spark, sf, S.table_stream(spark, sf, "events"))
+    return S.append_to_table(S.crash_feed(stream), S.scratch(spark, "crashes"), S.scratch(spark, "ckpt"))
 
 
 @query("incremental_predict", sql=X.with_ctes(X.ITEMS_DONE_SQL, EARLIER) + f"""SELECT doc_id, hyp FROM earlier WHERE {bt('hyp')} <> ''
@@ -73,7 +64,7 @@ def incremental_predict(spark, sf):
     folder, so a replayed batch writes the same rows again."""
     out = S.scratch(spark, "predictions")
     IO.append_partial(_earlier(spark, sf).filter(blank_trim("hyp") != "").select("doc_id", "hyp"), out, -1)
-    stream = _replay(spark, X.items_done(spark, sf).select("doc_id", "lang"), "items", key="doc_id")
+    stream = X.items_done(spark, sf, S.table_stream(spark, sf, "documents")).select("doc_id", "lang")
     replayed = []
 
     def step(batch, batch_id):
@@ -110,11 +101,11 @@ def incremental_scores(spark, sf):
     chrF++/BLEU statistics per (model, setting, language) under batch=<id>;
     the corpus scores are the formula over the sum of all batches (exact)."""
     out = S.scratch(spark, "stat_sums")
-    pred = X.predictions(spark, sf)
-    stream = _replay(spark, pred, "predictions", key="doc_id")
+    stream = S.table_stream(spark, sf, "documents").select("doc_id", "lang", "text")
 
     def step(batch, batch_id):
-        st = M.segment_stats(batch, rouge=False, segment_keys=("doc_id",))
+        pred = X.predictions(spark, sf, spread(batch, "doc_id"))
+        st = M.segment_stats(pred, rouge=False, segment_keys=("doc_id",))
         sums = st.groupBy(*SQ.KEYS).agg(*M.stat_sums("chrf_st", M.N_CHRF, "c"), *M.stat_sums("bleu_st", M.N_BLEU, "b"))
         sums.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

@@ -3,9 +3,8 @@
 The reference polls log files; here the logs are a streaming source
 (``readStream`` over a folder of appended files) and each view is a
 streaming query. Aggregation state is bounded by the number of runs / log files, so no
-watermark is needed (``dedup_replayed`` is an opt-in helper with a watermark,
-not used by the registered views). Every query has a batch twin in
-``corpuslab.operators`` that gives the same rows.
+watermark is needed. Every query has a batch twin in ``corpuslab.operators``
+that gives the same rows.
 
 * T1 ``training_board``   — per run latest point, start / min loss, best eval.
 * T2 ``run_index_state``  — per log file last start + last finish; a run
@@ -33,19 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_as_files(df: DataFrame, path: str, parts: int = 4, key: str | None = None) -> None:
-    """Write a batch DataFrame as several files so a stream can replay it."""
-    (df.repartitionByRange(parts, key) if key else df.repartition(parts)).write.mode("overwrite").parquet(path)
-
-
-def dedup_replayed(stream: DataFrame, key: str = "ord", ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Opt-in: drop log lines that a restarted writer appends again (same
-    ``key``). Event time comes from ``ts`` cast to TIMESTAMP (``withWatermark``
-    rejects TIMESTAMP_NTZ); dedup state older than ``delay`` is dropped.
-    Caveat: rows arriving later than the watermark are dropped too, so the
-    registered live views do not use it (their results must stay whole)."""
-    return (stream.withColumn("__wm", F.col(ts).cast("timestamp")).withWatermark("__wm", delay)
-            .dropDuplicatesWithinWatermark([key]).drop("__wm"))
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
+    """A table's own files as a stream, nothing is copied. A table is a folder
+    of files, or one file, which the glob filter picks out of its folder."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hpath).isFile()
+    r = (spark.readStream.schema(spark.read.parquet(path).schema)
+         .option("maxFilesPerTrigger", files_per_batch))
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one else r.parquet(path)
 
 
 def training_board(stream: DataFrame, keys=("model", "setting")) -> DataFrame:
@@ -95,12 +90,22 @@ def crash_feed(stream: DataFrame) -> DataFrame:
         "ord", "log_file", "label", "status")
 
 
-def run_to_memory(sdf: DataFrame, name: str, mode: str, ckpt: str) -> DataFrame:
-    """Run a streaming query over everything available, into a memory table."""
-    q = (sdf.writeStream.format("memory").queryName(name).outputMode(mode)
+def append_to_table(sdf: DataFrame, path: str, ckpt: str) -> DataFrame:
+    """Run an append-mode query over everything available into Parquet files
+    (the file sink's log makes a replayed batch count once)."""
+    q = (sdf.writeStream.format("parquet").outputMode("append").option("path", path)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
+
+
+def state_to_table(sdf: DataFrame, path: str, ckpt: str) -> DataFrame:
+    """Run a complete-mode aggregate over everything available; each trigger
+    replaces the table by the state it reached. Nothing passes the driver."""
+    q = (sdf.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode("complete")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return sdf.sparkSession.table(name)
+    return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
 
 
 def foreach_batch_to(sdf: DataFrame, fn, ckpt: str) -> None:
