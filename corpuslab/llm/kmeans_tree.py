@@ -86,14 +86,17 @@ class Tree:
 
 
 def _closest(k: int):
-    """The k + 1 nearest members of each query, by exact distance."""
+    """The k + 1 nearest members of each query within its bound, by exact
+    distance."""
     def local(q, bound, x, first):
         d = V.squares(q, x)
         keep = min(k, len(x) - 1)
-        limit = np.partition(d, keep, axis=1)[:, keep]
+        limit = np.minimum(np.partition(d, keep, axis=1)[:, keep], bound * bound)
         slack = 1e-9 * ((q * q).sum(axis=1) + (x * x).sum(axis=1).max())
         i, j = np.nonzero(d <= (limit + slack)[:, None])
         exact = np.sqrt(((q[i] - x[j]) ** 2).sum(axis=1))
+        inside = exact <= bound[i]
+        i, j, exact = i[inside], j[inside], exact[inside]
         order = np.lexsort((first[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
@@ -113,7 +116,7 @@ def _truth(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                i, j, s = local(q, None, V.matrix(part.column("vec")), part.column("first").to_numpy())
+                i, j, s = local(q, np.full(len(q), np.inf), V.matrix(part.column("vec")), part.column("first").to_numpy())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[i]), pa.array(s), part.column("ids").take(pa.array(j)), part.column("cell").take(pa.array(j))],
                     ["query_id", "score", "ids", "cell"])
@@ -121,7 +124,7 @@ def _truth(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return members.mapInArrow(run, "query_id long, score double, ids array<long>, cell long")
 
 
-def search(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.97, branches: int = 8,
+def search(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.95, branches: int = 8,
            leaf_rows: int = 256, sample: int = 20_000, calibration: int = 200, cell_rows: int = 4096,
            seed: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found among the vectors
@@ -148,34 +151,42 @@ def search(df: DataFrame, k: int = 10, every: int = 100, recall: float = 0.97, b
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     held = {r["cell"]: r["n"] for r in sizes.collect()}  # leaves: bounded by the sample
     cells = sizes.select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("subs"))
-    index = (placed.join(F.broadcast(cells), "cell")  # one row per leaf
-             .withColumn("sub", F.pmod(F.xxhash64("first"), F.col("subs")).cast("int"))
-             .select("cell", "sub", "vec", "ids", "first"))
+    index = materialize(placed.join(F.broadcast(cells), "cell")  # one row per leaf
+                        .withColumn("sub", F.pmod(F.xxhash64("first"), F.col("subs")).cast("int"))
+                        .select("cell", "sub", "vec", "ids", "first"), "index")
 
     asking = materialize(V.queries_of(rows, every), "queries")
     n_asking = asking.count()
     tried = asking.filter(unit_hash("query_id", seed=seed) * F.lit(float(n_asking)) < F.lit(float(calibration)))
     visits = _calibrate(tree, placed, tried, k, recall)
 
-    def route(batches):
-        for b in batches:
-            at, leaf = [], []
-            for i, q in enumerate(V.matrix(b.column("vec")) if b.num_rows else []):
-                seen = holds = 0
-                for own in tree.visit(q):
-                    at.append(i)
-                    leaf.append(own)
-                    seen += 1
-                    holds += held.get(own, 0)
-                    if seen >= visits and holds > k:
-                        break
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(pa.array(at, pa.int64())) for c in b.columns], pa.array(leaf, pa.int64())],
-                ["query_id", "qvec", "cell"])
-
-    wanted = (asking.mapInArrow(route, "query_id long, qvec array<double>, cell long")
-              .withColumn("bound", F.lit(0.0)))
-    return V.ranked(V.evaluate(index, wanted, cells, _closest(k), "double"), k, F.col("score").asc())
+    def route(most: int):
+        def run(batches):
+            for b in batches:
+                at, leaf = [], []
+                for i, q in enumerate(V.matrix(b.column("qvec")) if b.num_rows else []):
+                    seen = holds = 0
+                    for own in tree.visit(q):
+                        at.append(i)
+                        leaf.append(own)
+                        seen += 1
+                        holds += held.get(own, 0)
+                        if seen >= most and holds > k:
+                            break
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(pa.array(at, pa.int64())) for c in b.columns], pa.array(leaf, pa.int64())],
+                    ["query_id", "qvec", "bound", "cell"])
+        return run
+
+    asked = asking.select("query_id", F.col("vec").alias("qvec"), F.lit(float("inf")).alias("bound"))
+    schema = "query_id long, qvec array<double>, bound double, cell long"
+    # the first leaf bounds what the others need to return
+    near = V.ranked(V.evaluate(index, asked.mapInArrow(route(1), schema), cells, _closest(k), "double"),
+                    k, F.col("score").asc()).filter(F.col("rank") == k)
+    bounded = materialize(asked.drop("bound").join(near.select("query_id", F.col("score").alias("bound")), "query_id", "left")
+                          .select("query_id", "qvec", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "bounded")
+    found = V.evaluate(index, bounded.mapInArrow(route(visits), schema), cells, _closest(k), "double")
+    return V.ranked(found, k, F.col("score").asc())
 
 
 def _calibrate(tree: Tree, placed: DataFrame, tried: DataFrame, k: int, recall: float) -> int:
