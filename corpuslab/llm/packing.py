@@ -18,7 +18,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -29,38 +29,30 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import materialize, plain_names
 
-_UNIT = re.compile(r" *[^ ]+| +")
-_MEMO_UNITS = 300_000
-
-
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # a special token's string inside a text is ordinary text
-    return t, {}
+def encoder(path: str):
+    """A fast encoder with the vocabulary of a byte-level BPE file of
+    ``tokenizers``; its ids are those that library gives for the same file
+    (tested), with special tokens' strings in a text read as ordinary text."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    # byte-level BPE writes bytes as characters: printable Latin-1 as itself, the others from U+0100 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain}
+    byte_of.update({chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)})
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """uint32 ids of each text. The byte-level pre-tokenizer never joins a
-    non-blank character with a following blank, so a text is encoded in units
-    of (blanks, word), and units are remembered; a text with other white space
-    before a blank, where that does not hold, is encoded whole."""
-    tok, memo = _tokenizer(path)
+    """uint32 ids of each text."""
+    enc = encoder(path)
     for text in texts:
-        units = _UNIT.findall(text)
-        if any(u[-1].isspace() or u[-1] < " " for u in units[:-1]):
-            yield np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            continue
-        new = [u for u in dict.fromkeys(units) if u not in memo]
-        if new:
-            if len(memo) > _MEMO_UNITS:
-                memo.clear()
-                new = list(dict.fromkeys(units))
-            for u, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                memo[u] = np.array(e.ids, dtype="<u4").tobytes()
-        yield np.frombuffer(b"".join([memo[u] for u in units]), dtype="<u4")
+        yield enc.encode_to_numpy(text, disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -76,8 +68,6 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
     schema = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         for b in batches:
             ids = b.column("doc_id")
             texts = [t or "" for t in b.column("text").to_pylist()]
