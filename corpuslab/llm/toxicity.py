@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuslab.llm.common import append_columns, labelled_sample
+from corpuslab.llm.common import append_columns, labelled_sample, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 STEMS = (7, 6, 5, 4)
@@ -141,17 +141,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.
         drift: float = 0.05, alpha: float = 0.01, seed: int = 6) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id,
     toxic). ``per_class`` bounds the sample of each class, from which both the
-    token scores (even rows) and the calibration (odd rows) are learned."""
-    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("toxic")
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    token scores (three quarters) and the calibration (the rest) are learned."""
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
+        F.max("toxic").cast("int").alias("toxic"))
+    known = materialize(known.join(docs.select("doc_id").distinct(), "doc_id"), "labelled")  # ids only
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = ToxicityModel(base_rate=rate, drift=drift, alpha=alpha)
     if not sizes.get(0) or not sizes.get(1):
         return model
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    sample = labelled_sample(rows, "toxic", per_class, seed, "doc_id").select(
-        "text", F.col("toxic").cast("int"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)).alias("part"))
+    # the ids are sampled before any text moves; about 2 * per_class of them
+    chosen = labelled_sample(known, "toxic", per_class, seed, "doc_id")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
+        "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)).alias("part")), "labelled-texts")
 
     def count(batches):
         once, every, docs_seen = [Counter(), Counter()], Counter(), [0, 0]
@@ -173,17 +175,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.
     counts = (sample.mapInArrow(count, "token string, clean long, toxic long, uses long")
               .groupBy("token").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "uses")]).persist())
     n = counts.filter("token = ''").first()
+    total = counts.filter("token <> ''").agg(*[F.sum(c).cast("double").alias(c) for c in ("clean", "toxic")]).first()
     uses = counts.filter("token not like '%*'").agg(F.sum("uses")).first()[0] or 1
-    p = (F.col("clean") + F.col("toxic")) / F.lit(float(n["clean"] + n["toxic"]))
-    y1, y0 = F.col("toxic") + prior * p, F.col("clean") + prior * p
-    odds = (F.log(y1 / (n["toxic"] + prior - y1 + 1e-9)) - F.log(y0 / (n["clean"] + prior - y0 + 1e-9)))
+    scale = prior / (n["clean"] + n["toxic"])  # prior counts: ``prior`` documents with every token at its usual rate
+    own = (F.col("clean") + F.col("toxic")) * scale
+    every = (total["clean"] + total["toxic"]) * scale
+    y1, y0 = F.col("toxic") + own, F.col("clean") + own
+    odds = F.log(y1 / (total["toxic"] + every - y1)) - F.log(y0 / (total["clean"] + every - y0))
     kept = (counts.filter("token <> ''").withColumn("gain", odds)
             .filter(F.col("gain") > z * F.sqrt(1 / y1 + 1 / y0)).filter("gain > 0.7")
             .select("token", "gain", "uses").toPandas())  # at least z^2 documents of the sample each
     counts.unpersist()
     model.gains = dict(zip(kept["token"], kept["gain"]))
     plain = kept[~kept["token"].str.endswith("*")]
-    model.lam = _lambda(plain["gain"].to_numpy(float), plain["uses"].to_numpy(float), drift,
+    model.lam = _lambda(plain["gain"].to_numpy(float), plain["uses"].to_numpy(float) + 0.5, drift,
                         max(1.0, uses - plain["uses"].sum()))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.
                  pa.array(best, pa.float64()), pa.array([n for n, _ in seen], pa.int64())],
                 ["toxic", "evidence", "best", "n"])
 
-    seen = sample.filter("part = 3").mapInArrow(measure, "toxic int, evidence double, best double, n long").toPandas()
+    apart = {r["toxic"]: r["count"] for r in sample.filter("part = 3").groupBy("toxic").count().collect()}
+    enough = min(apart.get(0, 0), apart.get(1, 0)) >= 5  # else the whole small sample calibrates too
+    seen = (sample.filter("part = 3") if enough else sample).mapInArrow(
+        measure, "toxic int, evidence double, best double, n long").toPandas()
     # K: the mean of exp(lambda S) / n over clean documents' best segments
     clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     if len(clean):
@@ -214,8 +222,9 @@ def _gumbel(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
     weighted back to the share of toxic rows before the sample was drawn."""
     w = np.where(y == 1, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
     best = (math.inf, 0.0, 1.0)
-    for place in np.quantile(x, np.linspace(0, 1, 81)):
-        for width in (0.1, 0.2, 0.5, 1, 2, 3, 5, 8, 12):
+    steps = np.unique(np.quantile(x, np.linspace(0, 1, 161)))
+    for place in np.concatenate([steps, (steps[1:] + steps[:-1]) / 2]):
+        for width in (0.1, 0.2, 0.5, 1, 2, 3, 5, 8, 12, 20, 40):
             z = np.clip((x - place) / width, -30, 30)
             p = np.clip(np.exp(-np.exp(-z)), 1e-6, 1 - 1e-6)
             loss = -float((w * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum())
