@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +33,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_short(df: DataFrame, most: int = 4096) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` (short) rows, else
+    as it is, to be joined by a shuffle. ``df`` should be materialized."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
     """A reproducible number in (0, 1) from the given columns."""
     h = F.xxhash64(*cols, F.lit(seed))
@@ -43,9 +50,7 @@ def labelled_sample(df: DataFrame, label: str, per_label: int, seed: int, *ids:
     value), chosen by a hash of ``ids``. Only the labels are counted first; the
     sample bounds what a classifier is fitted on."""
     counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "label-counts")
-    if counts.count() <= 4096:  # one short row per label
-        counts = F.broadcast(counts)
-    keep = df.join(counts, label).filter(
+    keep = df.join(broadcast_if_short(counts), label).filter(
         unit_hash(*ids, seed=seed) * F.col("__n") < F.lit(float(per_label)))
     return keep.drop("__n")
 
@@ -91,3 +96,18 @@ def append_columns(df: DataFrame, inputs: list[str], added: dict[str, T.DataType
     keep = [(f"c{i}", n) for i, n in enumerate(names) if n not in added]
     keep += [(f"a{i}", n) for i, n in enumerate(added)]
     return out.select([F.col(c).alias(n) for c, n in keep])
+
+
+def other_columns_aside(*used: str):
+    """Decorates a function from a DataFrame to one that has all its columns
+    (and maybe more): inside, all columns but ``used`` have neutral names, so
+    they cannot clash; the result has the input's columns and names again."""
+    def deco(fn):
+        @functools.wraps(fn)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            names = list(df.columns)
+            inner = [n if n in used and names.index(n) == i else f"x{i}" for i, n in enumerate(names)]
+            return fn(df.toDF(*inner), *args, **kwargs).select(*inner).toDF(*names)
+
+        return run
+    return deco

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpuslab.llm.common import materialize, unit_hash
+from corpuslab.llm.common import broadcast_if_short, materialize, other_columns_aside, unit_hash
 
 #: Words: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,9 +90,9 @@ def mix(df: DataFrame, seed: int = 4, weights=WEIGHTS, share: float = 1.0, max_e
             .join(goal.select(F.col("source").alias("s"), "budget"), F.col("source").eqNullSafe(F.col("s")))
             .filter("before <= budget and budget < before + in_bucket")
             .select("s", F.col("bucket").alias("last"), F.col("before").alias("filled")))
-    per_source = (goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-                  .select(F.col("source").alias("s"), "source_size", "target", "epochs", "budget", "last", "filled"))
-    rows = keyed.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    per_source = materialize(goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"), "source_size", "target", "epochs", "budget", "last", "filled"), "mix-sources")
+    rows = keyed.join(broadcast_if_short(per_source), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     in_order = W.partitionBy("source").orderBy("key", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
     # in the last bucket rows are taken in order up to the budget; below it whole
     edge = rows.filter("bucket = last").withColumn("upto", F.col("filled") + F.sum("size").over(in_order))
@@ -109,6 +109,7 @@ def row_key(seed: int = 4) -> Column:
     return F.xxhash64("doc_id", "source", "text", F.lit(seed + 1))
 
 
+@other_columns_aside("doc_id", "source", "text")
 def apply_mix(df: DataFrame, seed: int = 4) -> DataFrame:
     """``df`` as the mix has it: every row repeated as often as it is taken.
     Of a row taken in part, the last copy has only its first words, joined by
