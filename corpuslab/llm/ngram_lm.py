@@ -30,9 +30,9 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +59,17 @@ class Chunk:
         import xxhash
 
         index: dict[bytes, int] = {}
-        ids, self.lengths = [], []
+        ids, self.lengths = array("i"), []
         for raw in raw_texts:
             words = (raw or b"").lower().split()
             self.lengths.append(len(words) + 1)
             ids.append(1)
-            ids += [index.setdefault(w, len(index) + 2) for w in words]
+            ids.extend([index.setdefault(w, len(index) + 2) for w in words])
             ids.append(0)
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(w) for w in index), dtype=np.uint64, count=len(index))
         self.hashes = np.concatenate([np.array([END, START]), np.where(hashes < 3, hashes + np.uint64(3), hashes)])
-        self.ids = np.array(ids, dtype=np.int64)
+        self.ids = np.frombuffer(ids, dtype=np.int32).astype(np.int64)
         inside = self.ids[1:] != 1  # a pair does not cross into the next document
         self.left, self.right = self.ids[:-1][inside], self.ids[1:][inside]
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -202,9 +202,9 @@ def _held_table(buckets: int, n: int):
     return run
 
 
-def em_weights(table: pd.DataFrame, v: int, rounds: int = 60) -> np.ndarray:
-    """(bucket, [bigram, unigram, uniform]) weights from the held-out table
-    (cell, n, sums of f2 and f1)."""
+def em_weights(table, v: int, rounds: int = 60) -> np.ndarray:
+    """(bucket, [bigram, unigram, uniform]) weights from the held-out table, a
+    pandas frame (cell, n, sums of f2 and f1)."""
     out = np.tile(np.array([0.5, 0.4, 0.1]), (CONTEXT_BUCKETS, 1))
     if not len(table):
         return out
@@ -242,7 +242,7 @@ def _scorer(buckets: int, n: int, v: int, lam: np.ndarray):
     return run
 
 
-def score(df: DataFrame, part: Column, chunk_chars: int = 16_000_000) -> DataFrame:
+def score(df: DataFrame, part: Column, chunk_chars: int = 3_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every
     row of ``df`` (doc_id, text). ``part``: TRAIN, HELD or OTHER of each row."""
     rows = df.select("doc_id", F.col("text").cast("binary").alias("raw"), part.cast("int").alias("part"))
@@ -252,11 +252,14 @@ def score(df: DataFrame, part: Column, chunk_chars: int = 16_000_000) -> DataFra
                             for x in (p, max(1, math.ceil(sizes.get(p, 0) / chunk_chars)))])
     rows = rows.withColumn("chunk", F.col("part") * F.lit(1 << 40)
                            + F.pmod(F.xxhash64("doc_id", "raw"), chunks[F.col("part")]))
-    buckets = max(1, math.ceil(sum(sizes.values()) / (2 * chunk_chars)))
-    asked = rows.groupBy("chunk").applyInArrow(_asker(buckets), _ASK_SQL)
+    buckets = max(1, math.ceil(sum(sizes.values()) / (4 * chunk_chars)))
+    # a few chunks a task, one bucket a task: what a task holds does not grow with the input
+    tasks = max(1, math.ceil(sum(sizes.values()) / (2 * chunk_chars)))
+    rows = rows.repartition(tasks, "chunk")
+    asked = rows.groupBy("chunk").applyInArrow(_asker(buckets), _ASK_SQL).repartition(buckets, "bucket")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER_SQL), "lm-answers")
     total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "train_n", "train_v")]).first()
-    reply = answers.drop("n", "v", "train_n", "train_v")
+    reply = answers.drop("n", "v", "train_n", "train_v").repartition(tasks, "chunk")
     held = (rows.filter(F.col("part") == HELD).groupBy("chunk")
             .cogroup(reply.filter(F.col("part") == HELD).groupBy("chunk"))
             .applyInArrow(_held_table(buckets, total["train_n"]), "cell long, n double, f2 double, f1 double")
