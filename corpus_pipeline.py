@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.llm import langid, mixing, packing, pii, simhash
-from corpuslab.llm.common import id_fold, materialize, table
+from corpuslab.llm.common import id_fold, materialize, other_columns_aside, table
 from corpuslab.session import ship_package
 
 
@@ -37,6 +37,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 @_stage
+@other_columns_aside("doc_id", "text", "lang")
 def language_id(docs: DataFrame) -> DataFrame:
     """``lang`` becomes the predicted language; documents without a letter
     (``und``) go. Without any labelled document nothing is predicted and only
@@ -47,7 +48,7 @@ def language_id(docs: DataFrame) -> DataFrame:
         found = found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred"))
     else:
         found = found.filter(F.col("text").rlike(r"\p{L}"))
-    return found.select(*docs.columns)
+    return found
 
 
 @_stage

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.llm import golay
-from corpuslab.llm.common import append_columns, materialize, plain_names
+from corpuslab.llm.common import append_columns, materialize, other_columns_aside, plain_names
 from corpuslab.llm.graph import connected_components
 
 LOW23 = (1 << 23) - 1
@@ -186,6 +186,7 @@ def components(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@other_columns_aside("doc_id", "text")
 def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row
     with the smallest id stays, with all its columns (of rows repeating that id
