@@ -115,10 +115,8 @@ def language_set_diff(spark: SparkSession, df: DataFrame, languages: list[str],
 
 def overlap_check(split_df: DataFrame, key: str = "gid") -> DataFrame:
     """Ids present in both train and test (must be 0)."""
-    tr = split_df.filter(F.col("split") == "train").select(key)
-    te = split_df.filter(F.col("split") == "test").select(key)
-    both = tr.join(te, key, "left_semi")
-    return both.agg(F.count(F.lit(1)).alias("n_overlap"))
+    per_id = split_df.groupBy(key).agg(F.max(F.col("split") == "train").alias("tr"), F.max(F.col("split") == "test").alias("te"))
+    return per_id.agg(F.count_if(F.col("tr") & F.col("te")).alias("n_overlap"))
 
 
 def length_profile(df: DataFrame, length_col: str = "length", lang: str = "language") -> DataFrame:

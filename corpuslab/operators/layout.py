@@ -11,8 +11,12 @@ def spread(df: DataFrame, *keys: str, min_parts: int | None = None) -> DataFrame
     Arrow UDF). Inputs at least as wide as the cluster are left alone, so no
     shuffle is added at scale; the decision depends on cores only, not on
     spark.sql.shuffle.partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # the optimizer's size estimate of what is scanned: asking for the number
+    # of partitions would run the shuffles below it under adaptive execution
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return df
     # a few tasks per core, so rows of very different cost (1-word and
     # 20,000-word documents) even out across cores

@@ -17,6 +17,7 @@ Formulas (from the papers):
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,14 +115,19 @@ def bleu_score(prefix: str = "b") -> Column:
     mean_log = sum(logs[1:], logs[0]) / k
     bp = F.when(sys_len < ref_len, F.exp(F.lit(1.0) - F.try_divide(ref_len, sys_len))).otherwise(F.lit(1.0))
     last_total = F.col(f"{prefix}{2 + 2 * k - 1}")
-    return F.when((sys_len == 0) | (last_total == 0), F.lit(0.0)).otherwise(bp * F.exp(mean_log))
+    none = sum([F.col(f"{prefix}{2 + n}") for n in range(1, k)], F.col(f"{prefix}2")) == 0  # smoothing needs some match
+    return F.when((sys_len == 0) | (last_total == 0) | none, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
 
 
 # ------------------------------------------------------------ group scores
 def score_groups(stats: DataFrame, keys: list[str], rouge: bool = True,
-                 src_lang: str | None = "src_lang", sp: bool = False) -> DataFrame:
+                 src_lang: str | None = "src_lang", sp: str | None = None) -> DataFrame:
     """Per group n, chrF++, spBLEU, BLEU, ROUGE-L, empty outputs,
-    empty_pct and the sorted distinct source tokens, all 2-dp."""
+    empty_pct and the sorted distinct source tokens, all 2-dp. ``sp`` names the
+    subword tokeniser behind the ``sp_st`` statistics; without it spBLEU is
+    computed with 13a tokens, which a warning and the ``tokenizer`` column say."""
+    if sp is None:
+        warnings.warn("no subword tokens given: spBLEU uses 13a tokens and equals BLEU", stacklevel=2)
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("h_empty")).alias("empty_outputs"),
             *stat_sums("chrf_st", N_CHRF, "c"), *stat_sums("bleu_st", N_BLEU, "b")]
     if sp:
@@ -136,7 +142,7 @@ def score_groups(stats: DataFrame, keys: list[str], rouge: bool = True,
            (F.round(bleu_score("s"), 2) if sp else bleu).alias("spBLEU"), bleu.alias("BLEU")]
     if rouge:
         out.append(F.round(F.col("__rouge") * 100.0, 2).alias("ROUGE-L"))
-    out += ["empty_outputs", safe_pct("empty_outputs", "n").alias("empty_pct")]
+    out += ["empty_outputs", safe_pct("empty_outputs", "n").alias("empty_pct"), F.lit(sp or "13a").alias("tokenizer")]
     if src_lang:
         out.append("src_lang")
     return g.select(*out)
@@ -175,20 +181,28 @@ def source_tokens_used(df: DataFrame, keys: list[str], col: str = "src_lang") ->
 
 # --------------------------------------------------------------- bootstrap
 def broadcast_limit(spark) -> int:
-    """Largest side (bytes) we broadcast: the session's auto-broadcast
-    threshold, at least 64 MB, at most 512 MB."""
+    """Largest side (bytes) we broadcast: 0 where the session has broadcasts
+    switched off, else its auto-broadcast threshold, at least 64 MB (the side's
+    size is counted, not estimated) and at most 512 MB."""
     raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
     mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = raw.rstrip("b")
     try:
-        v = int(float(raw[:-2]) * mult[raw[-2]]) if raw.endswith("b") and raw[-2] in mult else int(raw)
+        v = int(float(digits[:-1]) * mult[digits[-1]]) if digits[-1:] in mult else int(digits)
     except ValueError:
         v = 10 << 20
-    return min(max(v, 64 << 20), 512 << 20)
+    return 0 if v <= 0 else min(max(v, 64 << 20), 512 << 20)
+
+
+def _metric_parts(metric: str):
+    """(statistics column, its length, column prefix, formula) of a metric."""
+    return {"chrf++": ("chrf_st", N_CHRF, "c", chrf_score), "BLEU": ("bleu_st", N_BLEU, "b", bleu_score),
+            "spBLEU": ("sp_st", N_BLEU, "s", bleu_score)}[metric]
 
 
 def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,
                  seed: int = 42, metric: str = "chrf++", draw_hash: str = "xxhash64") -> DataFrame:
-    """Percentile bootstrap of a corpus metric on resampled segment statistics.
+    """Percentile interval of a corpus metric over resampled segments.
 
     Segments of each group are numbered 0..n-1 in ``order_col`` order (exact
     scalable rank). Draw j of round b picks segment ``hash(seed, b, j) mod n``:
@@ -201,16 +215,15 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
     ``draw_hash='xxhash64'`` (default) is native and fast; 'md5' is ~5x
     slower but reproducible in any SQL engine (used by the oracle check).
     """
-    from corpuslab.operators.partition import exact_rank, range_bucket
+    from corpuslab.operators.partition import exact_rank, with_range_bucket
 
     if rounds <= 0:
         none = F.lit(None).cast("double")
         return stats.select(*keys).distinct().select(
             *keys, none.alias(f"{metric}_mean"), none.alias(f"{metric}_ci_lo"), none.alias(f"{metric}_ci_hi"))
-    st_col, n_st, prefix, formula = (("chrf_st", N_CHRF, "c", chrf_score) if metric == "chrf++"
-                                     else ("bleu_st", N_BLEU, "b", bleu_score))
+    st_col, n_st, prefix, formula = _metric_parts(metric)
     small = stats.select(*keys, order_col, st_col)
-    ranked = exact_rank(small, keys, [order_col], range_bucket(small, order_col), "pos", "n")
+    ranked = exact_rank(with_range_bucket(small, order_col), keys, [order_col], F.col("__range"), "pos", "n").drop("__range")
     from pyspark import StorageLevel
     ranked = (ranked.filter(F.col("n") >= 2).withColumn("pos", F.col("pos") - 1)
               .persist(StorageLevel.MEMORY_AND_DISK))
@@ -240,28 +253,68 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
         F.round(F.percentile("score", 0.975), 2).alias(f"{metric}_ci_hi"))
 
 
-def poisson_bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,
-                         seed: int = 42, metric: str = "chrf++") -> DataFrame:
-    """Scale variant of A11 for groups too large to join draws: every segment
-    gets a Poisson(1) weight per round from a hash (no join, map-side partial
-    sums). A documented approximation of the multinomial bootstrap."""
-    st_col, n_st, prefix, formula = (("chrf_st", N_CHRF, "c", chrf_score) if metric == "chrf++"
-                                     else ("bleu_st", N_BLEU, "b", bleu_score))
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("round"), F.col(order_col)))
-         % F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # inverse CDF of Poisson(1) over the first 8 values (P(k>=8) < 1e-5)
-    cdf, acc, term = [], 0.0, math.exp(-1.0)
-    for k in range(8):
-        acc += term
-        cdf.append(acc)
-        term /= (k + 1)
-    w = F.lit(8)
-    for k in reversed(range(8)):
-        w = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(w)
-    d = stats.select(*keys, order_col, st_col, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    per_round = (d.withColumn("w", w).groupBy(*keys, "round").agg(*stat_sums(st_col, n_st, prefix, F.col("w")))
-                 .select(*keys, "round", formula(prefix).alias("score")))
-    return per_round.groupBy(*keys).agg(
+#: Poisson(1) distribution function at 0..7; P(k >= 8) < 1e-5 counts as 8.
+POISSON_CDF = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+P31 = (1 << 31) - 1
+
+
+def draw_mix(seed: int, round_, position):
+    """A number in 0..P31-1 from (seed, round, position): multiplications
+    modulo a prime, the same in numpy and in any SQL engine."""
+    x0 = (position % P31 * 48271 + round_ * 69621 + seed * 16807) % P31
+    x1 = (x0 * x0 + 12345) % P31
+    x2 = (x1 * 48271 + x0) % P31
+    return (x2 * x2 + round_) % P31
+
+
+def weight_bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int = 1000,
+                        seed: int = 42, metric: str = "chrf++") -> DataFrame:
+    """A11 in its weight form, for groups too large to join draws: in every
+    round a segment counts Poisson(1) times, with a weight hashed from (seed,
+    round, order key). This approximates the multinomial resampling of
+    ``bootstrap_ci``; callers choose it, size never does. No row is exploded
+    and nothing is joined: a batch multiplies its rounds x rows weights with
+    its rows x counts, a task returns one sum per group and round, and only
+    those are exchanged. Systems scored on the same rows share weights."""
+    import numpy as np
+    import pyarrow as pa
+
+    st_col, n_st, prefix, formula = _metric_parts(metric)
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = stats.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)],
+                        F.col(order_col).cast("long").alias("pos"), F.col(st_col).alias("st"))
+
+    def run(batches):
+        every = np.arange(rounds, dtype=np.int64)[:, None]
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            group = list(zip(*[b.column(n).to_pylist() for n in names]))
+            pos = b.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+            st = b.column("st").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(group), n_st)
+            where: dict[tuple, list[int]] = {}
+            for i, g in enumerate(group):
+                where.setdefault(g, []).append(i)
+            for g, own in where.items():
+                total = sums.setdefault(g, np.zeros((rounds, n_st + 1)))
+                for at in range(0, len(own), 1024):
+                    part = own[at:at + 1024]
+                    w = np.searchsorted(POISSON_CDF, draw_mix(seed, every, pos[part][None, :]) / P31, side="right")
+                    total[:, :n_st] += w @ st[part]
+                    total[0, n_st] += len(part)  # rows of the group
+        for g, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([x] * rounds, pa.string()) for x in g], pa.array(np.arange(rounds), pa.int32()),
+                 *[pa.array(total[:, i]) for i in range(n_st + 1)]],
+                [*names, "round", *[f"{prefix}{i}" for i in range(n_st)], "rows"])
+
+    cols = [f"{prefix}{i}" for i in range(n_st)]
+    schema = ", ".join([*[f"{n} string" for n in names], "round int", *[f"{c} double" for c in cols], "rows double"])
+    per_round = (rows.mapInArrow(run, schema).groupBy(*names, "round").agg(*[F.sum(c).alias(c) for c in [*cols, "rows"]])
+                 .select(*names, "round", formula(prefix).alias("score"), "rows"))
+    return (per_round.groupBy(*names).agg(
         F.round(F.avg("score"), 2).alias(f"{metric}_mean"),
         F.round(F.percentile("score", 0.025), 2).alias(f"{metric}_ci_lo"),
-        F.round(F.percentile("score", 0.975), 2).alias(f"{metric}_ci_hi"))
+        F.round(F.percentile("score", 0.975), 2).alias(f"{metric}_ci_hi"), F.max("rows").alias("rows"))
+        .filter("rows >= 2").drop("rows")
+        .select(*[F.col(n).cast(stats.schema[k].dataType).alias(k) for k, n in zip(keys, names)],
+                f"{metric}_mean", f"{metric}_ci_lo", f"{metric}_ci_hi"))

@@ -5,14 +5,16 @@ language in one task; with one language holding a third of a corpus that task
 is the job. ``exact_rank`` instead
 
 1. gives every row a *bucket* that is monotone in the order key
-   (a hash prefix for seeded orders, a value range for natural orders),
-2. counts rows per (group, bucket) -- a tiny table -- and turns the counts into
-   running offsets with a window over that small table,
-3. numbers rows only inside (group, bucket) and adds the offset.
+   (a hash prefix for seeded orders, quantiles of the key for natural orders,
+   so buckets hold about equally many rows whatever the keys' values are),
+2. deals the rows by (group, bucket) once; both the counts per bucket and the
+   numbering inside a bucket read that one exchange,
+3. turns the counts into running offsets with a window over at most
+   ``HASH_BUCKETS`` rows a group, and adds them.
 
 The result equals the plain window exactly (tested), and the widest task holds
 one bucket, not one language. Group sizes ``n`` come out of the same small
-table, so split cuts need no extra pass.
+table, so split cuts need no extra pass. Building the plan starts no job.
 """
 
 from __future__ import annotations
@@ -20,19 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 4096
-
-
-def auto_buckets(df: DataFrame, per_partition: int = 64) -> int:
-    """Bucket count that grows with the input: about ``per_partition``
-    buckets per input partition, at least 4096, rounded up to a power of 16
-    (whole hex digits of the md5 key). A group holding a third of 100 TB is
-    then cut into millions of buckets instead of 4096."""
-    want = max(DEFAULT_BUCKETS, per_partition * df.rdd.getNumPartitions())
-    b = 16
-    while b < want:
-        b *= 16
-    return b
+HASH_BUCKETS = 16 ** 4   # four hex digits of the md5 key
+RANGE_BUCKETS = 1024     # quantiles of a natural order key
 
 
 def seeded_key(seed: int, *cols) -> Column:
@@ -42,24 +33,28 @@ def seeded_key(seed: int, *cols) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash_bucket(h: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
+def hash_bucket(h: Column, buckets: int = HASH_BUCKETS) -> Column:
     """Bucket from the leading hex digits of an md5 key (monotone in the key)."""
     digits = max(1, ((buckets - 1).bit_length() + 3) // 4)
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("long")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int | None = None) -> Column:
-    """Bucket from the value range of a numeric order key (monotone in the key).
+def with_range_bucket(df: DataFrame, key: str, buckets: int = RANGE_BUCKETS, name: str = "__range") -> DataFrame:
+    """``df`` with the bucket of a numeric order key by its quantiles (monotone
+    in the key) as column ``name``.
 
-    Reads min/max of the key once (a two-number aggregate the scan answers
-    from column statistics when it can).
-    """
-    buckets = buckets or auto_buckets(df)
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return F.lit(0).cast("long")
-    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
-    return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("long")
+    The quantiles are a scalar subquery over the key alone, evaluated when the
+    plan runs; a row finds its bucket by binary search. An outlying key widens
+    one bucket's range, not its row count."""
+    steps = max(1, (buckets - 1).bit_length())
+    n = 1 << steps
+    cuts = df.select(F.col(key).cast("double").alias("k")).agg(
+        F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).scalar()
+    k = F.col(key).cast("double")
+    # how many of the n - 1 ascending cuts lie below the key
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+    found = F.aggregate(halves, F.lit(0), lambda at, h: at + F.when(F.get("__cuts", at + h - 1) < k, h).otherwise(0))
+    return df.withColumn("__cuts", cuts).withColumn(name, F.coalesce(found, F.lit(0)).cast("long")).drop("__cuts")
 
 
 def exact_rank(df: DataFrame, group: list[str], order: list, bucket: Column,
@@ -70,7 +65,7 @@ def exact_rank(df: DataFrame, group: list[str], order: list, bucket: Column,
     Adds ``rank_col`` and, when ``n_col`` is given, the group size.
     """
     b = "__bucket"
-    d = df.withColumn(b, bucket)
+    d = df.withColumn(b, bucket).repartition(*[F.col(c) for c in group], F.col(b))
     counts = d.groupBy(*group, b).agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*group).orderBy(b)
     offsets = counts.select(
@@ -87,18 +82,15 @@ def exact_rank(df: DataFrame, group: list[str], order: list, bucket: Column,
 
 
 def stable_gid(df: DataFrame, lang: str = "language", order: tuple = ("doc_id",),
-               buckets: int | None = None) -> DataFrame:
+               buckets: int = RANGE_BUCKETS) -> DataFrame:
     """gid = '<language>_<0-based position in language>' in file order."""
-    key = order[0]
-    buckets = buckets or auto_buckets(df)
-    r = exact_rank(df, [lang], list(order), range_bucket(df, key, buckets), "__pos", None)
-    return r.withColumn("gid", F.concat(F.col(lang), F.lit("_"), (F.col("__pos") - 1).cast("string"))).drop("__pos")
+    r = exact_rank(with_range_bucket(df, order[0], buckets), [lang], list(order), F.col("__range"), "__pos", None)
+    return r.withColumn("gid", F.concat(F.col(lang), F.lit("_"), (F.col("__pos") - 1).cast("string"))).drop("__pos", "__range")
 
 
 def seeded_rank(df: DataFrame, lang: str, key: str, seed: int,
-                buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
+                buckets: int = HASH_BUCKETS, rank_col: str = "rank") -> DataFrame:
     """Rank inside each language in a seeded pseudo-random order, plus group size n."""
-    buckets = buckets or auto_buckets(df)
     h = "__h"
     d = df.withColumn(h, seeded_key(seed, lang, key))
     return exact_rank(d, [lang], [h, key], hash_bucket(F.col(h), buckets), rank_col, "n").drop(h)
@@ -142,19 +134,18 @@ def head_per_language(df: DataFrame, n: int, lang: str = "language",
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def seeded_order(df: DataFrame, key: str, seed: int = 42, n_parts: int | None = None) -> DataFrame:
-    """Whole-corpus seeded reorder (range-partitioned sort on a hash key)."""
-    d = df.withColumn("shuffle_key", seeded_key(seed, key))
-    if n_parts:
-        d = d.repartitionByRange(n_parts, "shuffle_key")
-    return d.sortWithinPartitions("shuffle_key") if n_parts else d.orderBy("shuffle_key")
+def seeded_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Whole-corpus seeded reorder, as an exact 1-based ``position`` (the
+    running offsets are over at most HASH_BUCKETS rows)."""
+    d = df.withColumn("__h", seeded_key(seed, key)).withColumn("__all", F.lit(0))
+    return exact_rank(d, ["__all"], ["__h", key], hash_bucket(F.col("__h")), "position", None).drop("__h", "__all")
 
 
 def length_buckets(df: DataFrame, length_col: str, width: int = 16, seed: int = 42,
                    key: str = "doc_id") -> DataFrame:
-    """Similar-length examples together: bucket = length div width,
-    range-partitioned on (bucket, seeded key) so batches cut from a partition
-    hold similar lengths in a reproducible order."""
+    """Similar-length examples together: ``length_bucket`` = length div
+    width, and the example's ``position`` in its bucket in a reproducible seeded
+    order. Batches are runs of positions of one bucket."""
     d = (df.withColumn("length_bucket", (F.col(length_col) / F.lit(width)).cast("long"))
          .withColumn("__h", seeded_key(seed, key)))
-    return d.repartitionByRange("length_bucket", "__h").sortWithinPartitions("length_bucket", "__h").drop("__h")
+    return exact_rank(d, ["length_bucket"], ["__h", key], hash_bucket(F.col("__h")), "position", None).drop("__h")

@@ -189,10 +189,7 @@ def overlap_check(spark, sf):
 @query("seeded_order", sql=_w(PAIRS, GID) + f"""SELECT gid, CAST(row_number() OVER (ORDER BY {seeded_key(SEED, 'gid')}, gid) AS BIGINT) AS position FROM gidp""")
 def seeded_order(spark, sf):
     """Whole-corpus seeded order as an exact global position (no single-task sort)."""
-    d = _gid_pairs(spark, sf).withColumn("__h", P.seeded_key(SEED, "gid"))
-    r = P.exact_rank(d.withColumn("__all", F.lit(0)), ["__all"], ["__h", "gid"],
-                     P.hash_bucket(F.col("__h"), P.auto_buckets(d)), "position", None)
-    return r.select("gid", "position")
+    return P.seeded_order(_gid_pairs(spark, sf), "gid", SEED).select("gid", "position")
 
 
 @query("training_set", sql=_w(PAIRS, GID, SPLITS) + f"""SELECT gid, language,
@@ -217,13 +214,14 @@ def length_profile(spark, sf):
     return C.length_profile(C.training_set(tr, MAX_SRC, MAX_TGT))
 
 
-@query("length_buckets", sql=_w(PAIRS, GID, SPLITS) + f"""SELECT CAST(len(list_slice({ws_tokens('tribal')}, 1, {MAX_SRC})) // 16 AS BIGINT) AS length_bucket,
- count(*) AS examples FROM sp WHERE split = 'train' GROUP BY 1""")
+@query("length_buckets", sql=_w(PAIRS, GID, SPLITS) + f"""SELECT gid, length_bucket,
+ CAST(row_number() OVER (PARTITION BY length_bucket ORDER BY {seeded_key(SEED, 'gid')}, gid) AS BIGINT) AS position FROM
+ (SELECT gid, CAST(len(list_slice({ws_tokens('tribal')}, 1, {MAX_SRC})) // 16 AS BIGINT) AS length_bucket FROM sp WHERE split = 'train')""")
 def length_buckets(spark, sf):
-    """Similar-length buckets of the training set (range-partitioned)."""
+    """The training set's layout by similar length: every example's bucket
+    and its place in the bucket."""
     tr = C.training_set(_splits(spark, sf).filter(F.col("split") == "train"), MAX_SRC, MAX_TGT)
-    b = P.length_buckets(tr, "length", 16, SEED, "gid")
-    return b.groupBy("length_bucket").agg(F.count(F.lit(1)).alias("examples"))
+    return P.length_buckets(tr, "length", 16, SEED, "gid").select("gid", "length_bucket", "position")
 
 
 @query("distinct_languages", sql=_w(PAIRS) + "SELECT DISTINCT language FROM pairs")

@@ -126,7 +126,7 @@ def sql_bleu(prefix_sum: bool = True) -> str:
         logs.append(f"ln(CASE WHEN m{n} = 0 THEN 100.0 / (pow(2.0, {z}) * t{n}) ELSE 100.0 * m{n} / t{n} END)")
     mean_log = "(" + " + ".join(logs) + ") / 4"
     bp = "CASE WHEN sys_len < ref_len THEN exp(1.0 - ref_len / sys_len) ELSE 1.0 END"
-    return f"CASE WHEN sys_len = 0 OR t4 = 0 THEN 0.0 ELSE {bp} * exp({mean_log}) END"
+    return f"CASE WHEN sys_len = 0 OR t4 = 0 OR m1 + m2 + m3 + m4 = 0 THEN 0.0 ELSE {bp} * exp({mean_log}) END"
 
 
 def _w(*ctes):
@@ -281,6 +281,29 @@ def bootstrap_ci(spark, sf):
     return M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, draw_hash="md5")
 
 
+def _sql_weight(pos: str, b: str) -> str:
+    """Poisson(1) weight of a position in a round, as ``metrics.draw_mix``."""
+    cuts = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in M.POISSON_CDF)
+    return f"""(SELECT *, {cuts} AS w FROM (SELECT *, ((x2 * x2 + {b}) % {M.P31})::DOUBLE / {M.P31} AS u FROM
+ (SELECT *, (x1 * 48271 + x0) % {M.P31} AS x2 FROM (SELECT *, (x0 * x0 + 12345) % {M.P31} AS x1 FROM
+ (SELECT *, CAST(({pos} % {M.P31} * 48271 + {b} * 69621 + {BOOT_SEED} * 16807) % {M.P31} AS BIGINT) AS x0 FROM
+ (SELECT DISTINCT doc_id FROM bseg) CROSS JOIN (SELECT unnest(range(0, {BOOT_ROUNDS})) AS b))))))"""
+
+
+@query("bootstrap_weights", sql=_w(BLEU_SEG) + f""", wt AS MATERIALIZED {_sql_weight("doc_id", "b")},
+ pr AS (SELECT s.model, s.setting, s.language, b, sum(w * sys_len) AS sys_len, sum(w * ref_len) AS ref_len,
+   {", ".join(f"sum(w * m{n}) AS m{n}, sum(w * t{n}) AS t{n}" for n in range(1, 5))}
+   FROM bseg s JOIN wt ON s.doc_id = wt.doc_id GROUP BY ALL),
+ sc AS (SELECT model, setting, language, b, {sql_bleu()} AS score FROM pr)
+ SELECT model, setting, language, round(avg(score), 2) AS "BLEU_mean", round(quantile_cont(score, 0.025), 2) AS "BLEU_ci_lo",
+  round(quantile_cont(score, 0.975), 2) AS "BLEU_ci_hi" FROM sc GROUP BY ALL""")
+def bootstrap_weights(spark, sf):
+    """A11 in its weight form: 1,000-round interval of BLEU per language from
+    Poisson weights, without draws or joins."""
+    st = _stats(spark, sf, rouge=False, chrf=False)
+    return M.weight_bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED, "BLEU")
+
+
 # ------------------------------------------------------- score tables (SQL)
 # ROUGE-L twin: every hypothesis of the stand-in runs keeps whole words of
 # its reference in order, so its ROUGE tokens are a subsequence of the
@@ -313,7 +336,7 @@ def sql_scores(keys: list[str], where: str = "TRUE", token_expr: str | None = No
    {", ".join(f"sum(m{n}) AS m{n}, sum(t{n}) AS t{n}" for n in range(1, 5))} FROM bs2 GROUP BY {ks})),
  scores AS (SELECT {", ".join(f"g1.{k}" for k in keys)}, g1.n, round(g2.score, 2) AS "chrf++", round(g3.bleu, 2) AS "spBLEU",
    round(g3.bleu, 2) AS "BLEU", round(g1.rouge * 100.0, 2) AS "ROUGE-L", g1.empty_outputs,
-   round(100.0 * g1.empty_outputs / greatest(g1.n, 1), 2) AS empty_pct{", g1.src_lang" if not token_expr else ""}
+   round(100.0 * g1.empty_outputs / greatest(g1.n, 1), 2) AS empty_pct, '13a' AS tokenizer{", g1.src_lang" if not token_expr else ""}
    FROM g1 JOIN g2 ON {" AND ".join(f"g1.{k} = g2.{k}" for k in keys)} JOIN g3 ON {" AND ".join(f"g1.{k} = g3.{k}" for k in keys)})"""
 
 

@@ -131,7 +131,34 @@ def test_poisson_bootstrap_close_to_multinomial(spark):
     df = spark.createDataFrame(rows, "model string, doc_id long, hyp string, english string")
     st = M.compact_stats(M.segment_stats(df, rouge=False), ["model", "doc_id"])
     a = M.bootstrap_ci(st, ["model"], "doc_id", 300, 42).first()
-    b = M.poisson_bootstrap_ci(st, ["model"], "doc_id", 300, 42).first()
+    b = M.weight_bootstrap_ci(st, ["model"], "doc_id", 300, 42).first()
     full = M.score_groups(st, ["model"], rouge=False, src_lang=None).first()["chrf++"]
     assert abs(a["chrf++_mean"] - full) < 2 and abs(b["chrf++_mean"] - full) < 2
     assert b["chrf++_ci_lo"] < full < b["chrf++_ci_hi"]
+
+
+def test_bleu_without_a_common_word_is_zero(spark):
+    df = spark.createDataFrame([("a b c d e", "v w x y z"), ("a b c d e", "a w x y z")], "hyp string, english string")
+    rows = M.segment_stats(df, rouge=False, chrf=False).collect()
+    cols = ", ".join(f"b{i} double" for i in range(M.N_BLEU))
+    got = [spark.createDataFrame([tuple(float(x) for x in r["bleu_st"])], cols).select(M.bleu_score("b").alias("s")).first()["s"]
+           for r in rows]
+    assert got[0] == 0.0 and got[1] > 0.0
+
+
+def test_rouge_on_reordered_and_stemmed_words(spark):
+    df = spark.createDataFrame([("dogs running quickly", "the dog runs quick"), ("b a", "a b")], "hyp string, english string")
+    st = M.segment_stats(df, chrf=False, bleu=False)
+    rows = [(r["rouge_st"][0], r["rouge_st"][1], r["rouge_st"][2]) for r in st.collect()]
+    assert rows[0][1:] == (3, 4) and rows[0][0] >= 2  # dog(s), run(s|ning) match only when stemmed
+    assert rows[1] == (1, 2, 2)
+
+
+def test_broadcast_limit_respects_off(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for value, want in (("-1", 0), ("10485760", 64 << 20), ("100MB", 100 << 20), ("2g", 512 << 20)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            assert M.broadcast_limit(spark) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

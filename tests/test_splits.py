@@ -62,3 +62,33 @@ def test_overlap_zero_and_determinism(spark):
     s2 = P.three_way_split(df, "language", "doc_id", seed=3)
     assert C.overlap_check(s1.withColumnRenamed("doc_id", "gid")).first()[0] == 0
     assert s1.select("doc_id", "split").exceptAll(s2.select("doc_id", "split")).count() == 0
+
+
+def test_natural_rank_with_an_outlying_id(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("language"), F.when(F.col("id") == 0, 10 ** 15)
+                                    .otherwise(F.col("id") * 3).cast("long").alias("doc_id"))
+    d = P.with_range_bucket(df, "doc_id", 64, "b")
+    assert d.groupBy("b").count().agg(F.max("count")).first()[0] < 1000  # no bucket has it all
+    g = {r.doc_id: r.gid for r in P.stable_gid(df, "language", ("doc_id",)).collect()}
+    assert [g[i] for i in sorted(g)] == [f"a_{n}" for n in range(20_000)]
+
+
+def test_building_a_split_starts_no_job(spark):
+    df = _corpus(spark, {"a": 500}).repartition(4).distinct()
+    tracker, group = spark.sparkContext.statusTracker(), "split-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    out = P.three_way_split(P.stable_gid(df, "language", ("doc_id",)), "language", "gid")
+    before = len(tracker.getJobIdsForGroup(group))
+    assert out.count() == 500
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert before == 0
+
+
+def test_layouts_are_permutations(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 40).alias("length"))
+    pos = [r.position for r in P.seeded_order(df, "doc_id", 5).collect()]
+    assert sorted(pos) == list(range(1, 3001))
+    rows = P.length_buckets(df, "length", 16, 5, "doc_id").collect()
+    for bucket in range(3):
+        own = [r.position for r in rows if r.length_bucket == bucket]
+        assert sorted(own) == list(range(1, len(own) + 1))
