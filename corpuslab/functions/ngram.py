@@ -4,11 +4,11 @@ A segment is one (hypothesis, reference) pair. Its statistics are small
 integer vectors that add up over segments, so corpus scores, per-group scores
 and bootstrap rounds are all plain ``sum`` aggregates afterwards:
 
-* ``chrf_stats`` — for chrF++ orders (char 1..6, word 1..2): hyp count,
-  ref count, clipped matches -> 24 longs.
-* ``bleu_stats`` — hyp_len, ref_len, clipped matches 1..4, totals 1..4 -> 10 longs.
-* ``lcs_len``   — longest common subsequence of two token arrays (ROUGE-L),
-  bit-parallel (Hyyro 2004), with Porter stemming of tokens longer than 3.
+* chrF++ (char orders 1..6, word orders 1..2): hyp count, ref count, clipped
+  matches -> 24 longs;
+* BLEU: hyp_len, ref_len, clipped matches 1..4, totals 1..4 -> 10 longs;
+* ROUGE-L: longest common subsequence of the two token lists, bit-parallel
+  (Hyyro 2004), with Porter stemming of tokens longer than 3.
 
 The UDFs are a map over segments: no shuffle, memory bounded by one segment.
 Inside, n-grams are packed into int64 ids and counted with numpy.
@@ -175,39 +175,15 @@ def _arr(x):
     return [] if x is None else list(x)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def chrf_stats(h_chars: pd.Series, r_chars: pd.Series,
-               h_words: pd.Series, r_words: pd.Series) -> pd.Series:
-    return pd.Series([chrf_segment(hc or "", rc or "", _arr(hw), _arr(rw))
-                      for hc, rc, hw, rw in zip(h_chars, r_chars, h_words, r_words)])
-
-
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def bleu_stats(h_tokens: pd.Series, r_tokens: pd.Series) -> pd.Series:
     return pd.Series([bleu_segment(_arr(h), _arr(r)) for h, r in zip(h_tokens, r_tokens)])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def rouge_lcs_stats(h_words: pd.Series, r_words: pd.Series, use_stemmer: pd.Series) -> pd.Series:
-    """[lcs, |hyp|, |ref|] after optional stemming of tokens longer than 3."""
-    from corpuslab.functions.porter import stem_cached
-
-    out = []
-    for h, r, st in zip(h_words, r_words, use_stemmer):
-        h, r = _arr(h), _arr(r)
-        if st:
-            h = [stem_cached(t) if len(t) > 3 else t for t in h]
-            r = [stem_cached(t) if len(t) > 3 else t for t in r]
-        # the shorter side is the bit-vector side
-        n = lcs(h, r) if len(h) <= len(r) else lcs(r, h)
-        out.append([n, len(h), len(r)])
-    return pd.Series(out)
-
-
 # ---------------------------------------------------------------- fused pass
 def _py_tokenisers():
-    """Python twins of the JVM tokenisers (same fixed patterns), used inside
-    the fused statistics UDF so the texts cross into Python once."""
+    """The metric tokenisers (fixed patterns of ``functions.tokenize``), used
+    inside the fused statistics UDF so the texts cross into Python once."""
     import re
 
     from corpuslab.functions.tokenize import CHRF_PUNCT, T13A_PRE, T13A_RULES

@@ -1,22 +1,5 @@
-"""Metric tokenisers as JVM column expressions.
-
-* ``tok_13a``      — the fixed 13a tokeniser of WMT BLEU (Post 2018).
-* ``chrf_chars``   — chrF character stream: the text with all whitespace removed.
-* ``chrf_words``   — chrF++ word tokens: whitespace split, one edge punctuation
-                     mark split off (trailing first, else leading).
-* ``rouge_words``  — ROUGE-L tokens before stemming: lower-case, runs of
-                     ``[a-z0-9]``.
-
-All return arrays of strings (or a string for ``chrf_chars``); the n-gram
-matching that follows is in ``corpuslab.functions.ngram``.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from corpuslab.functions.text import WS_CHARS, WS_CLASS, _c, ws_tokens
+"""Fixed tables of the metric tokenisers, used by the Arrow pass
+(``corpuslab.functions.ngram``) and by the SQL twins."""
 
 # ---- fixed values -------------------------------------------------------
 # 13a tokeniser of mteval-v13a / sacreBLEU, applied to ' ' + line + ' ':
@@ -32,41 +15,3 @@ T13A_RULES = [
 # Punctuation that chrF++ splits off word edges (Python string.punctuation).
 CHRF_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # ------------------------------------------------------------------------
-
-
-def tok_13a(c) -> Column:
-    """13a-tokenised word array of a (stripped) text column."""
-    s = _c(c)
-    for a, b in T13A_PRE:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.concat(F.lit(" "), s, F.lit(" "))
-    for pat, rep in T13A_RULES:
-        s = F.regexp_replace(s, pat, rep)
-    return ws_tokens(s)
-
-
-def chrf_chars(c) -> Column:
-    """chrF character stream: whitespace removed."""
-    return F.regexp_replace(_c(c), WS_CLASS, "")
-
-
-def _punct_chars() -> str:
-    return "".join("\\" + ch for ch in CHRF_PUNCT)
-
-
-def chrf_words(c) -> Column:
-    """chrF++ word tokens: a token of 2+ characters loses its last character
-    to a separate token when that is punctuation, else its first character
-    when that is punctuation. Two lookaround regexes (leading rule only for
-    tokens that do not end in punctuation, then the trailing rule) and a
-    split -- no per-token lambda."""
-    p, ws = _punct_chars(), WS_CHARS
-    lead = f"(?<![^{ws}])([{p}])(?=[^{ws}]*[^{p}{ws}](?![^{ws}]))"
-    trail = f"(?<=[^{ws}])([{p}])(?![^{ws}])"
-    s = F.regexp_replace(F.regexp_replace(_c(c), lead, "$1 "), trail, " $1")
-    return ws_tokens(s)
-
-
-def rouge_words(c) -> Column:
-    """ROUGE-L tokens before stemming."""
-    return F.array_remove(F.split(F.lower(_c(c)), "[^a-z0-9]+"), "")

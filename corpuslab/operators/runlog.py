@@ -78,10 +78,11 @@ def recent_points(log: DataFrame, n: int = 15, keys=RUN) -> DataFrame:
     return log.withColumn("recent_rank", F.row_number().over(w)).filter(F.col("recent_rank") <= n)
 
 
-def progress_eta(log: DataFrame, planned_steps: DataFrame | None = None, keys=RUN) -> DataFrame:
+def progress_eta(log: DataFrame, planned_steps: DataFrame | None = None, keys=RUN,
+                 effective_batch: int = 32, tokens_per_example: float = 0.0) -> DataFrame:
     """Per logged point elapsed minutes since the run's first point,
-    seconds per step, remaining steps and ETA minutes (planned = last step
-    of the run unless a plan table is given)."""
+    seconds per step, samples and tokens per second, remaining steps and ETA
+    minutes (planned = last step of the run unless a plan table is given)."""
     first = log.groupBy(*keys).agg(F.min_by(F.struct("ts", "step"), "ord").alias("f"),
                                    F.max("step").alias("planned"))
     if planned_steps is not None:
@@ -90,8 +91,10 @@ def progress_eta(log: DataFrame, planned_steps: DataFrame | None = None, keys=RU
     sec = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("f.ts").cast("timestamp"))) / F.lit(1e6)
     steps = F.col("step") - F.col("f.step")
     sps = F.when(steps > 0, sec / steps)
+    samples = F.try_divide(F.lit(float(effective_batch)), sps)
     return d.select(*keys, "ord", "step", F.round(sec / 60.0, 2).alias("elapsed_min"),
-                    F.round(sps, 4).alias("sec_per_step"),
+                    F.round(sps, 4).alias("sec_per_step"), F.round(samples, 2).alias("samples_per_s"),
+                    F.round(samples * F.lit(tokens_per_example), 1).alias("tokens_per_s"),
                     (F.col("planned") - F.col("step")).alias("remaining_steps"),
                     F.round((F.col("planned") - F.col("step")) * sps / 60.0, 1).alias("eta_min"))
 
@@ -105,7 +108,7 @@ def training_costs(log: DataFrame, effective_batch: int = 32, planned_steps: int
     ex = F.col("steps") * F.lit(effective_batch)
     out = a.select(*keys, "steps", ex.alias("examples_seen"),
                    F.round(secs / 60.0, 1).alias("train_minutes"), F.round(secs / 3600.0, 2).alias("train_hours"),
-                   F.round(secs / F.greatest(F.col("steps"), F.lit(1)), 4).alias("sec_per_step"),
+                   F.round(secs / F.greatest(F.col("steps"), F.lit(1)), 3).alias("sec_per_step"),
                    safe_rate(ex, secs).alias("examples_per_sec"),
                    (F.col("steps") < F.lit(planned_steps)).alias("early_stopped"))
     if mean_src_tokens is not None:
@@ -134,16 +137,59 @@ def pair_run_events(index: DataFrame, label_len: int = 28) -> DataFrame:
 
 
 def run_status(crashed, has_pred, trained, has_metrics, unreadable=None):
-    """Ordered CASE: crash -> CRASHED; else no predictions -> trained/no
-    predictions; else ok (or unreadable); then predictions without metrics ->
-    'not scored', overriding even CRASHED."""
-    base = (F.when(crashed, F.lit("CRASHED"))
-            .when(~has_pred, F.when(trained, F.lit("trained — run infer.py with this checkpoint"))
-                  .otherwise(F.lit("no predictions"))))
+    """P12, the first that holds: outputs without metrics -> 'outputs not
+    scored yet'; crash -> CRASHED; no outputs -> whether there is a trained
+    checkpoint; outputs that cannot be read; ok."""
+    base = F.when(has_pred & ~has_metrics, "outputs not scored yet").when(crashed, "CRASHED").when(
+        ~has_pred, F.when(trained, "trained, no outputs yet").otherwise("no outputs"))
     if unreadable is not None:
-        base = base.when(unreadable, F.lit("unreadable predictions"))
-    base = base.otherwise(F.lit("ok"))
-    return F.when(has_pred & ~has_metrics, F.lit("not scored (run evaluate.py)")).otherwise(base)
+        base = base.when(unreadable, "outputs cannot be read")
+    return base.otherwise("ok")
+
+
+# ---- fixed values: field names and types of a run's training record ------
+TRAINING_FIELDS = """mode string, epochs_requested double, epochs_completed double, steps bigint, max_steps_planned bigint,
+ early_stopped boolean, extended boolean, n_train bigint, n_dev bigint, effective_batch bigint, mean_src_tokens double,
+ examples_seen bigint, tokens_seen_approx bigint, trainable_params_M double, precision string, train_minutes double,
+ train_hours double, sec_per_step double, examples_per_sec double, mean_samples_per_s double, mean_tokens_per_s double,
+ peak_gpu_mem_gb double, initial_loss double, final_loss double, min_loss double, loss_reduction double,
+ loss_variance double, loss_std double, step_to_90pct_reduction bigint, best_eval_loss double, best_eval_step bigint,
+ final_eval_loss double, n_evals bigint, train_loss double"""
+ENVIRONMENT_FIELDS = ("hostname string, gpus array<struct<name: string, total_mem_gb: double>>, torch string, "
+                      "transformers string")
+INFERENCE_FIELDS = "translate_minutes double, overall_sentences_per_sec double"
+# ---------------------------------------------------------------------------
+
+
+def training_report(records: DataFrame) -> DataFrame:
+    """One row per trained run with every field of its training record; a
+    field the run did not record is NULL. ``records``: S6 over TRAINING_FIELDS."""
+    names = [f.strip().split(" ")[0] for f in TRAINING_FIELDS.replace("\n", " ").split(",")]
+    return records.select(*RUN, *names)
+
+
+def run_manifest(runs: DataFrame, outputs: DataFrame, environment: DataFrame, training: DataFrame,
+                 inference: DataFrame) -> DataFrame:
+    """J9 + P12 + P13: one row per run, left-joined with what its records say.
+
+    runs: model, setting, has_metrics, crashed; outputs: model, setting, n;
+    the others: S6 records. All are one row per run."""
+    t = training.select(*RUN, "train_minutes", "epochs_completed", "train_loss", F.col("mode").alias("ft_mode"), "n_train",
+                        F.lit(True).alias("trained"))
+    i = inference.select(*RUN, F.col("translate_minutes").alias("infer_minutes"),
+                         F.col("overall_sentences_per_sec").alias("sent_per_sec"))
+    e = environment.select(*RUN, "hostname", "gpus", "torch", "transformers")
+    m = runs.join(outputs, RUN, "left")
+    for side in (e, t, i):
+        m = m.join(side, RUN, "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    status = run_status(F.col("crashed"), F.col("n").isNotNull(), F.coalesce("trained", F.lit(False)), F.col("has_metrics"))
+    return m.select(
+        *RUN, status.alias("status"),
+        F.when(F.col("crashed"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_predictions"),
+        text("hostname"), F.coalesce(F.get("gpus", F.lit(0))["name"], F.lit("")).alias("gpu"), text("torch"), text("transformers"),
+        "train_minutes", "epochs_completed", "train_loss", "ft_mode", "n_train", "infer_minutes", "sent_per_sec",
+        F.concat_ws("/", *RUN).alias("path"))
 
 
 def group_timing(pred: DataFrame, seconds_col: str, keys=("model", "setting", "language", "src_lang")) -> DataFrame:
@@ -157,7 +203,7 @@ def group_timing(pred: DataFrame, seconds_col: str, keys=("model", "setting", "l
                     F.round(F.col("seconds") / 60.0, 2).alias("minutes"),
                     safe_rate("n_items", "seconds").alias("sentences_per_sec"),
                     F.round(F.col("seconds") / F.greatest(F.col("n_items"), F.lit(1)), 4).alias("sec_per_sentence"),
-                    "output_tokens", safe_rate("output_tokens", "seconds").alias("output_tokens_per_sec"),
+                    "output_tokens", F.round(F.col("output_tokens") / F.greatest(F.col("seconds"), F.lit(1e-6)), 1).alias("output_tokens_per_sec"),
                     "empty_outputs", safe_pct("empty_outputs", "n_items").alias("empty_pct"))
 
 

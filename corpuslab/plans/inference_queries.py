@@ -109,15 +109,16 @@ def expand_candidates(spark, sf):
 
 @query("known_candidates", sql=_w(PAIRS) + f""", vocab AS (SELECT DISTINCT lower(t) AS token FROM
  (SELECT unnest({ws_tokens('text')}) AS t FROM benchmark)),
- cands AS (SELECT DISTINCT language, lower({ws_tokens('tribal')}[1]) AS token FROM pairs)
+ cands AS (SELECT DISTINCT language, lower(t) AS token FROM (SELECT language, unnest({ws_tokens('tribal')}) AS t FROM pairs))
  SELECT c.language, c.token, v.token IS NOT NULL AS known FROM cands c LEFT JOIN vocab v ON c.token = v.token""")
 def known_candidates(spark, sf):
-    """Candidate words per language (first word of each tribal side)
+    """Candidate words per language (every word of the tribal sides)
     checked against the vocabulary of the benchmark table."""
     from corpuslab.functions.text import ws_tokens as wt
     from corpuslab.plans.corpus_queries import _pairs
     vocab = X.table(spark, sf, "benchmark").select(F.explode(wt("text")).alias("t")).select(F.lower("t").alias("token"))
-    cands = _pairs(spark, sf).select("language", F.lower(F.get(wt("tribal"), 0)).alias("token")).distinct()
+    cands = _pairs(spark, sf).select("language", F.explode(wt("tribal")).alias("t")).select(
+        "language", F.lower("t").alias("token")).distinct()
     return I.known_candidates(cands, vocab)
 
 
@@ -126,7 +127,13 @@ def run_sweep(spark, sf):
     """dev split x candidate tokens -> batch function -> per-token scores
     -> rank per language."""
     dev = _splits(spark, sf).filter(F.col("split") == "dev")
-    rows = I.expand_candidates(dev, _cand_table(spark), I.token_table(spark, SOURCE_TOKEN))
+    tokens = I.token_table(spark, SOURCE_TOKEN)
+    # every language must keep a candidate that the configured vocabulary knows
+    wanted = _cand_table(spark).select("language", F.explode("candidates").alias("token"))
+    vocab = wanted.select("token").union(tokens.select("src_lang"))
+    known = I.require_known(I.known_candidates(wanted, vocab)).groupBy("language").agg(
+        F.sort_array(F.collect_set("token")).alias("candidates"))
+    rows = I.expand_candidates(dev, known, tokens)
     pred = I.predict_batches(rows, token_dependent, "tribal", ["gid", "language", "english", "src_token"],
                              BATCH, token_col="src_token", fn_takes_token=True)
     st = M.segment_stats(pred.withColumn("model", F.lit("stub")), hyp="hyp", ref="english",

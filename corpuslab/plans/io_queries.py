@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import blank_trim
+from corpuslab.operators import corpus as C
 from corpuslab.operators import runlog as L
 from corpuslab.plans import fixtures as X
 from corpuslab.plans.corpus_queries import LANGS, PAIRS, _pairs, _w
@@ -25,7 +26,7 @@ def io_corpus_roundtrip(spark, sf):
     resolution, long/wide detection and NA folding; counts and characters per
     language must survive both round trips."""
     root = scratch(spark, "corpus")
-    pairs = _pairs(spark, sf).select("language", "english", "hindi", "tribal")
+    pairs = C.require_rows(_pairs(spark, sf).select("language", "english", "hindi", "tribal"))
     IO.write_corpus(pairs.select(F.col("language").alias("Language"), F.col("english").alias(" English "),
                                  F.col("hindi").alias("HINDI"), "tribal"), f"{root}/long")
     long = IO.read_pairs(IO.require_columns(IO.read_wide(spark, f"{root}/long"), ["language", "english", "tribal"]), LANGS)

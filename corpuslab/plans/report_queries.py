@@ -43,11 +43,6 @@ def _explode_sql():
  FROM macro"""
 
 
-def _tidy(spark, sf):
-    sc = _scored(spark, sf).persist()
-    return R.tidy_scores(sc, M.macro_average(sc, RUN)), sc
-
-
 @query("explode_scores", sql=_explode_sql())
 def explode_scores(spark, sf):
     """R4 + A10: nested per-run scores (map language -> struct) exploded back
@@ -156,7 +151,7 @@ TIMING_SQL = f"""timing AS (SELECT model, setting, language, src_lang, count(*)
 
 
 @query("group_timing", sql=X.with_ctes(X.PREDICTIONS_SQL, TIMING_SQL) + """SELECT model, setting, language, src_lang, n_items, seconds,
- minutes, sentences_per_sec, sec_per_sentence, output_tokens, round(output_tokens / greatest(seconds, 1e-6), 2) AS output_tokens_per_sec,
+ minutes, sentences_per_sec, sec_per_sentence, output_tokens, round(output_tokens / greatest(seconds, 1e-6), 1) AS output_tokens_per_sec,
  empty_outputs, round(100.0 * empty_outputs / greatest(n_items, 1), 2) AS empty_pct FROM timing""")
 def group_timing(spark, sf):
     """Per (run, language, source token) items, time, rates, output words, empties."""
@@ -172,17 +167,21 @@ def inference_rollup(spark, sf):
 
 
 @query("explode_groups", sql=X.with_ctes(X.PREDICTIONS_SQL, TIMING_SQL) + """SELECT model, setting,
- concat(language, '__', src_lang) AS "group", language, src_lang, n_items AS n, minutes, sentences_per_sec,
- empty_pct FROM (SELECT *, round(100.0 * empty_outputs / greatest(n_items, 1), 2) AS empty_pct FROM timing)""")
+ concat(language, '__', src_lang) AS "group", language, src_lang, n_items AS n, minutes, sentences_per_sec, sec_per_sentence,
+ round(output_tokens / greatest(seconds, 1e-6), 1) AS output_tokens_per_sec, 32 AS batch_size, 4 AS num_beams,
+ CAST(NULL AS DOUBLE) AS peak_gpu_mem_gb, round(100.0 * empty_outputs / greatest(n_items, 1), 2) AS empty_pct FROM timing""")
 def explode_groups(spark, sf):
     """R5 + P16: run statistics as JSON with a per_group list of structs,
-    parsed back and exploded into rows."""
+    parsed back and exploded into rows with all report columns; what a group
+    did not record (here: peak memory) is NULL."""
     t = _timing(spark, sf)
     g = F.struct(F.concat("language", F.lit("__"), "src_lang").alias("group"), "language", "src_lang",
-                 F.col("n_items").alias("n"), "minutes", "sentences_per_sec", "empty_pct")
+                 F.col("n_items").alias("n"), "minutes", "sentences_per_sec", "sec_per_sentence", "output_tokens_per_sec",
+                 F.lit(32).alias("batch_size"), F.lit(4).alias("num_beams"), "empty_pct")
     js = t.groupBy(*RUN).agg(F.to_json(F.struct(F.collect_list(g).alias("per_group"))).alias("stats_json"))
     schema = ("struct<per_group: array<struct<group: string, language: string, src_lang: string, n: bigint, "
-              "minutes: double, sentences_per_sec: double, empty_pct: double>>>")
+              "minutes: double, sentences_per_sec: double, sec_per_sentence: double, output_tokens_per_sec: double, "
+              "batch_size: int, num_beams: int, peak_gpu_mem_gb: double, empty_pct: double>>>")
     parsed = js.select(*RUN, F.from_json("stats_json", schema).alias("s"))
     return parsed.select(*RUN, F.explode("s.per_group").alias("g")).select(*RUN, "g.*")
 

@@ -9,13 +9,17 @@ from corpuslab.operators import reports as R
 from corpuslab.operators import runlog as L
 from corpuslab.plans import fixtures as X
 from corpuslab.plans.registry import query
+from corpuslab.plans.report_queries import SECONDS, TIMING_SQL
 from corpuslab.plans.sqltext import to_number
+from corpuslab.sources import io as IO
+from corpuslab.streaming.live import scratch
 
 RUN = ["model", "setting"]
 # ---- fixed values -------------------------------------------------------
 EFFECTIVE_BATCH = 32      # batch 16 x accumulation 2
 PLANNED_STEPS = 250_000
 RECENT_N = 15
+MEAN_SRC_TOKENS = 24.5    # stand-in: the logs have no texts
 # ------------------------------------------------------------------------
 
 NUM = f"""num AS (SELECT *, {to_number('loss')} AS loss_n, {to_number('eval_loss')} AS eval_loss_n,
@@ -74,40 +78,60 @@ def recent_points(spark, sf):
 @query("progress_eta", sql=X.with_ctes(X.LOSS_LOG_SQL) + """, f AS (SELECT model, setting, arg_min((ts, step), ord) AS f, max(step) AS planned
  FROM loss_log GROUP BY ALL)
  SELECT l.model, l.setting, l.ord, l.step,
-  round((epoch_us(l.ts) - epoch_us(f.f[1])) / 1e6 / 60.0, 2) AS elapsed_min,
-  round(CASE WHEN l.step - f.f[2] > 0 THEN (epoch_us(l.ts) - epoch_us(f.f[1])) / 1e6 / (l.step - f.f[2]) END, 4) AS sec_per_step,
+  round((epoch_us(l.ts) - epoch_us(l.f[1])) / 1e6 / 60.0, 2) AS elapsed_min,
+  round(sps, 4) AS sec_per_step, round(CASE WHEN sps <> 0 THEN 32.0 / sps END, 2) AS samples_per_s,
+  round(CASE WHEN sps <> 0 THEN 32.0 / sps END * 24.5, 1) AS tokens_per_s,
   planned - l.step AS remaining_steps,
-  round((planned - l.step) * CASE WHEN l.step - f.f[2] > 0 THEN (epoch_us(l.ts) - epoch_us(f.f[1])) / 1e6 / (l.step - f.f[2]) END / 60.0, 1) AS eta_min
- FROM loss_log l JOIN f ON l.model = f.model AND l.setting = f.setting""")
+  round((planned - l.step) * sps / 60.0, 1) AS eta_min
+ FROM (SELECT l.*, f.f, f.planned, CASE WHEN l.step - f.f[2] > 0 THEN (epoch_us(l.ts) - epoch_us(f.f[1])) / 1e6 / (l.step - f.f[2]) END AS sps
+  FROM loss_log l JOIN f ON l.model = f.model AND l.setting = f.setting) l""")
 def progress_eta(spark, sf):
     """Elapsed time, seconds per step and ETA of every logged point."""
-    return L.progress_eta(X.loss_log(spark, sf))
+    return L.progress_eta(X.loss_log(spark, sf), effective_batch=EFFECTIVE_BATCH, tokens_per_example=MEAN_SRC_TOKENS)
 
 
 COSTS_SQL = f"""costs AS (SELECT model, setting, steps, steps * {EFFECTIVE_BATCH} AS examples_seen,
   round(secs / 60.0, 1) AS train_minutes, round(secs / 3600.0, 2) AS train_hours,
-  round(secs / greatest(steps, 1), 4) AS sec_per_step, round(steps * {EFFECTIVE_BATCH} / greatest(secs, 1e-6), 2) AS examples_per_sec,
-  steps < {PLANNED_STEPS} AS early_stopped
+  round(secs / greatest(steps, 1), 3) AS sec_per_step, round(steps * {EFFECTIVE_BATCH} / greatest(secs, 1e-6), 2) AS examples_per_sec,
+  steps < {PLANNED_STEPS} AS early_stopped, CAST(steps * {EFFECTIVE_BATCH} * {MEAN_SRC_TOKENS} AS BIGINT) AS tokens_seen_approx
  FROM (SELECT model, setting, max(step) AS steps, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS secs FROM loss_log GROUP BY ALL))"""
 
 
 @query("training_costs", sql=X.with_ctes(X.LOSS_LOG_SQL, COSTS_SQL) + "SELECT * FROM costs")
 def training_costs(spark, sf):
     """P17 + P18: examples seen, wall time, per-step cost, early stop flag."""
-    return L.training_costs(X.loss_log(spark, sf), EFFECTIVE_BATCH, PLANNED_STEPS)
+    return L.training_costs(X.loss_log(spark, sf), EFFECTIVE_BATCH, PLANNED_STEPS, MEAN_SRC_TOKENS)
 
 
-@query("training_report", sql=_w(STATS_SQL, COSTS_SQL) + """SELECT c.*, s.initial_loss, s.final_loss, s.min_loss,
- s.loss_reduction, s.loss_variance, s.loss_std, s.step_to_90pct_reduction, s.mean_samples_per_s, s.mean_tokens_per_s,
- s.peak_gpu_mem_gb, s.best_eval_loss, s.best_eval_step, s.final_eval_loss, s.n_evals, CAST(NULL AS VARCHAR) AS mode
- FROM costs c JOIN stats s ON c.model = s.model AND c.setting = s.setting""")
-def training_report(spark, sf):
-    """One row per trained run with the fixed report fields; a field the
-    run did not record (here: mode) is NULL; untrained runs are omitted."""
+_REPORT_SQL = f"""report AS (SELECT c.*, s.initial_loss, s.final_loss, s.min_loss, s.loss_reduction, s.loss_variance, s.loss_std,
+  s.step_to_90pct_reduction, s.mean_samples_per_s, s.mean_tokens_per_s, s.peak_gpu_mem_gb, s.best_eval_loss, s.best_eval_step,
+  s.final_eval_loss, s.n_evals, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS DOUBLE) AS epochs_requested,
+  CAST(NULL AS DOUBLE) AS epochs_completed, {PLANNED_STEPS} AS max_steps_planned, c.steps > {PLANNED_STEPS} AS extended,
+  s.n_logged_points AS n_train, CAST(NULL AS BIGINT) AS n_dev, {EFFECTIVE_BATCH} AS effective_batch,
+  CAST({MEAN_SRC_TOKENS} AS DOUBLE) AS mean_src_tokens, CAST(NULL AS DOUBLE) AS "trainable_params_M", 'fp32' AS precision,
+  s.final_loss AS train_loss FROM costs c JOIN stats s ON c.model = s.model AND c.setting = s.setting)"""
+
+
+def _training_records(spark, sf):
+    """S6 over the runs' training records, which are written from the logs
+    first (K3); what a log does not tell is not in the record."""
     log = X.loss_log(spark, sf)
-    c = L.training_costs(log, EFFECTIVE_BATCH, PLANNED_STEPS)
-    s = L.loss_curve_stats(log).drop("n_logged_points")
-    return c.join(s, RUN).withColumn("mode", F.lit(None).cast("string"))
+    c = L.training_costs(log, EFFECTIVE_BATCH, PLANNED_STEPS, MEAN_SRC_TOKENS)
+    s = L.loss_curve_stats(log).withColumnRenamed("n_logged_points", "n_train")
+    rec = c.join(s, RUN).withColumns({
+        "max_steps_planned": F.lit(PLANNED_STEPS), "extended": F.col("steps") > PLANNED_STEPS,
+        "effective_batch": F.lit(EFFECTIVE_BATCH), "mean_src_tokens": F.lit(MEAN_SRC_TOKENS),
+        "precision": F.lit("fp32"), "train_loss": F.col("final_loss")})
+    root = scratch(spark, "train_metrics")
+    IO.write_nested(rec, root, partition_by=tuple(RUN))
+    return IO.read_run_json(spark, root, "", L.TRAINING_FIELDS, layout="hive")
+
+
+@query("training_report", sql=_w(STATS_SQL, COSTS_SQL, _REPORT_SQL) + "SELECT * FROM report")
+def training_report(spark, sf):
+    """One row per trained run with all fields of its training record,
+    read from per-run JSON; untrained runs are omitted."""
+    return L.training_report(_training_records(spark, sf))
 
 
 @query("stack_curves", sql=X.with_ctes(X.LOSS_LOG_SQL) + """SELECT model, setting, ord, step, loss, NULL AS eval_loss FROM loss_log WHERE loss <> ''
@@ -150,49 +174,47 @@ def elapsed_minutes(spark, sf):
 
 MANIFEST_SQL = f"""runs AS (SELECT DISTINCT model, setting FROM predictions UNION SELECT DISTINCT model, setting FROM loss_log),
  pc AS (SELECT model, setting, count(*) AS n FROM predictions GROUP BY ALL),
- tl AS (SELECT model, setting, max(step) AS steps, arg_max(loss, ord) AS last_loss,
-   '{{"gpus": [{{"name": "gpu' || CAST(max(user_id_mod) AS VARCHAR) || '"}}], "hostname": "node' || model || '"}}' AS env_json
-   FROM (SELECT *, CAST(regexp_extract(model, '[0-9]+') AS BIGINT) AS user_id_mod FROM loss_log) GROUP BY model, setting),
- m AS (SELECT r.model, r.setting, pc.n IS NOT NULL AS has_pred, tl.steps IS NOT NULL AS trained,
+ tl AS (SELECT model, setting, arg_max(loss, ord) AS last_loss FROM loss_log GROUP BY model, setting),
+ roll AS (SELECT model, setting, round(sum(seconds) / 60.0, 2) AS infer_minutes,
+   round(sum(n_items) / greatest(sum(seconds), 1e-6), 2) AS sent_per_sec FROM timing GROUP BY ALL),
+ m AS (SELECT r.model, r.setting, pc.n IS NOT NULL AS has_pred, p.steps IS NOT NULL AS trained, tl.model IS NOT NULL AS logged,
    pc.n IS NOT NULL AND r.setting <> 'sweep' AS has_metrics, coalesce(tl.last_loss = 'nan', false) AS crashed,
-   coalesce(pc.n, 0) AS n_pred, tl.env_json FROM runs r LEFT JOIN pc ON r.model = pc.model AND r.setting = pc.setting
-   LEFT JOIN tl ON r.model = tl.model AND r.setting = tl.setting)
+   coalesce(pc.n, 0) AS n_pred, p.train_minutes, p.epochs_completed, p.train_loss, p.mode AS ft_mode, p.n_train,
+   roll.infer_minutes, roll.sent_per_sec
+   FROM runs r LEFT JOIN pc ON r.model = pc.model AND r.setting = pc.setting
+   LEFT JOIN tl ON r.model = tl.model AND r.setting = tl.setting
+   LEFT JOIN report p ON r.model = p.model AND r.setting = p.setting
+   LEFT JOIN roll ON r.model = roll.model AND r.setting = roll.setting)
  SELECT model, setting,
-  CASE WHEN has_pred AND NOT has_metrics THEN 'not scored (run evaluate.py)'
-   WHEN crashed THEN 'CRASHED' WHEN NOT has_pred THEN CASE WHEN trained THEN 'trained — run infer.py with this checkpoint' ELSE 'no predictions' END
-   ELSE 'ok' END AS status,
+  CASE WHEN has_pred AND NOT has_metrics THEN 'outputs not scored yet' WHEN crashed THEN 'CRASHED'
+   WHEN NOT has_pred THEN CASE WHEN trained THEN 'trained, no outputs yet' ELSE 'no outputs' END ELSE 'ok' END AS status,
   CASE WHEN crashed THEN 0 ELSE n_pred END AS n_predictions,
-  coalesce(json_extract_string(env_json, '$.hostname'), '') AS hostname,
-  coalesce(json_extract_string(env_json, '$.gpus[0].name'), '') AS gpu FROM m"""
+  CASE WHEN logged THEN 'node' || model ELSE '' END AS hostname,
+  CASE WHEN logged THEN 'gpu' || regexp_extract(model, '[0-9]+') ELSE '' END AS gpu,
+  CASE WHEN logged THEN '2' ELSE '' END AS torch, '' AS transformers, train_minutes, epochs_completed, train_loss, ft_mode, n_train,
+  infer_minutes, sent_per_sec, model || '/' || setting AS path FROM m"""
 
 
-@query("run_manifest", sql=X.with_ctes(X.PREDICTIONS_SQL, X.LOSS_LOG_SQL, MANIFEST_SQL))
+@query("run_manifest", sql=X.with_ctes(X.PREDICTIONS_SQL, X.LOSS_LOG_SQL, NUM, STATS_SQL, COSTS_SQL, _REPORT_SQL, TIMING_SQL, MANIFEST_SQL))
 def run_manifest(spark, sf):
-    """J9 + P12 + P13: one row per run (predictions or training log), left-joined
-    with prediction counts, training presence, crash marker (last logged loss is
-    'nan') and an environment JSON; status by the ordered CASE; first GPU name
-    and hostname via safe nested access."""
+    """J9 + P12 + P13: one row per run (outputs or training log) with what its
+    training, inference and environment records (per-run JSON) say."""
     pred = X.predictions(spark, sf)
     log = X.loss_log(spark, sf)
-    runs = pred.select(*RUN).distinct().union(log.select(*RUN).distinct()).distinct()
-    pc = pred.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
-    tl = (log.withColumn("k", F.regexp_extract("model", "[0-9]+", 0).cast("long"))
-          .groupBy(*RUN).agg(F.max("step").alias("steps"), F.max_by("loss", "ord").alias("last_loss"),
-                             F.max("k").alias("k")))
-    tl = tl.withColumn("env_json", F.concat(F.lit('{"gpus": [{"name": "gpu'), F.col("k").cast("string"),
-                                            F.lit('"}], "hostname": "node'), F.col("model"), F.lit('"}')))
-    env_schema = "struct<hostname: string, gpus: array<struct<name: string, total_mem_gb: double>>>"
-    m = (runs.join(pc, RUN, "left").join(tl, RUN, "left")
-         .withColumn("has_pred", F.col("n").isNotNull())
-         .withColumn("trained", F.col("steps").isNotNull())
-         .withColumn("has_metrics", F.col("n").isNotNull() & (F.col("setting") != "sweep"))
-         .withColumn("crashed", F.coalesce(F.col("last_loss") == "nan", F.lit(False)))
-         .withColumn("env", F.from_json("env_json", env_schema)))
-    return m.select(
-        *RUN, L.run_status(F.col("crashed"), F.col("has_pred"), F.col("trained"), F.col("has_metrics")).alias("status"),
-        F.when(F.col("crashed"), F.lit(0)).otherwise(F.coalesce(F.col("n"), F.lit(0))).cast("long").alias("n_predictions"),
-        F.coalesce(F.col("env.hostname"), F.lit("")).alias("hostname"),
-        F.coalesce(F.get(F.col("env.gpus"), 0)["name"], F.lit("")).alias("gpu"))
+    last = log.groupBy(*RUN).agg(F.max_by("loss", "ord").alias("last_loss"))
+    runs = (pred.select(*RUN).union(log.select(*RUN)).distinct().join(last, RUN, "left")
+            .withColumn("crashed", F.coalesce(F.col("last_loss") == "nan", F.lit(False))))
+    outputs = pred.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("has_metrics", F.col("setting") != "sweep")
+    root = scratch(spark, "records")
+    env = last.select(*RUN, F.concat(F.lit("node"), "model").alias("hostname"), F.array(F.struct(
+        F.concat(F.lit("gpu"), F.regexp_extract("model", "[0-9]+", 0)).alias("name"))).alias("gpus"), F.lit("2").alias("torch"))
+    IO.write_nested(env, f"{root}/environment", partition_by=tuple(RUN))
+    timing = L.group_timing(pred.withColumn("seconds", F.expr(SECONDS)), "seconds")
+    IO.write_nested(L.inference_rollup(timing), f"{root}/inference", partition_by=tuple(RUN))
+    return L.run_manifest(
+        runs, outputs, IO.read_run_json(spark, f"{root}/environment", "", L.ENVIRONMENT_FIELDS, layout="hive"),
+        _training_records(spark, sf), IO.read_run_json(spark, f"{root}/inference", "", L.INFERENCE_FIELDS, layout="hive"))
 
 
 @query("needs_attention_runs", sql=X.with_ctes(X.RUN_INDEX_SQL, PAIR_SQL) + """SELECT ord, log_file, label, status FROM paired
