@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 CHAR_ORDER = 6
 WORD_ORDER = 2
 BLEU_ORDER = 4
+REF_CACHE_CHARS = 1 << 20
 
 
 def _dense_ids(a_tokens, b_tokens):
@@ -139,19 +140,77 @@ def _orders(a: np.ndarray, b: np.ndarray, k: int, orders) -> list[int]:
     return out
 
 
-def chrf_segment(h_chars: str, r_chars: str, h_words, r_words) -> list[int]:
-    a, b, k = _char_ids(h_chars, r_chars)
-    out = _orders(a, b, k, range(1, CHAR_ORDER + 1))
-    a, b, k = _dense_ids(h_words, r_words)
-    return out + _orders(a, b, k, range(1, WORD_ORDER + 1))
+class Counted:
+    """One side of many pairs (a reference): its symbols, and the sorted keys
+    of its n-grams of every order, worked out once.
+
+    Symbols of the other side that do not occur here share one id: a gram that
+    contains one cannot match, so counts and clipped matches stay exact."""
+
+    def __init__(self, symbols, top: int):
+        self.symbols, self.top = symbols, top
+        if isinstance(symbols, str):
+            codes = _codes(symbols)
+            self.known, ids = np.unique(codes, return_inverse=True)
+            k = len(self.known)
+        else:
+            self.known = {}
+            ids = np.array([self.known.setdefault(x, len(self.known)) for x in symbols], dtype=np.int64)
+            k = len(self.known)
+        self.size, self.unknown = len(ids), k
+        self.bits = max(1, (k + 2).bit_length())
+        self.packs = self.bits * top <= 62
+        if self.packs:
+            keys, mask = _window_keys(ids.astype(np.int64) + 1, top, self.bits), (1 << self.bits) - 1
+            shifted = [keys >> (self.bits * (top - n)) for n in range(1, top + 1)]
+            self.orders = [g[(g & mask) != 0] for g in shifted]
+
+    def ids_of(self, symbols) -> np.ndarray:
+        if isinstance(symbols, str):
+            codes = _codes(symbols)
+            at = np.searchsorted(self.known, codes)
+            at[at == len(self.known)] = 0
+            return np.where(self.known[at] == codes, at, self.unknown) if len(self.known) else np.zeros(len(codes), dtype=np.int64)
+        return np.array([self.known.get(x, self.unknown) for x in symbols], dtype=np.int64)
+
+    def against(self, symbols) -> list[int]:
+        """[count there, count here, clipped matches] for each order."""
+        if not self.packs:  # too many distinct symbols for one key
+            a, b, k = (_char_ids if isinstance(symbols, str) else _dense_ids)(symbols, self.symbols)
+            return _orders(a, b, k, range(1, self.top + 1))
+        n, top, out = len(symbols), self.top, []
+        if n == 0 or self.size == 0:
+            return [x for o in range(1, top + 1) for x in (max(0, n - o + 1), max(0, self.size - o + 1), 0)]
+        keys, mask = _window_keys(self.ids_of(symbols).astype(np.int64) + 1, top, self.bits), (1 << self.bits) - 1
+        for o in range(1, top + 1):
+            own, here = keys >> (self.bits * (top - o)), self.orders[o - 1]
+            own = own[(own & mask) != 0]
+            if own.shape[0] == 0 or here.shape[0] == 0:
+                out += [int(own.shape[0]), int(here.shape[0]), 0]
+                continue
+            u, c = _run_counts(own)
+            there = np.searchsorted(here, u, "right") - np.searchsorted(here, u, "left")
+            out += [int(own.shape[0]), int(here.shape[0]), int(np.minimum(c, there).sum())]
+        return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def chrf_segment(h_chars: str, r_chars, h_words, r_words) -> list[int]:
+    """24 chrF++ counts; a reference side may be ``Counted`` already."""
+    chars = r_chars if isinstance(r_chars, Counted) else Counted(r_chars, CHAR_ORDER)
+    words = r_words if isinstance(r_words, Counted) else Counted(r_words, WORD_ORDER)
+    return chars.against(h_chars) + words.against(h_words)
 
 
 def bleu_segment(h_tokens, r_tokens) -> list[int]:
-    a, b, k = _dense_ids(h_tokens, r_tokens)
-    st = _orders(a, b, k, range(1, BLEU_ORDER + 1))
+    ref = r_tokens if isinstance(r_tokens, Counted) else Counted(r_tokens, BLEU_ORDER)
+    st = ref.against(h_tokens)
     matches = [st[3 * i + 2] for i in range(BLEU_ORDER)]
     totals = [st[3 * i] for i in range(BLEU_ORDER)]
-    return [int(a.size), int(b.size)] + matches + totals
+    return [len(h_tokens), ref.size] + matches + totals
 
 
 def lcs(a, b) -> int:
@@ -239,11 +298,18 @@ def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd
         return ("".join(s.split()) if do_chrf else None, cw(s) if do_chrf else None,
                 t13(s) if do_bleu else None, words)
 
-    # Systems scored on one test set share references: tokenise each
-    # distinct reference of the batch once (small LRU; rows are spread by
-    # the reference key, so repeats of a reference meet in one task).
+    def reference(s: str, *flags):
+        chars, words, tokens, rouge_words = side(s, *flags)
+        return (Counted(chars, CHAR_ORDER) if flags[2] else None, Counted(words, WORD_ORDER) if flags[2] else None,
+                Counted(tokens, BLEU_ORDER) if flags[3] else None, rouge_words)
+
+    # Systems scored on one test set share references: each distinct reference
+    # of the batch is tokenised and counted once (rows are spread by the
+    # reference key, so repeats of a reference meet in one task). The cache is
+    # bounded by the characters it holds.
     from collections import OrderedDict
     ref_cache: OrderedDict = OrderedDict()
+    held = 0
     chrf, bleu, rl = [], [], []
     for h, r, do_rouge, do_stem, do_chrf, do_bleu in zip(hyp, ref, rouge, stem, chrf_on, bleu_on):
         h, r = h or "", r or ""
@@ -251,9 +317,10 @@ def segment_stats_udf(hyp: pd.Series, ref: pd.Series, rouge: pd.Series, stem: pd
         key = (r, *flags)
         rs = ref_cache.get(key)
         if rs is None:
-            if len(ref_cache) >= 256:
-                ref_cache.popitem(last=False)
-            rs = ref_cache[key] = side(r, *flags)
+            while ref_cache and held + len(r) > REF_CACHE_CHARS:
+                held -= len(ref_cache.popitem(last=False)[0][0])
+            rs = ref_cache[key] = reference(r, *flags)
+            held += len(r)
         else:
             ref_cache.move_to_end(key)
         hs = side(h, *flags)

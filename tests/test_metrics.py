@@ -162,3 +162,22 @@ def test_broadcast_limit_respects_off(spark):
             assert M.broadcast_limit(spark) == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_texts_with_very_many_symbols():
+    """Beyond what one packed key holds: the other counting path, same counts."""
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    ref = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(5000))
+    hyp = ref[100:2000] + "".join(chr(0x4E00 + r.randrange(6000)) for _ in range(500)) + ref[:700]
+    side = ngram.Counted(ref, ngram.CHAR_ORDER)
+    assert not side.packs
+    want = []
+    for n in range(1, ngram.CHAR_ORDER + 1):
+        a, b = (Counter(x[i:i + n] for i in range(len(x) - n + 1)) for x in (hyp, ref))
+        want += [sum(a.values()), sum(b.values()), sum((a & b).values())]
+    assert side.against(hyp) == want
+    few = ngram.Counted(ref[:300], ngram.CHAR_ORDER)
+    assert few.packs and few.against(hyp)[0] == len(hyp)
