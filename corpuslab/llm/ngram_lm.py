@@ -253,10 +253,10 @@ def score(df: DataFrame, part: Column, chunk_chars: int = 3_000_000) -> DataFram
     rows = rows.withColumn("chunk", F.col("part") * F.lit(1 << 40)
                            + F.pmod(F.xxhash64("doc_id", "raw"), chunks[F.col("part")]))
     buckets = max(1, math.ceil(sum(sizes.values()) / (4 * chunk_chars)))
-    # a few chunks a task, one bucket a task: what a task holds does not grow with the input
-    tasks = max(1, math.ceil(sum(sizes.values()) / (2 * chunk_chars)))
+    # a chunk or a few, or a bucket or a few, a task: what it holds does not grow with the input
+    tasks = max(1, math.ceil(sum(sizes.values()) / chunk_chars))
     rows = rows.repartition(tasks, "chunk")
-    asked = rows.groupBy("chunk").applyInArrow(_asker(buckets), _ASK_SQL).repartition(buckets, "bucket")
+    asked = rows.groupBy("chunk").applyInArrow(_asker(buckets), _ASK_SQL).repartition(2 * buckets, "bucket")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _ANSWER_SQL), "lm-answers")
     total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "train_n", "train_v")]).first()
     reply = answers.drop("n", "v", "train_n", "train_v").repartition(tasks, "chunk")
