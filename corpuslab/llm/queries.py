@@ -113,3 +113,22 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.with_spans(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_exact_top_k"] = """WITH v AS (SELECT vec_id,
+  list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.z, v.z) AS BIGINT) AS score
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+ SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM s) WHERE nth <= 20"""
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\s'), '<', '\\l'), '[', '\\b')"
+ORACLE_SQL["op7_chat_formatting"] = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('{chat.OPEN}' || {_ESCAPED.format('role')} || CASE WHEN role = 'assistant' THEN '{chat.TRAINED}' ELSE '{chat.UNTRAINED}' END
+   || {_ESCAPED.format('text')} || '{chat.END}')) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
