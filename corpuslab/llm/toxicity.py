@@ -5,7 +5,8 @@ and the first 4 to 7 letters of a word marked as stems; the longest known stem
 stands in for a word that was not seen often enough. A token's score is its log-odds between
 toxic and clean documents under an informative Dirichlet prior (prior counts in
 proportion to the token's frequency in both), counted once a document, and only
-kept when it exceeds ``z`` standard errors; every other token costs ``drift``.
+kept when it exceeds ``least_gain`` and the classes' rates are ``z`` standard
+errors apart; every other token costs ``drift``.
 So long stretches score below zero and the segments that score above it are
 the toxic passages.
 
@@ -13,8 +14,8 @@ Scoring (a map over documents): one linear scan finds all maximal scoring
 segments of the whole text. Their sums follow an extreme-value law in clean
 text: with lambda the root of sum p(s) exp(lambda s) = 1 over clean tokens, a
 segment of sum S in n tokens has a P-value of 1 - exp(-K n exp(-lambda S)). A
-document's evidence is the sum of the normalised scores lambda S - ln n of its
-segments (at least the best one), and a Gumbel link, whose place and width are
+document's evidence is the sum of lambda S over the segments expected at most
+once by chance (at least the best one) less ln n, and a Gumbel link, whose place and width are
 fitted on the sample's labels, turns it into a probability.
 
 Defined cases: null, empty or letterless text has the score of a document
@@ -108,9 +109,12 @@ class ToxicityModel:
         return [(*x, p) for x, p in zip(found, ps) if p <= self.alpha]
 
     def evidence(self, n: int, found: list) -> float:
-        norm = [self.lam * s - math.log(max(1, n)) for s, _, _ in found]
-        strong = [x for x in norm if x > 0]
-        return sum(strong) if strong else max(norm, default=-math.log(max(1, n)) - 1)
+        """Sum of the passages expected at most once by chance, on the scale
+        of the extreme-value law; the best segment if there is none."""
+        chance = math.log(max(1.0, self.k * n))
+        scaled = [self.lam * s for s, _, _ in found]
+        strong = [x for x in scaled if x >= chance]
+        return (sum(strong) if strong else max(scaled, default=-1.0)) - math.log(max(1, n))
 
     def probability(self, evidence: float) -> float:
         if not self.width:
@@ -137,7 +141,7 @@ def _lambda(gains: np.ndarray, weight: np.ndarray, drift: float, rest: float) ->
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.5, prior: float = 20.0,
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 7.0, least_gain: float = 3.5, prior: float = 5.0,
         drift: float = 0.05, alpha: float = 0.01, seed: int = 6) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id,
     toxic). ``per_class`` bounds the sample of each class, from which both the
@@ -153,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.
     # the ids are sampled before any text moves; about 2 * per_class of them
     chosen = labelled_sample(known, "toxic", per_class, seed, "doc_id")
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4)).alias("part")), "labelled-texts")
+        "text", "toxic", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(4)).alias("part"))
+                         .dropDuplicates(["text", "toxic"]), "labelled-texts")  # copies are one witness
 
     def count(batches):
         once, every, docs_seen = [Counter(), Counter()], Counter(), [0, 0]
@@ -182,9 +187,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 3.
     every = (total["clean"] + total["toxic"]) * scale
     y1, y0 = F.col("toxic") + own, F.col("clean") + own
     odds = F.log(y1 / (total["toxic"] + every - y1)) - F.log(y0 / (total["clean"] + every - y0))
+    # how many standard errors the two rates are apart if both classes used the token alike
+    pooled = (F.col("toxic") + F.col("clean")) / (total["toxic"] + total["clean"])
+    apart = ((F.col("toxic") / total["toxic"] - F.col("clean") / total["clean"])
+             / F.sqrt(pooled * (1 / total["toxic"] + 1 / total["clean"])))
     kept = (counts.filter("token <> ''").withColumn("gain", odds)
-            .filter(F.col("gain") > z * F.sqrt(1 / y1 + 1 / y0)).filter("gain > 0.7")
-            .select("token", "gain", "uses").toPandas())  # at least z^2 documents of the sample each
+            .filter(apart > z).filter(F.col("gain") > least_gain)
+            .select("token", "gain", "uses").toPandas())  # tokens of a bounded sample
     counts.unpersist()
     model.gains = dict(zip(kept["token"], kept["gain"]))
     plain = kept[~kept["token"].str.endswith("*")]
