@@ -43,9 +43,9 @@ def _status_py(crash, pred, trained, metrics):
     if crash:
         status = "CRASHED"
     elif not pred:
-        status = "trained — run infer.py with this checkpoint" if trained else "no predictions"
+        status = "trained, no outputs yet" if trained else "no outputs"
     if pred and not metrics:
-        status = "not scored (run evaluate.py)"
+        status = "outputs not scored yet"
     return status
 
 
