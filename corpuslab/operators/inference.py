@@ -90,10 +90,10 @@ def token_table(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
 def attach_source_token(df: DataFrame, tokens: DataFrame, lang: str = "language") -> DataFrame:
     """Language -> source token; a language without a token is an error,
     raised inside the same pass (``raise_error``) instead of a pre-pass.
-    ``tokens`` is a fixed configuration table (one row per language), so it is
-    broadcast."""
+    ``tokens`` is a configuration table (one row per language); Spark broadcasts
+    it if its size allows."""
     t = tokens.withColumnRenamed("language", lang)
-    j = df.join(F.broadcast(t), lang, "left")
+    j = df.join(t, lang, "left")
     msg = F.concat(F.lit("no source token configured for language "), F.coalesce(F.col(lang), F.lit("NULL")))
     return j.withColumn("src_lang", F.coalesce(F.col("src_lang"), F.raise_error(msg).cast("string")))
 
@@ -102,10 +102,10 @@ def expand_candidates(df: DataFrame, candidates: DataFrame, tokens: DataFrame,
                       lang: str = "language") -> DataFrame:
     """Every row x each candidate token of its language; [source token]
     when the language has no candidates. Both tables are per-language
-    configuration (bounded by the language count) and are broadcast."""
+    configuration; Spark broadcasts them if their size allows."""
     cand = (tokens.join(candidates, "language", "left")
             .select("language", F.explode(F.coalesce(F.col("candidates"), F.array("src_lang"))).alias("src_token")))
-    return df.join(F.broadcast(cand.withColumnRenamed("language", lang)), lang)
+    return df.join(cand.withColumnRenamed("language", lang), lang)
 
 
 def known_candidates(cands: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
