@@ -76,7 +76,7 @@ def mix(df: DataFrame, seed: int = 4, weights=WEIGHTS, share: float = 1.0, max_e
     keyed = materialize(sized.select(
         "doc_id", "source", "size", row_key(seed).alias("row"),
         (-F.log(u) / quality(text, F.col("size"))).alias("key")), "mix-rows")
-    # buckets of equal expected weight are not needed, only a monotone map to 0..BUCKETS
+    # any monotone map of the keys to 0..BUCKETS will do
     keyed = keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key")))).cast("int"))
     source_rows = keyed.groupBy("source").agg(F.sum("size").cast("long").alias("size"))
     goal = materialize(targets(source_rows, weights, share, max_epochs)
