@@ -12,7 +12,8 @@ holds it, found as the lowest set bit of a bitset keyed by free space. At most
 Defined cases: null text packs as an empty text (one end id); equal rows are
 packed once each; ties are broken by ids, so a rerun gives the same sequences
 up to rows that are equal in every column; an empty table gives no rows; other
-columns are ignored, whatever their names.
+columns are ignored, whatever their names; a special token's string in a text is
+that token's id, as in the tokenizers library by default.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from corpuslab.llm.common import materialize, plain_names
 def encoder(path: str):
     """A fast encoder with the vocabulary of a byte-level BPE file of
     ``tokenizers``; its ids are those that library gives for the same file
-    (tested), with special tokens' strings in a text read as ordinary text."""
+    (tested), for special tokens' strings in a text too."""
     import public_tokenizers
     import tiktoken
 
@@ -43,16 +44,18 @@ def encoder(path: str):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain}
     byte_of.update({chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)})
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """uint32 ids of each text."""
+def token_ids(texts: list[str], path: str, special: bool = False) -> Iterator[np.ndarray]:
+    """uint32 ids of each text. With ``special``, as the tokenizers library does
+    by default, a special token's string is that token; without, ordinary text
+    (the library's ``encode_special_tokens``)."""
     enc = encoder(path)
     for text in texts:
-        yield enc.encode_to_numpy(text, disallowed_special=())
+        yield enc.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
@@ -72,7 +75,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFra
             ids = b.column("doc_id")
             texts = [t or "" for t in b.column("text").to_pylist()]
             at, piece, start, length, crc = [], [], [], [], []
-            for i, own in enumerate(token_ids(texts, tokenizer)):
+            for i, own in enumerate(token_ids(texts, tokenizer, special=True)):
                 raw = memoryview(own.tobytes() + end_id.to_bytes(4, "little"))
                 for k, (s, n) in enumerate(cut(len(own) + 1, capacity)):
                     at.append(i)

@@ -75,3 +75,20 @@ def test_packing(odd_docs):
     assert packing.pack(odd_docs.limit(0), PATH).count() == 0
     again = packing.pack(odd_docs, PATH, capacity=64, end_id=2, open_bins=16, group_pieces=200).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
+
+
+def test_special_tokens_in_texts_are_those_of_the_library_by_default(make_docs):
+    t = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n <|endoftext|>y", "<|endoftext| >",
+             " ".join(["word <|endoftext|>"] * 100)]
+    rows = packing.pack(make_docs([(i, x, "en", "s") for i, x in enumerate(texts)]), PATH, capacity=64, end_id=2).collect()
+    by_piece = {(r["doc_id"], r["piece"]): r for r in rows}
+    n = 0
+    for i, x in enumerate(texts):
+        ids = np.array(t.encode(x, add_special_tokens=False).ids + [2], dtype="<u4")
+        for k, (s, length) in enumerate(packing.cut(len(ids), 64)):
+            r = by_piece[i, k]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (s, length, zlib.crc32(ids[s:s + length].tobytes()))
+            n += 1
+    assert n == len(rows)
+    assert 50256 in t.encode(texts[0], add_special_tokens=False).ids
