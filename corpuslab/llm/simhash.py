@@ -167,15 +167,18 @@ def link_forest(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFra
 
 
 def classes(df: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, fp), classes (fp, component_id)) of ``df``."""
+    """(rows (doc_id, fp), classes (fp, component_id, keeper)) of ``df``; keeper
+    is the component's smallest fingerprint among those with the smallest id."""
     rows = materialize(with_fingerprint(plain_names(df, "doc_id", "text"), shingle)
                        .select("doc_id", F.col("__fp").alias("fp")), "fingerprints")
     lowest = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     linked = connected_components(link_forest(lowest.select("fp"), max_bits))
     labelled = lowest.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "label", F.coalesce("label", "fp"))
-    roots = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    return rows, labelled.join(roots, "label").select("fp", "component_id")
+    first = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp"))
+    roots = labelled.groupBy("label").agg(first.alias("first")).select(
+        "label", F.col("first.low").alias("component_id"), F.col("first.fp").alias("keeper"))
+    return rows, labelled.join(roots, "label").select("fp", "component_id", "keeper")
 
 
 def components(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -189,11 +192,11 @@ def components(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
 @other_columns_aside("doc_id", "text")
 def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row
-    with the smallest id stays, with all its columns (of rows repeating that id
-    and fingerprint, one)."""
+    with the smallest id stays, with all its columns (of rows sharing that id, or
+    all without one, a row with the smallest fingerprint; of those one)."""
     _, cls = classes(df, shingle, max_bits)
-    cls = materialize(cls, "classes")
     # one fingerprint of each component holds the kept row
+    cls = materialize(cls.filter("fp = keeper").drop("keeper"), "classes")
     wide = with_fingerprint(df, shingle)
     hit = wide.join(cls.withColumnRenamed("fp", "__fp").withColumnRenamed("component_id", "__low"), "__fp")
     return (hit.filter(F.col("doc_id").eqNullSafe(F.col("__low")))

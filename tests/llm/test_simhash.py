@@ -96,3 +96,16 @@ def test_components_and_defined_cases(make_docs, odd_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, least.values()))
     assert simhash.components(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_stays_of_a_group_without_ids_or_with_one_id_twice(make_docs):
+    def near(seed):
+        words = prose("en", 300, seed).split()
+        return [" ".join(words[:-1] + [f"z{i}"]) for i in range(4)]
+
+    no_id, one_id = near(71), near(72)
+    for group in (no_id, one_id):  # different fingerprints, one component
+        fps = [brute_fp(t) for t in group]
+        assert len(set(fps)) > 1 and len(set(brute_components(fps))) == 1
+    rows = [(None, t, "en", "s") for t in no_id] + [(5, t, "en", "s") for t in one_id]
+    assert sorted(str(r["doc_id"]) for r in simhash.keep_one(make_docs(rows)).collect()) == ["5", "None"]
