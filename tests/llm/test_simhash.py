@@ -109,3 +109,29 @@ def test_one_row_stays_of_a_group_without_ids_or_with_one_id_twice(make_docs):
         assert len(set(fps)) > 1 and len(set(brute_components(fps))) == 1
     rows = [(None, t, "en", "s") for t in no_id] + [(5, t, "en", "s") for t in one_id]
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one(make_docs(rows)).collect()) == ["5", "None"]
+
+
+def test_a_long_chain_of_near_duplicates_is_one_component(spark, monkeypatch):
+    """2,000 fingerprints in a shuffled chain, each four bits from the one
+    before: one component, in a number of rounds that a logarithm bounds."""
+    r = random.Random(7)
+    chain = [r.getrandbits(64)]
+    while len(chain) < 2000:
+        chain.append(chain[-1] ^ sum(1 << b for b in r.sample(range(64), 4)))
+    signed = [x - (1 << 64) if x >> 63 else x for x in set(chain)]
+    r.shuffle(signed)
+    links = simhash.link_forest(spark.createDataFrame([(x,) for x in signed], "fp long"), block=64)
+    rounds = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    got = {x["node"]: x["label"] for x in graph.connected_components(links).collect()}
+    assert got == dict.fromkeys(signed, min(signed))
+    assert rounds.count("stars") <= 22
+
+
+def test_components_of_a_bare_path(spark):
+    r = random.Random(8)
+    nodes = r.sample(range(10_000), 600)
+    edges = list(zip(nodes[:-1], nodes[1:])) + [(-5, -5), (-7, -6)]
+    got = {x["node"]: x["label"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(nodes, min(nodes)) | {-7: -7, -6: -7}
