@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpuslab.llm import (chat, kmeans_tree, langid, mixing, ngram_lm, packing, pii, pivot_search, simhash,
-                           toxicity)
+                           toxicity, whitening)
 from corpuslab.llm.common import id_fold, table
 from corpuslab.session import ship_package
 
@@ -115,6 +115,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 leading components of all, scaled to variance one."""
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings"), components=32))
+
+
 ORACLE_SQL["op5_exact_top_k"] = """WITH v AS (SELECT vec_id,
   list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS z FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
