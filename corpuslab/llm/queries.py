@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpuslab.llm import (chat, kmeans_tree, langid, mixing, ngram_lm, packing, pii, pivot_search, simhash,
+from corpuslab.llm import (chat, kmeans_tree, langid, merkle, mixing, ngram_lm, packing, pii, pivot_search, simhash,
                            toxicity, whitening)
 from corpuslab.llm.common import id_fold, table
 from corpuslab.session import ship_package
@@ -115,6 +115,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_spans(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness digest of every document, and whether its leaf
+    still leads to the root; every second id has lost the newlines of its text."""
+    without = merkle.leaf(text=F.translate("text", "\n", ""))
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), arity=3,
+                           tampered=F.when(id_fold("doc_id", 2) == 0, without))
+    return merkle.verify(rows.withColumn("claimed", F.coalesce("tampered", "leaf")), "claimed").select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("witness")), 256).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 32 leading components of all, scaled to variance one."""
@@ -138,3 +150,32 @@ ORACLE_SQL["op7_chat_formatting"] = f"""WITH c AS (SELECT conv_id, turn, coalesc
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('{chat.OPEN}' || {_ESCAPED.format('role')} || CASE WHEN role = 'assistant' THEN '{chat.TRAINED}' ELSE '{chat.UNTRAINED}' END
    || {_ESCAPED.format('text')} || '{chat.END}')) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+# fixed value: the reflected polynomial of crc32 (2 divides it if its last bit is 0)
+_CRC_STEP = "xor(x >> 1, 3988292384 * (x & 1))"
+_CRC32 = f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({{0}}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: {_CRC_STEP})))"""
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+ORACLE_SQL["op11_merkle_manifest"] = f"""WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('+' || source, '') AS g, {_LEAF.format('text')} AS leaf,
+  CASE WHEN {_CRC32.format("coalesce(doc_id::VARCHAR, '')")} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format('text')} END AS claimed
+  FROM documents),
+ p AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+  count(*) OVER (PARTITION BY g) AS n FROM leaves),
+ lv AS (SELECT 0 AS level, g, pos, n, leaf AS h FROM p UNION ALL
+  SELECT level + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY level, g, pos // 3, n),
+ sub AS MATERIALIZED (SELECT g, h, level AS height, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+ tv AS (SELECT 0 AS level, pos, n, h FROM sub UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM tv WHERE n > 1 GROUP BY level, pos // 3, n),
+ up AS (SELECT p.rid, lv.level AS k, lv.h, lv.pos, p.pos // CAST(pow(3, lv.level) AS BIGINT) AS own
+  FROM p JOIN lv ON lv.g = p.g AND lv.n > 1 AND lv.pos // 3 = p.pos // CAST(pow(3, lv.level + 1) AS BIGINT)
+  UNION ALL SELECT p.rid, sub.height + tv.level, tv.h, tv.pos, sub.pos // CAST(pow(3, tv.level) AS BIGINT)
+  FROM p JOIN sub ON sub.g = p.g JOIN tv ON tv.n > 1 AND tv.pos // 3 = sub.pos // CAST(pow(3, tv.level + 1) AS BIGINT)),
+ steps AS MATERIALIZED (SELECT rid, k, coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos < own), '') AS l,
+  coalesce(string_agg(h, '' ORDER BY pos) FILTER (WHERE pos > own), '') AS r FROM up GROUP BY rid, k),
+ proofs AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM steps GROUP BY rid),
+ fold AS (SELECT rid, 0 AS k, claimed AS h FROM p UNION ALL
+  SELECT f.rid, f.k + 1, sha256(s.l || f.h || s.r) FROM fold f JOIN steps s ON s.rid = f.rid AND s.k = f.k)
+ SELECT p.doc_id, p.leaf, sub.h AS subroot, top.h AS root, coalesce(proofs.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
+ FROM p JOIN sub ON sub.g = p.g CROSS JOIN (SELECT h FROM tv WHERE n = 1) top LEFT JOIN proofs ON proofs.rid = p.rid
+ JOIN (SELECT rid, arg_max(h, k) AS h FROM fold GROUP BY rid) f ON f.rid = p.rid"""
