@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpuslab.llm import (chat, kmeans_tree, langid, merkle, mixing, ngram_lm, packing, pii, pivot_search, simhash,
-                           toxicity, whitening)
+                           substrings, toxicity, whitening)
 from corpuslab.llm.common import id_fold, table
 from corpuslab.session import ship_package
 
@@ -127,6 +127,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "folded_root", "verified")
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of repeated 35-word windows."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the 32 leading components of all, scaled to variance one."""
@@ -179,3 +186,14 @@ ORACLE_SQL["op11_merkle_manifest"] = f"""WITH RECURSIVE leaves AS (SELECT doc_id
  SELECT p.doc_id, p.leaf, sub.h AS subroot, top.h AS root, coalesce(proofs.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
  FROM p JOIN sub ON sub.g = p.g CROSS JOIN (SELECT h FROM tv WHERE n = 1) top LEFT JOIN proofs ON proofs.rid = p.rid
  JOIN (SELECT rid, arg_max(h, k) AS h FROM fold GROUP BY rid) f ON f.rid = p.rid"""
+
+ORACLE_SQL["op12_substring_dedup"] = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ win AS (SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS t FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+ hits AS (SELECT rid, i AS hit FROM (SELECT rid, i, count(*) OVER (PARTITION BY t) AS n FROM win) WHERE n > 1),
+ words AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+ marked AS (SELECT words.rid, w, i, coalesce(max(hit) OVER (PARTITION BY words.rid ORDER BY i) > i - 35, false) AS gone
+  FROM words LEFT JOIN hits ON hits.rid = words.rid AND hit = i),
+ kept AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY rid)
+ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+ FROM d LEFT JOIN kept ON kept.rid = d.rid"""
