@@ -12,8 +12,10 @@ different strings are sorted and compared as text. Hashes only choose buckets.
   is a chunk of its own, worked on in slices): equal strings of a chunk travel
   once, with all their places. Chunks lie compressed in the checkpoint folder,
   texts are read once.
-* Packed strings are compressed with a dictionary trained on a bounded sample
-  of strings (``SAMPLE_CHUNKS`` chunks). It changes their size only: equal strings stay equal.
+* A packed string holds two bytes for each of the 65,535 words that a bounded
+  sample (``SAMPLE_CHUNKS`` chunks) has most often, and any other word as it is.
+  The sample changes sizes only: equal words have equal codes, different words
+  different ones, so strings and windows are compared without being unpacked.
 * A minimiser that more than ``most`` strings share (a frequent phrase in many
   contexts) would be a hot bucket. The classes of minimisers with such a count go
   on to a next round with longer minimisers, and at last with whole windows, of
@@ -29,6 +31,7 @@ an empty table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +42,68 @@ from corpuslab.llm.common import broadcast_if_short, materialize, plain_names
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_WORDS = 1 << 18
-SAMPLE_CHUNKS = 24      # chunks that the compression dictionary is trained on
-SAMPLE_STRINGS = 20_000
-ROW = "key long, packed binary, n int, chunk long, starts array<int>"
+SAMPLE_CHUNKS = 16
+OTHER = 0xFFFF          # stands before a word without a code and its length
+ROW = "key long, packed binary, chunk long, start int, more array<int>"
 
 
 # ---- words and super-k-mers ----------------------------------------------------
 
 class Words:
-    """Places of the words of documents that are joined by newlines, their words
-    by blanks."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        self.raw = np.frombuffer(data, dtype=np.uint8)
-        line = self.raw == 10
-        at = np.flatnonzero(line | (self.raw == 32))
-        starts = np.concatenate([[0], at + 1])
-        ends = np.concatenate([at, [len(self.raw)]])
-        docs = np.concatenate([[0], np.cumsum(line[at])])
-        real = ends > starts
-        self.starts, self.ends, self.docs = starts[real], ends[real], docs[real]
+    """The words of documents as codes: ``code`` has word i at
+    ends[i - 1]..ends[i], and ``docs[i]`` is its document. A word of the
+    vocabulary is two bytes; any other is OTHER, its length and its bytes."""
+
+    def __init__(self, lines: list[list[bytes]], vocabulary: dict[bytes, int]):
+        words = [w for line in lines for w in line]
+        ids = np.fromiter((vocabulary.get(w, OTHER) for w in words), dtype=np.uint16, count=len(words))
+        other = np.flatnonzero(ids == OTHER).tolist()
+        size = np.full(len(words), 2, dtype=np.int64)
+        for i in other:
+            size[i] = 6 + len(words[i])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = np.zeros(int(ends[-1]), dtype=np.uint8)
+        raw[ends[:-1]], raw[ends[:-1] + 1] = ids & 255, ids >> 8
+        self.code = raw.tobytes()
+        if other:
+            code = bytearray(self.code)
+            for i in other:
+                lo = int(ends[i])
+                code[lo + 2:lo + 6 + len(words[i])] = len(words[i]).to_bytes(4, "little") + words[i]
+            self.code = bytes(code)
+        self._place(ends, np.repeat(np.arange(len(lines)), [len(x) for x in lines]))
+
+    def _place(self, ends: np.ndarray, docs: np.ndarray) -> None:
+        self.raw = np.frombuffer(self.code, dtype=np.uint8)
+        self.starts, self.ends, self.docs = ends[:-1], ends[1:], docs
+
+    @classmethod
+    def of_strings(cls, strings: list[bytes], counts: list[int]) -> Words:
+        """Of packed strings of so many words, each a document."""
+        self = cls.__new__(cls)
+        self.code = b"".join(strings)
+        places, before = [np.zeros(1, np.int64)], 0
+        for s, n in zip(strings, counts):
+            places.append(code_ends(s, n) + before)
+            before += len(s)
+        self._place(np.concatenate(places), np.repeat(np.arange(len(strings)), counts))
+        return self
 
     def __len__(self) -> int:
         return len(self.starts)
 
 
+def code_ends(code: bytes, n: int) -> np.ndarray:
+    """Ends of the n words of a packed string."""
+    if len(code) == 2 * n:
+        return np.arange(2, 2 * n + 1, 2)
+    ends, at = np.empty(n, np.int64), 0
+    for i in range(n):
+        at += 6 + int.from_bytes(code[at + 2:at + 6], "little") if code[at] == 255 == code[at + 1] else 2
+        ends[i] = at
+    return ends
+
+
 @functools.lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64."""
@@ -123,8 +162,9 @@ def super_kmers(words: Words, window: int, m: int) -> tuple[np.ndarray, np.ndarr
 
 
 def packed_strings(words: Words, first: np.ndarray, last: np.ndarray, window: int) -> list[bytes]:
-    lo, hi = words.starts[first].tolist(), words.ends[last + window - 1].tolist()
-    return [words.data[a:b] for a, b in zip(lo, hi)]
+    """Of every run: the number of its windows (one byte) and its words' codes."""
+    lo, hi, n = words.starts[first].tolist(), words.ends[last + window - 1].tolist(), (last - first + 1).tolist()
+    return [bytes((k,)) + words.code[a:b] for a, b, k in zip(lo, hi, n)]
 
 
 # ---- chunks --------------------------------------------------------------------
@@ -172,40 +212,28 @@ def _unpacked(column) -> list[bytes]:
     return [d.decompress(x.as_buffer()) for x in column]
 
 
-def dictionary(table: DataFrame, window: int, m: int) -> bytes:
-    """A compression dictionary for packed strings, from at most
-    ``SAMPLE_CHUNKS`` chunks; empty if there is too little text."""
-    import zstandard
-
-    samples = []
-    for r in table.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator():
-        words = Words(zstandard.ZstdDecompressor().decompress(bytes(r["data"]))[:1 << 20])
-        first, last, _ = super_kmers(words, window, m)
-        keep = np.linspace(0, len(first) - 1, min(len(first), SAMPLE_STRINGS // SAMPLE_CHUNKS)).astype(int)
-        samples += packed_strings(words, first[keep], last[keep], window)
-    if sum(map(len, samples)) < 1 << 20:
-        return b""
-    return zstandard.train_dictionary(1 << 16, samples).as_bytes()
-
+def _lines(data: bytes) -> list[list[bytes]]:
+    return [line.split(b" ") if line else [] for line in data.split(b"\n")]
 
-def _coder(trained: bytes):
-    import zstandard
 
-    if not trained:
-        return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-    d = zstandard.ZstdCompressionDict(trained)
-    return zstandard.ZstdCompressor(level=1, dict_data=d, write_dict_id=False), zstandard.ZstdDecompressor(dict_data=d)
+def vocabulary(table: DataFrame) -> list[bytes]:
+    """The most frequent words of at most ``SAMPLE_CHUNKS`` chunks, in order."""
+    seen: Counter = Counter()
+    for r in table.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator():
+        (data,) = _unpacked([pa.scalar(r["data"], pa.binary())])
+        seen.update(data[:1 << 20].split())
+    return sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:OTHER])
 
 
 # ---- strings of all rounds -----------------------------------------------------
 
-def first_strings(table: DataFrame, window: int, m: int, trained: bytes) -> DataFrame:
+def first_strings(table: DataFrame, window: int, m: int, known: list[bytes]) -> DataFrame:
     """The packed strings (``ROW``) of every chunk, equal ones once."""
     def run(batches):
-        pack = _coder(trained)[0].compress
+        codes = {w: i for i, w in enumerate(known)}
         for b in batches:
             for chunk, data in zip(b.column("chunk").to_pylist(), _unpacked(b.column("data"))):
-                words = Words(data)
+                words = Words(_lines(data), codes)
                 first, last, key = super_kmers(words, window, m)
                 places: dict[bytes, list[int]] = {}
                 row = []
@@ -216,45 +244,44 @@ def first_strings(table: DataFrame, window: int, m: int, trained: bytes) -> Data
                         row.append(i)
                     else:
                         own.append(f)
-                yield _rows(key[row], [pack(s) for s in places], (last - first + 1)[row], np.full(len(row), chunk), places.values())
+                yield _rows(key[row], list(places), np.full(len(row), chunk), list(places.values()))
 
     return table.select("chunk", "data").mapInArrow(run, ROW)
 
 
-def _rows(key, packed, n, chunk, starts) -> pa.RecordBatch:
-    starts = list(starts)
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in starts])]) if starts else [0]
-    flat = np.fromiter((x for s in starts for x in s), dtype=np.int32, count=int(ends[-1]))
+def _rows(key, packed, chunk, starts) -> pa.RecordBatch:
+    first = np.fromiter((s[0] for s in starts), dtype=np.int32, count=len(starts))
+    more = pa.array([s[1:] if len(s) > 1 else None for s in starts], pa.list_(pa.int32()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(key, pa.int64()), pa.array(packed, pa.binary()), pa.array(n, pa.int32()), pa.array(chunk, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["key", "packed", "n", "chunk", "starts"])
+        [pa.array(key, pa.int64()), pa.array(packed, pa.binary()), pa.array(chunk, pa.int64()), pa.array(first), more],
+        ["key", "packed", "chunk", "start", "more"])
 
 
-def next_strings(rows: DataFrame, window: int, m: int, trained: bytes) -> DataFrame:
+def next_strings(rows: DataFrame, window: int, m: int) -> DataFrame:
     """``rows`` cut again, by longer minimisers."""
     def run(batches):
-        coder, decoder = _coder(trained)
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                strings = [decoder.decompress(x.as_buffer()) for x in part.column("packed")]
-                words = Words(b"\n".join(strings))
+                strings = part.column("packed").to_pylist()
+                words = Words.of_strings([s[1:] for s in strings], [s[0] + window - 1 for s in strings])
                 first, last, key = super_kmers(words, window, m)
                 doc = words.docs[first]
                 from_start = (first - np.searchsorted(words.docs, doc)).tolist()
-                before = part.column("starts").to_pylist()
-                yield _rows(key, [coder.compress(s) for s in packed_strings(words, first, last, window)], last - first + 1,
-                            part.column("chunk").to_numpy()[doc], [[x + o for x in before[d]] for d, o in zip(doc.tolist(), from_start)])
+                before = [[s, *(r or [])] for s, r in zip(part.column("start").to_pylist(), part.column("more").to_pylist())]
+                yield _rows(key, packed_strings(words, first, last, window), part.column("chunk").to_numpy()[doc],
+                            [[x + o for x in before[d]] for d, o in zip(doc.tolist(), from_start)])
 
     return rows.mapInArrow(run, ROW)
 
 
-def key_counts(table: DataFrame, window: int, m: int, classes: int) -> DataFrame:
+def key_counts(table: DataFrame, window: int, m: int, classes: int, known: list[bytes]) -> DataFrame:
     """(class, n) of the keys of every chunk's strings; no string is built."""
     def run(batches):
+        codes = {w: i for i, w in enumerate(known)}
         for b in batches:
             for data in _unpacked(b.column("data")):
-                key = super_kmers(Words(data), window, m)[2]
+                key = super_kmers(Words(_lines(data), codes), window, m)[2]
                 cls, n = np.unique(key & (classes - 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n)], ["cls", "n"])
 
@@ -266,83 +293,78 @@ def key_counts(table: DataFrame, window: int, m: int, classes: int) -> DataFrame
 class Bucket:
     """The strings of one key, as they come sorted; ``found`` gets (chunk, start, bits)."""
 
-    def __init__(self, decoder, window: int, found: tuple[list, list, list]):
-        self.decoder, self.window, self.found = decoder, window, found
-        self.strings: list[tuple[bytes, int, int, int]] = []  # packed, n, chunk, start (-1: marked)
+    def __init__(self, window: int):
+        self.window = window
+        self.found: tuple[list, list, list] = ([], [], [])
+        self.strings: list[tuple[bytes, int, int]] = []  # packed, chunk, start (-1: marked)
 
     def _mark(self, chunk: int, starts: list[int], bits: int) -> None:
         self.found[0].extend([chunk] * len(starts))
         self.found[1].extend(starts)
         self.found[2].extend([bits] * len(starts))
 
-    def add(self, packed: bytes, n: int, chunk: int, starts: list[int]) -> None:
+    def add(self, packed: bytes, chunk: int, start: int, more: list[int] | None) -> None:
+        whole = (1 << packed[0]) - 1
         again = bool(self.strings) and self.strings[-1][0] == packed
-        if again and self.strings[-1][3] >= 0:
-            _, _, c, s = self.strings[-1]
-            self._mark(c, [s], (1 << n) - 1)
-            self.strings[-1] = (packed, n, c, -1)
-        if again or len(starts) > 1:
-            self._mark(chunk, starts, (1 << n) - 1)
+        if again and self.strings[-1][2] >= 0:
+            _, c, s = self.strings[-1]
+            self._mark(c, [s], whole)
+            self.strings[-1] = (packed, c, -1)
+        if again or more:
+            self._mark(chunk, [start, *(more or [])], whole)
         if not again:
-            self.strings.append((packed, n, chunk, starts[0] if len(starts) == 1 else -1))
+            self.strings.append((packed, chunk, -1 if more else start))
 
     def close(self) -> None:
         """Windows of different strings: sorted, equal neighbours are repeats."""
         if len(self.strings) < 2:
             return
         windows = []
-        for i, (packed, n, _, _) in enumerate(self.strings):
-            text = self.decoder.decompress(packed)
-            ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text)).tolist()
-            lo = 0
+        for i, (packed, _, _) in enumerate(self.strings):
+            n = packed[0]
+            ends = (code_ends(packed[1:], n + self.window - 1) + 1).tolist()
+            lo = 1
             for j in range(n):
-                windows.append((text[lo:ends[j + self.window - 1]], i, j))
-                lo = ends[j] + 1
+                windows.append((packed[lo:ends[j + self.window - 1]], i, j))
+                lo = ends[j]
         windows.sort()
         bits = [0] * len(self.strings)
         for (a, i, j), (b, k, l) in zip(windows, windows[1:]):
             if a == b:
                 bits[i] |= 1 << j
                 bits[k] |= 1 << l
-        for (_, _, chunk, start), own in zip(self.strings, bits):
+        for (_, chunk, start), own in zip(self.strings, bits):
             if own and start >= 0:
                 self._mark(chunk, [start], own)
 
 
-def repeats(rows: DataFrame, window: int, trained: bytes) -> DataFrame:
+def repeats(rows: DataFrame, window: int) -> DataFrame:
     """(chunk, start, bits): runs of windows with repeats, bit j for window start + j."""
     def run(batches):
-        decoder = _coder(trained)[1]
-        key_now, bucket = None, None
+        key_now, bucket = None, Bucket(window)
         for b in batches:
-            found = ([], [], [])
             key = b.column("key").to_numpy()
             if not len(key):
                 continue
-            new = np.flatnonzero(np.diff(key)) + 1
-            lows = np.concatenate([[0], new])
+            lows = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             sizes = np.diff(np.append(lows, len(key)))
-            places = pa.compute.list_value_length(b.column("starts")).to_numpy()
             # a string alone in its bucket, at one place, repeats nothing
-            busy = (sizes > 1) | (places[lows] > 1)
+            busy = (sizes > 1) | b.column("more").is_valid().to_numpy(zero_copy_only=False)[lows]
             busy[0] = busy[-1] = True  # the bucket may go on in another batch
-            packed, n, chunk, starts = (b.column(c) for c in ("packed", "n", "chunk", "starts"))
+            columns = [b.column(c) for c in ("packed", "chunk", "start", "more")]
+            found = bucket.found
             for lo, size in zip(lows[busy].tolist(), sizes[busy].tolist()):
                 k = int(key[lo])
                 if k != key_now:
-                    if bucket is not None:
-                        bucket.found = found
-                        bucket.close()
-                    key_now, bucket = k, Bucket(decoder, window, found)
-                bucket.found = found
-                for r in zip(packed.slice(lo, size).to_pylist(), n.slice(lo, size).to_pylist(),
-                             chunk.slice(lo, size).to_pylist(), starts.slice(lo, size).to_pylist()):
+                    bucket.close()
+                    key_now, bucket = k, Bucket(window)
+                    bucket.found = found
+                for r in zip(*(c.slice(lo, size).to_pylist() for c in columns)):
                     bucket.add(*r)
             yield _found(found)
-        if bucket is not None:
             bucket.found = ([], [], [])
-            bucket.close()
-            yield _found(bucket.found)
+        bucket.close()
+        yield _found(bucket.found)
 
     return rows.repartition("key").sortWithinPartitions("key", "packed").mapInArrow(run, "chunk long, start int, bits long")
 
@@ -374,20 +396,18 @@ def kept(table: DataFrame, marks: DataFrame, window: int) -> DataFrame:
             ids, marks = b.column("ids"), b.column("marks")
             for i, data in enumerate(_unpacked(b.column("data"))):
                 own = ids[i].values
-                words = Words(data)
+                lines = _lines(data)
+                lows = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
                 found = marks[i].values if marks[i].is_valid else None
                 starts, bits = ((np.empty(0, np.int64),) * 2 if found is None else
                                 (found.field("start").to_numpy().astype(np.int64), found.field("bits").to_numpy()))
-                gone = covered(len(words), starts, bits, window)
-                lows = np.searchsorted(words.docs, np.arange(len(own) + 1))
+                gone = covered(int(lows[-1]), starts, bits, window)
                 removed = np.concatenate([[0], np.cumsum(gone)])[lows]
-                lines = data.split(b"\n")
                 for d in np.flatnonzero(np.diff(removed)).tolist():
-                    stay = np.flatnonzero(~gone[lows[d]:lows[d + 1]]).tolist()
-                    text = lines[d].split(b" ")
-                    lines[d] = b" ".join([text[k] for k in stay])
+                    lines[d] = [lines[d][k] for k in np.flatnonzero(~gone[lows[d]:lows[d + 1]]).tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(np.diff(lows)), pa.array(np.diff(removed)), pa.array(lines, pa.binary()).cast(pa.string())],
+                    [own, pa.array(np.diff(lows)), pa.array(np.diff(removed)),
+                     pa.array([b" ".join(x) for x in lines], pa.binary()).cast(pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept"])
 
     return (table.select("chunk", "ids", "data").join(per_chunk, "chunk", "left").select("ids", "data", "marks")
@@ -403,13 +423,13 @@ def remove_repeats(df: DataFrame, window: int = 35, minimisers: tuple[int, ...]
         raise ValueError("a string's windows are marked by the bits of one long")
     table = materialize(chunks(df, chunk_bytes), "substring-chunks")
     lengths = [m for m in minimisers if m < window] + [window]
-    trained = dictionary(table, window, lengths[0])
-    strings = first_strings(table, window, lengths[0], trained)
+    known = vocabulary(table)
+    strings = first_strings(table, window, lengths[0], known)
     total = table.agg(F.sum("words")).first()[0] or 0
     # classes of keys: about 512 strings each
     classes = 1 << max(16, (total // (512 * 8)).bit_length())
     cls = F.col("key").bitwiseAND(F.lit(classes - 1)).alias("cls")
-    counts = key_counts(table, window, lengths[0], classes)
+    counts = key_counts(table, window, lengths[0], classes, known)
     settled = []
     for m in lengths[1:]:
         hot = materialize(counts.filter(F.col("n") > most).select("cls"), "substring-hot")
@@ -418,10 +438,10 @@ def remove_repeats(df: DataFrame, window: int = 35, minimisers: tuple[int, ...]
         side = broadcast_if_short(hot)
         settled.append(strings.join(side, cls == side["cls"], "left_anti"))
         rows = materialize(strings.join(side, cls == side["cls"], "left_semi"), "substring-strings")
-        strings = next_strings(rows, window, m, trained)
+        strings = next_strings(rows, window, m)
         if m < window:
             strings = materialize(strings, "substring-strings")
             counts = strings.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
     settled.append(strings)
-    marks = materialize(repeats(functools.reduce(DataFrame.union, settled), window, trained), "substring-marks")
+    marks = materialize(repeats(functools.reduce(DataFrame.union, settled), window), "substring-marks")
     return kept(table, marks, window)

@@ -63,7 +63,7 @@ def test_slices_of_a_long_text(spark, monkeypatch):
     words[2000:2100] = words[90:190]
     for size in (100, 128, 1 << 18):
         monkeypatch.setattr(ss, "SLICE_WORDS", size)
-        data = ss.Words(" ".join(words).encode())
+        data = ss.Words([" ".join(words).encode().split()], {})
         first, last, key = ss.super_kmers(data, 35, 6)
         assert [x for f, l in zip(first, last) for x in range(f, l + 1)] == list(range(3000 - 34))
     rows = [(1, " ".join(words)), (2, " ".join(words[500:560]))]
@@ -73,7 +73,8 @@ def test_slices_of_a_long_text(spark, monkeypatch):
 def test_equal_windows_share_key_and_place():
     r = random.Random(6)
     a = [r.choice("xyz") * r.randrange(1, 4) for _ in range(400)]
-    words = ss.Words((" ".join(a) + "\n" + " ".join(a[37:300])).encode())
+    a = [x.encode() for x in a]
+    words = ss.Words([a, a[37:300]], {b"x": 1, b"yy": 0xFF00, b"z": 0x00FF})
     first, last, key = ss.super_kmers(words, 10, 3)
     of = {x: k for f, l, k in zip(first, last, key) for x in range(f, l + 1)}
     assert all(of[37 + i] == of[400 + i] for i in range(300 - 37 - 9))
@@ -86,13 +87,25 @@ def test_first_minimum():
         assert ss.first_minimum(h, w).tolist() == [i + int(h[i:i + w].argmin()) for i in range(200 - w + 1)]
 
 
-def test_dictionary_changes_nothing(spark, monkeypatch):
+def test_codes_of_words():
+    """With and without words that have no code; a code is found again."""
+    lines = [[b"a", b"long-word", b"\xff\xff", b"b"], [], [b"b", b"a"]]
+    words = ss.Words(lines, {b"a": 0xFFFE, b"b": 0})
+    assert words.docs.tolist() == [0, 0, 0, 0, 2, 2] and len(words) == 6
+    codes = [words.code[a:b] for a, b in zip(words.starts, words.ends)]
+    assert codes[0] == codes[5] and codes[3] == codes[4] and len(set(codes)) == 4
+    assert ss.code_ends(words.code, 6).tolist() == words.ends.tolist()
+    again = ss.Words.of_strings([words.code[:int(words.ends[3])], words.code[int(words.ends[3]):]], [4, 2])
+    assert again.ends.tolist() == words.ends.tolist() and again.docs.tolist() == [0, 0, 0, 0, 1, 1]
+
+
+def test_the_vocabulary_changes_nothing(spark, monkeypatch):
     r = random.Random(9)
     rows = corpus(r, 300, [f"word{i}" for i in range(2000)], 900)
     want = brute(rows, 35)
-    assert found(ss.remove_repeats(frame(spark, rows))) == want
-    monkeypatch.setattr(ss, "dictionary", lambda *a: b"")
-    assert found(ss.remove_repeats(frame(spark, rows))) == want
+    for known in (ss.vocabulary, lambda table: [], lambda table: [b"word7", b"word9"]):
+        monkeypatch.setattr(ss, "vocabulary", known)
+        assert found(ss.remove_repeats(frame(spark, rows), most=20)) == want
 
 
 def test_no_rows(spark):
