@@ -16,10 +16,12 @@ different strings are sorted and compared as text. Hashes only choose buckets.
   sample (``SAMPLE_CHUNKS`` chunks) has most often, and any other word as it is.
   The sample changes sizes only: equal words have equal codes, different words
   different ones, so strings and windows are compared without being unpacked.
+* First only the minimisers' hashes travel. A string whose minimiser occurs
+  nowhere else has no repeated window, so it stays at home.
 * A minimiser that more than ``most`` strings share (a frequent phrase in many
-  contexts) would be a hot bucket. The classes of minimisers with such a count go
-  on to a next round with longer minimisers, and at last with whole windows, of
-  which equal ones are one string a chunk. All windows of a class go together.
+  contexts) would be a hot bucket. Its strings go on to a next round with longer
+  minimisers, and at last with whole windows, of which equal ones are one string
+  a chunk. All windows of a minimiser go together, in all chunks.
 * Only (chunk, start, bits) rows come back to the chunks.
 
 Defined cases: words are runs other than ASCII white space, taken as they are;
@@ -37,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpuslab.llm.common import broadcast_if_short, materialize, plain_names
 
@@ -227,26 +230,46 @@ def vocabulary(table: DataFrame) -> list[bytes]:
 
 # ---- strings of all rounds -----------------------------------------------------
 
-def first_strings(table: DataFrame, window: int, m: int, known: list[bytes]) -> DataFrame:
-    """The packed strings (``ROW``) of every chunk, equal ones once."""
+def shared_keys(table: DataFrame, window: int, m: int, known: list[bytes], most: int) -> DataFrame:
+    """chunk, shared, hot: the keys of a chunk's strings that other strings (of
+    this or another chunk) have, at most ``most`` in all or more."""
     def run(batches):
         codes = {w: i for i, w in enumerate(known)}
         for b in batches:
             for chunk, data in zip(b.column("chunk").to_pylist(), _unpacked(b.column("data"))):
+                key, n = np.unique(super_kmers(Words(_lines(data), codes), window, m)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), chunk)), pa.array(n)], ["key", "chunk", "n"])
+
+    pairs = table.select("chunk", "data").mapInArrow(run, "key long, chunk long, n long")
+    total = F.sum("n").over(W.partitionBy("key"))  # a row a chunk and key
+    return (pairs.select("key", "chunk", total.alias("n")).filter("n > 1").groupBy("chunk").agg(
+        F.collect_list(F.when(F.col("n") <= most, F.col("key"))).alias("shared"),
+        F.collect_list(F.when(F.col("n") > most, F.col("key"))).alias("hot")))
+
+
+def first_strings(chosen: DataFrame, window: int, m: int, known: list[bytes]) -> DataFrame:
+    """The packed strings (``ROW``) of the chunks (chunk, data, keys) that have
+    one of the keys, equal strings of a chunk once."""
+    def run(batches):
+        codes = {w: i for i, w in enumerate(known)}
+        for b in batches:
+            keys = b.column("keys")
+            for at, (chunk, data) in enumerate(zip(b.column("chunk").to_pylist(), _unpacked(b.column("data")))):
                 words = Words(_lines(data), codes)
                 first, last, key = super_kmers(words, window, m)
+                own = np.isin(key, keys[at].values.to_numpy())
+                first, last, key = first[own], last[own], key[own]
                 places: dict[bytes, list[int]] = {}
                 row = []
                 for i, (s, f) in enumerate(zip(packed_strings(words, first, last, window), first.tolist())):
-                    own = places.get(s)
-                    if own is None:
+                    if s in places:
+                        places[s].append(f)
+                    else:
                         places[s] = [f]
                         row.append(i)
-                    else:
-                        own.append(f)
                 yield _rows(key[row], list(places), np.full(len(row), chunk), list(places.values()))
 
-    return table.select("chunk", "data").mapInArrow(run, ROW)
+    return chosen.select("chunk", "data", "keys").mapInArrow(run, ROW)
 
 
 def _rows(key, packed, chunk, starts) -> pa.RecordBatch:
@@ -275,19 +298,6 @@ def next_strings(rows: DataFrame, window: int, m: int) -> DataFrame:
     return rows.mapInArrow(run, ROW)
 
 
-def key_counts(table: DataFrame, window: int, m: int, classes: int, known: list[bytes]) -> DataFrame:
-    """(class, n) of the keys of every chunk's strings; no string is built."""
-    def run(batches):
-        codes = {w: i for i, w in enumerate(known)}
-        for b in batches:
-            for data in _unpacked(b.column("data")):
-                key = super_kmers(Words(_lines(data), codes), window, m)[2]
-                cls, n = np.unique(key & (classes - 1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(n)], ["cls", "n"])
-
-    return table.select("data").mapInArrow(run, "cls long, n long").groupBy("cls").agg(F.sum("n").alias("n"))
-
-
 # ---- buckets -------------------------------------------------------------------
 
 class Bucket:
@@ -424,24 +434,25 @@ def remove_repeats(df: DataFrame, window: int = 35, minimisers: tuple[int, ...]
     table = materialize(chunks(df, chunk_bytes), "substring-chunks")
     lengths = [m for m in minimisers if m < window] + [window]
     known = vocabulary(table)
-    strings = first_strings(table, window, lengths[0], known)
-    total = table.agg(F.sum("words")).first()[0] or 0
-    # classes of keys: about 512 strings each
-    classes = 1 << max(16, (total // (512 * 8)).bit_length())
-    cls = F.col("key").bitwiseAND(F.lit(classes - 1)).alias("cls")
-    counts = key_counts(table, window, lengths[0], classes, known)
-    settled = []
+    keys = materialize(shared_keys(table, window, lengths[0], known, most), "substring-keys")
+
+    def strings_of(column: str) -> DataFrame:
+        some = keys.filter(F.size(column) > 0).select("chunk", F.col(column).alias("keys"))
+        return first_strings(table.join(some, "chunk"), window, lengths[0], known)
+
+    settled = [strings_of("shared")]
+    strings = strings_of("hot")
     for m in lengths[1:]:
-        hot = materialize(counts.filter(F.col("n") > most).select("cls"), "substring-hot")
-        if hot.isEmpty():
+        strings = materialize(strings, "substring-strings")
+        if strings.isEmpty():
             break
-        side = broadcast_if_short(hot)
-        settled.append(strings.join(side, cls == side["cls"], "left_anti"))
-        rows = materialize(strings.join(side, cls == side["cls"], "left_semi"), "substring-strings")
-        strings = next_strings(rows, window, m)
+        strings = next_strings(strings, window, m)
         if m < window:
             strings = materialize(strings, "substring-strings")
-            counts = strings.groupBy(cls).agg(F.count(F.lit(1)).alias("n"))
+            hot = broadcast_if_short(materialize(
+                strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("key"), "substring-hot"))
+            settled.append(strings.join(hot, "key", "left_anti"))
+            strings = strings.join(hot, "key", "left_semi")
     settled.append(strings)
     marks = materialize(repeats(functools.reduce(DataFrame.union, settled), window), "substring-marks")
     return kept(table, marks, window)
