@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -208,11 +209,12 @@ def _chunk(chunk: int, ids: pa.Array, n_words: int, data: bytes) -> pa.RecordBat
          pa.array([n_words], pa.int64()), pa.array([data], pa.binary())], ["chunk", "ids", "words", "data"])
 
 
-def _unpacked(column) -> list[bytes]:
+def _unpacked(column) -> Iterator[bytes]:
     import zstandard
 
     d = zstandard.ZstdDecompressor()
-    return [d.decompress(x.as_buffer()) for x in column]
+    for x in column:
+        yield d.decompress(x.as_buffer())
 
 
 def _lines(data: bytes) -> list[list[bytes]]:
@@ -425,7 +427,7 @@ def kept(table: DataFrame, marks: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, window: int = 35, minimisers: tuple[int, ...] = (6, 20), most: int = 8192,
-                   chunk_bytes: int = 1 << 20) -> DataFrame:
+                   chunk_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by blanks) for
     every row of ``df`` (doc_id, text). ``minimisers``: their lengths in words,
     round by round, before whole windows."""
