@@ -46,7 +46,7 @@ from corpuslab.llm.common import broadcast_if_short, materialize, plain_names
 
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_WORDS = 1 << 18
-SAMPLE_CHUNKS = 16
+SAMPLE_CHUNKS = 64
 OTHER = 0xFFFF          # stands before a word without a code and its length
 ROW = "key long, packed binary, chunk long, start int, more array<int>"
 
@@ -224,7 +224,8 @@ def _lines(data: bytes) -> list[list[bytes]]:
 def vocabulary(table: DataFrame) -> list[bytes]:
     """The most frequent words of at most ``SAMPLE_CHUNKS`` chunks, in order."""
     seen: Counter = Counter()
-    for r in table.orderBy(F.xxhash64("chunk")).limit(SAMPLE_CHUNKS).select("data").toLocalIterator():
+    chosen = [r[0] for r in table.select("chunk").orderBy(F.xxhash64("chunk"), "chunk").limit(SAMPLE_CHUNKS).collect()]
+    for r in table.filter(F.col("chunk").isin(chosen)).select("data").toLocalIterator():
         (data,) = _unpacked([pa.scalar(r["data"], pa.binary())])
         seen.update(data[:1 << 20].split())
     return sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:OTHER])
