@@ -6,14 +6,16 @@ size, the excess going to the other sources by weight until no target is above
 its stop (the level that fills exactly the budget). Whole epochs come first:
 every row of the source is taken floor(target / size) times. What remains of
 the target is taken from rows in the order of exponential keys -ln(u) / w, with
-u a hash of the row and w its quality weight, up to a prefix sum of sizes; the
-row that crosses the budget is taken for the words that are left, so every
-source meets its target to the word.
+u a hash of the row and w its quality weight, up to a prefix sum of sizes. Texts
+are never cut: the row that crosses the budget is taken whole or not at all,
+whichever comes nearer, so a source's words differ from its target by at most
+half of one row.
 
-Rows are ordered through key buckets: sizes are summed by (source, bucket), a
-running sum over the buckets finds the one in which the budget ends, and only
-its rows are sorted. No source, however large, is sorted as a whole, and the
-texts are read once.
+Rows are ordered through key buckets, quantiles of the keys of all rows: sizes
+are summed by (source, bucket), a running sum over the buckets finds the one in
+which the budget ends, and only its rows are sorted. A bucket holds about one of
+``BUCKETS`` parts of all rows whatever their weights are; no source, however
+large, is sorted as a whole, and the texts are read once.
 
 Defined cases: null or blank text has size 0 and nothing is taken of it; a null
 source is a source of its own, last in order; a source without words has target
@@ -28,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpuslab.llm.common import broadcast_if_short, materialize, other_columns_aside, unit_hash
+from corpuslab.operators.partition import with_range_bucket
 
 #: Words: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-BUCKETS = 1 << 12
+BUCKETS = 1 << 10
 
 
 def words(text: Column) -> Column:
@@ -76,8 +79,7 @@ def mix(df: DataFrame, seed: int = 4, weights=WEIGHTS, share: float = 1.0, max_e
     keyed = materialize(sized.select(
         "doc_id", "source", "size", row_key(seed).alias("row"),
         (-F.log(u) / quality(text, F.col("size"))).alias("key")), "mix-rows")
-    # any monotone map of the keys to 0..BUCKETS will do
-    keyed = keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("key")))).cast("int"))
+    keyed = with_range_bucket(keyed, "key", BUCKETS, "bucket")
     source_rows = keyed.groupBy("source").agg(F.sum("size").cast("long").alias("size"))
     goal = materialize(targets(source_rows, weights, share, max_epochs)
                        .withColumnRenamed("size", "source_size")
@@ -94,9 +96,10 @@ def mix(df: DataFrame, seed: int = 4, weights=WEIGHTS, share: float = 1.0, max_e
         F.col("source").alias("s"), "source_size", "target", "epochs", "budget", "last", "filled"), "mix-sources")
     rows = keyed.join(broadcast_if_short(per_source), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     in_order = W.partitionBy("source").orderBy("key", "row").rowsBetween(W.unboundedPreceding, W.currentRow)
-    # in the last bucket rows are taken in order up to the budget; below it whole
+    # in the last bucket rows are taken in order while at least half of them fits; below it all
     edge = rows.filter("bucket = last").withColumn("upto", F.col("filled") + F.sum("size").over(in_order))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - (F.col("upto") - F.col("size"))))
+    room = F.col("budget") - (F.col("upto") - F.col("size"))
+    part = F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(0)
     whole = rows.filter("last is null or bucket <> last").withColumn(
         "part", F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.col("size")).otherwise(0))
     out = [F.col(c) for c in ("doc_id", "row", "size", "source", "source_size", "target")]
@@ -111,10 +114,9 @@ def row_key(seed: int = 4) -> Column:
 
 @other_columns_aside("doc_id", "source", "text")
 def apply_mix(df: DataFrame, seed: int = 4) -> DataFrame:
-    """``df`` as the mix has it: every row repeated as often as it is taken.
-    Of a row taken in part, the last copy has only its first words, joined by
-    blanks. Rows equal in id, source and text count as one row taken for the
-    sum of what is taken of them."""
+    """``df`` as the mix has it: every row, whole, as often as it is taken. Rows
+    equal in id, source and text count as one row taken for the sum of what is
+    taken of them."""
     names = df.columns
     taken = materialize(
         mix(df.select("doc_id", "source", "text"), seed).groupBy("row").agg(
@@ -123,11 +125,5 @@ def apply_mix(df: DataFrame, seed: int = 4) -> DataFrame:
     wide = df.withColumn("__row", row_key(seed))
     rows = wide.join(taken.filter("__rows = 1"), "__row").unionByName(
         wide.join(taken.filter("__rows > 1"), "__row").dropDuplicates(["__row"]))
-    copies = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    left = F.col("__taken") - copies * F.col("__size")
-    cuts = F.concat(F.array_repeat(F.lit(None).cast("long"), copies),
-                    F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), 1, F.col("__cut").cast("int")), " ")
-    return (rows.withColumn("__cut", F.explode(cuts))
-            .withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(first))
-            .select(*[F.col(f"`{c}`") for c in names]))
+    copies = F.array_repeat(F.lit(0), F.round(F.col("__taken") / F.col("__size")).cast("int"))
+    return rows.withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in names])
