@@ -53,22 +53,30 @@ def loss_curve_stats(log: DataFrame, keys=RUN) -> DataFrame:
         "best_eval_step", F.round("final_eval", 4).alias("final_eval_loss"), "n_evals")
 
 
+LATEST = ("step", "epoch", "samples_per_s", "tokens_per_s", "gpu_mem_gb", "elapsed_min", "eta_min")
+
+
+def board_columns(latest, loss) -> list:
+    """The board's columns from the latest training point (``latest(name)`` and
+    its ``loss``) and the run's summary columns."""
+    return [latest("step").alias("step"), latest("epoch").alias("epoch"), F.round(loss, 4).alias("loss"),
+            F.round("start_loss", 4).alias("start_loss"), F.round("min_loss", 4).alias("min_loss"),
+            *[latest(c).alias(c) for c in LATEST[2:]],
+            F.round("last_eval_loss", 4).alias("last_eval_loss"), F.round("best_eval_loss", 4).alias("best_eval_loss"),
+            "best_eval_step"]
+
+
 def latest_point(log: DataFrame, keys=RUN) -> DataFrame:
-    """Latest logged training point per run + start/min loss + best eval."""
+    """Latest logged training point per run (with epoch, elapsed time and
+    ETA as the log has them) + start/min loss + best eval."""
     d = numeric_log(log)
     tr = d.filter(F.col("loss_n").isNotNull())
-    last = F.max_by(F.struct("step", "loss_n", "samples_per_s", "tokens_per_s", "gpu_mem_gb"), "ord")
-    a = tr.groupBy(*keys).agg(last.alias("p"), F.min_by("loss_n", "ord").alias("start_loss"),
-                              F.min("loss_n").alias("min_loss"))
+    a = tr.groupBy(*keys).agg(F.max_by(F.struct("loss_n", *LATEST), "ord").alias("p"),
+                              F.min_by("loss_n", "ord").alias("start_loss"), F.min("loss_n").alias("min_loss"))
     ev = d.filter(F.col("eval_loss_n").isNotNull()).groupBy(*keys).agg(
         F.max_by("eval_loss_n", "ord").alias("last_eval_loss"), F.min("eval_loss_n").alias("best_eval_loss"),
         F.min_by("step", F.struct("eval_loss_n", "ord")).alias("best_eval_step"))
-    return a.join(ev, list(keys), "left").select(
-        *keys, F.col("p.step").alias("step"), F.round("p.loss_n", 4).alias("loss"),
-        F.round("start_loss", 4).alias("start_loss"), F.round("min_loss", 4).alias("min_loss"),
-        F.col("p.samples_per_s").alias("samples_per_s"), F.col("p.tokens_per_s").alias("tokens_per_s"),
-        F.col("p.gpu_mem_gb").alias("gpu_mem_gb"), F.round("last_eval_loss", 4).alias("last_eval_loss"),
-        F.round("best_eval_loss", 4).alias("best_eval_loss"), "best_eval_step")
+    return a.join(ev, list(keys), "left").select(*keys, *board_columns(lambda c: F.col(f"p.{c}"), F.col("p.loss_n")))
 
 
 def recent_points(log: DataFrame, n: int = 15, keys=RUN) -> DataFrame:

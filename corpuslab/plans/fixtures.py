@@ -114,6 +114,10 @@ def loss_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         F.round(F.col("value") * 2, 2).cast("string").alias("samples_per_s"),
         F.round(F.col("value") * 50, 1).cast("string").alias("tokens_per_s"),
         F.round(F.col("value") / 10, 2).cast("string").alias("gpu_mem_gb"),
+        F.round(F.col("event_id") / 5000, 2).cast("string").alias("epoch"),
+        F.round(F.col("value") / 100, 2).cast("string").alias("lr"),
+        F.round(F.col("event_id") / 40, 1).cast("string").alias("elapsed_min"),
+        F.round(F.col("value") * 6, 1).cast("string").alias("eta_min"),
         F.col("ts"))
 
 
@@ -122,7 +126,9 @@ LOSS_LOG_SQL = """loss_log AS (
   CASE WHEN event_type IN ('click','view','purchase') THEN CAST(value AS VARCHAR) WHEN event_type = 'error' THEN 'nan' ELSE '' END AS loss,
   CASE WHEN event_type = 'signup' THEN CAST(value AS VARCHAR) ELSE '' END AS eval_loss,
   CAST(round(value * 2, 2) AS VARCHAR) AS samples_per_s, CAST(round(value * 50, 1) AS VARCHAR) AS tokens_per_s,
-  CAST(round(value / 10, 2) AS VARCHAR) AS gpu_mem_gb, ts
+  CAST(round(value / 10, 2) AS VARCHAR) AS gpu_mem_gb, CAST(round(event_id / 5000, 2) AS VARCHAR) AS epoch,
+  CAST(round(value / 100, 2) AS VARCHAR) AS lr, CAST(round(event_id / 40, 1) AS VARCHAR) AS elapsed_min,
+  CAST(round(value * 6, 1) AS VARCHAR) AS eta_min, ts
  FROM events)"""
 
 
@@ -150,6 +156,21 @@ RUN_INDEX_SQL = """run_index AS (
  FROM events)"""
 
 
+# ---------------------------------------------------------------- log_lines
+def log_lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """The lines of the invocations' log files; an error ends an invocation."""
+    e = table(spark, sf_dir, "events") if events is None else events
+    return e.select(
+        F.concat(F.lit("run_"), F.col("user_id").cast("string"), F.lit("_"), F.dayofmonth("ts").cast("string")).alias("log_file"),
+        F.col("event_id").alias("ord"), F.concat_ws(" ", "event_type", "props").alias("line"),
+        F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("label"), (F.col("event_type") == "error").alias("crashed"))
+
+
+LOG_LINES_SQL = """log_lines AS (
+ SELECT concat('run_', user_id, '_', CAST(day(ts) AS VARCHAR)) AS log_file, event_id AS ord, concat_ws(' ', event_type, props) AS line,
+  concat('m', user_id % 4) AS label, event_type = 'error' AS crashed FROM events)"""
+
+
 # --------------------------------------------------------------- items_done
 def items_done(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     d = (table(spark, sf_dir, "documents") if docs is None else docs).select("doc_id", "lang")

@@ -52,15 +52,18 @@ def loss_curve_stats(spark, sf):
     return L.loss_curve_stats(X.loss_log(spark, sf))
 
 
-@query("latest_point", sql=_w() + """, tr AS (SELECT * FROM num WHERE loss_n IS NOT NULL),
- a AS (SELECT model, setting, arg_max((step, loss_n, samples_per_s, tokens_per_s, gpu_mem_gb), ord) AS p,
+BOARD_SQL = """, tr AS (SELECT * FROM num WHERE loss_n IS NOT NULL),
+ a AS (SELECT model, setting, arg_max((step, loss_n, samples_per_s, tokens_per_s, gpu_mem_gb, epoch, elapsed_min, eta_min), ord) AS p,
    arg_min(loss_n, ord) AS start_loss, min(loss_n) AS min_loss FROM tr GROUP BY ALL),
  ev AS (SELECT model, setting, arg_max(eval_loss_n, ord) AS last_eval_loss, min(eval_loss_n) AS best_eval_loss,
    arg_min(step, (eval_loss_n, ord)) AS best_eval_step FROM num WHERE eval_loss_n IS NOT NULL GROUP BY ALL)
- SELECT a.model, a.setting, p[1] AS step, round(p[2], 4) AS loss, round(start_loss, 4) AS start_loss, round(min_loss, 4) AS min_loss,
-  p[3] AS samples_per_s, p[4] AS tokens_per_s, p[5] AS gpu_mem_gb, round(last_eval_loss, 4) AS last_eval_loss,
-  round(best_eval_loss, 4) AS best_eval_loss, best_eval_step
- FROM a LEFT JOIN ev ON a.model = ev.model AND a.setting = ev.setting""")
+ SELECT a.model, a.setting, p[1] AS step, p[6] AS epoch, round(p[2], 4) AS loss, round(start_loss, 4) AS start_loss,
+  round(min_loss, 4) AS min_loss, p[3] AS samples_per_s, p[4] AS tokens_per_s, p[5] AS gpu_mem_gb, p[7] AS elapsed_min, p[8] AS eta_min,
+  round(last_eval_loss, 4) AS last_eval_loss, round(best_eval_loss, 4) AS best_eval_loss, best_eval_step
+ FROM a LEFT JOIN ev ON a.model = ev.model AND a.setting = ev.setting"""
+
+
+@query("latest_point", sql=_w() + BOARD_SQL)
 def latest_point(spark, sf):
     """The live board's numbers per run, as a batch query."""
     return L.latest_point(X.loss_log(spark, sf))

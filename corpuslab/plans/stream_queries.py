@@ -23,19 +23,23 @@ from corpuslab.sources import io as IO
 from corpuslab.streaming import live as S
 
 
-@query("live_training_board", sql=X.with_ctes(X.LOSS_LOG_SQL, RQ.NUM) + """, tr AS (SELECT * FROM num WHERE loss_n IS NOT NULL),
- a AS (SELECT model, setting, arg_max((step, loss_n, samples_per_s, tokens_per_s, gpu_mem_gb), ord) AS p,
-   arg_min(loss_n, ord) AS start_loss, min(loss_n) AS min_loss FROM tr GROUP BY ALL),
- ev AS (SELECT model, setting, arg_max(eval_loss_n, ord) AS last_eval_loss, min(eval_loss_n) AS best_eval_loss,
-   arg_min(step, (eval_loss_n, ord)) AS best_eval_step FROM num WHERE eval_loss_n IS NOT NULL GROUP BY ALL)
- SELECT a.model, a.setting, p[1] AS step, round(p[2], 4) AS loss, round(start_loss, 4) AS start_loss, round(min_loss, 4) AS min_loss,
-  p[3] AS samples_per_s, p[4] AS tokens_per_s, p[5] AS gpu_mem_gb, round(last_eval_loss, 4) AS last_eval_loss,
-  round(best_eval_loss, 4) AS best_eval_loss, best_eval_step
- FROM a LEFT JOIN ev ON a.model = ev.model AND a.setting = ev.setting""")
-def live_training_board(spark, sf):
-    """Live board over a replayed training-log stream (complete mode)."""
+def _board(spark, sf):
     stream = X.loss_log(spark, sf, S.table_stream(spark, sf, "events"))
-    return S.board_rows(S.state_to_table(S.training_board(stream), S.scratch(spark, "board"), S.scratch(spark, "ckpt")))
+    return S.updates_to_table(S.board_updates(stream), S.RUN, S.scratch(spark, "board"), S.scratch(spark, "ckpt"))
+
+
+@query("live_training_board", sql=X.with_ctes(X.LOSS_LOG_SQL, RQ.NUM) + RQ.BOARD_SQL)
+def live_training_board(spark, sf):
+    """Live board over a replayed training-log stream (keyed state, updates)."""
+    return S.board_rows(_board(spark, sf))
+
+
+@query("live_recent_points", sql=X.with_ctes(X.LOSS_LOG_SQL) + f"""SELECT * FROM (SELECT model, setting, ord, step, epoch, loss, eval_loss,
+ lr, samples_per_s, eta_min, row_number() OVER (PARTITION BY model, setting ORDER BY ord DESC) AS recent_rank FROM loss_log)
+ WHERE recent_rank <= {S.RECENT}""")
+def live_recent_points(spark, sf):
+    """The last points of every run, from the same state as the board."""
+    return S.board_points(_board(spark, sf))
 
 
 @query("live_run_index", sql=X.with_ctes(X.RUN_INDEX_SQL, RQ.PAIR_SQL)
@@ -43,7 +47,7 @@ def live_training_board(spark, sf):
 def live_run_index(spark, sf):
     """Current state per invocation from a replayed run-index stream."""
     stream = X.run_index(spark, sf, S.table_stream(spark, sf, "events"))
-    state = S.state_to_table(S.run_index_state(stream), S.scratch(spark, "run_index"), S.scratch(spark, "ckpt"))
+    state = S.updates_to_table(S.run_index_state(stream), ("log_file",), S.scratch(spark, "run_index"), S.scratch(spark, "ckpt"))
     return S.run_index_rows(state)
 
 
@@ -55,6 +59,15 @@ def crash_feed(spark, sf):
     return S.append_to_table(S.crash_feed(stream), S.scratch(spark, "crashes"), S.scratch(spark, "ckpt"))
 
 
+@query("crash_tails", sql=X.with_ctes(X.LOG_LINES_SQL) + f""", n AS (SELECT *, row_number() OVER (PARTITION BY log_file ORDER BY ord) AS at FROM log_lines)
+ SELECT c.ord, c.log_file, c.label, CAST(c.at - l.at + 1 AS INTEGER) AS from_end, l.ord AS line_ord, l.line
+ FROM n c JOIN n l ON l.log_file = c.log_file AND l.at BETWEEN c.at - {S.TAIL - 1} AND c.at WHERE c.crashed""")
+def crash_tails(spark, sf):
+    """T5: the last lines of every crashed run, from a replayed stream of log lines."""
+    stream = X.log_lines(spark, sf, S.table_stream(spark, sf, "events"))
+    return S.append_to_table(S.crash_tails(stream), S.scratch(spark, "tails"), S.scratch(spark, "ckpt"))
+
+
 @query("incremental_predict", sql=X.with_ctes(X.ITEMS_DONE_SQL, EARLIER) + f"""SELECT doc_id, hyp FROM earlier WHERE {bt('hyp')} <> ''
  UNION ALL SELECT doc_id, concat('new ', lang) AS hyp FROM items_done
  WHERE doc_id NOT IN (SELECT doc_id FROM earlier WHERE {bt('hyp')} <> '')""")

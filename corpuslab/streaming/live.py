@@ -6,25 +6,41 @@ streaming query. Aggregation state is bounded by the number of runs / log files,
 watermark is needed. Every query has a batch twin in ``corpuslab.operators``
 that gives the same rows.
 
-* T1 ``training_board``   — per run latest point, start / min loss, best eval.
-* T2 ``run_index_state``  — per log file last start + last finish; a run
-  with no later finish is 'running' immediately (not a stream-stream join).
+* T1 ``board_updates``   — keyed state (``transformWithState``): per run latest
+  point, start / min loss, best eval and the last 15 points; a trigger sends only
+  the runs it touched, which ``upsert`` merges into a versioned table.
+* T2 ``run_index_state`` — per log file last start + last finish, in update mode,
+  merged the same way; a run with no later finish is 'running' immediately (not a
+  stream-stream join).
 * T3 ``incremental_predict`` — foreachBatch: anti-join against what is
   already written, predict, write under ``batch=<id>`` (idempotent replay).
 * T4 ``incremental_scores``  — foreachBatch: per-group statistic sums per
   micro-batch under ``batch=<id>``; readers sum them (additive, exact).
-* T5 ``crash_feed``       — append-mode filter on failed finishes.
+* T5 ``crash_feed``       — append-mode filter on failed finishes;
+  ``crash_tails`` keeps the last lines of every log file as keyed state and sends
+  them when a run crashes.
+
+Readers of a versioned table always find its last complete version
+(``sources/versions.py``).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import deque
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from corpuslab.functions.text import to_number
+from corpuslab.operators.runlog import board_columns, numeric_log
 from corpuslab.session import checkpoint_dir
+from corpuslab.sources import versions
+
+RUN = ("model", "setting")
+RECENT = 15      # points of a run that the board shows
+TAIL = 20        # lines of a crashed run's log
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -43,27 +59,114 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if one else r.parquet(path)
 
 
-def training_board(stream: DataFrame, keys=("model", "setting")) -> DataFrame:
-    """Streaming aggregate of the live training board."""
-    d = stream.select("*", to_number("loss").alias("loss_n"), to_number("eval_loss").alias("eval_loss_n"))
-    tr_ord = F.when(F.col("loss_n").isNotNull(), F.col("ord"))
-    ev_ord = F.when(F.col("eval_loss_n").isNotNull(), F.col("ord"))
-    return d.groupBy(*keys).agg(
-        F.max_by(F.struct("step", "loss_n", "samples_per_s", "tokens_per_s", "gpu_mem_gb"), tr_ord).alias("p"),
-        F.min_by("loss_n", tr_ord).alias("start_loss"), F.min("loss_n").alias("min_loss"),
-        F.max_by("eval_loss_n", ev_ord).alias("last_eval_loss"), F.min("eval_loss_n").alias("best_eval_loss"),
-        F.min_by("step", F.when(F.col("eval_loss_n").isNotNull(), F.struct("eval_loss_n", "ord"))).alias("best_eval_step"))
+# ---- T1: the live board ---------------------------------------------------
+
+POINT = ("ord long, step long, epoch string, loss string, eval_loss string, lr string, samples_per_s string, "
+         "eta_min string")
+#: What the state keeps of a run besides its last points; ``p_`` is the latest training point.
+SUMMARY = ("p_ord long, p_step long, p_epoch string, p_loss double, p_samples_per_s string, p_tokens_per_s string, "
+           "p_gpu_mem_gb string, p_elapsed_min string, p_eta_min string, start_ord long, start_loss double, min_loss double, "
+           "eval_ord long, last_eval_loss double, best_eval_loss double, best_eval_ord long, best_eval_step long")
+BOARD = f"model string, setting string, {SUMMARY}, recent array<struct<{POINT.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(",")]
+
+
+def telling_rows(keys=RUN, recent: int = RECENT):
+    """Of each batch of log rows only those that the board can show: per run the
+    first, last and smallest loss, the last and best evaluation and the last
+    points. A run with most of the rows sends a few dozen a batch to its state."""
+    keys = list(keys)
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            if f.empty:
+                continue
+            f = f.sort_values("ord", ignore_index=True)
+            by = lambda rows: rows.groupby(keys, sort=False, dropna=False)
+            keep = by(f).tail(recent).index
+            for c in ("loss_n", "eval_loss_n"):
+                own = f[f[c].notna()]
+                if len(own):
+                    ends = by(own).head(1).index.union(by(own).tail(1).index)
+                    keep = keep.union(ends).union(pd.Index(by(own)[c].idxmin()))
+            yield f.loc[keep]
+    return run
+
+
+class RunBoard(StatefulProcessor):
+    """State of one run: its summary and its last points."""
+
+    def init(self, handle) -> None:
+        self.summary = handle.getValueState("summary", SUMMARY)
+        self.recent = handle.getListState("recent", POINT)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        new = pd.concat(list(rows)).sort_values("ord")
+        new = new.astype(object).where(new.notna(), None)
+        old = self.summary.get() if self.summary.exists() else [None] * len(_names(SUMMARY))
+        s = fold_points(dict(zip(_names(SUMMARY), old)), new.to_dict("records"))
+        self.summary.update(tuple(s.values()))
+        points = [tuple(p) for p in self.recent.get()] if self.recent.exists() else []
+        points += list(new[_names(POINT)].itertuples(index=False, name=None))
+        points = sorted(points)[-RECENT:]
+        self.recent.put(points)
+        yield pd.DataFrame([{"model": key[0], "setting": key[1], **s,
+                             "recent": [dict(zip(_names(POINT), p)) for p in points]}])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_points(s: dict, rows: list[dict]) -> dict:
+    """The summary after more log rows, in any order."""
+    for r in rows:
+        o, loss, ev = r["ord"], r["loss_n"], r["eval_loss_n"]
+        if loss is not None:
+            if s["p_ord"] is None or o > s["p_ord"]:
+                s.update({"p_ord": o, "p_loss": loss, **{f"p_{c}": r[c] for c in (
+                    "step", "epoch", "samples_per_s", "tokens_per_s", "gpu_mem_gb", "elapsed_min", "eta_min")}})
+            if s["start_ord"] is None or o < s["start_ord"]:
+                s.update(start_ord=o, start_loss=loss)
+            s["min_loss"] = loss if s["min_loss"] is None else min(loss, s["min_loss"])
+        if ev is not None:
+            if s["eval_ord"] is None or o > s["eval_ord"]:
+                s.update(eval_ord=o, last_eval_loss=ev)
+            if s["best_eval_loss"] is None or (ev, o) < (s["best_eval_loss"], s["best_eval_ord"]):
+                s.update(best_eval_loss=ev, best_eval_ord=o, best_eval_step=r["step"])
+    return s
+
+
+def board_updates(log: DataFrame) -> DataFrame:
+    """A stream of training-log rows as a stream of board rows (``BOARD``),
+    one for every run that a trigger touched."""
+    rows = numeric_log(log).select(*RUN, *dict.fromkeys(_names(POINT) + [
+        "tokens_per_s", "gpu_mem_gb", "elapsed_min", "loss_n", "eval_loss_n"]))
+    few = rows.mapInPandas(telling_rows(), rows.schema)
+    return few.groupBy(*RUN).transformWithStateInPandas(RunBoard(), BOARD, "Update", "None")
 
 
-def board_rows(board: DataFrame, keys=("model", "setting")) -> DataFrame:
-    return board.select(
-        *keys, F.col("p.step").alias("step"), F.round("p.loss_n", 4).alias("loss"),
-        F.round("start_loss", 4).alias("start_loss"), F.round("min_loss", 4).alias("min_loss"),
-        F.col("p.samples_per_s").alias("samples_per_s"), F.col("p.tokens_per_s").alias("tokens_per_s"),
-        F.col("p.gpu_mem_gb").alias("gpu_mem_gb"), F.round("last_eval_loss", 4).alias("last_eval_loss"),
-        F.round("best_eval_loss", 4).alias("best_eval_loss"), "best_eval_step")
+def board_rows(board: DataFrame, keys=RUN) -> DataFrame:
+    """The board of runs that have a training point."""
+    seen = board.filter(F.col("p_ord").isNotNull())
+    return seen.select(*keys, *board_columns(lambda c: F.col(f"p_{c}"), F.col("p_loss")))
 
 
+def board_points(board: DataFrame, keys=RUN) -> DataFrame:
+    """The last points of every run, newest first (rank 1)."""
+    at = F.posexplode(F.reverse("recent")).alias("at", "point")
+    points = board.select(*keys, at)
+    return points.select(*keys, (F.col("at") + 1).cast("long").alias("recent_rank"), "point.*")
+
+
+# ---- T2: the run index ------------------------------------------------------
+
 def run_index_state(stream: DataFrame) -> DataFrame:
     """Per log file the latest start and the latest finish (by log order)."""
     st = F.col("event") == "started"
@@ -90,22 +193,80 @@ def crash_feed(stream: DataFrame) -> DataFrame:
         "ord", "log_file", "label", "status")
 
 
+class LogTail(StatefulProcessor):
+    """State of one log file: its last lines. Rows of a trigger are taken in log
+    order; a crash sends the lines up to and with its own."""
+
+    def init(self, handle) -> None:
+        self.lines = handle.getListState("lines", "ord long, line string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        new = pd.concat(list(rows)).sort_values("ord")
+        tail = deque([tuple(x) for x in self.lines.get()] if self.lines.exists() else [], maxlen=TAIL)
+        out = []
+        for o, line, label, crashed in new[["ord", "line", "label", "crashed"]].itertuples(index=False, name=None):
+            tail.append((o, line))
+            if crashed:
+                out += [(o, key[0], label, len(tail) - i, at, text) for i, (at, text) in enumerate(tail)]
+        self.lines.put(list(tail))
+        yield pd.DataFrame(out, columns=["ord", "log_file", "label", "from_end", "line_ord", "line"])
+
+    def close(self) -> None:
+        pass
+
+
+def crash_tails(lines: DataFrame) -> DataFrame:
+    """T5: the last lines of every crashed run, when it crashes. ``lines``: a
+    stream (log_file, ord, line, label, crashed). A log's lines of one trigger
+    are held in memory while they are put in order; the state is ``TAIL`` lines."""
+    schema = "ord long, log_file string, label string, from_end int, line_ord long, line string"
+    return (lines.select("log_file", "ord", "line", "label", "crashed").groupBy("log_file")
+            .transformWithStateInPandas(LogTail(), schema, "Append", "None"))
+
+
+# ---- running a stream over everything available -----------------------------
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """While a stream with keyed state starts: the state store that it needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def append_to_table(sdf: DataFrame, path: str, ckpt: str) -> DataFrame:
     """Run an append-mode query over everything available into Parquet files
     (the file sink's log makes a replayed batch count once)."""
-    q = (sdf.writeStream.format("parquet").outputMode("append").option("path", path)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with keyed_state(sdf.sparkSession):
+        q = (sdf.writeStream.format("parquet").outputMode("append").option("path", path)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
     return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
 
 
-def state_to_table(sdf: DataFrame, path: str, ckpt: str) -> DataFrame:
-    """Run a complete-mode aggregate over everything available; each trigger
-    replaces the table by the state it reached. Nothing passes the driver."""
-    q = (sdf.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).outputMode("complete")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
+def upsert(batch: DataFrame, path: str, keys: tuple[str, ...]) -> None:
+    """Rows of ``batch`` replace those of the same key in the versioned table.
+    Merging a batch twice gives the same table."""
+    old = versions.read(batch.sparkSession, path, batch.schema)
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    kept = old.alias("o").join(batch.select(*keys).alias("n"), same, "left_anti")
+    versions.publish(kept.unionByName(batch), path)
+
+
+def updates_to_table(sdf: DataFrame, keys: tuple[str, ...], path: str, ckpt: str) -> DataFrame:
+    """Run an update-mode query over everything available; each trigger's rows
+    are merged into the versioned table ``path``. Nothing passes the driver."""
+    with keyed_state(sdf.sparkSession):
+        q = (sdf.writeStream.foreachBatch(lambda df, _: upsert(df, path, keys)).outputMode("update")
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return versions.read(sdf.sparkSession, path, sdf.schema)
 
 
 def foreach_batch_to(sdf: DataFrame, fn, ckpt: str) -> None:
