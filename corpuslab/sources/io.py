@@ -1,20 +1,26 @@
 """Readers and writers.
 
-Schemas are explicit (all-string for raw CSV), names are resolved on
-``df.columns`` without a data pass, and run keys come from the path
-(``model=/setting=`` partition discovery or a path regex on ``_metadata``).
+CSV files are read as rows of cells, header included, by Spark's own parser
+(quoted line breaks and compression as usual); the first row of each file says,
+in the task that reads the file, which of its columns is which. The driver lists
+files but opens none. Run keys come from the path (``model=/setting=`` or a path
+pattern on ``_metadata``).
 """
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import PANDAS_NA_VALUES, na_to_null
+from corpuslab.sources import versions
 
-BOM = "﻿"
+BOM = "\ufeff"
+MAX_COLUMNS = 128
+#: A data unit's name in a file path: a file, or a folder that Spark or a versioned write filled.
+UNIT = r"([^/]+?)(?:\.csv(?:\.[a-z0-9]+)?|\.tsv)?(?:/data-[0-9]{10}-[0-9a-f]{8})?(?:/part-[^/]*)?$"
 
 
 def _canon(name: str) -> str:
@@ -26,75 +32,115 @@ def resolve_columns(df: DataFrame) -> dict[str, str]:
     return {_canon(c): c for c in df.columns}
 
 
-def _fs(spark: SparkSession, path: str):
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
-
-
 def data_files(spark: SparkSession, pattern: str) -> list[str]:
     """The data files that a path or glob names: files themselves, or the
-    files of a folder (and of the folders that Spark wrote inside it). Hidden
-    and marker files are left out. One listing on the driver; callers use it
-    for per-run or per-language files, of which there are few."""
-    fs, hpath = _fs(spark, pattern)
+    files of a folder (and of the folders that Spark wrote inside it); of a
+    versioned folder those of its current version. Hidden and marker files are
+    left out. One listing on the driver; callers use it for per-run or
+    per-language files, of which there are few."""
+    fs, hpath = versions.file_system(spark, pattern)
     todo = list(fs.globStatus(hpath) or [])
     found = []
     while todo:
         st = todo.pop()
-        name = st.getPath().getName()
-        if name.startswith((".", "_")):
+        path = st.getPath()
+        if path.getName().startswith((".", "_")):
             continue
-        if st.isDirectory():
-            todo += list(fs.listStatus(st.getPath()))
+        if not st.isDirectory():
+            found.append(path.toString())
+        elif now := versions.current(spark, path.toString()):
+            todo += list(fs.listStatus(versions.file_system(spark, now)[1]))
         else:
-            found.append(st.getPath().toString())
+            todo += list(fs.listStatus(path))
     return sorted(found)
 
 
-def header_of(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names of a CSV file: its first line, read from its file system."""
-    import csv as _csv
+def _cells(spark: SparkSession, files: list[str]) -> DataFrame | None:
+    """Every row of the CSV (or TSV) files, headers too, as ``__file`` and
+    string cells c0, c1, ...; a file's rows stay together and in order, since a
+    file with quoted line breaks is read by one task."""
+    out = None
+    for sep, own in (("\t", [f for f in files if _is_tsv(f)]), (",", [f for f in files if not _is_tsv(f)])):
+        if own:
+            cells = [f"c{i}" for i in range(MAX_COLUMNS)]
+            r = (spark.read.schema(", ".join(f"{c} string" for c in cells)).option("header", False).option("sep", sep)
+                 .option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1)
+                 .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE"))
+            df = r.csv(own).select(F.col("_metadata.file_path").alias("__file"), *cells)
+            out = df if out is None else out.union(df)
+    return out
 
-    fs, hpath = _fs(spark, file)
-    jvm = spark._jvm
-    stream = fs.open(hpath)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine() or ""
-    finally:
-        stream.close()
-    sep = "\t" if file.endswith(".tsv") else ","
-    return tuple(next(_csv.reader([line.replace(BOM, "")], delimiter=sep), []))
+
+def _is_tsv(file: str) -> bool:
+    return ".tsv" in file.rsplit("/", 1)[-1] or ".tsv/" in file
+
+
+def _by_file(batches):
+    """(file, header, columns, first row, end) of every file's data rows in a
+    stream of cell batches; a header without rows comes with an empty range."""
+    import pyarrow.compute as pc
+
+    file, header = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = b.column(0)
+        cut = [i + 1 for i in pc.indices_nonzero(pc.not_equal(names[1:], names[:-1])).to_pylist()]
+        for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
+            if names[lo].as_py() != file:
+                file = names[lo].as_py()
+                header = [b.column(i + 1)[lo].as_py() for i in range(MAX_COLUMNS)]
+                if header[-1] is not None:
+                    raise ValueError(f"{file} has {MAX_COLUMNS} columns or more")
+                header = [_canon(h or "") for h in header]
+                while header and not header[-1]:
+                    header.pop()
+                lo += 1
+            yield file, header, b, lo, hi
+
+
+def file_headers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, header array of canonical names) of every file that has a row."""
+    def run(batches):
+        import pyarrow as pa
+
+        last = None
+        for file, header, _, _, _ in _by_file(batches):
+            if file != last:
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([header], pa.list_(pa.string()))], ["file", "header"])
+                last = file
+
+    cells = _cells(spark, files)
+    schema = "file string, header array<string>"
+    return spark.createDataFrame([], schema) if cells is None else cells.mapInArrow(run, schema)
 
 
 def read_by_name(spark: SparkSession, files: list[str], columns: list[str], required: list[str] = (),
-                 multi_line: bool = True) -> DataFrame:
+                 on_missing: str = "error") -> DataFrame:
     """CSV files of possibly different headers as one table of ``columns``
-    (all strings), each cell found by its column's name, whatever the order.
-    Short rows keep NULLs in the cells they lack, columns a file lacks are
-    NULL. A file without the ``required`` columns is left out with a warning
-    that names it. Files of equal header are one scan."""
-    import warnings
-
-    by_header: dict[tuple, list[str]] = {}
-    for f in files:
-        by_header.setdefault(tuple(_canon(h) for h in header_of(spark, f)), []).append(f)
-    out = None
-    for header, own in by_header.items():
-        if missing := [c for c in required if c not in header]:
-            warnings.warn(f"{len(own)} file(s) without column(s) {missing} left out: {own[:5]}", stacklevel=2)
-            continue
-        names = [h if header.index(h) == i else f"{h}__{i}" for i, h in enumerate(header)]
-        r = (spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True)
-             .option("multiLine", multi_line).option("escape", '"').option("maxCharsPerColumn", -1)
-             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-             .option("enforceSchema", True).option("mode", "PERMISSIVE"))
-        df = r.csv(own).select(F.col("_metadata.file_path").alias("__file"), *[
-            (F.col(f"`{c}`") if c in names else F.lit(None).cast("string")).alias(c) for c in columns])
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        fields = ", ".join(f"`{c}` string" for c in ["__file", *columns])
-        return spark.createDataFrame([], fields)
-    return out
+    (all strings), each cell found by its column's name (the first of equals),
+    whatever the order. Short rows keep NULLs in the cells they lack, columns a
+    file lacks are NULL, cells beyond the header are dropped. A file without a
+    ``required`` column is an error that names it, or with ``on_missing="skip"``
+    has no rows (``file_headers`` tells which files these are)."""
+    columns, required = list(columns), list(required)
+    schema = ", ".join(f"`{c}` string" for c in ["__file", *columns])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for file, header, b, lo, hi in _by_file(batches):
+            if missing := [c for c in required if c not in header]:
+                if on_missing == "error":
+                    raise ValueError(f"{file} has no column(s) {missing}; it has {header}")
+                continue
+            if lo < hi:
+                own = [b.column(header.index(c) + 1).slice(lo, hi - lo) if c in header else pa.nulls(hi - lo, pa.string())
+                       for c in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *own], ["__file", *columns])
+
+    cells = _cells(spark, files)
+    return spark.createDataFrame([], schema) if cells is None else cells.mapInArrow(run, schema)
 
 
 def match_language_files(spark: SparkSession, path: str, languages: list[str]) -> dict[str, list[str]]:
@@ -103,9 +149,7 @@ def match_language_files(spark: SparkSession, path: str, languages: list[str]) -
     without a file is an error that lists all that are missing."""
     found: dict[str, list[str]] = {}
     for f in data_files(spark, path):
-        folder, name = f.rstrip("/").split("/")[-2:]
-        unit = folder if name.startswith("part-") else name
-        found.setdefault(unit.rsplit(".csv", 1)[0].lower(), []).append(f)
+        found.setdefault(re.search(UNIT, f).group(1).lower(), []).append(f)
     missing = [x for x in languages if x.lower() not in found]
     if missing:
         raise ValueError(f"no file for language(s) {missing} under {path}; found {sorted(found)}")
@@ -131,11 +175,10 @@ def read_wide(spark: SparkSession, path: str, languages: list[str] | None = None
     headers, so files may order them differently; quoted multi-line cells, a
     BOM and short rows (-> NULL) are tolerated; nothing is inferred."""
     files = data_files(spark, path)
-    columns = list(dict.fromkeys(_canon(h) for f in files for h in header_of(spark, f)))
+    names = file_headers(spark, files).select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+    columns = [r["name"] for r in names.filter("name <> ''").orderBy("at", "name").collect()]  # at most MAX_COLUMNS a file
     df = read_by_name(spark, files, columns)
-    folder = F.regexp_replace(F.regexp_extract("__file", r"([^/]+)/part-[^/]*$", 1), r"\.csv$", "")
-    lang = F.when(folder != "", folder).otherwise(F.regexp_extract("__file", r"([^/]+)\.csv$", 1))
-    df = df.withColumn("__lang", lang).drop("__file")
+    df = df.withColumn("__lang", F.regexp_extract("__file", UNIT, 1)).drop("__file")
     if languages is not None:
         want = {x.lower(): x for x in languages}
         m = F.create_map(*[x for k, v in want.items() for x in (F.lit(k), F.lit(v))])
@@ -181,26 +224,52 @@ def read_pairs(df: DataFrame, languages: list[str]) -> DataFrame:
 PREDICTION_COLUMNS = ["gid", "language", "tribal", "english", "hyp", "src_lang"]
 
 
-def _runs(spark: SparkSession, root: str, name: str, layout: str, columns: list[str], required: list[str],
-          multi_line: bool = True) -> DataFrame:
+def run_files(spark: SparkSession, root: str, name: str, layout: str) -> list[str]:
+    """Files ``name`` of all runs: ``dirs`` is <root>/<model>/<setting>/<name>,
+    ``hive`` is <root>/model=<m>/setting=<s>/."""
+    return data_files(spark, f"{root}/model=*/setting=*" if layout == "hive" else f"{root}/*/*/{name}")
+
+
+def run_keys(file, name: str, layout: str) -> list:
+    """model and setting from a file's path."""
+    rx = (r"/model=([^/]+)/setting=([^/]+)/[^/]*$" if layout == "hive"
+          else rf"/([^/]+)/([^/]+)/{re.escape(name)}(?:/[^/]*)?$")
+    return [F.url_decode(F.regexp_extract(file, rx, i)).alias(k) for i, k in ((1, "model"), (2, "setting"))]
+
+
+def _runs(spark: SparkSession, root: str, name: str, layout: str, columns: list[str], required: list[str]) -> DataFrame:
     """Per-run CSV files, cells by column name, with model and setting from the
-    path: ``dirs`` is <root>/<model>/<setting>/<name>, ``hive`` is
-    <root>/model=<m>/setting=<s>/."""
-    if layout == "hive":
-        df = read_by_name(spark, data_files(spark, f"{root}/model=*/setting=*"), columns, required, multi_line)
-        rx = r"/model=([^/]+)/setting=([^/]+)/[^/]*$"
-    else:
-        df = read_by_name(spark, data_files(spark, f"{root}/*/*/{name}"), columns, required, multi_line)
-        rx = rf"/([^/]+)/([^/]+)/{name.replace('.', '[.]')}$"
-    run = [F.url_decode(F.regexp_extract("__file", rx, i)) for i in (1, 2)]
-    return df.select(run[0].alias("model"), run[1].alias("setting"), *columns)
+    path; files without a ``required`` column have no rows."""
+    df = read_by_name(spark, run_files(spark, root, name, layout), columns, required, "skip")
+    return df.select(*run_keys(F.col("__file"), name, layout), *columns)
+
+
+def unreadable_runs(spark: SparkSession, root: str, name: str = "predictions.csv", required: list[str] = ("hyp",),
+                    layout: str = "dirs") -> DataFrame:
+    """(model, setting, missing) of runs whose file lacks a required column, or
+    has no row at all, not even a header."""
+    files = run_files(spark, root, name, layout)
+    if not files:
+        return spark.createDataFrame([], "model string, setting string, missing array<string>")
+    need = F.array(*[F.lit(c) for c in required])
+    listed = spark.createDataFrame([(f,) for f in files], "file string")
+    seen = file_headers(spark, files).withColumn("file", _plain_path("file")).withColumnRenamed("file", "__seen")
+    j = listed.join(seen, _plain_path("file") == F.col("__seen"), "left")
+    gone = F.array_except(need, F.coalesce("header", F.array().cast("array<string>")))
+    return (j.select(*run_keys(F.col("file"), name, layout), gone.alias("missing"))
+            .groupBy("model", "setting").agg(F.max_by("missing", F.size("missing")).alias("missing")).filter(F.size("missing") > 0))
+
+
+def _plain_path(column: str):
+    """A file path without its scheme's slashes: listings and scans write them differently."""
+    return F.url_decode(F.regexp_replace(F.col(column), r"^([a-z0-9]+:)/+", "$1/"))
 
 
 def read_predictions(spark: SparkSession, root: str, columns: list[str] = tuple(PREDICTION_COLUMNS),
                      layout: str = "dirs") -> DataFrame:
     """Every run's predictions. Columns are found by name in each file;
     short rows stay, with NULLs; missing-value spellings read as NULL; a file
-    without ``hyp`` is left out with a warning."""
+    without ``hyp`` has no rows and is listed by ``unreadable_runs``."""
     df = _runs(spark, root, "predictions.csv", layout, list(columns), ["hyp"])
     return df.select("model", "setting", *[na_to_null(F.col(c)).alias(c) for c in columns])
 
@@ -224,7 +293,7 @@ LOSS_LOG_COLUMNS = ["step", "epoch", "loss", "eval_loss", "lr", "grad_norm", "sa
 def read_loss_curves(spark: SparkSession, root: str, columns=LOSS_LOG_COLUMNS, layout: str = "dirs") -> DataFrame:
     """All training logs stacked, (model, setting) first, all cells as
     strings found by column name (numeric coercion is P8's job)."""
-    return _runs(spark, root, "training_log.csv", layout, list(columns), ["step"], multi_line=False)
+    return _runs(spark, root, "training_log.csv", layout, list(columns), ["step"])
 
 
 RUN_INDEX_COLUMNS = ["timestamp", "event", "script", "label", "duration_min", "status", "log_file", "run_dir", "command"]
@@ -237,7 +306,7 @@ def read_run_index(spark: SparkSession, path: str, stream: bool = False) -> Data
         schema = ", ".join(f"{c} string" for c in RUN_INDEX_COLUMNS)
         df = spark.readStream.schema(schema).option("header", True).csv(path)
     else:
-        df = read_by_name(spark, data_files(spark, path), RUN_INDEX_COLUMNS, ["event"], False).drop("__file")
+        df = read_by_name(spark, data_files(spark, path), RUN_INDEX_COLUMNS, ["event"]).drop("__file")
     return df.withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
 
 
@@ -248,38 +317,15 @@ def csv_writer(w):
             .option("ignoreTrailingWhiteSpace", False))
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    fs, hpath = _fs(spark, path)
-    return fs.exists(spark._jvm.org.apache.hadoop.fs.Path(hpath, "_SUCCESS"))
-
-
 def write_corpus(df: DataFrame, path: str, force: bool = False, fmt: str = "csv") -> str:
-    """K1: no-op when a complete target exists unless forced. The result is
-    written to a hidden sibling first and renamed to the target only once
-    Spark's commit marked it complete, so a crashed write leaves either the
-    old target or none (a target without the mark counts as absent), and a
-    replacement may read what it replaces. Returns ``path``."""
+    """K1: no-op when a complete target exists unless forced. The result is a
+    new version of ``path`` (``sources/versions.py``): a reader finds the old
+    one until the new one is complete, and nothing is renamed. A replacement may
+    read what it replaces. Returns ``path``; ``data_files`` and the readers here
+    go to the current version, other readers to ``versions.current``."""
     spark = df.sparkSession
-    fs, target = _fs(spark, path.rstrip("/"))
-    if _complete(spark, path) and not force:
-        return path
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    tag = uuid.uuid4().hex
-    fresh = Path(target.getParent(), f".{target.getName()}.tmp-{tag}")
-    w = df.write.mode("errorifexists")
-    (csv_writer(w).csv(fresh.toString()) if fmt == "csv" else w.parquet(fresh.toString()))
-    if not _complete(spark, fresh.toString()):
-        raise RuntimeError(f"{fresh} was not committed; {path} is unchanged")
-    old = Path(target.getParent(), f".{target.getName()}.old-{tag}")
-    had = fs.exists(target)
-    if had and not fs.rename(target, old):
-        raise RuntimeError(f"{path} could not be moved aside")
-    if not fs.rename(fresh, target):
-        if had:
-            fs.rename(old, target)
-        raise RuntimeError(f"{fresh} could not be renamed to {path}")
-    if had:
-        fs.delete(old, True)
+    if versions.current(spark, path) is None or force:
+        versions.publish(df, path, lambda w, to: csv_writer(w).csv(to) if fmt == "csv" else w.parquet(to))
     return path
 
 
@@ -321,6 +367,6 @@ def append_events(df: DataFrame, path: str) -> None:
     csv_writer(df.write.mode("append")).csv(path)
 
 
-__all__ = ["read_wide", "read_corpus_folder", "match_language_files", "read_by_name", "read_partials", "require_columns", "read_pairs", "read_predictions", "read_run_json",
+__all__ = ["read_wide", "file_headers", "unreadable_runs", "data_files", "read_corpus_folder", "match_language_files", "read_by_name", "read_partials", "require_columns", "read_pairs", "read_predictions", "read_run_json",
            "read_loss_curves", "read_run_index", "write_corpus", "write_table", "write_nested",
            "append_partial", "append_events", "PANDAS_NA_VALUES"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuslab.operators import corpus as C
 from corpuslab.operators import inference as I
 from corpuslab.sources import io as IO
+from corpuslab.sources import versions as V
 
 
 def _write(path, text):
@@ -47,33 +48,84 @@ def test_na_folding_on_read(spark):
 def test_write_corpus_ignore_unless_forced(spark):
     d = tempfile.mkdtemp(prefix="corpuslab-io-")
     p = os.path.join(d, "corpus")
-    plain = lambda: sorted(r.t for r in spark.read.option("header", True).csv(p).collect())
+    now = lambda: spark.read.option("header", True).csv(V.current(spark, p))
+    plain = lambda: sorted(r.t for r in now().collect())
     make = lambda *v: spark.createDataFrame([(x,) for x in v], "t string")
     IO.write_corpus(make("a"), p)
     IO.write_corpus(make("b", "c"), p)          # no-op: a complete target exists
     assert plain() == ["a"]
     for n in range(3):  # forced writes replace, also while they read what they replace
-        old = spark.read.option("header", True).csv(p)
+        old = now()
         assert IO.write_corpus(old.unionByName(make(f"x{n}")), p, force=True) == p
     assert plain() == ["a", "x0", "x1", "x2"]
-    assert spark.read.option("header", True).csv(p).columns == ["t"]
+    assert now().columns == ["t"]
 
 
 def test_write_corpus_after_a_crashed_write(spark):
-    d = tempfile.mkdtemp(prefix="corpuslab-io-")
-    p = os.path.join(d, "corpus")
-    os.makedirs(p)
-    _write(os.path.join(p, "part-0.csv"), "t\nhalf\n")  # files, but no commit mark
+    p = os.path.join(tempfile.mkdtemp(prefix="corpuslab-io-"), "corpus")
+    read = lambda: sorted(r.t for r in IO.read_wide(spark, p).collect())
+    boom = spark.createDataFrame([("c",)], "t string").select(F.raise_error(F.lit("crash")).cast("string").alias("t"))
+
+    def crash(**how):
+        try:
+            IO.write_corpus(boom, p, **how)
+        except Exception as e:
+            assert "crash" in str(e)
+        else:
+            raise AssertionError("expected the write to fail")
+
+    crash()  # files, but no version
     IO.write_corpus(spark.createDataFrame([("a",), ("b",)], "t string"), p)
-    assert sorted(r.t for r in spark.read.option("header", True).csv(p).collect()) == ["a", "b"]
+    assert read() == ["a", "b"]
+    crash(force=True)
+    assert read() == ["a", "b"]
 
-    boom = spark.createDataFrame([("c",)], "t string").select(F.raise_error(F.lit("crash")).cast("string").alias("t"))
+
+def test_headers_are_parsed_where_files_are_read(spark):
+    """A quoted line break in a header, compression, tabs, odd orders, no rows."""
+    import gzip
+
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    _write(os.path.join(d, "Gondi.csv"), 'english,"hi\nndi",Gondi\n1,2,3\n"4\n4",5,6,extra\n')
+    with gzip.open(os.path.join(d, "Bhili.csv.gz"), "wt", encoding="utf-8") as f:
+        f.write('\ufeffBhili, English \n"b ""1""",e1\nb2\n')
+    _write(os.path.join(d, "Mundari.tsv"), "english\tmundari\nx,y\tz\n")
+    _write(os.path.join(d, "Santali.csv"), "english,Santali\n")
+    _write(os.path.join(d, "empty.csv"), "")
+    wide = IO.read_wide(spark, d)
+    assert set(wide.columns) == {"english", "hi\nndi", "gondi", "bhili", "mundari", "santali", "__lang"}
+    got = {(r["__lang"], r["english"], r["hi\nndi"], r["gondi"], r["bhili"], r["mundari"]) for r in wide.collect()}
+    assert got == {("Gondi", "1", "2", "3", None, None), ("Gondi", "4\n4", "5", "6", None, None),
+                   ("Bhili", "e1", None, None, 'b "1"', None), ("Bhili", None, None, None, "b2", None),
+                   ("Mundari", "x,y", None, None, None, "z")}
+    pairs = IO.read_corpus_folder(spark, d, ["Gondi", "Bhili", "Mundari", "Santali"]).collect()
+    assert sorted((r.language, r.tribal) for r in pairs) == [
+        ("Bhili", 'b "1"'), ("Bhili", "b2"), ("Gondi", "3"), ("Gondi", "6"), ("Mundari", "z")]
+    _write(os.path.join(d, "Ho.csv"), "english,other\n1,2\n")
     try:
-        IO.write_corpus(boom, p, force=True)
-        raise AssertionError("expected the write to fail")
+        IO.read_corpus_folder(spark, d, ["Ho"]).collect()
+        raise AssertionError("expected an error naming file and column")
     except Exception as e:
-        assert "crash" in str(e)
-    assert sorted(r.t for r in spark.read.option("header", True).csv(p).collect()) == ["a", "b"]
+        assert "Ho.csv" in str(e) and "'ho'" in str(e)
+
+
+def test_many_files_in_one_task_keep_their_headers(spark):
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    for i in range(40):
+        _write(os.path.join(d, f"f{i}.csv"), "a,b\n" * (i % 2) + "b,a\n" * (1 - i % 2) + f"{i},x{i}\n" * (i % 5))
+    rows = IO.read_by_name(spark, IO.data_files(spark, d), ["a", "b"])
+    want = sorted((str(i), f"x{i}") if i % 2 else (f"x{i}", str(i)) for i in range(40) for _ in range(i % 5))
+    assert sorted((r.a, r.b) for r in rows.coalesce(1).collect()) == want
+
+
+def test_too_many_columns_is_an_error(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="corpuslab-io-")
+    _write(os.path.join(d, "w.csv"), ",".join(f"c{i}" for i in range(200)) + "\n")
+    try:
+        IO.read_by_name(spark, IO.data_files(spark, d), ["c1"]).collect()
+        raise AssertionError("expected an error")
+    except Exception as e:
+        assert "w.csv" in str(e)
 
 
 def test_folder_of_wide_files_with_their_own_headers(spark):
@@ -93,17 +145,16 @@ def test_folder_of_wide_files_with_their_own_headers(spark):
 
 
 def test_predictions_by_name_short_rows_and_missing_values(spark):
-    import warnings
-
     d = tempfile.mkdtemp(prefix="corpuslab-io-")
     for run, text in {"m1/a": "gid,language,tribal,english,hyp,src_lang\n1,de,t,e,NA,tok\n2,de,t,e,out\n",
                       "m1/b": "hyp,src_lang,english,gid\nout2,tok2,e2,7\n", "m2/a": "gid,text\n1,x\n"}.items():
         os.makedirs(os.path.join(d, run))
         _write(os.path.join(d, run, "predictions.csv"), text)
-    with warnings.catch_warnings(record=True) as said:
-        warnings.simplefilter("always")
-        rows = IO.read_predictions(spark, d).collect()
-    assert any("hyp" in str(w.message) and "m2/a" in str(w.message) for w in said)
+    os.makedirs(os.path.join(d, "m3/a"))
+    _write(os.path.join(d, "m3/a", "predictions.csv"), "")
+    rows = IO.read_predictions(spark, d).collect()
+    bad = {(r.model, r.setting): r.missing for r in IO.unreadable_runs(spark, d).collect()}
+    assert bad == {("m2", "a"): ["hyp"], ("m3", "a"): ["hyp"]}
     got = sorted((r.model, r.setting, r.gid, r.tribal, r.english, r.hyp or "-", r.src_lang or "-") for r in rows if r.setting == "a")
     assert got == [("m1", "a", "1", "t", "e", "-", "tok"), ("m1", "a", "2", "t", "e", "out", "-")]
     (b,) = [r for r in rows if r.setting == "b"]
