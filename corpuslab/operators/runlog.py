@@ -176,25 +176,40 @@ def training_report(records: DataFrame) -> DataFrame:
     return records.select(*RUN, *names)
 
 
-def run_manifest(runs: DataFrame, outputs: DataFrame, environment: DataFrame, training: DataFrame,
+# ---- fixed values: files of a run folder --------------------------------
+PREDICTIONS, METRICS, CRASH_LOG, ENVIRONMENT = "predictions.csv", "metrics.json", "error.log", "environment.json"
+TRAINING, INFERENCE, DONE = "train_metrics.json", "inference_stats.json", "DONE"
+# ---------------------------------------------------------------------------
+
+
+def run_state(listing: DataFrame) -> DataFrame:
+    """One row per run folder: which files it has. ``listing``: model, setting,
+    artifact (``sources.io.run_listing``)."""
+    has = lambda *names: F.bool_or(F.col("artifact").isin(*names))
+    return listing.groupBy(*RUN).agg(
+        has(PREDICTIONS).alias("has_pred"), has(METRICS).alias("has_metrics"), has(CRASH_LOG).alias("crashed"),
+        has(TRAINING, DONE).alias("trained"))
+
+
+def run_manifest(runs: DataFrame, outputs: DataFrame, unreadable: DataFrame, environment: DataFrame, training: DataFrame,
                  inference: DataFrame) -> DataFrame:
     """J9 + P12 + P13: one row per run, left-joined with what its records say.
 
-    runs: model, setting, has_metrics, crashed; outputs: model, setting, n;
+    runs: ``run_state``; outputs: model, setting, n; unreadable: model, setting;
     the others: S6 records. All are one row per run."""
-    t = training.select(*RUN, "train_minutes", "epochs_completed", "train_loss", F.col("mode").alias("ft_mode"), "n_train",
-                        F.lit(True).alias("trained"))
+    t = training.select(*RUN, "train_minutes", "epochs_completed", "train_loss", F.col("mode").alias("ft_mode"), "n_train")
     i = inference.select(*RUN, F.col("translate_minutes").alias("infer_minutes"),
                          F.col("overall_sentences_per_sec").alias("sent_per_sec"))
     e = environment.select(*RUN, "hostname", "gpus", "torch", "transformers")
-    m = runs.join(outputs, RUN, "left")
+    m = runs.join(outputs, RUN, "left").join(unreadable.select(*RUN, F.lit(True).alias("unreadable")), RUN, "left")
     for side in (e, t, i):
         m = m.join(side, RUN, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    status = run_status(F.col("crashed"), F.col("n").isNotNull(), F.coalesce("trained", F.lit(False)), F.col("has_metrics"))
+    broken = F.coalesce("unreadable", F.lit(False))
+    status = run_status(F.col("crashed"), F.col("has_pred"), F.col("trained"), F.col("has_metrics"), broken)
     return m.select(
         *RUN, status.alias("status"),
-        F.when(F.col("crashed"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_predictions"),
+        F.when(F.col("crashed") | broken, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_predictions"),
         text("hostname"), F.coalesce(F.get("gpus", F.lit(0))["name"], F.lit("")).alias("gpu"), text("torch"), text("transformers"),
         "train_minutes", "epochs_completed", "train_loss", "ft_mode", "n_train", "infer_minutes", "sent_per_sec",
         F.concat_ws("/", *RUN).alias("path"))

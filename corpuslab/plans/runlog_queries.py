@@ -115,18 +115,21 @@ _REPORT_SQL = f"""report AS (SELECT c.*, s.initial_loss, s.final_loss, s.min_los
   s.final_loss AS train_loss FROM costs c JOIN stats s ON c.model = s.model AND c.setting = s.setting)"""
 
 
-def _training_records(spark, sf):
-    """S6 over the runs' training records, which are written from the logs
-    first (K3); what a log does not tell is not in the record."""
-    log = X.loss_log(spark, sf)
+def _training_rows(log):
+    """The runs' training records from their logs; what a log does not tell is
+    not in the record."""
     c = L.training_costs(log, EFFECTIVE_BATCH, PLANNED_STEPS, MEAN_SRC_TOKENS)
     s = L.loss_curve_stats(log).withColumnRenamed("n_logged_points", "n_train")
-    rec = c.join(s, RUN).withColumns({
+    return c.join(s, RUN).withColumns({
         "max_steps_planned": F.lit(PLANNED_STEPS), "extended": F.col("steps") > PLANNED_STEPS,
         "effective_batch": F.lit(EFFECTIVE_BATCH), "mean_src_tokens": F.lit(MEAN_SRC_TOKENS),
         "precision": F.lit("fp32"), "train_loss": F.col("final_loss")})
+
+
+def _training_records(spark, sf):
+    """S6 over the runs' training records, which are written from the logs first (K3)."""
     root = scratch(spark, "train_metrics")
-    IO.write_nested(rec, root, partition_by=tuple(RUN))
+    IO.write_nested(_training_rows(X.loss_log(spark, sf)), root, partition_by=tuple(RUN))
     return IO.read_run_json(spark, root, "", L.TRAINING_FIELDS, layout="hive")
 
 
@@ -175,23 +178,49 @@ def elapsed_minutes(spark, sf):
     return g.select("log_file", elapsed_min_col(F.col("s.ts").cast("timestamp"), F.col("end").cast("timestamp")).alias("elapsed_min"))
 
 
+def run_folders(spark, sf, root):
+    """Stand-in run folders, written from the tables. Every run of the
+    predictions has outputs, all but the sweep are scored, and one run's outputs
+    have no column of outputs. Of the training runs m0 has its record, m2 only
+    its end mark, m1 neither, and m3 has left a crash log."""
+    pred, log = X.predictions(spark, sf), X.loss_log(spark, sf)
+    own = lambda df, mode="overwrite": df.write.mode(mode).partitionBy(*RUN)
+    rows = pred.select(*RUN, F.col("doc_id").cast("string").alias("gid"), "language", "english", "hyp")
+    broken = (F.col("model") == "m2") & (F.col("setting") == "ft_a")
+    IO.csv_writer(own(rows.filter(~broken))).csv(f"{root}/{L.PREDICTIONS}")
+    IO.csv_writer(own(rows.filter(broken).withColumnRenamed("hyp", "output"), "append")).csv(f"{root}/{L.PREDICTIONS}")
+    scored = pred.filter("setting <> 'sweep'").groupBy(*RUN).agg(F.count("hyp").alias("n"))
+    IO.write_nested(scored, f"{root}/{L.METRICS}", partition_by=tuple(RUN))
+    own(log.filter("model = 'm3' and loss = 'nan'").select(*RUN, F.concat_ws(" ", "step", "loss").alias("value"))).text(
+        f"{root}/{L.CRASH_LOG}")
+    own(log.filter("model = 'm2'").select(*RUN).distinct().withColumn("value", F.lit("done"))).text(f"{root}/{L.DONE}")
+    env = log.select(*RUN).distinct().select(*RUN, F.concat(F.lit("node"), "model").alias("hostname"), F.array(F.struct(
+        F.concat(F.lit("gpu"), F.regexp_extract("model", "[0-9]+", 0)).alias("name"))).alias("gpus"), F.lit("2").alias("torch"))
+    IO.write_nested(env, f"{root}/{L.ENVIRONMENT}", partition_by=tuple(RUN))
+    IO.write_nested(_training_rows(log).filter("model = 'm0'"), f"{root}/{L.TRAINING}", partition_by=tuple(RUN))
+    timing = L.group_timing(pred.withColumn("seconds", F.expr(SECONDS)), "seconds")
+    IO.write_nested(L.inference_rollup(timing), f"{root}/{L.INFERENCE}", partition_by=tuple(RUN))
+
+
 MANIFEST_SQL = f"""runs AS (SELECT DISTINCT model, setting FROM predictions UNION SELECT DISTINCT model, setting FROM loss_log),
  pc AS (SELECT model, setting, count(*) AS n FROM predictions GROUP BY ALL),
- tl AS (SELECT model, setting, arg_max(loss, ord) AS last_loss FROM loss_log GROUP BY model, setting),
+ tl AS (SELECT model, setting, count(*) FILTER (WHERE loss = 'nan') AS bad FROM loss_log GROUP BY model, setting),
  roll AS (SELECT model, setting, round(sum(seconds) / 60.0, 2) AS infer_minutes,
    round(sum(n_items) / greatest(sum(seconds), 1e-6), 2) AS sent_per_sec FROM timing GROUP BY ALL),
- m AS (SELECT r.model, r.setting, pc.n IS NOT NULL AS has_pred, p.steps IS NOT NULL AS trained, tl.model IS NOT NULL AS logged,
-   pc.n IS NOT NULL AND r.setting <> 'sweep' AS has_metrics, coalesce(tl.last_loss = 'nan', false) AS crashed,
+ m AS (SELECT r.model, r.setting, pc.n IS NOT NULL AS has_pred, tl.model IS NOT NULL AND r.model IN ('m0', 'm2') AS trained, tl.model IS NOT NULL AS logged,
+   pc.n IS NOT NULL AND r.setting <> 'sweep' AS has_metrics, coalesce(r.model = 'm3' AND tl.bad > 0, false) AS crashed,
+   r.model = 'm2' AND r.setting = 'ft_a' AS broken,
    coalesce(pc.n, 0) AS n_pred, p.train_minutes, p.epochs_completed, p.train_loss, p.mode AS ft_mode, p.n_train,
    roll.infer_minutes, roll.sent_per_sec
    FROM runs r LEFT JOIN pc ON r.model = pc.model AND r.setting = pc.setting
    LEFT JOIN tl ON r.model = tl.model AND r.setting = tl.setting
-   LEFT JOIN report p ON r.model = p.model AND r.setting = p.setting
+   LEFT JOIN report p ON r.model = p.model AND r.setting = p.setting AND r.model = 'm0'
    LEFT JOIN roll ON r.model = roll.model AND r.setting = roll.setting)
  SELECT model, setting,
   CASE WHEN has_pred AND NOT has_metrics THEN 'outputs not scored yet' WHEN crashed THEN 'CRASHED'
-   WHEN NOT has_pred THEN CASE WHEN trained THEN 'trained, no outputs yet' ELSE 'no outputs' END ELSE 'ok' END AS status,
-  CASE WHEN crashed THEN 0 ELSE n_pred END AS n_predictions,
+   WHEN NOT has_pred THEN CASE WHEN trained THEN 'trained, no outputs yet' ELSE 'no outputs' END
+   WHEN broken THEN 'outputs cannot be read' ELSE 'ok' END AS status,
+  CASE WHEN crashed OR broken THEN 0 ELSE n_pred END AS n_predictions,
   CASE WHEN logged THEN 'node' || model ELSE '' END AS hostname,
   CASE WHEN logged THEN 'gpu' || regexp_extract(model, '[0-9]+') ELSE '' END AS gpu,
   CASE WHEN logged THEN '2' ELSE '' END AS torch, '' AS transformers, train_minutes, epochs_completed, train_loss, ft_mode, n_train,
@@ -200,24 +229,16 @@ MANIFEST_SQL = f"""runs AS (SELECT DISTINCT model, setting FROM predictions UNIO
 
 @query("run_manifest", sql=X.with_ctes(X.PREDICTIONS_SQL, X.LOSS_LOG_SQL, NUM, STATS_SQL, COSTS_SQL, _REPORT_SQL, TIMING_SQL, MANIFEST_SQL))
 def run_manifest(spark, sf):
-    """J9 + P12 + P13: one row per run (outputs or training log) with what its
-    training, inference and environment records (per-run JSON) say."""
-    pred = X.predictions(spark, sf)
-    log = X.loss_log(spark, sf)
-    last = log.groupBy(*RUN).agg(F.max_by("loss", "ord").alias("last_loss"))
-    runs = (pred.select(*RUN).union(log.select(*RUN)).distinct().join(last, RUN, "left")
-            .withColumn("crashed", F.coalesce(F.col("last_loss") == "nan", F.lit(False))))
-    outputs = pred.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
-    runs = runs.withColumn("has_metrics", F.col("setting") != "sweep")
-    root = scratch(spark, "records")
-    env = last.select(*RUN, F.concat(F.lit("node"), "model").alias("hostname"), F.array(F.struct(
-        F.concat(F.lit("gpu"), F.regexp_extract("model", "[0-9]+", 0)).alias("name"))).alias("gpus"), F.lit("2").alias("torch"))
-    IO.write_nested(env, f"{root}/environment", partition_by=tuple(RUN))
-    timing = L.group_timing(pred.withColumn("seconds", F.expr(SECONDS)), "seconds")
-    IO.write_nested(L.inference_rollup(timing), f"{root}/inference", partition_by=tuple(RUN))
+    """J9 + P12 + P13: one row per run folder: its state from the files it has,
+    its rows counted from its outputs, the rest from its records (per-run JSON)."""
+    root = scratch(spark, "runs")
+    run_folders(spark, sf, root)
+    pred = IO.read_predictions(spark, f"{root}/{L.PREDICTIONS}", ["gid"], layout="hive")
+    record = lambda name, fields: IO.read_run_json(spark, f"{root}/{name}", "", fields, layout="hive")
     return L.run_manifest(
-        runs, outputs, IO.read_run_json(spark, f"{root}/environment", "", L.ENVIRONMENT_FIELDS, layout="hive"),
-        _training_records(spark, sf), IO.read_run_json(spark, f"{root}/inference", "", L.INFERENCE_FIELDS, layout="hive"))
+        L.run_state(IO.run_listing(spark, root, "hive")), pred.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n")),
+        IO.unreadable_runs(spark, f"{root}/{L.PREDICTIONS}", layout="hive"), record(L.ENVIRONMENT, L.ENVIRONMENT_FIELDS),
+        record(L.TRAINING, L.TRAINING_FIELDS), record(L.INFERENCE, L.INFERENCE_FIELDS))
 
 
 @query("needs_attention_runs", sql=X.with_ctes(X.RUN_INDEX_SQL, PAIR_SQL) + """SELECT ord, log_file, label, status FROM paired

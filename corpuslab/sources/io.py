@@ -18,7 +18,7 @@ from corpuslab.functions.text import PANDAS_NA_VALUES, na_to_null
 from corpuslab.sources import versions
 
 BOM = "\ufeff"
-MAX_COLUMNS = 128
+MAX_COLUMNS = 64
 #: A data unit's name in a file path: a file, or a folder that Spark or a versioned write filled.
 UNIT = r"([^/]+?)(?:\.csv(?:\.[a-z0-9]+)?|\.tsv)?(?:/data-[0-9]{10}-[0-9a-f]{8})?(?:/part-[^/]*)?$"
 
@@ -286,6 +286,22 @@ def read_run_json(spark: SparkSession, root: str, name: str, schema: str, layout
     return df.select(F.regexp_extract(p, rx, 1).alias("model"), F.regexp_extract(p, rx, 2).alias("setting"), "*")
 
 
+def run_listing(spark: SparkSession, root: str, layout: str = "dirs") -> DataFrame:
+    """(model, setting, artifact) of every file of the run folders under
+    ``root``, empty ones too; an artifact is a file, or a folder that Spark
+    wrote. ``dirs`` is <root>/<model>/<setting>/<artifact>, ``hive`` is
+    <root>/<artifact>/model=<m>/setting=<s>/. Spark lists the folders (in tasks,
+    where there are many); no file is opened."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
+    files = spark.createDataFrame([(f,) for f in names], "path string")
+    if layout == "hive":
+        rx, at = r"/([^/]+)/model=([^/]+)/setting=([^/]+)/[^/]*$", (2, 3, 1)
+    else:
+        rx, at = r"/([^/]+)/([^/]+)/([^/]+?)(?:/part-[^/]*)?$", (1, 2, 3)
+    part = [F.url_decode(F.regexp_extract("path", rx, i)).alias(n) for i, n in zip(at, ("model", "setting", "artifact"))]
+    return files.select(*part).filter("artifact <> ''")
+
+
 LOSS_LOG_COLUMNS = ["step", "epoch", "loss", "eval_loss", "lr", "grad_norm", "samples_per_s",
                     "tokens_per_s", "gpu_mem_gb", "elapsed_min", "eta_min"]
 
@@ -367,6 +383,6 @@ def append_events(df: DataFrame, path: str) -> None:
     csv_writer(df.write.mode("append")).csv(path)
 
 
-__all__ = ["read_wide", "file_headers", "unreadable_runs", "data_files", "read_corpus_folder", "match_language_files", "read_by_name", "read_partials", "require_columns", "read_pairs", "read_predictions", "read_run_json",
+__all__ = ["read_wide", "file_headers", "unreadable_runs", "run_listing", "data_files", "read_corpus_folder", "match_language_files", "read_by_name", "read_partials", "require_columns", "read_pairs", "read_predictions", "read_run_json",
            "read_loss_curves", "read_run_index", "write_corpus", "write_table", "write_nested",
            "append_partial", "append_events", "PANDAS_NA_VALUES"]

@@ -66,3 +66,30 @@ def test_pair_run_events(spark):
     got = {r["log_file"]: (r["ord"], r["status"], r["duration_min"], len(r["label"]))
            for r in L.pair_run_events(df).collect()}
     assert got == {"La": (5, "ok", "0.7", 28), "Lb": (4, "running", "-", 28)}
+
+
+def test_manifest_from_run_folders(spark, tmp_path):
+    """Every status, from the files of the folders alone."""
+    from corpuslab.sources import io as IO
+
+    files = {"m/ok": ["predictions.csv", "metrics.json"], "m/new": ["predictions.csv"], "m/crash": ["predictions.csv", "metrics.json", "error.log"],
+             "m/ckpt": ["DONE"], "m/rec": ["train_metrics.json"], "m/none": ["environment.json"], "m/bad": ["predictions.csv", "metrics.json"],
+             "m/crash2": ["error.log"], "n x/both": ["predictions.csv", "error.log"]}
+    text = {"predictions.csv": "gid,hyp\n1,a\n2,\n", "metrics.json": "{}", "error.log": "boom\n", "DONE": "",
+            "train_metrics.json": '{"train_minutes": 2.5, "mode": "lora"}', "environment.json": '{"hostname": "h", "gpus": [{"name": "g"}]}'}
+    for run, names in files.items():
+        (tmp_path / run).mkdir(parents=True)
+        for n in names:
+            (tmp_path / run / n).write_text("gid,output\n1,a\n" if (run, n) == ("m/bad", "predictions.csv") else text[n])
+    root = str(tmp_path)
+    pred = IO.read_predictions(spark, root, ["gid", "hyp"])
+    records = [IO.read_run_json(spark, root, n, f) for n, f in ((L.ENVIRONMENT, L.ENVIRONMENT_FIELDS), (L.TRAINING, L.TRAINING_FIELDS))]
+    none = spark.createDataFrame([], f"model string, setting string, {L.INFERENCE_FIELDS}")
+    rows = {r["path"]: r for r in L.run_manifest(
+        L.run_state(IO.run_listing(spark, root)), pred.groupBy("model", "setting").agg(F.count(F.lit(1)).alias("n")),
+        IO.unreadable_runs(spark, root), *records, none).collect()}
+    assert {k: (r["status"], r["n_predictions"]) for k, r in rows.items()} == {
+        "m/ok": ("ok", 2), "m/new": ("outputs not scored yet", 2), "m/crash": ("CRASHED", 0), "m/ckpt": ("trained, no outputs yet", 0),
+        "m/rec": ("trained, no outputs yet", 0), "m/none": ("no outputs", 0), "m/bad": ("outputs cannot be read", 0),
+        "m/crash2": ("CRASHED", 0), "n x/both": ("outputs not scored yet", 0)}
+    assert rows["m/rec"]["train_minutes"] == 2.5 and rows["m/none"]["gpu"] == "g"
