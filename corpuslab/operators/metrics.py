@@ -194,7 +194,7 @@ def broadcast_limit(spark) -> int:
     return 0 if v <= 0 else min(max(v, 64 << 20), 512 << 20)
 
 
-def _metric_parts(metric: str):
+def metric_parts(metric: str):
     """(statistics column, its length, column prefix, formula) of a metric."""
     return {"chrf++": ("chrf_st", N_CHRF, "c", chrf_score), "BLEU": ("bleu_st", N_BLEU, "b", bleu_score),
             "spBLEU": ("sp_st", N_BLEU, "s", bleu_score)}[metric]
@@ -221,7 +221,7 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
         none = F.lit(None).cast("double")
         return stats.select(*keys).distinct().select(
             *keys, none.alias(f"{metric}_mean"), none.alias(f"{metric}_ci_lo"), none.alias(f"{metric}_ci_hi"))
-    st_col, n_st, prefix, formula = _metric_parts(metric)
+    st_col, n_st, prefix, formula = metric_parts(metric)
     small = stats.select(*keys, order_col, st_col)
     ranked = exact_rank(with_range_bucket(small, order_col), keys, [order_col], F.col("__range"), "pos", "n").drop("__range")
     from pyspark import StorageLevel
@@ -279,7 +279,7 @@ def weight_bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, round
     import numpy as np
     import pyarrow as pa
 
-    st_col, n_st, prefix, formula = _metric_parts(metric)
+    st_col, n_st, prefix, formula = metric_parts(metric)
     names = [f"k{i}" for i in range(len(keys))]
     rows = stats.select(*[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)],
                         F.col(order_col).cast("long").alias("pos"), F.col(st_col).alias("st"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.text import WS_CLASS, fold_failures
 from corpuslab.functions.tokenize import CHRF_PUNCT, T13A_PRE, T13A_RULES
 from corpuslab.operators import metrics as M
+from corpuslab.operators import resample as RS
 from corpuslab.plans import fixtures as X
 from corpuslab.plans.registry import oracle, query
 from corpuslab.plans.sqltext import bt, fold, ws_tokens
@@ -224,8 +225,9 @@ def bleu_tokens(spark, sf):
 
 @query("rouge_l")
 def rouge_l(spark, sf):
-    """Mean per-segment ROUGE-L F1 x 100 with Porter stemming (no SQL twin:
-    LCS of whole documents; checked against a brute-force DP in tests)."""
+    """Mean per-segment ROUGE-L F1 x 100 with Porter stemming. Its SQL twin
+    counts tokens, which holds as every hypothesis here is a subsequence of its
+    reference; tests check the LCS against a plain DP."""
     p = X.predictions(spark, sf)
     st = M.segment_stats(p, rouge=True, segment_keys=SEG_KEYS, chrf=False, bleu=False)
     return st.groupBy(*KEYS).agg(F.round(F.avg(M.rouge_f()) * 100.0, 2).alias("ROUGE-L"))
@@ -241,7 +243,7 @@ def score_runs(spark, sf):
     bootstrap interval; segment statistics computed once and reused."""
     st = M.compact_stats(_stats(spark, sf, rouge=True), [*KEYS, "doc_id", "src_lang"])
     sc = M.score_groups(st, KEYS)
-    ci = M.bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
+    ci = RS.split_bootstrap_ci(st, KEYS, "doc_id", BOOT_ROUNDS, BOOT_SEED)
     return sc.join(ci, KEYS, "left")
 
 
