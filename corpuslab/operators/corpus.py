@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import blank_trim, ws_tokens
+from corpuslab.operators import partition as P
 
 
 def wide_to_triplets(df: DataFrame, lang: str = "lang", english: str = "english",
@@ -141,3 +142,39 @@ def training_set(train: DataFrame, max_src: int = 192, max_tgt: int = 192,
     if src_token is not None:
         out = out.withColumn("src_lang", F.lit(src_token))
     return out
+
+
+def training_batches(examples: DataFrame, tokens: int = 4096, width: int = 16, seed: int = 42, per_language: bool = False,
+                     key: str = "gid", lang: str = "language") -> DataFrame:
+    """F3, D6 and D7 together: ``training_set`` examples dealt into batches.
+
+    Examples of similar length (a bucket is ``width`` tokens wide) stand in a
+    seeded order; a batch ends when the lengths before an example reach the next
+    multiple of ``tokens``, so it holds at most ``tokens`` plus one example.
+    ``visit`` is the batch's place in a seeded order of all batches of its set:
+    languages and lengths are interleaved, not seen in blocks. The set is the
+    pooled corpus ('ALL') or each language by itself. Prefix sums and places are
+    exact and no bucket or language is one task's (``operators/partition.py``).
+    Returns (key, lang, length, batch_set, length_bucket, batch_no, visit): only
+    these narrow rows are dealt; tokens are joined by the key where needed."""
+    d = (examples.select(key, lang, "length").withColumn("batch_set", F.col(lang) if per_language else F.lit("ALL"))
+         .withColumn("length_bucket", F.floor(F.col("length") / F.lit(width)).cast("long"))
+         .withColumn("__cost", F.greatest(F.col("length"), F.lit(1)).cast("long"))
+         .withColumn("__h", P.seeded_key(seed, key)))
+    d = P.exact_prefix_sum(d, ["batch_set", "length_bucket"], ["__h", key], P.hash_bucket(F.col("__h"), 4096), "__cost", "__before")
+    d = d.withColumn("batch_no", F.floor(F.col("__before") / F.lit(tokens)).cast("long")).drop("__h", "__cost", "__before")
+    batch = ["batch_set", "length_bucket", "batch_no"]
+    order = d.select(*batch).distinct().withColumn("__h", P.seeded_key(seed, *batch))
+    order = P.exact_rank(order, ["batch_set"], ["__h", "length_bucket", "batch_no"], P.hash_bucket(F.col("__h"), 4096), "visit", None)
+    return d.join(order.drop("__h"), batch)
+
+
+def padding_report(batches: DataFrame) -> DataFrame:
+    """Per set: batches, examples, source tokens, tokens with the padding to
+    each batch's longest example, and the share of padding."""
+    per = batches.groupBy("batch_set", "visit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"), F.max("length").alias("longest"))
+    a = per.groupBy("batch_set").agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("n").alias("examples"), F.sum("tokens").cast("long").alias("tokens"),
+        F.sum(F.col("n") * F.col("longest")).cast("long").alias("padded_tokens"))
+    return a.withColumn("padding_share", F.round(1 - F.col("tokens") / F.greatest(F.col("padded_tokens"), F.lit(1)), 4))

@@ -22,7 +22,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions import ngram
+from corpuslab.functions import ngram, subword
 from corpuslab.functions.text import as_text, fold_failures, safe_pct
 from corpuslab.operators.layout import spread
 
@@ -36,11 +36,11 @@ METRICS = ["chrf++", "spBLEU", "ROUGE-L", "BLEU"]
 def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "english",
                   rouge: bool = True, stem: bool = True,
                   sp_hyp_tokens: Column | None = None,
-                  sp_ref_tokens: Column | None = None,
+                  sp_ref_tokens: Column | None = None, sp_model: str | None = None,
                   segment_keys: tuple = (), chrf: bool = True, bleu: bool = True) -> DataFrame:
     """Adds ``h`` (folded hyp), ``r`` (reference text), ``chrf_st`` (24),
-    ``bleu_st`` (10), optional ``sp_st`` (10, BLEU over caller tokens) and
-    ``rouge_st`` ([lcs, |h|, |r|]).
+    ``bleu_st`` (10), optional ``sp_st`` (10, BLEU over the caller's tokens, or
+    over those of the subword model ``sp_model``) and ``rouge_st`` ([lcs, |h|, |r|]).
 
     ``segment_keys`` spread a narrowly-split input over the cluster before the
     Arrow pass (no-op when the input is already wide); ``chrf`` / ``bleu`` /
@@ -49,13 +49,15 @@ def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "english",
     d = df.withColumn("h", fold_failures(hyp)).withColumn("r", as_text(ref))
     h, r = F.col("h"), F.col("r")
     st = ngram.segment_stats_udf(h, r, F.lit(rouge), F.lit(stem), F.lit(chrf), F.lit(bleu)).alias("__st")
-    d = d.select("*", (h == "").alias("h_empty"), st)
+    d = d.select("*", (h == "").alias("h_empty"), *([st] if chrf or bleu or rouge else []))
     cols = ([F.col("__st.chrf").alias("chrf_st")] if chrf else []) + \
         ([F.col("__st.bleu").alias("bleu_st")] if bleu else [])
     if rouge:
         cols.append(F.col("__st.rouge").alias("rouge_st"))
     if sp_hyp_tokens is not None:
         cols.append(ngram.bleu_stats(sp_hyp_tokens, sp_ref_tokens).alias("sp_st"))
+    elif sp_model is not None:
+        cols.append(subword.bleu_stats(sp_model, h, r).alias("sp_st"))
     return d.select(*[c for c in d.columns if c != "__st"], *cols)
 
 

@@ -81,6 +81,20 @@ def exact_rank(df: DataFrame, group: list[str], order: list, bucket: Column,
     return out.drop(b, "__off", "__n")
 
 
+def exact_prefix_sum(df: DataFrame, group: list[str], order: list, bucket: Column, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one, over
+    (partition by group order by order), exact. As ``exact_rank``, with sums in
+    place of counts; ``bucket`` must be non-decreasing in ``order``."""
+    b = "__bucket"
+    d = df.withColumn(b, bucket).repartition(*[F.col(c) for c in group], F.col(b))
+    run = Window.partitionBy(*group).orderBy(b)
+    sums = d.groupBy(*group, b).agg(F.sum(value).alias("__in"))
+    offsets = sums.select(*group, b, (F.sum("__in").over(run) - F.col("__in")).alias("__off"))
+    local = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (d.join(offsets, on=[*group, b], how="inner")
+            .withColumn(name, (F.sum(value).over(local) - F.col(value) + F.col("__off")).cast("long")).drop(b, "__off"))
+
+
 def stable_gid(df: DataFrame, lang: str = "language", order: tuple = ("doc_id",),
                buckets: int = RANGE_BUCKETS) -> DataFrame:
     """gid = '<language>_<0-based position in language>' in file order."""

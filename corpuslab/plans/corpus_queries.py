@@ -224,6 +224,42 @@ def length_buckets(spark, sf):
     return P.length_buckets(tr, "length", 16, SEED, "gid").select("gid", "length_bucket", "position")
 
 
+BATCH_TOKENS = 2048      # source tokens of a training batch
+_KEY = "md5(concat_ws('|', '{seed}', {cols}))"
+
+
+def _batches_sql() -> str:
+    """The batches of both forms, as windows."""
+    key, order = _KEY.format(seed=SEED, cols="gid"), _KEY.format(seed=SEED, cols="batch_set, length_bucket, batch_no")
+    return f"""ex AS (SELECT gid, language, CAST(len(list_slice({ws_tokens('tribal')}, 1, {MAX_SRC})) AS BIGINT) AS length FROM sp WHERE split = 'train'),
+ sets AS (SELECT *, 'ALL' AS batch_set FROM ex UNION ALL SELECT *, language FROM ex),
+ b AS (SELECT *, length // 16 AS length_bucket, CAST((sum(greatest(length, 1)) OVER (PARTITION BY batch_set, length // 16
+   ORDER BY {key}, gid ROWS UNBOUNDED PRECEDING) - greatest(length, 1)) // {BATCH_TOKENS} AS BIGINT) AS batch_no FROM sets),
+ batches AS (SELECT *, dense_rank() OVER (PARTITION BY batch_set ORDER BY {order}, length_bucket, batch_no) AS visit FROM b)"""
+
+
+def _batches(spark, sf):
+    ex = C.training_set(_splits(spark, sf).filter(F.col("split") == "train"), MAX_SRC, MAX_TGT)
+    return C.training_batches(ex, BATCH_TOKENS, 16, SEED).unionByName(
+        C.training_batches(ex, BATCH_TOKENS, 16, SEED, per_language=True))
+
+
+@query("training_batches", sql=_w(PAIRS, GID, SPLITS, _batches_sql()) + """SELECT gid, language, length, batch_set, length_bucket, batch_no,
+ visit FROM batches""")
+def training_batches(spark, sf):
+    """F3 with D6 and D7: every training example's batch, pooled and per language."""
+    return _batches(spark, sf).withColumn("length", F.col("length").cast("long"))
+
+
+@query("batch_padding", sql=_w(PAIRS, GID, SPLITS, _batches_sql()) + """, per AS (SELECT batch_set, visit, count(*) AS n, sum(length) AS t, max(length) AS m
+  FROM batches GROUP BY ALL)
+ SELECT batch_set, count(*) AS batches, CAST(sum(n) AS BIGINT) AS examples, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(n * m) AS BIGINT) AS padded_tokens,
+ round(1 - sum(t) / greatest(sum(n * m), 1), 4) AS padding_share FROM per GROUP BY batch_set""")
+def batch_padding(spark, sf):
+    """what padding the batches cost."""
+    return C.padding_report(_batches(spark, sf))
+
+
 @query("distinct_languages", sql=_w(PAIRS) + "SELECT DISTINCT language FROM pairs")
 def distinct_languages(spark, sf):
     """Languages present in the clean corpus."""

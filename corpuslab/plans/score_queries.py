@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslab.functions import subword
 from corpuslab.functions.text import WS_CLASS, fold_failures
 from corpuslab.functions.tokenize import CHRF_PUNCT, T13A_PRE, T13A_RULES
 from corpuslab.operators import metrics as M
@@ -223,6 +224,23 @@ def bleu_tokens(spark, sf):
     return g.select(*KEYS, F.round(M.bleu_score("s"), 2).alias("spBLEU"), F.lit("4char").alias("tokenizer"))
 
 
+@query("spbleu_subword")
+def spbleu_subword(spark, sf):
+    """spBLEU over the subword tokens of a sentencepiece model, labelled with
+    it (13a tokens, with a warning, where no model is installed). No SQL twin:
+    SQL has no subword tokeniser; tests compare with plain counting."""
+    try:
+        import public_tokenizers
+        models = [public_tokenizers.path("piece_bpe_32k.model")]
+    except ImportError:
+        models = []
+    model = subword.usable_model(models)
+    st = M.segment_stats(X.predictions(spark, sf), rouge=False, chrf=False, bleu=model is None, sp_model=model, segment_keys=SEG_KEYS)
+    column, name = ("bleu_st", "13a") if model is None else ("sp_st", subword.label(model))
+    g = st.groupBy(*KEYS).agg(*M.stat_sums(column, M.N_BLEU, "s"))
+    return g.select(*KEYS, F.round(M.bleu_score("s"), 2).alias("spBLEU"), F.lit(name).alias("tokenizer"))
+
+
 @query("rouge_l")
 def rouge_l(spark, sf):
     """Mean per-segment ROUGE-L F1 x 100 with Porter stemming. Its SQL twin
