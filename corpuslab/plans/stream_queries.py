@@ -21,6 +21,7 @@ from corpuslab.plans.registry import query
 from corpuslab.plans.sqltext import bt
 from corpuslab.sources import io as IO
 from corpuslab.streaming import live as S
+from corpuslab.streaming import saves as SV
 
 
 def _board(spark, sf):
@@ -51,6 +52,33 @@ def live_run_index(spark, sf):
     return S.run_index_rows(state)
 
 
+@query("live_index_lines", sql=X.with_ctes(X.RUN_INDEX_SQL, RQ.PAIR_SQL) + """SELECT ord, epoch_us(date_trunc('second', ts)) AS ts_us, log_file,
+ label, duration_min, status FROM paired""")
+def live_index_lines(spark, sf):
+    """S8 as a stream, then T2: the index as appended CSV files, all lines of
+    which are replayed once; a line's number stands in its command."""
+    folder = S.scratch(spark, "index")
+    lines = X.run_index(spark, sf).select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "event", F.lit("infer").alias("script"), "label", "duration_min",
+        "status", "log_file", F.lit("").alias("run_dir"), F.concat(F.lit("line "), "ord").alias("command"))
+    IO.append_events(lines, folder)
+    IO.append_events(lines, folder)
+    # the stand-in's lines span a month and are not appended in their order
+    stream = IO.read_run_index(spark, folder, stream=True, watermark="62 days")
+    stream = stream.withColumn("ord", F.regexp_extract("command", "([0-9]+)$", 1).cast("long"))
+    state = S.updates_to_table(S.run_index_state(stream), ("log_file",), S.scratch(spark, "run_index"), S.scratch(spark, "ckpt"))
+    return S.run_index_rows(state)
+
+
+@query("saved_predictions", sql=X.with_ctes(X.ITEMS_DONE_SQL) + """SELECT doc_id, concat('new ', lang) AS hyp FROM items_done""")
+def saved_predictions(spark, sf):
+    """F1 with K4: a batch function over all items, saved every few batches."""
+    items = X.items_done(spark, sf).select("doc_id", "lang")
+    fn = lambda: lambda texts: [f"new {t}" for t in texts]
+    run = lambda batch: I.predict_batches(batch, fn, "lang", ["doc_id"], 32)
+    return SV.predict_with_saves(items, run, "doc_id", S.scratch(spark, "saves"), S.scratch(spark, "job"), PARTIAL).select("doc_id", "hyp")
+
+
 @query("crash_feed", sql=X.with_ctes(X.RUN_INDEX_SQL) + """SELECT ord, log_file, label, status FROM run_index
  WHERE event = 'finished' AND status = 'FAILED'""")
 def crash_feed(spark, sf):

@@ -315,15 +315,19 @@ def read_loss_curves(spark: SparkSession, root: str, columns=LOSS_LOG_COLUMNS, l
 RUN_INDEX_COLUMNS = ["timestamp", "event", "script", "label", "duration_min", "status", "log_file", "run_dir", "command"]
 
 
-def read_run_index(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def read_run_index(spark: SparkSession, path: str, stream: bool = False, watermark: str = "1 day") -> DataFrame:
     """The append-only invocation index. In batch, cells are found by
-    column name in every appended file; a stream takes the index's own order."""
+    column name in every appended file. As a stream, each file has the index's
+    own column order, and a line that is appended again within ``watermark`` of
+    event time counts once; the state holds the lines of that time only, and a
+    line older than the newest by more than it is dropped."""
     if stream:
         schema = ", ".join(f"{c} string" for c in RUN_INDEX_COLUMNS)
-        df = spark.readStream.schema(schema).option("header", True).csv(path)
+        df = spark.readStream.schema(schema).option("header", True).option("escape", '"').csv(path)
     else:
         df = read_by_name(spark, data_files(spark, path), RUN_INDEX_COLUMNS, ["event"]).drop("__file")
-    return df.withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+    df = df.withColumn("ts", F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+    return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(RUN_INDEX_COLUMNS) if stream else df
 
 
 def csv_writer(w):
