@@ -117,9 +117,10 @@ def known_candidates(cands: DataFrame, vocab: DataFrame, token: str = "token") -
 
 
 def require_known(flagged: DataFrame, lang: str = "language") -> DataFrame:
-    """J7 error rule: every language must keep at least one known candidate."""
-    per = flagged.groupBy(lang).agg(F.count_if("known").alias("n_known"))
-    empty = per.filter(F.col("n_known") == 0)
-    if not empty.isEmpty():
-        raise ValueError(f"languages without a known candidate: {[r[0] for r in empty.limit(20).collect()]}")
-    return flagged.filter("known")
+    """J7 error rule: unknown candidates go, and every language must keep at
+    least one; a language without one is an error that names it, raised where
+    the rows are computed."""
+    per = flagged.groupBy(F.col(lang).alias("__l")).agg(F.count_if("known").alias("__n"))
+    msg = F.concat(F.lit("no known candidate for language "), F.coalesce(F.col(lang), F.lit("NULL")))
+    keep = F.when(F.col("__n") > 0, F.col("known")).otherwise(F.raise_error(msg).cast("boolean"))
+    return flagged.join(per, F.col(lang).eqNullSafe(F.col("__l"))).filter(keep).select(*flagged.columns)

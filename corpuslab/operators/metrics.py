@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions import ngram, subword
 from corpuslab.functions.text import as_text, fold_failures, safe_pct
 from corpuslab.operators.layout import spread
+from corpuslab.session import hold
 
 CHRF_BETA = 2.0
 N_CHRF = 3 * (ngram.CHAR_ORDER + ngram.WORD_ORDER)   # 24
@@ -63,11 +64,9 @@ def segment_stats(df: DataFrame, hyp: str = "hyp", ref: str = "english",
 
 def compact_stats(stats: DataFrame, keep: list[str]) -> DataFrame:
     """Only the keys and statistic vectors (no texts): what gets persisted
-    and resampled. Persisted MEMORY_AND_DISK; a lost block is recomputed
-    from lineage."""
+    (``session.hold``) and resampled."""
     vec = [c for c in ("h_empty", "chrf_st", "bleu_st", "sp_st", "rouge_st") if c in stats.columns]
-    from pyspark import StorageLevel
-    return stats.select(*keep, *vec).persist(StorageLevel.MEMORY_AND_DISK)
+    return hold(stats.select(*keep, *vec))
 
 
 def stat_sums(col: str, n: int, prefix: str, weight: Column | None = None) -> list[Column]:
@@ -226,9 +225,7 @@ def bootstrap_ci(stats: DataFrame, keys: list[str], order_col: str, rounds: int
     st_col, n_st, prefix, formula = metric_parts(metric)
     small = stats.select(*keys, order_col, st_col)
     ranked = exact_rank(with_range_bucket(small, order_col), keys, [order_col], F.col("__range"), "pos", "n").drop("__range")
-    from pyspark import StorageLevel
-    ranked = (ranked.filter(F.col("n") >= 2).withColumn("pos", F.col("pos") - 1)
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranked = hold(ranked.filter(F.col("n") >= 2).withColumn("pos", F.col("pos") - 1))
     side = ranked.select(*keys, F.col("pos").alias("idx"), st_col)
     b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
     draws = ranked.select(*keys, "n", F.col("pos").alias("j"), b)

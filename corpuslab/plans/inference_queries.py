@@ -14,8 +14,9 @@ from corpuslab.plans.sqltext import bt, ws_tokens
 
 # ---- fixed values -------------------------------------------------------
 SOURCE_TOKEN = {"de": "deu_Latn", "en": "eng_Latn", "es": "spa_Latn", "fr": "fra_Latn"}
-CANDIDATES = {"de": ["deu_Latn", "nld_Latn"], "es": ["spa_Latn", "por_Latn", "cat_Latn"],
+CANDIDATES = {"de": ["deu_Latn", "nld_Latn", "de_NoSuch"], "es": ["spa_Latn", "por_Latn", "cat_Latn"],
               "fr": ["fra_Latn", "ita_Latn"]}          # 'en' has none -> its source token
+TOKEN_OF = {**SOURCE_TOKEN, "nl": "nld_Latn", "pt": "por_Latn", "ca": "cat_Latn", "it": "ita_Latn"}  # the model's tokens
 BATCH = 32
 # ------------------------------------------------------------------------
 
@@ -122,18 +123,43 @@ def known_candidates(spark, sf):
     return I.known_candidates(cands, vocab)
 
 
+def _known_candidates(spark):
+    """The configured candidates that the model's vocabulary has, by language;
+    every language must keep one."""
+    wanted = _cand_table(spark).select("language", F.explode("candidates").alias("token"))
+    vocab = I.token_table(spark, TOKEN_OF).select(F.col("src_lang").alias("token"))
+    return I.require_known(I.known_candidates(wanted, vocab)).groupBy("language").agg(
+        F.sort_array(F.collect_set("token")).alias("candidates"))
+
+
+@query("sweep_candidates", sql=_w(PAIRS, GID, SPLITS) + f""", cand AS (SELECT * FROM (VALUES {", ".join(
+    f"('{x}', '{t}')" for x in SOURCE_TOKEN for t in CANDIDATES.get(x, [SOURCE_TOKEN[x]]) if t in TOKEN_OF.values())}) v(language, src_token))
+ SELECT sp.language, cand.src_token, count(*) AS n_rows FROM sp JOIN cand ON sp.language = cand.language WHERE sp.split = 'dev' GROUP BY ALL""")
+def sweep_candidates(spark, sf):
+    """J6 + J7 of the sweep: dev rows per candidate that the vocabulary knows
+    (one of the configured candidates is not in it)."""
+    dev = _splits(spark, sf).filter(F.col("split") == "dev")
+    rows = I.expand_candidates(dev, _known_candidates(spark), I.token_table(spark, SOURCE_TOKEN))
+    return rows.groupBy("language", "src_token").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("predict_hooks", sql=_w(PAIRS, GID, SPLITS) + f"""SELECT gid, language, {_token_case('language')} AS src_lang,
+ trim(concat(array_to_string(list_filter(list_prepend(concat({_token_case('language')}, ':'), {ws_tokens('tribal')}), lambda x, i: (i - 1) % 2 = 0), ' '), ' .')) AS hyp
+ FROM sp WHERE split = 'test'""")
+def predict_hooks(spark, sf):
+    """hooks around the batch function: one puts the source token before
+    the text, one ends the output with a full stop."""
+    return I.predict_batches(_test_rows(spark, sf), every_other_word, "tribal", ["gid", "language"], BATCH, token_col="src_lang",
+                             pre=lambda text, token: f"{token}: {text}", post=lambda text: f"{text} .")
+
+
 @query("run_sweep")
 def run_sweep(spark, sf):
     """dev split x candidate tokens -> batch function -> per-token scores
     -> rank per language."""
     dev = _splits(spark, sf).filter(F.col("split") == "dev")
     tokens = I.token_table(spark, SOURCE_TOKEN)
-    # every language must keep a candidate that the configured vocabulary knows
-    wanted = _cand_table(spark).select("language", F.explode("candidates").alias("token"))
-    vocab = wanted.select("token").union(tokens.select("src_lang"))
-    known = I.require_known(I.known_candidates(wanted, vocab)).groupBy("language").agg(
-        F.sort_array(F.collect_set("token")).alias("candidates"))
-    rows = I.expand_candidates(dev, known, tokens)
+    rows = I.expand_candidates(dev, _known_candidates(spark), tokens)
     pred = I.predict_batches(rows, token_dependent, "tribal", ["gid", "language", "english", "src_token"],
                              BATCH, token_col="src_token", fn_takes_token=True)
     st = M.segment_stats(pred.withColumn("model", F.lit("stub")), hyp="hyp", ref="english",

@@ -41,6 +41,21 @@ def io_corpus_roundtrip(spark, sf):
     return lc.join(wc, "language", "full")
 
 
+@query("io_table_roundtrip", sql=X.with_ctes(X.PREDICTIONS_SQL) + """, t AS (SELECT model, setting, language, count(*) AS n, count(hyp) AS n_outputs,
+  sum(length(english)) AS chars FROM predictions GROUP BY ALL)
+ SELECT kind, model, setting, language, CAST(n AS VARCHAR) AS n, CAST(n_outputs AS VARCHAR) AS n_outputs, CAST(chars AS VARCHAR) AS chars
+ FROM t, (VALUES ('csv'), ('tsv')) k(kind)""")
+def io_table_roundtrip(spark, sf):
+    """K2: a report table written as TSV and as CSV, both read back by name."""
+    path = f"{scratch(spark, 'report')}/table"
+    table = X.predictions(spark, sf).groupBy("model", "setting", "language").agg(
+        F.count(F.lit(1)).alias("n"), F.count("hyp").alias("n_outputs"), F.sum(F.length("english")).alias("chars"))
+    IO.write_table(table, path, one_file=True)
+    back = [IO.read_by_name(spark, IO.data_files(spark, f"{path}.{kind}"), table.columns, table.columns)
+            .drop("__file").withColumn("kind", F.lit(kind)) for kind in ("csv", "tsv")]
+    return back[0].unionByName(back[1])
+
+
 RUNS_SQL = X.with_ctes(X.PREDICTIONS_SQL, X.LOSS_LOG_SQL, X.RUN_INDEX_SQL, TIMING_SQL) + f"""SELECT 'predictions' AS kind, model || '/' || setting AS "key", count(*) AS n,
  count(*) FILTER (WHERE {bt('hyp')} <> '') AS n_nonblank FROM predictions GROUP BY ALL
  UNION ALL SELECT 'groups', model || '/' || setting, count(*), sum(n_items) FROM timing GROUP BY ALL

@@ -16,9 +16,9 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark, sf_dir):
-            from corpuslab.session import ship_package
+            from corpuslab.session import released_with_result, ship_package
             ship_package(spark)
-            return fn(spark, sf_dir)
+            return released_with_result(lambda: fn(spark, sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

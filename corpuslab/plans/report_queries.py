@@ -71,8 +71,8 @@ _MATRIX_SQL = SQ.scores_sql_prefix() + f""", macro AS ({SQ.MACRO_SQL_BODY})
 @query("score_matrix", sql=_MATRIX_SQL)
 def score_matrix(spark, sf):
     """R3 + J4: wide report, one row per run, <code>_<metric> columns + MACRO_*."""
-    sc = _plain_scores(spark, sf).persist()
-    return R.score_matrix(sc, M.macro_average(sc, RUN))
+    sc = _plain_scores(spark, sf)
+    return R.score_matrix(sc, M.macro_average(sc, RUN), codes=_CODES)
 
 
 _TIDY_SQL = """, macro AS ({m}),
@@ -88,7 +88,7 @@ _TIDY_SQL = """, macro AS ({m}),
  WHERE b.setting <> 'zeroshot' AND b.setting NOT LIKE '%sweep%'""")
 def baseline_vs_tuned(spark, sf):
     """Zero-shot vs each tuned setting per (model, language) incl. MACRO."""
-    sc = _plain_scores(spark, sf).persist()
+    sc = _plain_scores(spark, sf)
     return R.baseline_vs_tuned(R.with_macro_rows(sc, M.macro_average(sc, RUN)))
 
 
@@ -210,6 +210,22 @@ def report_labels(spark, sf):
                     R.corpus_order_key("language")["g"].alias("order_group"))
 
 
+@query("corpus_order", sql=X.with_ctes(X.PREDICTIONS_SQL) + """, report AS (SELECT model, setting, language, count(*) AS n FROM predictions GROUP BY ALL
+  UNION ALL SELECT model, setting, 'MACRO', count(*) FROM predictions GROUP BY ALL
+  UNION ALL SELECT DISTINCT model, setting, unnest(['Santali', 'Bhili']), 0 FROM predictions)
+ SELECT model, setting, language, n, row_number() OVER (PARTITION BY model, setting ORDER BY
+  CASE language WHEN 'Bhili' THEN 1 WHEN 'Gondi' THEN 2 WHEN 'Mundari' THEN 3 WHEN 'Santali' THEN 4 WHEN 'MACRO' THEN 6 ELSE 5 END, language) AS position
+ FROM report""")
+def corpus_order(spark, sf):
+    """L1: a report's rows with their place in corpus order: the languages of
+    the list first (two rows without segments), others by name, MACRO last."""
+    n = X.predictions(spark, sf).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    macro = n.groupBy(*RUN).agg(F.sum("n").alias("n")).withColumn("language", F.lit("MACRO"))
+    bare = n.select(*RUN).distinct().select(*RUN, F.explode(F.array(F.lit("Santali"), F.lit("Bhili"))).alias("language"),
+                                            F.lit(0).cast("long").alias("n"))
+    return R.corpus_order(n.unionByName(macro).unionByName(bare))
+
+
 def _ci_sql():
     from corpuslab.plans.registry import ORACLE_SQL
     boot = ORACLE_SQL["bootstrap_ci"]

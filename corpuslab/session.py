@@ -7,10 +7,15 @@ tests, the bench and scripts. The checkpoint folder is read from the session
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
+import weakref
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int = 8,
@@ -56,6 +61,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_HELD: contextvars.ContextVar[list | None] = contextvars.ContextVar("held", default=None)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` persisted (MEMORY_AND_DISK; a lost block is recomputed). Inside
+    ``released_with_result`` it is released with the result, else by the caller."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if (held := _HELD.get()) is not None:
+        held.append(df)
+    return df
+
+
+def released_with_result(build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``, whose held frames are unpersisted when its result is no
+    longer referenced (a frame derived from it then computes them again)."""
+    frames: list[DataFrame] = []
+    token = _HELD.set(frames)
+    try:
+        result = build()
+    finally:
+        _HELD.reset(token)
+    if frames:
+        weakref.finalize(result, _release, frames).atexit = False
+    return result
+
+
+def _release(frames: list[DataFrame]) -> None:
+    for df in frames:
+        with contextlib.suppress(Exception):  # the session may be gone
+            df.unpersist()
+
+
 _SHIPPED: set = set()
 
 

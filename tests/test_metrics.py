@@ -181,3 +181,18 @@ def test_texts_with_very_many_symbols():
     assert side.against(hyp) == want
     few = ngram.Counted(ref[:300], ngram.CHAR_ORDER)
     assert few.packs and few.against(hyp)[0] == len(hyp)
+
+
+def test_persisted_frames_are_released_with_the_result(spark):
+    import gc
+
+    from corpuslab.session import hold, released_with_result
+
+    blocks = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    gc.collect()
+    before = blocks()
+    result = released_with_result(lambda: hold(spark.range(50).withColumn("x", F.lit(1))).groupBy("x").count())
+    assert result.first()["count"] == 50 and blocks() == before + 1
+    del result
+    gc.collect()
+    assert blocks() == before

@@ -55,3 +55,20 @@ def test_missing_source_token_is_an_error(spark):
         I.attach_source_token(df, toks).collect()
     ok = I.attach_source_token(df.filter("language = 'de'"), toks).collect()
     assert ok[0]["src_lang"] == "deu_Latn"
+
+
+def test_unknown_candidates_go_and_a_language_without_one_is_an_error(spark):
+    import pytest
+    cands = spark.createDataFrame([("de", "a"), ("de", "x"), ("fr", "b")], "language string, token string")
+    vocab = spark.createDataFrame([("a",), ("b",), ("b",)], "token string")
+    kept = I.require_known(I.known_candidates(cands, vocab))
+    assert sorted((r["language"], r["token"]) for r in kept.collect()) == [("de", "a"), ("fr", "b")]
+    with pytest.raises(Exception, match="no known candidate for language fr"):
+        I.require_known(I.known_candidates(cands, vocab.filter("token = 'a'"))).collect()
+
+
+def test_corpus_order(spark):
+    names = ["MACRO", "zz", "Santali", "aa", "Bhili", "Gondi"]
+    df = spark.createDataFrame([("m", "s", x) for x in names], "model string, setting string, language string")
+    got = {r["language"]: r["position"] for r in R.corpus_order(df).collect()}
+    assert sorted(got, key=got.get) == ["Bhili", "Gondi", "Santali", "aa", "zz", "MACRO"] and set(got.values()) == set(range(1, 7))
