@@ -5,8 +5,9 @@ and the first 4 to 7 letters of a word marked as stems; the longest known stem
 stands in for a word that was not seen often enough. A token's score is its log-odds between
 toxic and clean documents under an informative Dirichlet prior (prior counts in
 proportion to the token's frequency in both), counted once a document, and only
-kept when it exceeds ``least_gain`` and the classes' rates are ``z`` standard
-errors apart; every other token costs ``drift``.
+kept when it exceeds a least gain and the classes' rates are some standard errors
+apart; every other token costs ``drift``. Which of the ``choices`` of these two
+limits holds is decided on the part of the sample that is kept for calibration.
 So long stretches score below zero and the segments that score above it are
 the toxic passages.
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,10 @@ def maximal_segments(places: np.ndarray, gains: np.ndarray, drift: float) -> lis
     """All maximal scoring segments of a text as (sum, first, last + 1) of the
     word positions. ``places`` are the words with a positive score ``gains``;
     every word between them costs ``drift``. Ruzzo and Tompa's scan, with the
-    runs between positive words taken in one step; linear time."""
-    found: list[list[float]] = []  # left, right (running sums), first, last + 1
+    runs between positive words taken in one step. A segment remembers the last
+    one before it with a smaller left sum; looking for one jumps along these and
+    never meets a segment twice, so the time is linear in the positive words."""
+    found: list[list[float]] = []  # left, right (running sums), first, last + 1, last with a smaller left
     total, at = 0.0, 0
     for i, g in zip(places.tolist(), gains.tolist()):
         total -= drift * (i - at)
@@ -67,13 +70,13 @@ def maximal_segments(places: np.ndarray, gains: np.ndarray, drift: float) -> lis
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
                 break
             left, first = found[j][0], int(found[j][2])
             del found[j:]
-        found.append([left, right, first, at])
-    return [(r - l, int(a), int(b)) for l, r, a, b in found]
+        found.append([left, right, first, at, j])
+    return [(r - l, int(a), int(b)) for l, r, a, b, _ in found]
 
 
 @dataclass
@@ -141,11 +144,16 @@ def _lambda(gains: np.ndarray, weight: np.ndarray, drift: float, rest: float) ->
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 7.0, least_gain: float = 3.5, prior: float = 5.0,
+#: (standard errors apart, least gain in log-odds) that ``fit`` chooses from: from lenient to strict.
+CHOICES = tuple((z, g) for z in (2.5, 3.5, 5.0, 7.0) for g in (0.7, 1.6, 2.5, 3.5))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, choices=CHOICES, prior: float = 5.0,
         drift: float = 0.05, alpha: float = 0.01, seed: int = 6) -> ToxicityModel:
     """Learn from ``docs`` (doc_id, text) joined with ``labels`` (doc_id,
     toxic). ``per_class`` bounds the sample of each class, from which both the
-    token scores (three quarters) and the calibration (the rest) are learned."""
+    token scores (three quarters) and the calibration (the rest) are learned.
+    Of ``choices`` the one with the least calibration loss is taken."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic"))
     known = materialize(known.join(docs.select("doc_id").distinct(), "doc_id"), "labelled")  # ids only
@@ -191,31 +199,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 7.
     pooled = (F.col("toxic") + F.col("clean")) / (total["toxic"] + total["clean"])
     apart = ((F.col("toxic") / total["toxic"] - F.col("clean") / total["clean"])
              / F.sqrt(pooled * (1 / total["toxic"] + 1 / total["clean"])))
-    kept = (counts.filter("token <> ''").withColumn("gain", odds)
-            .filter(apart > z).filter(F.col("gain") > least_gain)
-            .select("token", "gain", "uses").toPandas())  # tokens of a bounded sample
+    able = (counts.filter("token <> ''").withColumn("gain", odds).withColumn("apart", apart)
+            .filter(F.col("apart") > min(z for z, _ in choices)).filter(F.col("gain") > min(g for _, g in choices))
+            .select("token", "gain", "apart", "uses").toPandas())  # tokens of a bounded sample
     counts.unpersist()
-    model.gains = dict(zip(kept["token"], kept["gain"]))
-    plain = kept[~kept["token"].str.endswith("*")]
-    model.lam = _lambda(plain["gain"].to_numpy(float), plain["uses"].to_numpy(float) + 0.5, drift,
-                        max(1.0, uses - plain["uses"].sum()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def chosen_by(z: float, least_gain: float) -> ToxicityModel:
+        kept = able[(able["apart"] > z) & (able["gain"] > least_gain)]
+        plain = kept[~kept["token"].str.endswith("*")]
+        lam = _lambda(plain["gain"].to_numpy(float), plain["uses"].to_numpy(float) + 0.5, drift,
+                      max(1.0, uses - plain["uses"].sum()))
+        return replace(model, lam=lam, gains=dict(zip(kept["token"], kept["gain"])), memo={})
+
+    models = [chosen_by(*c) for c in choices]
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches):
         for b in batches:
-            m = shared.value
             texts = b.column("text").to_pylist()
-            seen = [m.segments(t) for t in texts]
-            best = [max((s for s, _, _ in found), default=0.0) for _, found in seen]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("toxic"), pa.array([m.evidence(*x) for x in seen], pa.float64()),
-                 pa.array(best, pa.float64()), pa.array([n for n, _ in seen], pa.int64())],
-                ["toxic", "evidence", "best", "n"])
+            for i, m in enumerate(shared.value):
+                seen = [m.segments(t) for t in texts]
+                best = [max((s for s, _, _ in found), default=0.0) for _, found in seen]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(seen), i, dtype=np.int32)), b.column("toxic"),
+                     pa.array([m.evidence(*x) for x in seen], pa.float64()),
+                     pa.array(best, pa.float64()), pa.array([n for n, _ in seen], pa.int64())],
+                    ["choice", "toxic", "evidence", "best", "n"])
 
     apart = {r["toxic"]: r["count"] for r in sample.filter("part = 3").groupBy("toxic").count().collect()}
     enough = min(apart.get(0, 0), apart.get(1, 0)) >= 5  # else the whole small sample calibrates too
-    seen = (sample.filter("part = 3") if enough else sample).mapInArrow(
-        measure, "toxic int, evidence double, best double, n long").toPandas()
+    every = (sample.filter("part = 3") if enough else sample).mapInArrow(
+        measure, "choice int, toxic int, evidence double, best double, n long").toPandas()  # of a bounded sample
+    loss = math.inf
+    for i, own in enumerate(models):
+        _calibrate(own, every[every["choice"] == i], rate)
+        seen = every[every["choice"] == i]
+        if (now := _loss(own, seen, rate)) < loss:
+            loss, model = now, own
+    model.memo = {}
+    return model
+
+
+def _calibrate(model: ToxicityModel, seen, rate: float) -> None:
     # K: the mean of exp(lambda S) / n over clean documents' best segments
     clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     if len(clean):
@@ -223,13 +248,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, z: float = 7.
     if seen["toxic"].nunique() == 2:
         model.place, model.width = _gumbel(seen["evidence"].to_numpy(float), seen["toxic"].to_numpy(float),
                                            rate)
-    return model
+
+
+def _weights(y: np.ndarray, rate: float) -> np.ndarray:
+    """Weights of calibration rows that restore the share of toxic rows."""
+    return np.where(y == 1, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
+
+
+def _loss(model: ToxicityModel, seen, rate: float) -> float:
+    """Weighted log loss of the calibrated model on the calibration rows."""
+    y = seen["toxic"].to_numpy(float)
+    p = np.clip([model.probability(x) for x in seen["evidence"]], 1e-6, 1 - 1e-6)
+    return -float((_weights(y, rate) * (y * np.log(p) + (1 - y) * np.log1p(-p))).sum()) if len(y) else math.inf
 
 
 def _gumbel(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float]:
     """Place and width of the Gumbel link with the best likelihood; rows are
     weighted back to the share of toxic rows before the sample was drawn."""
-    w = np.where(y == 1, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
+    w = _weights(y, rate)
     best = (math.inf, 0.0, 1.0)
     steps = np.unique(np.quantile(x, np.linspace(0, 1, 161)))
     for place in np.concatenate([steps, (steps[1:] + steps[:-1]) / 2]):

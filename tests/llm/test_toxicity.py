@@ -70,3 +70,27 @@ def test_defined_cases(spark, make_docs, odd_docs):
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
     flat = toxicity.fit(docs, labels.filter("toxic = 0"))
     assert {r["toxic_score"] for r in toxicity.score(odd_docs, flat).collect()} == {0.0}
+
+
+def test_the_scan_is_linear_in_the_hits():
+    """Falling left sums, the worst case of a plain walk back, and random hits."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for places, gains in ((np.arange(40_000) * 100, np.full(40_000, 3.0)), (np.arange(40_000) * 3, r.random(40_000))):
+        began = time.time()
+        found = toxicity.maximal_segments(places, gains, 0.05)
+        assert time.time() - began < 2 and found
+
+
+def test_limits_are_chosen_by_the_calibration_rows(make_docs):
+    """With a harmful choice beside a good one the good one is taken."""
+    r = random.Random(2)
+    rows = [(i, prose("en", 40, i) + (" vile filth" if i % 4 == 0 else "") + f" w{r.randrange(5)}", "en", "s") for i in range(400)]
+    docs = make_docs(rows)
+    labels = docs.select("doc_id", (docs["doc_id"] % 4 == 0).cast("int").alias("toxic"))
+    strict = toxicity.fit(docs, labels, choices=((1e9, 0.7),))
+    both = toxicity.fit(docs, labels, choices=((1e9, 0.7), (3.5, 0.7)))
+    assert not strict.gains and {"vile", "filth"} <= set(both.gains)
