@@ -17,7 +17,9 @@ once, dealt by hash over ``buckets``; a bucket adds up the lists of all chunks
 and answers each list with the corpus counts, in the list's order; a chunk's
 answers come back to its documents, which are then scored. Frequent words are
 one entry per chunk, so no task sees a hot key, and no table of all grams is
-ever held by one task or the driver. What is exchanged grows with the corpus.
+ever held by one task or the driver. The grams exchanged grow with the corpus; the
+rows that carry them are at most one for each chunk and bucket that have a gram in
+common, and never more than the distinct grams of all chunks.
 
 Tokens are identified by 64-bit hashes (bigrams by 48 bits within their bucket).
 
@@ -83,7 +85,7 @@ class Chunk:
         """For every bucket: positions of its words and of its pairs, by hash."""
         out = []
         for h in (_mix(self.hashes), self.pair_hash):
-            b = (h >> np.uint64(48)).astype(np.int64) % buckets
+            b = (h >> np.uint64(32)).astype(np.int64) % buckets
             order = np.lexsort((h, b))
             out.append(np.split(order, np.searchsorted(b[order], np.arange(1, buckets))))
         return list(zip(range(buckets), *out))
@@ -130,7 +132,7 @@ def _asker(buckets: int):
         c = Chunk(table["raw"].to_pylist())
         return _batch([{"bucket": b, "chunk": chunk, "part": part, "words": c.hashes[w].astype("<u8").tobytes(),
                         "word_n": _pack(c.word_count[w]), "pairs": _short(c.pair_hash[p]),
-                        "pair_n": _pack(c.pair_count[p])} for b, w, p in c.dealt(buckets)], _ASK)
+                        "pair_n": _pack(c.pair_count[p])} for b, w, p in c.dealt(buckets) if len(w) or len(p)], _ASK)
     return ask
 
 
@@ -172,6 +174,8 @@ def _placed(c: Chunk, answers: list[dict], buckets: int, words: str, pairs: str)
     by = {a["bucket"]: a for a in answers}
     cw, cp = np.zeros(len(c.hashes), np.int64), np.zeros(len(c.pair_hash), np.int64)
     for b, w, p in c.dealt(buckets):
+        if not len(w) and not len(p):
+            continue  # not asked
         got_w, got_p = _unpack(by[b][words]), _unpack(by[b][pairs])
         if len(got_w) != len(w) or len(got_p) != len(p):
             raise RuntimeError("a chunk's documents changed between two reads of the input")
