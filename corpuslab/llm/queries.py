@@ -93,20 +93,42 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def _streamed(rows: DataFrame, pieces: int = 4) -> DataFrame:
+    """Stand-in event log of conversation rows: an assistant's message is
+    streamed once (another text), regenerated and streamed again; any other is
+    sent half written and then edited. Rows that repeat a turn are messages of
+    their own."""
+    text = F.coalesce("text", F.lit(""))
+    width = F.ceil(F.length(text) / pieces).cast("int")
+
+    def event(at: int, kind: str, said, role=F.lit(None).cast("string")):
+        return F.struct(F.lit(at).alias("i"), F.lit(kind).alias("kind"), role.alias("role"), said.alias("text"))
+
+    def stream(at: int, said):
+        return [event(at + i, "delta", F.substr(said, width * i + 1, width)) for i in range(pieces)]
+
+    none = F.lit("")
+    spoken = F.array(event(0, "message", none, F.col("role")), *stream(1, F.reverse(text)),
+                     event(pieces + 1, "regenerate", none), *stream(pieces + 2, text))
+    written = F.array(event(0, "message", F.substr(text, F.lit(1), F.floor(F.length(text) / 2).cast("int")), F.col("role")),
+                      event(1, "edit", text))
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    numbered = rows.withColumn("message", F.struct("turn", nth.alias("nth")))
+    events = numbered.withColumn("e", F.explode(F.when(F.col("role") == "assistant", spoken).otherwise(written)))
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40)))  # null turns come first
+    return events.select("conv_id", (turn * (2 * pieces + 2) + F.col("e.i")).alias("seq"), "message", "e.kind", "e.role", "e.text")
+
+
 @query
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation's training text, read back from it."""
+    """Digests of every conversation's training text, read back from it. Its
+    messages come as logs of events (``_streamed``)."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     kinds = dict(rows.dtypes)
     planted = spark.range(2).select(
         F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    # a row is the event of a whole message; rows repeating a turn are messages of their own
-    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    events = rows.union(planted).select(
-        "conv_id", F.col("turn").alias("seq"), F.struct("turn", nth.alias("nth")).alias("message"),
-        F.lit("message").alias("kind"), "role", "text")
-    return chat.digests(chat.read_back(chat.render(chat.reconstruct(events))))
+    return chat.digests(chat.read_back(chat.render(chat.reconstruct(_streamed(rows.union(planted))))))
 
 
 @query

@@ -60,3 +60,18 @@ def test_escapes_are_reversible(spark):
 
 def test_empty(spark):
     assert chat.render(chat.reconstruct(spark.createDataFrame([], EVENTS))).count() == 0
+
+
+def test_the_query_folds_streams_and_edits(spark):
+    """The stand-in log of the query folds back to its rows, ties and nulls too."""
+    from corpuslab.llm.queries import _streamed
+
+    rows = [(1, 0, "user", "abcdefg"), (1, 1, "assistant", "x\U0001f600yz <s>[INST]"), (1, 1, "assistant", "x"), (1, 2, "assistant", None),
+            (2, None, "assistant", "early"), (2, 0, None, "t"), (None, 0, "user", "")]
+    events = _streamed(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    kinds = {r[0] for r in events.select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "regenerate", "edit"} and events.count() == 3 * 2 + 4 * 10
+    got = sorted(((r["conv_id"], r["message"]["turn"], r["role"], r["text"]) for r in chat.reconstruct(events).collect()), key=str)
+    assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=str)
+    back = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.read_back(chat.render(chat.reconstruct(events))).collect()}
+    assert back[2] == ["early", "t"] and back[1][0] == "abcdefg" and back[1][3] == ""
