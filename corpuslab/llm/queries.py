@@ -73,7 +73,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every 20th vector with all others."""
-    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20).select(
+        "query_id", "rank", "vec_id", "score")
 
 
 @query

@@ -79,15 +79,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
-def evaluate(members: DataFrame, requests: DataFrame, cells: DataFrame, local, score_type: str) -> DataFrame:
+def evaluate(members: DataFrame, requests: DataFrame, cells: DataFrame, local, score_type: str,
+             block: int = QUERY_BLOCK, counts: bool = False) -> DataFrame:
     """Meets every request with all members of its cell.
 
     members: cell, sub, vec, ids, first; requests: query_id, qvec, bound, cell;
     cells: cell, subs (members are dealt into 0..subs-1). Requests of a cell are
-    dealt into blocks of about QUERY_BLOCK; each (cell, sub, block) is a group of
+    dealt into blocks of about ``block``; each (cell, sub, block) is a group of
     bounded size. ``local(qvecs, bounds, vecs, firsts)`` returns, for a block,
-    (request index, member index, score) arrays. Result: query_id, score, ids."""
-    asked = requests.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
+    (request index, member index, score) arrays. Result: query_id, score, ids.
+    With ``counts``, local returns a number for each request too: these are rows
+    with an empty list of ids and the number in a column compared."""
+    asked = requests.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     plan = materialize(cells.select("cell", "subs").join(asked, "cell"), "cell-plan")
     ask = (requests.join(plan, "cell")
            .withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
@@ -100,15 +103,21 @@ def evaluate(members: DataFrame, requests: DataFrame, cells: DataFrame, local, s
 
     def run(key, q: pa.Table, m: pa.Table) -> pa.Table:
         if not q.num_rows or not m.num_rows:
-            i, j, s = np.empty(0, int), np.empty(0, int), np.empty(0)
+            i, j, s, n = np.empty(0, int), np.empty(0, int), np.empty(0), [np.zeros(q.num_rows, int)]
         else:
-            i, j, s = local(matrix(q["qvec"]), q["bound"].to_numpy(), matrix(m["vec"]), m["first"].to_numpy())
-        return pa.table([q["query_id"].take(pa.array(i)), pa.array(s).cast(arrow_score), m["ids"].take(pa.array(j))],
+            i, j, s, *n = local(matrix(q["qvec"]), q["bound"].to_numpy(), matrix(m["vec"]), m["first"].to_numpy())
+        hits = pa.table([q["query_id"].take(pa.array(i)), pa.array(s).cast(arrow_score), m["ids"].take(pa.array(j))],
                         names=["query_id", "score", "ids"])
+        if not counts:
+            return hits
+        hits = hits.append_column("compared", pa.nulls(len(i), pa.int64()))
+        none = pa.array([[]] * q.num_rows, m["ids"].type)
+        return pa.concat_tables([hits, pa.table([q["query_id"], pa.nulls(q.num_rows, arrow_score), none, pa.array(n[0])],
+                                                schema=hits.schema)])
 
     keys = ["cell", "sub", "block"]
     return ask.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInArrow(
-        run, f"query_id long, score {score_type}, ids array<long>")
+        run, f"query_id long, score {score_type}, ids array<long>" + (", compared long" if counts else ""))
 
 
 def ranked(found: DataFrame, k: int, order: Column) -> DataFrame:

@@ -45,7 +45,7 @@ def test_exact_top_k(table, rows):
     x = np.array(list(have.values()))
     got = {}
     for cell_rows in (64, 4096):
-        for r in pivot_search.top_k(table, k=20, every=20, pivots=5, cell_rows=cell_rows).collect():
+        for r in pivot_search.top_k(table, k=20, every=20, pivots=5, cell_rows=cell_rows, rounds=(1, 3)).collect():
             got.setdefault((cell_rows, r["query_id"]), []).append((r["rank"], r["vec_id"], r["score"]))
     queries = [i for i in have if i % 20 == 0]
     assert set(got) == {(c, q) for c in (64, 4096) for q in queries}
@@ -55,6 +55,24 @@ def test_exact_top_k(table, rows):
         assert sorted(own) == [(n + 1, i, -v) for n, (v, i) in enumerate(order)]
 
 
+def test_bounds_leave_most_of_clustered_data_out(spark):
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(40, 16))
+    x = (centres[np.arange(8000) % 40] + 0.1 * r.normal(size=(8000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "s", "c") for i, v in enumerate(x)], VEC)
+    found = pivot_search.top_k(df, k=20, every=100, cell_rows=256).toPandas()
+    z = np.floor(64 * x.astype(float)).astype(int)
+    for q, own in found.groupby("query_id"):
+        s = z @ z[q]
+        s[q] = -2 ** 40
+        best = np.lexsort((np.arange(len(s)), -s))[:20]
+        own = own.sort_values("rank")
+        assert own["vec_id"].tolist() == best.tolist() and own["score"].tolist() == s[best].tolist()
+    compared = found.groupby("query_id")["compared"].first() / len(x)
+    print("share of vectors compared:", compared.mean(), compared.max())
+    assert found["query_id"].nunique() == 80 and compared.mean() < 0.5
+
+
 def test_tree_search(table, rows):
     have = usable(rows, zero=False)
     ids = np.array(list(have))
