@@ -73,11 +73,21 @@ def test_bounds_leave_most_of_clustered_data_out(spark):
     assert found["query_id"].nunique() == 80 and compared.mean() < 0.5
 
 
-def test_tree_search(table, rows):
+@pytest.mark.parametrize("split_rows", [4096, 40])
+def test_tree_search(table, rows, split_rows, monkeypatch):
+    """With 40, the leaves of the first tree (of at least 16 in a sample of 100)
+    have trees of their own."""
     have = usable(rows, zero=False)
     ids = np.array(list(have))
     x = np.array(list(have.values()))
-    found = kmeans_tree.search(table, k=10, every=20, sample=300, leaf_rows=32, calibration=50, cell_rows=64).collect()
+    splits, plain = [], kmeans_tree._split
+    monkeypatch.setattr(kmeans_tree, "_split", lambda *a: splits.append(plain(*a)) or splits[-1])
+    found = kmeans_tree.search(table, k=10, every=20, sample=300 if split_rows > 40 else 100, leaf_rows=32, calibration=50,
+                               cell_rows=64, split_rows=split_rows, split_sample=200).collect()
+    assert len(splits) == (split_rows == 40)
+    for fine, below in splits:  # every vector has its leaf, some leaves are of second trees
+        assert fine.count() == len({v.tobytes() for v in have.values()})
+        assert fine.filter(f"cell % {kmeans_tree.LEAVES} > 0").count() > 0 and below.filter("tree is not null").count() > 0
     got = {}
     for r in found:
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
