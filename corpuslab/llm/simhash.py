@@ -38,6 +38,7 @@ from corpuslab.llm.common import append_columns, materialize, other_columns_asid
 from corpuslab.llm.graph import connected_components
 
 LOW23 = (1 << 23) - 1
+TASK_FPS = 1 << 15  # distinct fingerprints whose keys one task makes
 
 
 def fingerprint(raw: bytes | None, shingle: int) -> int:
@@ -138,7 +139,7 @@ def _as_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def link_forest(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFrame:
     """Edges (a, b) whose components equal those of all pairs of ``fps`` (fp
-    long, distinct) at most ``max_bits`` <= 4 apart."""
+    long, distinct, written) at most ``max_bits`` <= 4 apart."""
     if max_bits > 4:
         raise ValueError("the keys guarantee pairs of up to 4 differing bits")
 
@@ -150,7 +151,9 @@ def link_forest(fps: DataFrame, max_bits: int = 4, block: int = 2048) -> DataFra
                 at, key = fuzzy_keys(f.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(f[at])], ["key", "fp"])
 
-    keyed = fps.mapInArrow(run, "key long, fp long")
+    # about 41 keys each: the tasks follow the number of fingerprints, not their files
+    tasks = -(-fps.count() // TASK_FPS) or 1
+    keyed = fps.repartition(tasks, "fp").mapInArrow(run, "key long, fp long")
     hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
                       .select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hot-keys")
     cells = keyed.select(F.col("key").alias("cell"), "fp")
