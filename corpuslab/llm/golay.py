@@ -38,14 +38,21 @@ def _patterns() -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def _syndromes() -> np.ndarray:
-    return _remainder(np.arange(1 << 23, dtype=np.int64)).astype(np.int16)
+def _halves() -> tuple[np.ndarray, np.ndarray]:
+    """Syndromes of the low 12 bits and of the high 11 bits of a word; the code
+    is linear, so a word's syndrome is the sum of both."""
+    return _remainder(np.arange(1 << 12)), _remainder(np.arange(1 << 11) << 12)
+
+
+def syndromes(words: np.ndarray) -> np.ndarray:
+    low, high = _halves()
+    return low[words & 0xFFF] ^ high[words >> 12]
 
 
 def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position of the word, 12-bit codeword index) for every key of every word."""
     errors, count = _patterns()
-    s = _syndromes()[words]
+    s = syndromes(words)
     n = count[s]
     at = np.repeat(np.arange(len(words)), n)
     nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)

@@ -135,3 +135,23 @@ def test_components_of_a_bare_path(spark):
     edges = list(zip(nodes[:-1], nodes[1:])) + [(-5, -5), (-7, -6)]
     got = {x["node"]: x["label"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == dict.fromkeys(nodes, min(nodes)) | {-7: -7, -6: -7}
+
+
+def test_keys_need_no_large_table():
+    """Every Python worker makes the keys: what they need must stay small."""
+    import tracemalloc
+
+    import numpy as np
+
+    from corpuslab.llm import golay
+
+    words = np.random.default_rng(2).integers(0, 1 << 23, 5000)
+    for cached in (f for f in vars(golay).values() if hasattr(f, "cache_clear")):
+        cached.cache_clear()
+    tracemalloc.start()
+    try:
+        golay.keys(words)
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(golay.syndromes(words), golay._remainder(words))
