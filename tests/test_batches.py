@@ -73,3 +73,24 @@ def test_a_missing_model_is_said(tmp_path, model):
     with pytest.warns(UserWarning, match="13a"):
         assert subword.usable_model([str(tmp_path / "no.model")]) is None
     assert subword.usable_model([str(tmp_path / "no.model"), model]) == model and subword.label(model) == "piece_bpe_32k"
+
+
+def test_counts_of_a_batch_equal_those_of_each_pair(monkeypatch):
+    """Pairs are counted together: over chunks, shared references, empty texts,
+    texts whose 13a replacements join words, and too many symbols for one key."""
+    import random
+
+    r = random.Random(3)
+    parts = ["a", "b", "1", ".", ",", " ", " ", "\t", "-\n", "&amp;", "amp;", "<skipped>", "é", "漢", "\x85", "running", "3.5"]
+    refs = ["".join(r.choice(parts) for _ in range(r.choice([0, 1, 9, 60]))) for _ in range(60)]
+    refs += ["".join(chr(0x4E00 + r.randrange(3000)) + " " * (i % 3 == 0) for i in range(4000))]
+    pairs = [("".join(c for c in t if r.random() < 0.8), t) for t in refs for _ in range(3)] + [("", ""), ("a", "")]
+    cw, t13, rw = ngram._py_tokenisers()
+    want = {"chrf": [ngram.chrf_segment("".join(h.split()), "".join(t.split()), cw(h), cw(t)) for h, t in pairs],
+            "bleu": [ngram.bleu_segment(t13(h), t13(t)) for h, t in pairs],
+            "rouge": [[ngram.lcs(rw(h), rw(t)), len(rw(h)), len(rw(t))] for h, t in pairs]}
+    for chars in (100, 1 << 17):
+        monkeypatch.setattr(ngram, "CHUNK_CHARS", chars)
+        assert ngram.SegmentStats(True, False, True, True).rows(*map(list, zip(*pairs))) == want
+    assert ngram.token_bleu_rows([h.split() for h, _ in pairs], [t.split() for _, t in pairs]) == [
+        ngram.bleu_segment(h.split(), t.split()) for h, t in pairs]
