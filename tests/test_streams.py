@@ -125,3 +125,24 @@ def test_a_reader_always_finds_a_version(spark, monkeypatch):
         V.publish(V.read(spark, d, "v int").union(make(10 + i)), d)
     assert read() == [5, 10, 11, 12, 13]
     assert len([n for n in os.listdir(os.path.join(d, V.POINTERS)) if n.isdigit()]) == 2
+
+
+def test_crash_tails_share_the_keys_of_their_state(spark, monkeypatch):
+    """Many logs, one of them without a name, over few keys and two triggers."""
+    monkeypatch.setattr(S, "BUCKETS", 3)
+    r = random.Random(5)
+    rows = [(r.choice([None, *(f"log{i}" for i in range(40))]), o, f"line {o}", "x", r.choice([True, False, False, None])) for o in range(2400)]
+    d = tempfile.mkdtemp(prefix="corpuslab-stream-")
+    schema = "log_file string, ord long, line string, label string, crashed boolean"
+    for i in range(2):
+        part = rows[i * 1200:(i + 1) * 1200]
+        spark.createDataFrame(r.sample(part, len(part)), schema).coalesce(1).write.parquet(f"{d}/t/p{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/t/*")
+    got = S.append_to_table(S.crash_tails(stream), f"{d}/out", f"{d}/ckpt").collect()
+    want = []
+    for name in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == name]
+        for k, x in enumerate(own):
+            tail = own[max(0, k + 1 - S.TAIL):k + 1] if x[4] else []
+            want += [(x[1], name, "x", len(tail) - i, t[1], t[2]) for i, t in enumerate(tail)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
