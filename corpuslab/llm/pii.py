@@ -7,7 +7,7 @@ emails, spaced addresses, digit runs with separators. Every proposal is
 described by its format (separators, groups, checksum) and its context (the
 characters and words around it), without the + and @ of the base rules.
 
-Boosted trees, one set a kind, learn from a bounded sample of base spans written
+Boosted trees, one set a kind, learn from all base spans, written
 as the base rules do not find them (name [at] host [dot] org, 10 . 0 . 0 . 1,
 phone numbers without +, cards with other separators), each in its own context.
 Against them stand counterfeits in the same contexts (words around an @, wrong
@@ -33,7 +33,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import labelled_sample, materialize, other_columns_aside
+from corpuslab.llm.common import materialize, other_columns_aside
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -282,12 +282,12 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     return rows.withColumns({f"f_{k}": F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in cols.items()}), [f"f_{k}" for k in cols]
 
 
-def extra_spans(found: DataFrame, per_class: int = 1500, least: int = 1, quiet: float = 0.999, floor: float = 0.9,
+def extra_spans(found: DataFrame, least: int = 1, quiet: float = 0.999, floor: float = 0.9,
                 rounds: int = 8, depth: int = 3, seed: int = 8) -> DataFrame:
     """(__key, __extra): the proposals that the trees add, per row key, from
-    ``found`` (__key, __base, __seen). ``per_class`` bounds the base spans and the
-    invalid proposals of each kind that the trees are fitted on; ``least`` is the
-    number of base spans of a kind kept out of the fit that it needs."""
+    ``found`` (__key, __base, __seen). The trees are fitted on all base spans and
+    invalid proposals of each kind; ``least`` is the number of base spans of a
+    kind kept out of the fit that it needs."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -298,10 +298,7 @@ def extra_spans(found: DataFrame, per_class: int = 1500, least: int = 1, quiet:
     none = rows.select("__key", F.array(span).cast(SPAN).alias("__extra")).limit(0)
     # base spans, and free proposals that cannot be valid; the other free ones are in neither class
     known = rows.filter((F.col("label") == 1) | (F.col("free") & impossible()))
-    group = F.concat_ws(":", "kind", F.col("label").cast("int").cast("string"))
-    sample = materialize(labelled_sample(known.withColumn("group", group), "group", per_class, seed,
-                                         "__key", "start", "end").drop("group"), "proposal-sample")
-    base = sample.filter("label = 1")
+    base = known.filter("label = 1")
     part = F.pmod(F.xxhash64("__key", "start", "kind"), F.lit(3))
     # counted before anything is fitted: without a base span to judge by nothing is added for a kind
     kinds = [r["kind"] for r in base.filter(part == 0).groupBy("kind").count().collect() if r["count"] >= least]
@@ -311,7 +308,7 @@ def extra_spans(found: DataFrame, per_class: int = 1500, least: int = 1, quiet:
         examples, names = features(
             variants(kind, base.filter(own), disguises(kind), 1.0)
             .unionByName(variants(kind, base.filter(own), counterfeits(kind), 0.0))
-            .unionByName(sample.filter(own & (F.col("label") == 0))))
+            .unionByName(known.filter(own & (F.col("label") == 0))))
         assembler = assembler or VectorAssembler(inputCols=names, outputCol="v")
         examples = materialize(assembler.transform(examples).withColumn("part", part).select("kind", "label", "part", "v"), "proposal-examples")
         fit_rows = examples.filter("part <> 0")

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslab.llm import pii
 
@@ -129,3 +130,19 @@ def test_disguised_spans_are_added(make_docs):
             at = full[i].index(x)
             assert spans[i] == f"{kind}:{at}:{at + len(x)}", x
             assert f"[{kind.upper()}]" in clean[i] and x not in clean[i]
+
+
+def test_trees_learn_from_every_base_span(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def spy(kind, rows, made, label, most=3):
+        raise Seen(kind, rows.count())
+
+    n = 2500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to u"), "id", F.lit("@b.org now")).alias("text"))
+    found = pii.find(docs.withColumn("__key", pii.row_key())).cache()
+    monkeypatch.setattr(pii, "variants", spy)
+    with pytest.raises(Seen) as seen:
+        pii.extra_spans(found)
+    assert seen.value.args == ("email", n)
