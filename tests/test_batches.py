@@ -94,3 +94,51 @@ def test_counts_of_a_batch_equal_those_of_each_pair(monkeypatch):
         assert ngram.SegmentStats(True, False, True, True).rows(*map(list, zip(*pairs))) == want
     assert ngram.token_bleu_rows([h.split() for h, _ in pairs], [t.split() for _, t in pairs]) == [
         ngram.bleu_segment(h.split(), t.split()) for h, t in pairs]
+
+
+def test_batches_stay_in_arrow(monkeypatch):
+    """Only a slice of a batch's rows is Python objects at a time."""
+    import pyarrow as pa
+
+    held = []
+
+    class Watched(ngram.SegmentStats):
+        def rows(self, hyps, refs):
+            held.append((len(hyps), len(refs)))
+            return super().rows(hyps, refs)
+
+    monkeypatch.setattr(ngram, "SLICE_ROWS", 3)
+    hyps, refs = ["a b", None, "", "c\x1cd", "é é", "x", "y z"], ["a c", "b", None, "c d", "é", "x", "z"]
+    got = [x for part in ngram.arrow_stats(Watched(True, True, True, True), [(pa.array(hyps), pa.array(refs))])
+           for x in part.to_pylist()]
+    want = ngram.SegmentStats(True, True, True, True).rows([x or "" for x in hyps], [x or "" for x in refs])
+    assert got == [dict(zip(want, row)) for row in zip(*want.values())]
+    assert held == [(3, 3), (3, 3), (1, 1)]
+
+
+def test_token_lists_are_counted_in_arrow(monkeypatch):
+    """Runs of rows, null lists and null tokens; what a plain count gives."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram, "CHUNK_CHARS", 5)
+    hyps = [["a", "b", "a"], None, [], ["x"] * 9, ["a", None, "b"], ["c"]]
+    refs = [["a", "b"], ["q"], None, ["x"] * 4, ["a", None, "c"], ["c"]]
+    parts = list(ngram.arrow_bleu_rows(pa.array(hyps), pa.array(refs)))
+    assert len(parts) > 2
+    assert [row for part in parts for row in part] == [ngram.bleu_segment(h or [], r or []) for h, r in zip(hyps, refs)]
+
+
+def test_runs_of_a_spread_document_are_not_dealt_again(spark, tmp_path):
+    """Statistics of a document's runs are made where the document is: one shuffle."""
+    from corpuslab.operators import metrics as M
+    from corpuslab.plans import fixtures as X
+
+    spark.createDataFrame([(i, "en", f"a b {i}. c") for i in range(40)], "doc_id long, lang string, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    runs = X.predictions(spark, str(tmp_path))
+    st = M.segment_stats(runs, segment_keys=("doc_id",))
+    assert st._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    again = M.segment_stats(runs, segment_keys=("model", "doc_id"))   # dealt by other keys
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert sorted(st.select("doc_id", "model", "setting", "chrf_st").collect()) == sorted(
+        again.select("doc_id", "model", "setting", "chrf_st").collect())
