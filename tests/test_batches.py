@@ -142,3 +142,63 @@ def test_runs_of_a_spread_document_are_not_dealt_again(spark, tmp_path):
     assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
     assert sorted(st.select("doc_id", "model", "setting", "chrf_st").collect()) == sorted(
         again.select("doc_id", "model", "setting", "chrf_st").collect())
+
+
+def test_lcs_of_hypotheses_side_by_side(monkeypatch):
+    """One pass over a reference serves all its hypotheses; empty ones, tokens
+    the reference lacks, more carries than free bits, and a pair by itself."""
+    r = random.Random(9)
+    for at in range(60):
+        ref = np.array([r.randrange(1 + at % 9) for _ in range(r.choice([0, 1, 70, 300]))], dtype=np.int64)
+        hyps = [np.array([r.randrange(12) if r.random() < 0.2 else x for x in ref.tolist() * 2 if r.random() < 0.6], dtype=np.int64)
+                for _ in range(5)] + [ref, ref[:0], ref[::-1]]
+        for room in (1 << 22, 300, 1):
+            monkeypatch.setattr(ngram, "MASK_BYTES", room)
+            assert ngram.lcs_of_many(ref, hyps) == [ngram.lcs(ref.tolist(), h.tolist()) for h in hyps]
+
+
+def test_runs_of_pairs_are_numbered_anew(monkeypatch):
+    """More symbols than one key holds are no matter when each run has few."""
+    pairs = [([str(i), str(i + 1), "x", str(i)], [str(i), "x", str(i), str(i + 1)]) for i in range(200)]
+    want = [ngram.bleu_segment(h, t) for h, t in pairs]
+    for most in (1, 9, 1 << 17):
+        monkeypatch.setattr(ngram, "COUNT_SYMBOLS", most)
+        assert ngram.token_bleu_rows(*zip(*pairs)) == want
+
+
+def test_predictions_without_token_arrays(spark):
+    """The stand-in runs drop the tokens that a plain count drops, on odd white
+    space and null keys, and in generated code (no lambda over an array)."""
+    from corpuslab.plans import fixtures as X
+
+    r = random.Random(4)
+    space = ["\t", "\n", "\x0b", "\x1c", "\x85", "\u00a0", "\u2028", "\u3000", " ", "  ", " \n"]
+    texts = ["".join(r.choice(["", r.choice(space)]) + r.choice(["a", "x", "$1", "\\", "\u200b", "word"]) + r.choice(space)
+                     for _ in range(r.choice([0, 1, 2, 8, 9, 10, 30]))) for _ in range(150)]
+    rows = [(i - 40 if i % 20 else None, "a", t if i % 31 else None) for i, t in enumerate([*texts, "", " ", "\u3000", "b" * 50000])]
+    got = X.predictions(spark, None, spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert "lambdafunction" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for m, s, p in X.RUNS:
+        for d, _, t in rows:
+            w = None if t is None else t.split()
+            hyp = None if w is None else " ".join(x for i, x in enumerate(w) if d is not None and (i + d) % p)
+            if d is not None and (d + p) % 41 == 0:
+                hyp = None
+            if d is not None and (d + p) % 37 == 0:
+                hyp = "ERROR"
+            want.append((m, s, d, None if w is None else " ".join(w), hyp))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(x)) for x in got.select("model", "setting", "doc_id", "english", "hyp").collect())
+
+
+def test_subword_tokens_as_spaced_text(spark):
+    """bleu_tokens takes its tokens as text that white space parts; the counts
+    are those of the array of tokens."""
+    from corpuslab.plans import score_queries as S
+
+    rows = [("abcdefgh ij klmno", "abcdefgh ijk klmno"), ("", "a"), ("abcd", "abcd abcde"), ("éééé漢 ab", "éééé漢 ab"), ("x", None)]
+    df = spark.createDataFrame(rows, "hyp string, english string")
+    cut, found = (lambda c: F.regexp_replace(c, S.SUBWORD_CUT, "$0 ")), (lambda c: F.regexp_extract_all(c, F.lit(S.SUBWORD_RE), 0))
+    a, b = ([tuple(x["sp_st"]) for x in M.segment_stats(df, rouge=False, chrf=False, bleu=False, sp_hyp_tokens=f("hyp"),
+                                                         sp_ref_tokens=f("english")).collect()] for f in (cut, found))
+    assert sorted(a) == sorted(b)
