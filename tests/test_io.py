@@ -214,3 +214,17 @@ def test_pre_post_hooks(spark):
     out = I.predict_batches(df, lambda: (lambda texts: [t.upper() for t in texts]), "src", ["gid"],
                             token_col="tok", pre=lambda s, k: f"{k}:{s}", post=lambda t: t + "!").collect()
     assert out[0]["hyp"] == "TOKA:ABC!" and out[0]["src_lang"] == "tokA"
+
+
+def test_packed_outputs_read_as_plain_ones(spark, tmp_path):
+    """Compressed outputs of runs: the same rows, and fewer bytes."""
+    rows = [(m, "s", str(i), None if i == 7 else f'say "x,{i}"\n and ' + "again " * 50) for m in ("a", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "model string, setting string, gid string, hyp string")
+    size, got = {}, {}
+    for name, how in (("plain", lambda w: w), ("packed", IO.packed)):
+        root = str(tmp_path / name)
+        how(IO.csv_writer(df.write.partitionBy("model", "setting"))).csv(root)
+        size[name] = sum(f.stat().st_size for f in (tmp_path / name).rglob("part-*"))
+        got[name] = sorted(map(str, IO.read_predictions(spark, root, ["gid", "hyp"], layout="hive").collect()))
+    assert got["packed"] == got["plain"] and len(got["plain"]) == len(rows)
+    assert size["packed"] < size["plain"] / 2
