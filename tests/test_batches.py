@@ -202,3 +202,16 @@ def test_subword_tokens_as_spaced_text(spark):
     a, b = ([tuple(x["sp_st"]) for x in M.segment_stats(df, rouge=False, chrf=False, bleu=False, sp_hyp_tokens=f("hyp"),
                                                          sp_ref_tokens=f("english")).collect()] for f in (cut, found))
     assert sorted(a) == sorted(b)
+
+
+def test_dropped_tokens_without_a_counted_group(spark):
+    """The pattern of a run has its kept tokens one after another (a counted
+    group took half as long again), for every step and first token."""
+    from corpuslab.plans import fixtures as X
+
+    texts = ["", "a", "$1 \\ b", " ".join(f"w{i}" for i in range(40)), "x " + "y" * 30000, None]
+    df = spark.createDataFrame([(t, d, p) for t in texts for d in (-5, 0, 1, 7, 2 ** 40) for p in (1, 2, 3, 9, 12)], "t string, d long, p int")
+    got = df.select("*", X.drop_tokens("t", F.col("d"), F.col("p")).alias("h"))
+    assert "{" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        assert r["h"] == (None if r["t"] is None else " ".join(x for i, x in enumerate(r["t"].split()) if (i + r["d"]) % r["p"]))

@@ -36,3 +36,18 @@ def test_split_group_and_word_count(spark):
 def test_safe_pct_rate(spark):
     df = spark.createDataFrame([(1, 0), (1, 3)], "x long, n long")
     assert [r[0] for r in df.select(T.safe_pct("x", "n")).collect()] == [100.0, 33.33]
+
+
+def test_only_texts_with_white_edges_are_trimmed(spark):
+    """trim with a character set makes a table of a whole text: texts without
+    white space at an end go past it, with the result of a plain strip."""
+    from pyspark.sql import functions as F
+
+    from corpuslab.functions import text as X
+
+    texts = [f"{a}{m}{z}" for a in ["", " ", "\t", " ", "　", "​", "é"] for m in ["", "x", "a b", "\x85"]
+             for z in ["", " ", "\n ", "\x1c", "\x85", " ", "à", "぀", "漠", "​"]] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.ustrip("t").alias("s"))
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip()) for r in df.collect())
+    assert "CASE WHEN" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert spark.range(1).select(X.ustrip(F.lit(5)).alias("s")).first()["s"] == "5"
