@@ -215,3 +215,28 @@ def test_dropped_tokens_without_a_counted_group(spark):
     assert "{" not in got._jdf.queryExecution().optimizedPlan().toString()
     for r in got.collect():
         assert r["h"] == (None if r["t"] is None else " ".join(x for i, x in enumerate(r["t"].split()) if (i + r["d"]) % r["p"]))
+
+
+def test_words_that_no_rule_stems_stay_in_arrow():
+    """Only words with an ending of some rule go through the stemmer."""
+    import pyarrow as pa
+
+    from corpuslab.functions import porter
+
+    r = random.Random(5)
+    ends = ["", *porter.STEP4, *(a for a, _ in porter.STEP2 + porter.STEP3), "s", "ed", "ing", "y", "e", "ll", "ies", "eed"]
+    words = ["".join(r.choice("aeiouybcdlt1") for _ in range(r.randrange(7))) + r.choice(ends) for _ in range(4000)]
+    words += ["Ab", "a-b", "é", "", "skies", "howe", "proceed", "canning", "map", "abcdK"]
+    stays = ngram.own_stems(pa.array(words, pa.large_string()))
+    assert all(porter.stem(w) == w or len(w) <= 3 for w, s in zip(words, stays) if s)
+    assert not any(s for w, s in zip(words, stays) if not (w.isascii() and w.isalnum() and w == w.lower()))
+    assert sum(stays) > 300
+
+    def steps(w):  # all rules, whatever the ending
+        for step in (porter._step1a, porter._step1b, porter._step1c, porter._step2, porter._step3, porter._step4, porter._step5):
+            w = step(w)
+        return w
+
+    assert all(porter.stem(w) == steps(w) for w in words if len(w) > 2 and w == w.lower() and w not in porter.IRREGULAR)
+    for w in words:  # kinds of letters, as the rule says it letter by letter
+        assert porter._kinds(w) == "".join("c" if porter._cons(w, i) else "v" for i in range(len(w)))
