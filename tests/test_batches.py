@@ -240,3 +240,27 @@ def test_words_that_no_rule_stems_stay_in_arrow():
     assert all(porter.stem(w) == steps(w) for w in words if len(w) > 2 and w == w.lower() and w not in porter.IRREGULAR)
     for w in words:  # kinds of letters, as the rule says it letter by letter
         assert porter._kinds(w) == "".join("c" if porter._cons(w, i) else "v" for i in range(len(w)))
+
+
+def test_words_are_cut_in_arrow(spark):
+    """Runs of characters by arrays over a batch: slices, nulls, empty texts, long characters."""
+    import re
+
+    import pyarrow as pa
+
+    from corpuslab.plans import score_queries as S
+
+    r = random.Random(6)
+    texts = [None if r.random() < 0.1 else "".join(r.choice("abcdé漢😀 \t ") for _ in range(r.choice([0, 1, 4, 5, 8, 30]))) for _ in range(400)]
+    want = [None if t is None else re.sub(r"[^ ]{4}(?=[^ ])", lambda m: m[0] + " ", t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        got = subword.cut_words(pa.array(texts, kind), 4)
+        got.validate(full=True)
+        assert got.to_pylist() == want and subword.cut_words(pa.array(texts, kind).slice(7, 90), 4).to_pylist() == want[7:97]
+    for few in ([], [None], [""], ["", "abcde", ""]):
+        assert subword.cut_words(pa.array(few, pa.string()), 4).to_pylist() == [x and x.replace("abcde", "abcd e") for x in few]
+    df = spark.createDataFrame([(t, u) for t, u in zip(texts, texts[1:])], "hyp string, english string")
+    a, b = ([tuple(x["sp_st"]) for x in M.segment_stats(df, rouge=False, chrf=False, bleu=False, sp_hyp_tokens=f("hyp"),
+                                                         sp_ref_tokens=f("english")).collect()]
+            for f in (lambda c: subword.pieces(S.SUBWORD_CHARS, F.col(c)), lambda c: F.regexp_replace(c, S.SUBWORD_CUT, "$0 ")))
+    assert sorted(a) == sorted(b)
