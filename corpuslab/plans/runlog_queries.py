@@ -183,13 +183,14 @@ def run_folders(spark, sf, root):
     predictions has outputs, all but the sweep are scored, and one run's outputs
     have no column of outputs. Of the training runs m0 has its record, m2 only
     its end mark, m1 neither, and m3 has left a crash log."""
-    pred, log = X.predictions(spark, sf), X.loss_log(spark, sf)
+    pred, log = X.predictions(spark, sf, told=True), X.loss_log(spark, sf)
     own = lambda df, mode="overwrite": df.write.mode(mode).partitionBy(*RUN)
     rows = pred.select(*RUN, F.col("doc_id").cast("string").alias("gid"), "language", "english", "hyp")
     broken = (F.col("model") == "m2") & (F.col("setting") == "ft_a")
-    IO.csv_writer(own(rows.filter(~broken))).csv(f"{root}/{L.PREDICTIONS}")
-    IO.csv_writer(own(rows.filter(broken).withColumnRenamed("hyp", "output"), "append")).csv(f"{root}/{L.PREDICTIONS}")
-    scored = pred.filter("setting <> 'sweep'").groupBy(*RUN).agg(F.count("hyp").alias("n"))
+    with IO.unsorted_folders(spark):
+        IO.tight(IO.csv_writer(own(rows.filter(~broken)))).csv(f"{root}/{L.PREDICTIONS}")
+        IO.tight(IO.csv_writer(own(rows.filter(broken).withColumnRenamed("hyp", "output"), "append"))).csv(f"{root}/{L.PREDICTIONS}")
+    scored = pred.filter("setting <> 'sweep'").groupBy(*RUN).agg(F.count_if("has_hyp").alias("n"))
     IO.write_nested(scored, f"{root}/{L.METRICS}", partition_by=tuple(RUN))
     own(log.filter("model = 'm3' and loss = 'nan'").select(*RUN, F.concat_ws(" ", "step", "loss").alias("value"))).text(
         f"{root}/{L.CRASH_LOG}")

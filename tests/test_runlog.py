@@ -93,3 +93,25 @@ def test_manifest_from_run_folders(spark, tmp_path):
         "m/rec": ("trained, no outputs yet", 0), "m/none": ("no outputs", 0), "m/bad": ("outputs cannot be read", 0),
         "m/crash2": ("CRASHED", 0), "n x/both": ("outputs not scored yet", 0)}
     assert rows["m/rec"]["train_minutes"] == 2.5 and rows["m/none"]["gpu"] == "g"
+
+
+def test_run_folders_are_packed_and_tell_outputs_without_making_them(spark, tmp_path):
+    """Outputs of runs are gzip files; scores count the outputs that are there; texts, ids and languages may be null."""
+    from corpuslab.plans import fixtures as X
+    from corpuslab.plans.runlog_queries import run_folders
+
+    docs = spark.createDataFrame([(i, "en", None if i % 5 == 0 else f"one two, \"three\"\n{i} four") for i in range(90)]
+                                 + [(None, None, "a b"), (None, "en", None), (7, None, "")], "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/t/documents.parquet")
+    events = [(i, i % 7, k, float(i), "2024-01-01 00:00:00") for i in range(60) for k in ("click", "error", "signup")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, ts string").withColumn(
+        "ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/t/events.parquet")
+    view = X.predictions(spark, f"{tmp_path}/t", told=True)
+    assert view.filter("has_hyp is null or has_hyp <> (hyp is not null)").count() == 0
+    plan = view.groupBy("model").agg(F.count_if("has_hyp"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+    run_folders(spark, f"{tmp_path}/t", f"{tmp_path}/runs")
+    files = [f.name for f in (tmp_path / "runs" / L.PREDICTIONS).rglob("part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    found = {tuple(r) for r in spark.read.json(f"{tmp_path}/runs/{L.METRICS}").select("model", "setting", "n").collect()}
+    assert found == {tuple(r) for r in view.filter("setting <> 'sweep'").groupBy("model", "setting").agg(F.count("hyp")).collect()}
